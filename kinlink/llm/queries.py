@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, license_scan, line_dedup, mixing, pitman_yor, token_counts, toxicity
+from . import decontaminate, graph_search, jaccard_join, language_id, license_scan, line_dedup, mixing, pitman_yor, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The model's file; a parameter of the query.
@@ -26,6 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.search(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,6 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
+    "op3_graph_search": op3_graph_search,
     "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
