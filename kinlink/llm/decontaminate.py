@@ -57,8 +57,9 @@ def prefix_table(docs: DataFrame, items: DataFrame, size: int, broadcast_windows
     windows = saved(item_windows(items, size), "windows")
     placed = windows.select("win", F.posexplode("win").alias("before", "token"))
     vocabulary = saved(placed.select("token").distinct(), "vocabulary")
-    rare = _occurrences(docs, vocabulary, vocabulary.count() <= broadcast_windows * size)
-    first = placed.join(rare, "token").groupBy("win").agg(F.min_by(F.struct("token", "before"), F.struct("n", "token", "before")).alias("p"))
+    small = vocabulary.count() <= broadcast_windows * size
+    rare = _occurrences(docs, vocabulary, small)
+    first = placed.join(F.broadcast(rare) if small else rare, "token").groupBy("win").agg(F.min_by(F.struct("token", "before"), F.struct("n", "token", "before")).alias("p"))
     return first.join(windows, "win").select("p.token", "win", "items", "p.before")
 
 
