@@ -13,7 +13,8 @@ size, and a block is skipped unless its sizes can meet the threshold; within a
 block, entries are skipped by position.
 
 *Answers.*  The smallest class of a list is its pivot.  First every class is
-verified against its lists' pivots, which costs one pair an entry at most.
+verified against its lists' pivots, which costs one pair an entry at most.  A
+pair whose prefixes share too little to link is dropped before its sets are read.
 Other pairs of a list are then derived from their overlaps with the pivot:
 ``|x & y| >= |x & p| + |y & p| - |p|`` proves a link, and
 ``|x & y| <= min(|x & p|, |y & p|) + min(|x - p|, |y - p|)`` rules it out; only
@@ -223,7 +224,7 @@ def _bits(rows: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(a, set) of the classes in ``wanted`` (a, rep), each from the document rep; found by a filter of bounded size, then exactly."""
+    """(a, set) of the classes in ``wanted`` (a, rep), each from the document rep, and of few others: a filter of bounded size picks the rows."""
     bits = docs.sparkSession.sparkContext.broadcast(_bits(wanted))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -243,8 +244,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     made = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, a long, set binary")
     made = made.withColumn("bit", F.pmod(F.xxhash64("a", "doc_id"), F.lit(BITS))).mapInArrow(passes, f"doc_id {id_type}, a long, set binary")
-    exact = made.join(wanted, (made["a"] == wanted["a"]) & made["doc_id"].eqNullSafe(wanted["rep"]), "left_semi")
-    return exact.dropDuplicates(["a"]).select("a", "set")
+    # the few others that pass find no pair to join; rows that repeat give the same overlap again
+    return made.select("a", "set")
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +262,19 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     sets = saved(_sets(docs, wanted), "sets")
     left = pairs.join(sets.select(F.col("a").alias("x"), F.col("set").alias("sx")), "x")
     both = left.join(sets.select(F.col("a").alias("y"), F.col("set").alias("sy")), "y")
-    return both.select("x", "y", "sx", "sy").mapInArrow(_overlap, "x long, y long, overlap long")
+    found = both.select("x", "y", "sx", "sy").mapInArrow(_overlap, "x long, y long, overlap long")
+    return found.groupBy("x", "y").agg(F.max("overlap").alias("overlap"))
+
+
+def _plausible(pairs: DataFrame, listed: DataFrame) -> DataFrame:
+    """The pairs (x, y, nx, ny) whose prefixes share enough: what they share, all of it in the lists, and all past the end of one prefix must suffice.
+
+    listed: (a, keys), the prefix entries of each class that are in a list.
+    """
+    both = pairs.join(listed.select(F.col("a").alias("x"), F.col("keys").alias("kx")), "x").join(listed.select(F.col("a").alias("y"), F.col("keys").alias("ky")), "y")
+    past = lambda n: F.ceil(F.col(n) * (PERCENT / 100.0)) - 1
+    most = F.size(F.array_intersect("kx", "ky")) + F.greatest(past("nx"), past("ny"))
+    return both.filter(most >= needed(F.col("nx"), F.col("ny"))).drop("kx", "ky")
 
 
 def _fits(nx: Column, px: Column, ny: Column, py: Column) -> Column:
@@ -300,7 +313,9 @@ def class_links(docs: DataFrame, common_size: int = 200_000, per_bucket: int = 5
     pivots = saved(pivots, "pivots")
     listed = lists.join(pivots, "key").filter(F.col("a") != F.col("p.a"))
     ok = _fits(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"))
-    star = saved(listed.filter(ok).select(F.col("a").alias("x"), F.col("p.a").alias("y"), F.col("n").alias("nx"), F.col("p.n").alias("ny")).distinct(), "stars")
+    shared = saved(lists.groupBy("a").agg(F.collect_set("key").alias("keys")), "shared")
+    star = listed.filter(ok).select(F.col("a").alias("x"), F.col("p.a").alias("y"), F.col("n").alias("nx"), F.col("p.n").alias("ny")).distinct()
+    star = saved(_plausible(star, shared), "stars")
     sizes = star.select("x", "y", "nx", "ny")
     answers = saved(verified(docs, star.select("x", "y"), reps).join(sizes, ["x", "y"]).withColumn("linked", F.col("overlap") >= needed(F.col("nx"), F.col("ny"))), "answers")
     links = answers.filter("linked").select("x", "y")
@@ -327,12 +342,12 @@ def class_links(docs: DataFrame, common_size: int = 200_000, per_bucket: int = 5
     )
     least = F.col("x_overlap") + F.col("y_overlap") - F.col("x_pn")
     found = x.join(y, pair).select(F.col("x_a").alias("x"), F.col("y_a").alias("y"), F.col("x_n").alias("nx"), F.col("y_n").alias("ny"), F.coalesce(least >= need, F.lit(False)).alias("derived"))
-    found = saved(found.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max("derived").alias("derived"), F.first(F.col("nx") + F.col("ny")).alias("total")), "rest")
-    rest = found.filter("NOT derived")
+    found = saved(found.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max("derived").alias("derived"), F.max("nx").alias("nx"), F.max("ny").alias("ny")), "rest")
+    rest = saved(_plausible(found.filter("NOT derived"), shared), "rest")
     more = found.filter("derived").select("x", "y")
     if not rest.isEmpty():
-        checked = verified(docs, rest.select("x", "y"), reps).join(rest.select("x", "y", "total"), ["x", "y"])
-        more = more.unionByName(checked.filter(F.col("overlap") >= needed(F.col("total"), F.lit(0))).select("x", "y"))
+        checked = verified(docs, rest.select("x", "y"), reps).join(rest, ["x", "y"])
+        more = more.unionByName(checked.filter(F.col("overlap") >= needed(F.col("nx"), F.col("ny"))).select("x", "y"))
     return profile, reps, links.unionByName(more)
 
 
