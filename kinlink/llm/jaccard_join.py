@@ -2,9 +2,11 @@
 
 A document's set is its different 5-word shingles, as 64-bit hashes.  Equal
 sets form a class, known by the class's hash; classes, not documents, are
-joined.  Sets are sorted in one global order: shingles seen often (a bounded
-table of the commonest, from all texts) come last, by count, the others by hash.
-Two sets can only link if they share a shingle of their prefixes.
+joined.  Sets are sorted in one global order: common shingles (a bounded table of
+the commonest, by exact counts over all texts) come last, by count, the others by
+hash.  Two sets can only link if they share a shingle of their prefixes.  Prefixes
+are the first quarter of a set, so only the shingles that hash into the first
+``COUNTED`` part of the order are counted.
 
 *Index lists.*  Prefix entries of uncommon shingles are packed by bucket of
 shingle, and each bucket drops the lists of one class, which are most.  Entries
@@ -41,8 +43,8 @@ from .components import components
 
 WIDTH = 5
 PERCENT = 75
-#: Shingles counted at a time in a task, and how often one must be seen among them to be named as common.
-FLUSH, NAMED = 1 << 21, 6
+#: Shingles combined at a time in a task; in how many sets one must be to be common; the part of the hash order that is counted.
+FLUSH, NAMED, COUNTED = 1 << 21, 8, 0.36
 #: Bits of the filter of classes to verify.
 BITS = 1 << 25
 
@@ -105,33 +107,55 @@ def needed(a: Column, b: Column) -> Column:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: (doc_id, n, class hash); kind 1: a shingle that is common here (a) and its count (b)."""
-    held: list[np.ndarray] = []
-    size = 0
-    kind = None
-
-    def common() -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-        found, n = found[n >= NAMED], n[n >= NAMED]
-        nothing = pa.nulls(len(n), kind)
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), nothing, pa.array(np.zeros(len(n), np.int64)), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "doc_id", "n", "a", "b"])
-
+    """(doc_id, n, a, b): each row's number of shingles and class hash."""
     for batch in batches:
-        kind = batch.schema.field(0).type
         for at, to, data, bounds in chunks(batch.column(1)):
             sets = shingle_sets(data, bounds)
             marks = [class_hash(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(to - at, np.int32)), batch.column(0).slice(at, to - at), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64())],
-                names=["kind", "doc_id", "n", "a", "b"],
+                [batch.column(0).slice(at, to - at), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64())],
+                names=["doc_id", "n", "a", "b"],
             )
-            held += sets
-            size += sum(map(len, sets))
-            if size >= FLUSH:
-                yield common()
-                held, size = [], 0
-    if held:
-        yield common()
+
+
+def _counted(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(bucket, shingles, counts), packed and combined in the task, of the shingles in the counted part of the order."""
+    end = np.uint64(int(COUNTED * 2**64))
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        bucket = (found % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        ks = np.flatnonzero(np.diff(cut))
+        parts = [by[cut[k] : cut[k + 1]] for k in ks]
+        return pa.RecordBatch.from_arrays([pa.array(ks.astype(np.int32)), pa.array([found[p].tobytes() for p in parts], pa.binary()), pa.array([n[p].astype(np.int32).tobytes() for p in parts], pa.binary())], names=["bucket", "shingles", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for _, _, data, bounds in chunks(batch.column(0)):
+                for s in shingle_sets(data, bounds):
+                    held.append(s[: np.searchsorted(s, end)])
+                    size += len(held[-1])
+                if size >= FLUSH:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def _common(group: pd.DataFrame) -> pd.DataFrame:
+    """The common shingles of a bucket."""
+    shingles = np.concatenate([np.frombuffer(b, np.uint64) for b in group["shingles"]])
+    counts = np.concatenate([np.frombuffer(b, np.int32) for b in group["counts"]])
+    by = np.argsort(shingles, kind="stable")
+    shingles, counts = shingles[by], counts[by]
+    start = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]])) if len(shingles) else np.zeros(0, np.int64)
+    n = np.add.reduceat(counts.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+    return pd.DataFrame({"a": shingles[start][n >= NAMED].view(np.int64), "n": n[n >= NAMED]})
 
 
 def _prefixes(order, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -283,7 +307,7 @@ def _fits(nx: Column, px: Column, ny: Column, py: Column) -> Column:
     return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * PERCENT) & (most >= needed(nx, ny))
 
 
-def class_links(docs: DataFrame, common_size: int = 200_000, per_bucket: int = 500_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def class_links(docs: DataFrame, common_size: int = 1_000_000, per_bucket: int = 500_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(profile, reps, links): profile (doc_id, n, a, b) of each row, reps (a, rep, n) of each class, links (x, y) of classes.
 
     common_size: entries of the table of common shingles, which only shapes the order.
@@ -291,15 +315,15 @@ def class_links(docs: DataFrame, common_size: int = 200_000, per_bucket: int = 5
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
-    made = saved(docs.select("doc_id", "text").mapInArrow(_profile, f"kind int, doc_id {id_type}, n long, a long, b long"), "profile")
-    profile = made.filter("kind = 0").drop("kind")
-    often = made.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(common_size).toPandas()
+    profile = saved(docs.select("doc_id", "text").mapInArrow(_profile, f"doc_id {id_type}, n long, a long, b long"), "profile")
+    total = profile.agg(F.sum("n")).first()[0] or 0
+    buckets = int(max(24, total // (4 * per_bucket)))
+    counted = docs.select("text").mapInArrow(_counted(buckets), "bucket int, shingles binary, counts binary")
+    often = counted.groupBy("bucket").applyInPandas(_common, "a long, n long").orderBy(F.desc("n"), "a").limit(common_size).toPandas()
     shingles = often["a"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(shingles)
     # the rarest of the common ones come first
     order = spark.sparkContext.broadcast(Order(shingles[by], (len(often) - 1 - by).astype(np.uint64)))
-    total = profile.agg(F.sum("n")).first()[0] or 0
-    buckets = int(max(24, total // (4 * per_bucket)))
     reps = saved(profile.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).select("a", "rep", "n"), "classes")
 
     text = docs.select("text")
@@ -351,7 +375,7 @@ def class_links(docs: DataFrame, common_size: int = 200_000, per_bucket: int = 5
     return profile, reps, links.unionByName(more)
 
 
-def near_duplicates(docs: DataFrame, common_size: int = 200_000, per_bucket: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, common_size: int = 1_000_000, per_bucket: int = 500_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of (doc_id, text): component_id is the smallest doc_id reachable by links."""
     profile, reps, links = class_links(docs, common_size, per_bucket)
     rep = reps.select("a", "rep")
