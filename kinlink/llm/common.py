@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text hashed at a time.
-CHUNK = 1 << 20
+#: Bytes of text worked on at a time: usually, and where a chunk's results are packed for a shuffle.
+CHUNK, LARGE = 1 << 18, 1 << 20
 #: The white space of the contracts: space and \t \n \v \f \r.
 WHITE = b" \t\n\x0b\x0c\r"
 
@@ -73,7 +73,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW[0]) < n:
         for k, base in enumerate((_P, _P_INV)):
-            out = np.full(max(n, CHUNK + 1), base, np.uint64)
+            out = np.full(max(n, LARGE + 1), base, np.uint64)
             out[0] = 1
             _POW[k] = np.multiply.accumulate(out)
     return _POW[0], _POW[1]
@@ -90,14 +90,14 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, bounds) of runs of whole rows of about CHUNK bytes."""
+def chunks(column: pa.Array | pa.ChunkedArray, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, bounds) of runs of whole rows of about ``size`` bytes."""
     if len(column) == 0:
         return
     data, bounds = text_buffers(column)
     at, n = 0, len(bounds) - 1
     while at < n:
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + size, "right")) - 1)
         yield at, to, data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
         at = to
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, in_sorted, mixed, saved, words
+from .common import LARGE, chunks, in_sorted, mixed, saved, words
 from .components import components
 
 WIDTH = 5
@@ -163,7 +163,7 @@ def _prefixes(order, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, bounds in chunks(batch.column(0)):
+            for _, _, data, bounds in chunks(batch.column(0), LARGE):
                 key, a, n, pos = _entries(shingle_sets(data, bounds), order.value)
                 rare = key < _TOP
                 key, a, n, pos = key[rare], a[rare], n[rare], pos[rare]

@@ -153,7 +153,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, broadcast
         import json
 
         none = _as_void(np.zeros((0, 2), np.int64))
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             frequent = table.value if table is not None else none
             texts, lines, dropped = [], [], []
             for text, own in zip(batch.column(at), batch.column(len(names)), strict=True):
