@@ -170,11 +170,11 @@ def identity_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identities.identity_owners(pages)
 
 
-@query("""WITH c AS (SELECT conv_id, turn, conv_id % 4 AS t FROM conversations WHERE turn = 0), l AS (SELECT conv_id, t, 'kick-' || conv_id AS me, CASE t WHEN 0 THEN 'other' WHEN 1 THEN 'tw_' || conv_id ELSE NULL END AS to_c, CASE WHEN t = 2 THEN 'kick-' || conv_id WHEN t = 1 AND conv_id % 8 = 1 THEN 'kick-' || conv_id END AS to_s FROM c)
+@query("""WITH c AS (SELECT DISTINCT conv_id, conv_id % 4 AS t FROM conversations), l AS (SELECT conv_id, t, 'kick-' || conv_id AS me, CASE t WHEN 0 THEN 'other' WHEN 1 THEN 'tw_' || conv_id ELSE NULL END AS to_c, CASE WHEN t = 2 THEN 'kick-' || conv_id WHEN t = 1 AND conv_id % 8 = 1 THEN 'kick-' || conv_id END AS to_s FROM c)
 SELECT conv_id, coalesce(to_c, to_s) IS NOT NULL AS available, CASE WHEN t = 0 THEN 'conflict' WHEN t IN (1, 2) THEN 'strong' ELSE 'none' END AS strength,
   CASE WHEN t = 0 THEN -40.0 WHEN t = 1 AND conv_id % 8 = 1 THEN 35.0 WHEN t IN (1, 2) THEN 30.0 ELSE 0.0 END AS points FROM l""")
 def cross_link_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = S.table(spark, sf_dir, "conversations").filter("turn = 0")
+    c = S.table(spark, sf_dir, "conversations").select("conv_id").distinct()
     k, t = F.col("conv_id"), F.col("conv_id") % 4
     one = lambda kind, name: F.array(F.struct(F.lit(kind).alias("kind"), name.alias("identity")))
     none = F.array().cast("array<struct<kind:string,identity:string>>")
@@ -213,11 +213,16 @@ def bio_trigram_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _name_pairs(spark, sf_dir).select("a", "b", F.round(X.cosine_of_counts(padded("a"), padded("b")), 9).alias("cosine"))
 
 
-@query("""SELECT doc_id, len(list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace(p, '[@#][a-z0-9_]+', ' ', 'gi'), '[^ ]+@[^ ]+[.][^ ]+', ' ', 'g')), '[a-z0-9]+'), lambda w: length(w) > 1 AND NOT list_contains({stop}, w))) AS n_tokens
-FROM (SELECT doc_id, regexp_replace(text, '[^ -~]+', ' ', 'g') AS p FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '(?i)(https?://|www[.]|[a-z0-9-]+[.](com|tv|gg|ee|ai|net|org|io|me|fr|de|es|it|co|be|link|bio|page|app|live|to)/)'))""".replace("{stop}", "[" + ", ".join(f"'{w}'" for w in [*config.STOPWORDS, *config.BIO_BOILERPLATE]) + "]"))
+_STOP = "[" + ", ".join(f"'{w}'" for w in [*config.STOPWORDS, *config.BIO_BOILERPLATE]) + "]"
+_URL_SQL = X._URL.replace("'", "''").replace('\\"', '"').replace("(?i)", "")
+
+
+@query(rf"""WITH a AS (SELECT doc_id, regexp_replace(text, '{_URL_SQL}', ' ', 'gi') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[@#][\p{{L}}\p{{N}}\p{{M}}_]+', ' ', 'g'), '\S+@\S+\.\S+', ' ', 'g') AS t FROM a),
+c AS (SELECT doc_id, lower(strip_accents(replace(replace(replace(t, 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'))) AS t FROM b)
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '[a-z0-9]+'), lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w))) AS n_tokens FROM c""")
 def bio_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = S.table(spark, sf_dir, "documents").filter("lang = 'en'").filter(~F.col("text").rlike("(?i)(https?://|www[.]|[a-z0-9-]+[.](com|tv|gg|ee|ai|net|org|io|me|fr|de|es|it|co|be|link|bio|page|app|live|to)/)"))
-    return d.select("doc_id", F.size(X.bio_tokens(F.regexp_replace("text", "[^ -~]+", " "))).cast("long").alias("n_tokens"))
+    return S.table(spark, sf_dir, "documents").select("doc_id", F.size(X.bio_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
 @query("""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) SELECT min(doc_id) AS first_doc, count(*) AS n FROM n WHERE t <> '' GROUP BY t HAVING count(*) > 1""")
