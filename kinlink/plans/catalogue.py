@@ -486,3 +486,51 @@ def search_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue's accounts whose names share the most bigrams with a part's name."""
     parts = S.table(spark, sf_dir, "part").select(F.col("p_name").alias("source_key"), F.col("p_name").alias("username")).distinct()
     return blocking.search_by_grams(parts, parts.select("username").distinct(), k=5).select("source_key", "handle", "ord")
+
+
+# --- pictures, missing sources, resumed runs
+
+
+@query("""WITH s AS (SELECT x.vec_id, 1 - len(list_filter(generate_series(1, 64), lambda i: (x.embedding[i] > 0) <> (y.embedding[i] > 0)))::DOUBLE / 64 AS sim, x.vec_id % 4 = 0 AS generic FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1),
+p AS (SELECT *, CASE WHEN sim >= 0.9 THEN 20.0 WHEN sim >= 0.8 THEN 10.0 WHEN sim < 0.62 THEN -6.0 ELSE 0.0 END AS pts, CASE WHEN sim >= 0.9 THEN 'strong' WHEN sim >= 0.8 THEN 'supporting' WHEN sim < 0.62 THEN 'negative' ELSE 'none' END AS st FROM s)
+SELECT vec_id, round(CASE WHEN generic THEN CASE WHEN pts > 0 THEN pts * 0.15 ELSE 0.0 END ELSE pts END, 9) AS points, CASE WHEN generic THEN CASE WHEN pts > 0 THEN 'weak' ELSE 'none' END ELSE st END AS strength FROM p""")
+def picture_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    similar = hash_distance(spark, sf_dir)
+    found = similar.select("vec_id", signals.picture(F.col("similarity"), F.col("vec_id") % 4 == 0, W).alias("p"))
+    return found.select("vec_id", F.round("p.points", 9).alias("points"), "p.strength")
+
+
+@query("SELECT label AS hash, count(DISTINCT vec_id % 10) AS names FROM embeddings GROUP BY label")
+def hash_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = S.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("Chan-nel "), F.col("vec_id") % 10).alias("username"), F.col("label").alias("hash"))
+    return identities.hash_owners(e)
+
+
+@query(f"""WITH {_RULED}, m AS (SELECT s.source_key, c.handle, NOT list_contains({_LANGS}[lower(s.country)], c.lb) AS off FROM sources s LEFT JOIN c ON c.source_key = s.source_key AND c.hit)
+SELECT source_key, CASE WHEN handle IS NULL THEN 'NO_MATCH' WHEN off THEN 'REVIEW' ELSE 'MATCH' END AS decision, CASE WHEN handle IS NULL THEN 'NOT_FOUND' WHEN off THEN 'EXISTS_UNVERIFIED' ELSE 'VERIFIED' END AS target_status FROM m""")
+def source_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source as if its account were gone: a same-name account decides, unless its language doesn't fit the country."""
+    from .resolve import missing_candidates
+
+    none = F.array().cast("array<struct<kind:string,identity:string,url:string,is_unique:boolean,via:string>>")
+    asked = S.sources(spark, sf_dir).select("source_key", F.col("source_key").alias("key"), "country")
+    found = missing_candidates(asked, S.targets(spark, sf_dir).withColumn("identities", none), "kick").withColumn("rejected", F.lit(False))
+    out = asked.join(decide.ruled_missing(found), "source_key", "left")
+    return out.select("source_key", F.coalesce("decision", F.lit("NO_MATCH")).alias("decision"), F.coalesce("target_status", F.lit("NOT_FOUND")).alias("target_status"))
+
+
+@query(f"WITH {S.OUTCOMES_SQL} SELECT original_row, source_key FROM outcomes WHERE status = 'PENDING'")
+def resume_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.unfinished(S.outcomes(spark, sf_dir)).select("original_row", "source_key")
+
+
+@query(f"""WITH {S.OUTCOMES_SQL}, v AS (SELECT DISTINCT 'user-' || user_id AS source_key FROM events WHERE event_type = 'error')
+SELECT original_row FROM outcomes WHERE status NOT IN ('PRESERVED', 'SKIPPED_EMPTY') AND source_key IN (SELECT source_key FROM v)""")
+def verdict_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = S.table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.concat(F.lit("user-"), "user_id").alias("source_key"))
+    return rows.verdict_fanout(S.outcomes(spark, sf_dir), verdicts).select("original_row")
+
+
+@query(f"""WITH {S.EVIDENCE_SQL} SELECT k AS ord, count(*) FILTER (strength = 'strong') > 0 OR any_value(points_all) >= 3.0 AS promising FROM (SELECT pts.k, ev.strength, pts.points AS points_all FROM pts LEFT JOIN ev USING (k)) GROUP BY k""")
+def promising_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.evidence(spark, sf_dir).select("ord", decide.promising(F.col("signals"), W).alias("promising"))
