@@ -45,6 +45,8 @@ WIDTH = 5
 PERCENT = 75
 #: Shingles combined at a time in a task; in how many sets one must be to be common; the part of the hash order that is counted.
 FLUSH, NAMED, COUNTED = 1 << 21, 8, 0.36
+#: Classes of a list from which on all are verified against its pivot.
+LONG = 16
 #: Bits of the filter of classes to verify.
 BITS = 1 << 25
 
@@ -304,7 +306,10 @@ def _plausible(pairs: DataFrame, listed: DataFrame) -> DataFrame:
 def _fits(nx: Column, px: Column, ny: Column, py: Column) -> Column:
     """Length and positional filters."""
     most = F.least(px, py) + 1 + F.least(nx - px, ny - py) - 1
-    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * PERCENT) & (most >= needed(nx, ny))
+    # of two sets that link, the smaller one shares a shingle of a still shorter prefix
+    short = lambda n, p: p < n - F.ceil(n * (2.0 * PERCENT / (100.0 + PERCENT)) - 1e-9) + 1
+    early = ((nx >= ny) & short(ny, py)) | ((ny >= nx) & short(nx, px))
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * PERCENT) & early & (most >= needed(nx, ny))
 
 
 def class_links(docs: DataFrame, common_size: int = 1_000_000, per_bucket: int = 500_000) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -333,13 +338,16 @@ def class_links(docs: DataFrame, common_size: int = 1_000_000, per_bucket: int =
     lists = saved(rare.unionByName(common), "lists")
 
     # every class against the pivots of its lists
-    pivots = lists.groupBy("key").agg(F.min(F.struct("a", "n", "pos")).alias("p"), F.max("a").alias("last")).filter("p.a <> last").select("key", "p")
+    pivots = lists.groupBy("key").agg(F.min(F.struct("a", "n", "pos")).alias("p"), F.max("a").alias("last"), F.count("*").alias("m")).filter("p.a <> last").select("key", "p", "m")
     pivots = saved(pivots, "pivots")
     listed = lists.join(pivots, "key").filter(F.col("a") != F.col("p.a"))
     ok = _fits(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"))
     shared = saved(lists.groupBy("a").agg(F.collect_set("key").alias("keys")), "shared")
-    star = listed.filter(ok).select(F.col("a").alias("x"), F.col("p.a").alias("y"), F.col("n").alias("nx"), F.col("p.n").alias("ny")).distinct()
-    star = saved(_plausible(star, shared), "stars")
+    # in a long list the overlap with the pivot is needed for every class: it decides most other pairs
+    long = F.col("m") >= LONG
+    star = listed.filter(ok | long).groupBy(F.col("a").alias("x"), F.col("p.a").alias("y"), F.col("n").alias("nx"), F.col("p.n").alias("ny")).agg(F.max("m").alias("m"))
+    star = saved(star, "listed")
+    star = saved(_plausible(star.filter(~long), shared).unionByName(star.filter(long)), "stars")
     sizes = star.select("x", "y", "nx", "ny")
     answers = saved(verified(docs, star.select("x", "y"), reps).join(sizes, ["x", "y"]).withColumn("linked", F.col("overlap") >= needed(F.col("nx"), F.col("ny"))), "answers")
     links = answers.filter("linked").select("x", "y")
