@@ -44,7 +44,7 @@ from .components import components
 WIDTH = 5
 PERCENT = 75
 #: Shingles combined at a time in a task; in how many sets one must be to be common; the part of the hash order that is counted.
-FLUSH, NAMED, COUNTED = 1 << 21, 8, 0.36
+FLUSH, NAMED, COUNTED = 1 << 20, 8, 0.36
 #: Classes of a list from which on all are verified against its pivot.
 LONG = 16
 #: Bits of the filter of classes to verify.
@@ -312,7 +312,7 @@ def _fits(nx: Column, px: Column, ny: Column, py: Column) -> Column:
     return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * PERCENT) & early & (most >= needed(nx, ny))
 
 
-def class_links(docs: DataFrame, common_size: int = 1_000_000, per_bucket: int = 500_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def class_links(docs: DataFrame, common_size: int = 1_000_000, per_bucket: int = 250_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(profile, reps, links): profile (doc_id, n, a, b) of each row, reps (a, rep, n) of each class, links (x, y) of classes.
 
     common_size: entries of the table of common shingles, which only shapes the order.
@@ -383,7 +383,7 @@ def class_links(docs: DataFrame, common_size: int = 1_000_000, per_bucket: int =
     return profile, reps, links.unionByName(more)
 
 
-def near_duplicates(docs: DataFrame, common_size: int = 1_000_000, per_bucket: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, common_size: int = 1_000_000, per_bucket: int = 250_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of (doc_id, text): component_id is the smallest doc_id reachable by links."""
     profile, reps, links = class_links(docs, common_size, per_bucket)
     rep = reps.select("a", "rep")
