@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from math import log
 
 import numpy as np
@@ -197,7 +198,17 @@ class Model:
     characters: Characters
 
 
-_DECODED: dict[tuple[str, bool], np.ndarray] = {}
+#: The places that spans decode to, by a digest of the model: a worker may serve several models.
+_DECODED: dict[bytes, dict[tuple[str, bool], np.ndarray]] = {}
+
+
+def _decoded(keys: np.ndarray, characters: Characters) -> dict[tuple[str, bool], np.ndarray]:
+    """What is kept for this model; what other models left goes."""
+    digest = blake2b(keys.tobytes())
+    digest.update(characters.logs.tobytes())
+    if digest.digest() not in _DECODED:
+        _DECODED.clear()
+    return _DECODED.setdefault(digest.digest(), {})
 
 
 def hits(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, characters: Characters) -> tuple[np.ndarray, np.ndarray]:
@@ -205,13 +216,14 @@ def hits(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, characters: Cha
     value, row, _, _ = words(data, bounds, True)
     found, place = in_sorted(keys, value)
     rows, places = [row[found]], [place[found]]
+    kept = _decoded(keys, characters) if len(keys) else {}
     for r, span, spaced in spans(data, bounds) if len(keys) else []:
-        if (span, spaced) not in _DECODED:
-            if len(_DECODED) > 20_000:
-                _DECODED.clear()
+        if (span, spaced) not in kept:
+            if len(kept) > 20_000:
+                kept.clear()
             ok, at = in_sorted(keys, hash_words([decode(span, characters, spaced)], True)[0])
-            _DECODED[span, spaced] = at[ok]
-        at = _DECODED[span, spaced]
+            kept[span, spaced] = at[ok]
+        at = kept[span, spaced]
         rows.append(np.full(len(at), r))
         places.append(at)
     pair = np.unique(np.concatenate(rows) * (len(keys) + 1) + np.concatenate(places)) if len(keys) else np.zeros(0, np.int64)
