@@ -7,6 +7,8 @@ times or more, three or more single letters in a row) become character
 lattices; a Viterbi search finds the likeliest letters under a character
 trigram model mixed from all texts and from the lexicon.  The restored words
 join the text's plain words, and a logistic model over the lexicon scores them.
+Spans of any length are decoded whole, in time that grows with their length;
+single letters parted by signs are read both as one word and as several.
 
 The lexicon is the words that mark label 1 best, and the model is fitted, on at
 most ``sample`` labelled rows (those of smallest id hash) whose
@@ -21,7 +23,8 @@ score is 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 from math import log
@@ -39,6 +42,8 @@ SAMPLE, LEXICON = 20_000, 1024
 THRESHOLD = 0.3
 #: A lexicon word stands in so many labelled rows at least, and its share there differs so many standard errors.
 LEAST_ROWS, LEAST_Z = 5, 4.0
+#: Spans of up to so many characters are kept with what they decode to; longer ones are decoded each time.
+KEPT = 128
 #: The letters that a sign may stand for.
 LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -46,6 +51,8 @@ LOOKS = {
 }
 #: Signs that stand between letters, or for a letter that is hidden.
 BETWEEN, HIDDEN = "._-~'*#/\\,:;^=", "*#"
+#: Single letters parted by signs: one word, or words of a phrase.
+_PHRASE = re.compile(rf"[^\W_](?:[{re.escape(BETWEEN)}]+(?:[^\W_]|[{re.escape(''.join(LOOKS))}])){{2,}}")
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _N = 28  # 0: what parts words; 1 to 26: letters; 27: other letters
 
@@ -109,31 +116,63 @@ def _readings(c: str, n: int) -> list[tuple[str, float]]:
 def decode(span: str, model: Characters, parts: bool = False) -> str:
     """The likeliest restored text of a span, lower-cased; parts: words may end within it."""
     logs = model.logs
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # a state's text is its last reading and what came before, so that time and memory grow with the span and not with its square
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for c, n in _segments(span.lower()):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
-        def put(state: tuple[int, int], score: float, text: str, after=after) -> None:
+        def put(state: tuple[int, int], score: float, text: tuple, after=after) -> None:
             if state not in after or score > after[state][0]:
                 after[state] = (score, text)
 
-        for reading, cost in _readings(c, n):
+        readings = _readings(c, n)
+        if len(readings) > 26 and len(states) > 26:
+            _hidden(states, readings, logs, parts, put)
+            readings = readings[:1]
+        for reading, cost in readings:
             symbols = _symbols(reading)
             for (a, b), (score, text) in states.items():
                 p, s, t = a, b, score + cost
                 for x in symbols:
                     t += logs[p, s, x]
                     p, s = s, x
-                put((p, s), t, text + reading)
+                put((p, s), t, (text, reading))
                 if parts and symbols and b:
                     t = score + cost + logs[a, b, 0] - 2.0
                     p, s = b, 0
                     for x in symbols:
                         t += logs[p, s, x]
                         p, s = s, x
-                    put((p, s), t, text + " " + reading)
+                    put((p, s), t, (text, " " + reading))
         states = after
-    return max(((score + logs[a, b, 0], text) for (a, b), (score, text) in states.items()), default=(0.0, ""))[1]
+    ends = [(score + logs[a, b, 0], text) for (a, b), (score, text) in states.items()]
+    best = max((score for score, _ in ends), default=0.0)
+    return max((_text(text) for score, text in ends if score == best), default="")
+
+
+def _hidden(states: dict[tuple[int, int], tuple[float, tuple | None]], readings: list[tuple[str, float]], logs: np.ndarray, parts: bool, put: Callable[[tuple[int, int], float, tuple], None]) -> None:
+    """What decode() does with the readings of a sign that hides any letter, for many states at once."""
+    held = np.full((_N, _N), -np.inf)
+    for at, (score, _) in states.items():
+        held[at] = score
+    after = (held + readings[1][1])[:, :, None] + logs[:, :, 1:27]
+    first, best = after.argmax(0), after.max(0)
+    for b, x in zip(*np.nonzero(best > -np.inf), strict=True):
+        put((int(b), int(x) + 1), float(best[b, x]), (states[int(first[b, x]), int(b)][1], _LETTERS[x]))
+    if parts:
+        ended = held + readings[1][1] + logs[:, :, 0] - 2.0
+        after = ended.max(0)[1:, None] + logs[1:, 0, 1:27]
+        for x, b in enumerate(after.argmax(0) + 1):
+            if after[b - 1, x] > -np.inf:
+                put((0, x + 1), float(after[b - 1, x]), (states[int(ended[:, b].argmax()), int(b)][1], " " + _LETTERS[x]))
+
+
+def _text(read: tuple | None) -> str:
+    out = []
+    while read is not None:
+        read, last = read
+        out.append(last)
+    return "".join(reversed(out))
 
 
 def spans(data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, str, bool]]:
@@ -150,7 +189,7 @@ def spans(data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, str, bool]]:
     signs = np.concatenate([[0], np.cumsum(sign)])
     trips = np.concatenate([[0], np.cumsum(trip)])
     letters = before[end] - before[start]
-    odd = (letters > 0) & ((signs[end] - signs[start] > 0) | (trips[end] - trips[np.minimum(start + 2, end)] > 0)) & (end - start <= 64) & (end - start > 2)
+    odd = (letters > 0) & ((signs[end] - signs[start] > 0) | (trips[end] - trips[np.minimum(start + 2, end)] > 0)) & (end - start > 2)
     out = []
     raw = data.tobytes()
     for i in np.flatnonzero(odd):
@@ -158,16 +197,16 @@ def spans(data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, str, bool]]:
         core = _core(text)
         if core:
             out.append((int(row[i]), core, False))
+            if _PHRASE.fullmatch(core):
+                out.append((int(row[i]), core, True))
     single = (end - start == 1) & (letter[start] | sign[start])
     edge = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
     for a, b in zip(edge[::2], edge[1::2], strict=True):
         # a run of single letters ends with its row
         for r in np.unique(row[a:b]) if b - a >= 3 else []:
             own = np.arange(a, b)[row[a:b] == r]
-            for at in range(0, len(own), 60):
-                piece = own[at : at + 64]
-                if len(piece) >= 3 and letters[piece].sum() >= 2:
-                    out.append((int(r), data[start[piece]].tobytes().decode("latin-1"), True))
+            if len(own) >= 3 and letters[own].sum() >= 2:
+                out.append((int(r), data[start[own]].tobytes().decode("latin-1"), True))
     return out
 
 
@@ -222,8 +261,11 @@ def hits(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, characters: Cha
             if len(kept) > 20_000:
                 kept.clear()
             ok, at = in_sorted(keys, hash_words([decode(span, characters, spaced)], True)[0])
-            kept[span, spaced] = at[ok]
-        at = kept[span, spaced]
+            at = at[ok]
+            if len(span) <= KEPT:
+                kept[span, spaced] = at
+        else:
+            at = kept[span, spaced]
         rows.append(np.full(len(at), r))
         places.append(at)
     pair = np.unique(np.concatenate(rows) * (len(keys) + 1) + np.concatenate(places)) if len(keys) else np.zeros(0, np.int64)

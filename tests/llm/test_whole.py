@@ -19,3 +19,51 @@ def test_toxicity_models_share_no_cache():
     characters = toxicity.Characters.of(np.ones(28**3, np.int64), ["idiot", "moron"])
     for lexicon, found in ((["idiot", "moron"], {"idiot"}), (["moron"], set()), (["clown", "dunce", "idiot", "moron"], {"idiot"}), (["ninny"], set())):
         assert lexicon_hits(["1d10t plain"], lexicon, characters) == [found]
+
+
+WORDS = ["sun", "tree", "cloud", "river", "of", "stone"]
+
+
+def character_table(lexicon):
+    counts = np.zeros((28, 28, 28), np.int64)
+    s = [0, 0, *toxicity._symbols(" ".join(WORDS * 40)), 0]
+    np.add.at(counts, (s[:-2], s[1:-1], s[2:]), 1)
+    return toxicity.Characters.of(counts.ravel(), lexicon)
+
+
+def filler(n):
+    """Whole words of n letters in all."""
+    return "stone" * (n % 4) + "tree" * ((n - 5 * (n % 4)) // 4)
+
+
+def test_toxicity_finds_spaced_words_at_any_place_of_a_run():
+    lexicon = ["idiot", "scumbag", "worthless", "lunatic", "halfwit", "blockhead", "pighead", "numbskull", "airhead"]
+    characters = character_table(lexicon)
+    for word, after in (("idiot", "stone"), ("worthless", "river"), ("lunatic", "stone")):
+        texts = [" ".join(filler(n) + word + after + "stonetree") for n in range(50, 131)]
+        found = lexicon_hits(texts, lexicon, characters)
+        assert found == [{word}] * len(texts), [n for n, f in zip(range(50, 131), found) if f != {word}]
+
+
+def test_toxicity_reads_words_over_64_bytes():
+    lexicon = ["idiot", "scumbag", "worthless"]
+    texts = ["id" + "i" * 60 + "ot", "1d10" + "t" * 500, "w" + "." * 80 + "o.r.t.h.l.e.s.s", ".".join(filler(40) + "idiot" + "treestone"), "--".join("scumbag") + "g" * 90, "s" + "-" * 80 + "cumbag"]
+    assert lexicon_hits(texts, lexicon, character_table(lexicon)) == [{"idiot"}, {"idiot"}, {"worthless"}, {"idiot"}, {"scumbag"}, {"scumbag"}]
+
+
+def test_toxicity_hidden_letters_many_states_at_once(monkeypatch):
+    characters = character_table(["idiot", "scumbag"])
+    rng = np.random.default_rng(5)
+    spans = ["s*#*b*#", "*#*#*#*", "i*#*#t", *("".join(rng.choice(list("idotscumbag*#*#.1"), 12)) for _ in range(40))]
+    fast = [toxicity.decode(s, characters, p) for s in spans for p in (False, True)]
+    monkeypatch.setattr(toxicity, "_hidden", lambda states, readings, logs, parts, put: slow(states, readings, logs, parts, put))
+
+    def slow(states, readings, logs, parts, put):
+        for reading, cost in readings[1:]:
+            x = toxicity._symbols(reading)[0]
+            for (a, b), (score, text) in states.items():
+                put((b, x), score + cost + logs[a, b, x], (text, reading))
+                if parts and b:
+                    put((0, x), score + cost + logs[a, b, 0] - 2.0 + logs[b, 0, x], (text, " " + reading))
+
+    assert fast == [toxicity.decode(s, characters, p) for s in spans for p in (False, True)]
