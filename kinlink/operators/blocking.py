@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.text import existence_variants, name_similarity, name_variants, normalize_handle, normalize_username, to_handle
+from ..sources.tables import saved
 
 
 def existing(keys: DataFrame, catalogue: DataFrame, platform: str) -> DataFrame:
@@ -44,17 +45,51 @@ def merged(*found: DataFrame) -> DataFrame:
     return every.groupBy("source_key", "handle").agg(F.array_sort(F.collect_set("via")).alias("via"), F.min("ord").alias("ord"))
 
 
-def search_by_grams(sources: DataFrame, catalogue: DataFrame, k: int = 10, share: float = 0.5, limit: int = 1000) -> DataFrame:
-    """(source_key, handle, via, ord): the k accounts whose names share the most bigrams; bigrams of over ``limit`` accounts don't block."""
+def search_by_grams(sources: DataFrame, catalogue: DataFrame, k: int = 10, share: float = 0.5) -> DataFrame:
+    """(source_key, handle, via, ord): the k accounts whose names share the most bigrams, ``share`` of the account's at least.
+
+    Two names that share enough have a bigram in common among the rarest of each, so only those are joined, for
+    each number of bigrams apart; the pair is then counted in full.  Names are compared once for each set of
+    bigrams: of accounts with the same set only the k first handles can be among a source's k.  Several names of one
+    source_key are searched as one; repeated rows count once.
+    """
     from ..functions.text import ngrams
 
-    left = sources.select("source_key", F.explode(F.array_distinct(ngrams(normalize_username(F.col("username")), 2))).alias("gram"))
-    right = catalogue.select(F.col("username").alias("handle"), F.array_distinct(ngrams(normalize_username(F.col("username")), 2)).alias("grams"))
-    right = right.select("handle", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    rare = right.groupBy("gram").agg(F.count("*").alias("accounts")).filter(F.col("accounts") <= limit).select("gram")
-    pairs = left.join(right.join(rare, "gram"), "gram").groupBy("source_key", "handle", "n").agg(F.count("*").alias("shared")).filter(F.col("shared") >= share * F.col("n"))
-    rank = F.row_number().over(Window.partitionBy("source_key").orderBy(F.desc("shared"), "handle"))
-    return pairs.withColumn("ord", rank + 1000).filter(F.col("ord") <= k + 1000).select("source_key", "handle", F.lit("platform_search").alias("via"), "ord")
+    def grams(c: Column) -> Column:
+        return F.array_distinct(ngrams(normalize_username(c), 2))
+
+    def named(df: DataFrame, key: str) -> DataFrame:
+        """(key, name, grams): name is the same for equal sets."""
+        own = df.select(key, F.explode("grams").alias("gram")).groupBy(key).agg(F.array_sort(F.collect_set("gram")).alias("grams"))
+        return own.select(key, F.array_join("grams", " ").alias("name"), "grams")
+
+    asked = saved(named(sources.select("source_key", grams(F.col("username")).alias("grams")), "source_key"), "asked")
+    there = named(catalogue.select(F.col("username").alias("handle"), grams(F.col("username")).alias("grams")), "handle")
+    first = F.row_number().over(Window.partitionBy("name").orderBy("handle"))
+    there = saved(there.withColumn("first", first).filter(F.col("first") <= k), "there")
+    # at most the pairs of 36 letters and digits, the single ones and the empty name
+    common = F.broadcast(there.filter("first = 1").select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("accounts")))
+
+    def ordered(names: DataFrame) -> DataFrame:
+        """(name, grams): those that an account has, the rarest first."""
+        found = names.select("name", F.explode("grams").alias("gram")).join(common, "gram")
+        return found.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("accounts", "gram"))), lambda x: x["gram"]).alias("grams"))
+
+    def rarest(names: DataFrame) -> DataFrame:
+        """A row for each bigram of which one at least is shared by names that share ``need``."""
+        return names.withColumn("gram", F.explode(F.slice("grams", F.lit(1), F.size("grams") - F.col("need") + 1)))
+
+    need = F.greatest(F.lit(1), F.ceil(F.lit(float(share)) * F.col("n"))).cast("int")
+    right = ordered(there.filter("first = 1")).withColumn("n", F.size("grams")).withColumn("need", need)
+    sizes = right.select("n", "need").distinct()  # no more than a name is long
+    left = ordered(asked.select("name", "grams").distinct()).join(F.broadcast(sizes), F.col("need") <= F.size("grams"))
+    left = rarest(left).select(F.col("name").alias("asked"), F.col("grams").alias("asked_grams"), "n", "gram")
+    both = left.join(rarest(right), ["gram", "n"]).withColumn("both", F.array_intersect("asked_grams", "grams"))
+    # a pair that meets at several bigrams counts at the rarest
+    pairs = both.filter(F.col("both")[0] == F.col("gram")).withColumn("shared", F.size("both")).filter("shared >= need").select("asked", "name", "shared")
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("shared"), "handle"))
+    top = pairs.join(there.select("name", "handle"), "name").withColumn("ord", rank + 1000).filter(F.col("ord") <= k + 1000).select("asked", "handle", "ord")
+    return asked.select("source_key", F.col("name").alias("asked")).join(top, "asked").select("source_key", "handle", F.lit("platform_search").alias("via"), "ord")
 
 
 def search_fallback(urls: DataFrame, platform: str, plausible: DataFrame, k: int = 10) -> DataFrame:

@@ -481,11 +481,18 @@ def stale_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.stale(jobs, F.to_timestamp(F.lit("2024-01-20 00:00:00")).cast(jobs.schema["ts"].dataType)).select("event_id", "user_id", "ts")
 
 
+def _searched_names(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The different names of parts, and the first two words of the texts of ``table``."""
+    two = F.regexp_extract(F.coalesce("text", F.lit("")), r"^\s*(\S{1,20}\s+\S{1,20})", 1)
+    parts, texts = S.table(spark, sf_dir, "part").select(F.col("p_name").alias("username")), S.table(spark, sf_dir, table).select(two.alias("username")).filter("username <> ''")
+    return parts.unionByName(texts).distinct()
+
+
 @query()
 def search_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue's accounts whose names share the most bigrams with a part's name."""
-    parts = S.table(spark, sf_dir, "part").select(F.col("p_name").alias("source_key"), F.col("p_name").alias("username")).distinct()
-    return blocking.search_by_grams(parts, parts.select("username").distinct(), k=5).select("source_key", "handle", "ord")
+    """For names of parts and benchmark items, the names of parts and documents that share the most bigrams."""
+    asked = _searched_names(spark, sf_dir, "benchmark").select(F.col("username").alias("source_key"), "username")
+    return blocking.search_by_grams(asked, _searched_names(spark, sf_dir, "documents"), k=5).select("source_key", "handle", "ord")
 
 
 # --- pictures, missing sources, resumed runs
