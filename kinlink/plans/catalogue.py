@@ -326,7 +326,7 @@ SELECT CAST(n AS INT) + 2 AS original_row, source_key, CASE WHEN dest = 'filled'
 
 @query(f"WITH {_RESOLVED}")
 def resolve_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: for every source account, the target account that matches and what its row writes."""
+    """For every source account, what its row writes by the final rules alone; resolve_sheet runs the whole engine."""
     n = F.col("n")
     asked = S.sources(spark, sf_dir).join(_ruled(spark, sf_dir), "source_key", "left").select(
         (n.cast("int") + 2).alias("original_row"), "source_key", F.lit("kick").alias("source_platform"), F.lit("EXISTS").alias("source_status"), F.coalesce("decision", F.lit("NO_MATCH")).alias("decision"),
@@ -495,6 +495,20 @@ def search_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.search_by_grams(asked, _searched_names(spark, sf_dir, "documents"), k=5).select("source_key", "handle", "ord")
 
 
+# --- the whole engine
+
+
+@query()
+def resolve_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a row of a sheet, resolved by names, links, pictures, evidence, gates and rules."""
+    from .resolve import resolve
+
+    sheet_rows, kick, twitch, images = S.people(spark, sf_dir)
+    searched = blocking.search_by_grams(kick.select(F.col("username").alias("source_key"), "username"), twitch)
+    out = resolve(sheet_rows, kick, twitch, "kick", images, searched=searched)
+    return out.select("original_row", "source_key", "source_status", "status", "decision", "destination", "remarks", "review_candidate", "confidence", "write_destination", "write_remarks", "state_case")
+
+
 # --- pictures, missing sources, resumed runs
 
 

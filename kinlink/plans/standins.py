@@ -119,3 +119,62 @@ scored AS (SELECT k, points, raw, n_strong, n_supporting, corroborated, conflict
   CASE WHEN conflict THEN CASE WHEN list_contains(strong, 'social') OR list_contains(strong, 'image') THEN 'REVIEW' ELSE 'NO_MATCH' END
     WHEN n_strong > 0 AND raw >= 90 AND corroborated AND NOT contradicted THEN 'MATCH' WHEN raw >= 70 OR n_strong > 0 THEN 'REVIEW' ELSE 'NO_MATCH' END AS decision FROM gate2),
 final AS (SELECT *, CASE WHEN conflict OR (decision = 'REVIEW' AND contradicted) THEN least(raw, 89.0) ELSE raw END AS confidence FROM scored)"""
+
+
+#: What becomes of the rows that ask for a customer, by its key mod 8 (see people).
+KINDS = ["MATCH", "REVIEW", "MATCH", "MATCH", "REVIEW", "SOURCE_NOT_FOUND", "MATCH", "SKIPPED_EMPTY"]
+
+
+def _name(prefix: str, key) -> F.Column:
+    """Ten letters that depend on the key alone."""
+    return F.translate(F.substring(F.md5(F.concat(F.lit(prefix), key.cast("string"))), 1, 10), "0123456789abcdef", "abcdefghiklmnopr")
+
+
+def people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sheet, kick profiles, twitch profiles, pictures): orders ask for customers, whose accounts depend on c_custkey mod 8.
+
+    0: one name, category, language and picture.  1: one name, all else apart.  2: letters swapped, one Instagram
+    account and picture.  3: each account links the other.  4: one name and picture, but a link elsewhere.
+    5: no account.  6: no kick account.  7: the cell is empty.  Suppliers and pages are further twitch accounts.
+    """
+    from .. import schemas
+
+    fields = [f.split() for f in schemas.PROFILE.split(", ")]
+    bits = F.expr("aggregate(embedding, 0L, (a, x) -> shiftleft(a, 1) | IF(x > 0, 1L, 0L))")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", bits.alias("bits"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n")).join(vectors, F.col("n") == F.col("vec_id"), "left")
+    c = c.select("n", (F.col("n") % 8).alias("kind"), _name("c", F.col("n")).alias("base"), F.coalesce("bits", F.lit(0)).bitwiseXOR(F.xxhash64("n")).alias("hash"))
+    kind, base = F.col("kind"), F.col("base")
+
+    def by_kind(**given) -> F.Column:
+        out = F.lit(None).cast("string")
+        for k, v in given.items():
+            out = F.when(kind == int(k[1:]), v if isinstance(v, F.Column) else F.lit(v)).otherwise(out)
+        return out
+
+    def profiles(df: DataFrame, platform: str, **columns) -> DataFrame:
+        given = {"platform": F.lit(platform), **columns}
+        return df.select(*[given.get(name, F.lit(None)).cast(t).alias(name) for name, t in fields])
+
+    at = lambda side: F.concat(F.lit(f"https://pictures.example/{side}/"), F.col("n"))
+    told = F.concat(F.lit("https://instagram.com/"), base)
+    swapped = F.concat(F.substring("base", 1, 8), F.substring("base", 10, 1), F.substring("base", 9, 1), F.lit("_"))
+    official = F.concat(base, F.lit("officialtv"))
+    kick = profiles(
+        c.filter("kind NOT IN (5, 6)"), "kick", username=F.when(kind == 3, F.concat(F.lit("the-real-"), base)).otherwise(base), profile_image_url=at("kick"),
+        description=by_kind(k2=told, k3=F.concat(F.lit("twitch.tv/"), official), k4=F.concat(F.lit("https://twitch.tv/"), _name("other", F.col("n")))),
+        category=by_kind(k0="Elden Ring", k1="Fortnite"), language=by_kind(k0="es", k1="fr"),
+    )
+    twitch = profiles(
+        c.filter("kind <> 5"), "twitch", username=F.when(kind == 2, swapped).when(kind == 3, official).otherwise(base), profile_image_url=F.when(kind != 6, at("twitch")),
+        description=by_kind(k2=told, k3=F.concat(F.lit("kick.com/the_real_"), base)), category=by_kind(k0="Elden Ring", k1="Minecraft"), language=by_kind(k0="es", k1="pt"),
+    )
+    supplied = profiles(table(spark, sf_dir, "supplier"), "twitch", username=_name("s", F.col("s_suppkey")), display_name=F.col("s_name"))
+    paged = profiles(table(spark, sf_dir, "pages").select("page_id", "url").distinct(), "twitch", username=_name("p", F.col("page_id")), description=F.col("url"))
+    pictures = [c.select(at(side).alias("url"), F.when(kind == 1, F.bitwise_not("hash")).otherwise(F.col("hash")).alias("h") if side == "twitch" else F.col("hash").alias("h")) for side in ("kick", "twitch")]
+    h = F.col("h")
+    images = pictures[0].unionByName(pictures[1]).select("url", F.sha2(h.cast("string"), 256).alias("sha256"), F.lit(False).alias("low_complexity"), F.create_map(F.lit("full"), F.struct(h.alias("p"), h.alias("d"), h.alias("a"))).alias("variants"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("int").alias("original_row"), F.col("o_custkey").alias("n")).withColumn("kind", F.col("n") % 8).withColumn("base", _name("c", F.col("n")))
+    value = F.when(kind == 3, F.concat(F.lit("the-real-"), base)).when(kind != 7, base)
+    sheet = o.select("original_row", value.alias("source_value"), F.when(kind == 0, "Spain").when(kind == 2, "Germany").otherwise("France").alias("country"), F.lit(None).cast("string").alias("existing_destination"), F.lit(None).cast("string").alias("existing_remarks"))
+    return sheet, kick, twitch.unionByName(supplied).unionByName(paged), images

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kinlink.functions.text import normalize_username
 from kinlink.operators import blocking
-from kinlink.plans import catalogue
+from kinlink.plans import catalogue, standins
 
 
 def bigrams(name):
@@ -48,3 +48,11 @@ def test_search_query_against_brute_force(spark):
         near = sorted((-len(own & g), a) for a, g in there.items() if len(own & g) >= max(1, 0.5 * len(g)))
         expected |= {(s, a, 1001 + i) for i, (_, a) in enumerate(near[:5])}
     assert found == expected and len(asked) > 64
+
+
+def test_resolve_sheet_on_planted_accounts(spark):
+    d = "/root/testdata/sf0.001"
+    asked = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("row"), (F.col("o_custkey") % 8).alias("kind")).collect()
+    found = {r.original_row: (r.status, r.destination is not None) for r in catalogue.QUERIES["resolve_sheet"](spark, d).collect()}
+    expected = {r.row: (standins.KINDS[r.kind], standins.KINDS[r.kind] == "MATCH") for r in asked}
+    assert found == expected
