@@ -7,13 +7,16 @@ about ``CHUNK`` bytes, which bounds the memory of a task by the longest text.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,19 +36,21 @@ _IS_PUNCT[97:123] = False  # a-z; A-Z are lower-cased before
 _BYTE = np.random.default_rng(20240117).integers(1, 2**63, 256).astype(np.uint64) | np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_FOLDERS: dict[str, str] = {}
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
 _POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set and Spark is local."""
+    """The folder that driver and executors share; a temporary one only where none is set and all tasks run in the driver's process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="kinlink-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if spark.sparkContext.applicationId not in _FOLDERS:
+        _FOLDERS[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="kinlink-")
+    return _FOLDERS[spark.sparkContext.applicationId]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -53,7 +58,32 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out, lambda _, key=id(out): _PATHS.pop(key, None)), path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`saved` wrote, once all that reads them is saved itself."""
+    for df in tables:
+        _, path = _PATHS.pop(id(df))
+        jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        there = jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(hadoop).delete(there, True)
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: no name that is added can clash with them."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def with_row(df: DataFrame) -> DataFrame:
+    """``df`` by place, and row: struct(file, index), which no two rows share. Rows that come from no Parquet files are saved first."""
+    where = lambda d: by_place(d).select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index")).alias("row"))
+    try:
+        return where(df)
+    except AnalysisException:
+        return where(saved(by_place(df), "rows"))
 
 
 def held_out(modulus: int, column: str = "doc_id") -> Column:

@@ -1,7 +1,7 @@
 """N-gram Jaccard join with set-relation skipping.
 
 A document's set is its different 5-word shingles, as 64-bit hashes.  Equal
-sets form a class, known by the class's hash; classes, not documents, are
+sets form a class, known by 128 bits of hash; classes, not documents, are
 joined.  Sets are sorted in one global order: common shingles (a bounded table of
 the commonest, by exact counts over all texts) come last, by count, the others by
 hash.  Two sets can only link if they share a shingle of their prefixes.  Prefixes
@@ -9,22 +9,29 @@ are the first quarter of a set, so only the shingles that hash into the first
 ``COUNTED`` part of the order are counted.
 
 *Index lists.*  Prefix entries of uncommon shingles are packed by bucket of
-shingle, and each bucket drops the lists of one class, which are most.  Entries
-of common shingles go straight to the lists.  A list is cut into blocks by set
-size, and a block is skipped unless its sizes can meet the threshold; within a
-block, entries are skipped by position.
-
-*Answers.*  The smallest class of a list is its pivot.  First every class is
-verified against its lists' pivots, which costs one pair an entry at most.  A
-pair whose prefixes share too little to link is dropped before its sets are read.
-Other pairs of a list are then derived from their overlaps with the pivot:
-``|x & y| >= |x & p| + |y & p| - |p|`` proves a link, and
-``|x & y| <= min(|x & p|, |y & p|) + min(|x - p|, |y - p|)`` rules it out; only
-pairs that neither decides, of classes that no link joins yet, are verified.
+shingle; each bucket drops the lists of one class, which are most.  Lists of fewer
+than ``LONG`` classes are sorted by position, and give the pairs that length and
+position allow.  Entries of longer lists, and of common shingles, are kept.
+
+*Answers.*  The smallest class of a long list is its pivot.  Every class of the list
+is verified against the pivot once, however many lists they share, which costs
+one pair an entry at most.  What a class x links to is then derived from how it
+differs from the pivot p: with D(x) what only one of x and p holds,
+``|x & y| = |x & p| + |y & p| - |p| + |D(x) & D(y)|``, so only the differences are
+compared.  Classes that link to the pivot are not compared with each other.  The
+rest of a pivot's lists is cut into blocks of like size and bounded bytes, and a
+pair of blocks is skipped whole if no two of their classes can link by how far from
+their sets' ends their list entries stand, or by how many differences they would
+have to share.
+
+A pair from a short list is first tested by sketches: of each set, the parities of
+the hash classes of its shingles.  The sketches differ in no more places than the
+sets do, so too many differing places prove that there is no link; other pairs
+are verified in full.
 
 Every pair of classes that links is joined by links found.  Null and empty
 texts have empty sets, linked with nothing.  Repeated rows belong to one class;
-null ids are kept and take no part in a class's smallest id.
+null ids are kept and take no part in a class's smallest id.  No rows give no rows.
 """
 
 from __future__ import annotations
@@ -38,20 +45,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LARGE, chunks, in_sorted, mixed, saved, words
+from .common import LARGE, chunks, discard, in_sorted, mixed, saved, words
 from .components import components
 
 WIDTH = 5
 PERCENT = 75
 #: Shingles combined at a time in a task; in how many sets one must be to be common; the part of the hash order that is counted.
 FLUSH, NAMED, COUNTED = 1 << 20, 8, 0.36
-#: Classes of a list from which on all are verified against its pivot.
-LONG = 16
-#: Bits of the filter of classes to verify.
+#: Classes of a list from which on they are compared by their differences from its pivot.
+LONG = 8
+#: Classes of a block, and bytes of their differences.
+BLOCK, BLOCK_BYTES = 1024, 1 << 23
+#: Bits of the filter of documents whose sets are wanted.
 BITS = 1 << 25
 
 _Q = np.uint64(0xD6E8FEB86659FD93)
 _TOP = np.uint64(1 << 63)
+_CLASS = np.dtype([("a", "<i8"), ("b", "<i8"), ("n", "<i4")])
+_PAIR = ["xa", "xb", "ya", "yb"]
 
 
 @dataclass(frozen=True)
@@ -103,20 +114,42 @@ def prefix_length(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def needed(a: Column, b: Column) -> Column:
-    """The least overlap of sets of sizes a and b that link."""
-    return F.ceil((F.lit(PERCENT) * (a + b)) / F.lit(100.0 + PERCENT) - F.lit(1e-9))
+def needed(a, b):
+    """The least overlap of sets of sizes a and b that link; for numbers and arrays."""
+    return -(-PERCENT * (a + b) // (100 + PERCENT))
+
+
+def slack(a: Column, b: Column, overlap: Column) -> Column:
+    """At least 0 if sets of sizes a and b with this overlap link."""
+    return (100 + PERCENT) * overlap - PERCENT * (a + b)
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """The parities of a set's hash classes: a bit for each shingle at least, a power of two in all."""
+    bits = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """In how many places two sketches differ, the longer one folded: no more than the sets do."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):
+        if len(a) > len(b):
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        else:
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, a, b): each row's number of shingles and class hash."""
+    """(doc_id, n, a, b, sketch): each row's number of shingles and class hash."""
     for batch in batches:
         for at, to, data, bounds in chunks(batch.column(1)):
             sets = shingle_sets(data, bounds)
             marks = [class_hash(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, to - at), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64())],
-                names=["doc_id", "n", "a", "b"],
+                [batch.column(0).slice(at, to - at), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())],
+                names=["doc_id", "n", "a", "b", "sketch"],
             )
 
 
@@ -160,167 +193,247 @@ def _common(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": shingles[start][n >= NAMED].view(np.int64), "n": n[n >= NAMED]})
 
 
+def _entries(sets: list[np.ndarray], order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, class as a place, position) of the prefixes of sets, and the classes, each once."""
+    keys, owner, positions, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {}
+    for s in sets:
+        if not len(s) or (mark := class_hash(s)) in classes:
+            continue
+        k = prefix_length(len(s))
+        keys.append(np.sort(order.keys(s))[:k])
+        owner.append(np.full(k, len(classes)))
+        positions.append(np.arange(k))
+        classes[mark] = len(s)
+    table = np.array([(a, b, n) for (a, b), n in classes.items()], _CLASS)
+    return np.concatenate(keys), np.concatenate(owner), np.concatenate(positions), table
+
+
 def _prefixes(order, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Entries of uncommon prefix shingles, packed: (bucket, keys, classes, sizes, positions)."""
+    """Prefix entries, packed by bucket of their shingle: (bucket, keys, places, classes, positions); those of common shingles go to any bucket, together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, bounds in chunks(batch.column(0), LARGE):
-                key, a, n, pos = _entries(shingle_sets(data, bounds), order.value)
-                rare = key < _TOP
-                key, a, n, pos = key[rare], a[rare], n[rare], pos[rare]
-                bucket = (key % np.uint64(buckets)).astype(np.int64)
+                key, owner, pos, table = _entries(shingle_sets(data, bounds), order.value)
+                any_bucket = np.uint64(table["a"].view(np.uint64)[0] % np.uint64(buckets)) if len(table) else np.uint64(0)
+                bucket = np.where(key < _TOP, key % np.uint64(buckets), any_bucket).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
-                bucket, key, a, n, pos = bucket[by], key[by], a[by], n[by], pos[by]
+                bucket, key, owner, pos = bucket[by], key[by], owner[by], pos[by]
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
                 # classes are listed once for each chunk and bucket
                 out: dict[str, list] = {"bucket": [], "keys": [], "places": [], "classes": [], "positions": []}
                 for k in np.flatnonzero(np.diff(cut)):
                     s = slice(cut[k], cut[k + 1])
-                    own, place = np.unique(np.stack([a[s], n[s]], 1), axis=0, return_inverse=True)
+                    own, place = np.unique(owner[s], return_inverse=True)
                     out["bucket"].append(int(k))
                     out["keys"].append(key[s].tobytes())
                     out["places"].append(place.astype(np.uint32 if len(own) > 65535 else np.uint16).tobytes())
-                    out["classes"].append(own.tobytes())
+                    out["classes"].append(table[own].tobytes())
                     out["positions"].append(pos[s].astype(np.uint32 if pos[s].max() > 65535 else np.uint16).tobytes())
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("places", pa.binary()), ("classes", pa.binary()), ("positions", pa.binary())]))
 
     return run
 
 
-def _entries(sets: list[np.ndarray], order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, class, size, position) of the prefixes of sets, each class once."""
-    keys, classes, sizes, positions = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    seen = set()
-    for s in sets:
-        if not len(s) or (mark := class_hash(s)) in seen:
-            continue
-        seen.add(mark)
-        k = prefix_length(len(s))
-        keys.append(np.sort(order.keys(s))[:k])
-        classes.append(np.full(k, mark[0]))
-        sizes.append(np.full(k, len(s)))
-        positions.append(np.arange(k))
-    return np.concatenate(keys), np.concatenate(classes), np.concatenate(sizes), np.concatenate(positions)
-
-
-def _common_entries(order) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(key, a, n, pos) of common prefix shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, bounds in chunks(batch.column(0)):
-                key, a, n, pos = _entries(shingle_sets(data, bounds), order.value)
-                often = key >= _TOP
-                yield pa.RecordBatch.from_arrays([pa.array(key[often].view(np.int64)), pa.array(a[often]), pa.array(n[often]), pa.array(pos[often])], names=["key", "a", "n", "pos"])
-
-    return run
-
-
 def _narrow(blobs: pd.Series, lengths: list[int]) -> np.ndarray:
     """Numbers of 2 or 4 bytes each, by how many there are."""
     return np.concatenate([np.frombuffer(b, np.uint16 if len(b) == 2 * n else np.uint32) for b, n in zip(blobs, lengths, strict=True)]).astype(np.int64)
 
 
+_LISTED = "key long, xa long, xb long, nx long, pos long, ya long, yb long, ny long"
+
+
 def _lists(group: pd.DataFrame) -> pd.DataFrame:
-    """The lists of a bucket that hold two classes or more."""
+    """Of a bucket: the pairs (x, y) that its short lists allow, and the entries (key, x, pos) of long lists and of common shingles."""
     keys = [np.frombuffer(b, np.uint64) for b in group["keys"]]
     lengths = [len(k) for k in keys]
-    tables = [np.frombuffer(b, np.int64).reshape(-1, 2) for b in group["classes"]]
+    tables = [np.frombuffer(b, _CLASS) for b in group["classes"]]
     first = np.concatenate([[0], np.cumsum([len(t) for t in tables])[:-1]])
     place = _narrow(group["places"], lengths) + np.repeat(first, lengths)
     table, key, pos = np.concatenate(tables), np.concatenate(keys), _narrow(group["positions"], lengths)
-    by = np.argsort(key, kind="stable")
+    # the bucket's classes, each once, in order
+    by = np.lexsort((table["b"], table["a"]))
+    a, b = table["a"][by], table["b"][by]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    where = np.empty(len(by), np.int64)
+    where[by] = np.cumsum(new) - 1
+    table, place = table[by][new], where[place]
+    by = np.lexsort((place, key))
     key, place, pos = key[by], place[by], pos[by]
-    a = table[place, 0]
-    start = np.concatenate([[True], key[1:] != key[:-1]])
-    at = np.flatnonzero(start)
-    many = np.minimum.reduceat(a, at) != np.maximum.reduceat(a, at)
-    keep = many[np.cumsum(start) - 1]
-    return pd.DataFrame({"key": key[keep].view(np.int64), "a": a[keep], "n": table[place[keep], 1], "pos": pos[keep]}).drop_duplicates(["key", "a"])
+    once = np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])])
+    key, place, pos = key[once], place[once], pos[once]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    many = np.repeat(np.diff(np.concatenate([at, [len(key)]])), np.diff(np.concatenate([at, [len(key)]])))
+    kept = (many >= LONG) | (key >= _TOP)
+    n = table["n"][place].astype(np.int64)
+    short = ~kept & (many > 1) & (n - pos >= needed(n, -(-PERCENT * n // 100)))
+    pairs = _short_pairs(key[short], place[short], n[short], pos[short])
+    entries = {"key": key[kept].view(np.int64), "xa": table["a"][place[kept]], "xb": table["b"][place[kept]], "nx": n[kept], "pos": pos[kept]}
+    x, y = table[pairs[:, 0]], table[pairs[:, 1]]
+    found = {"xa": x["a"], "xb": x["b"], "nx": x["n"].astype(np.int64), "ya": y["a"], "yb": y["b"], "ny": y["n"].astype(np.int64)}
+    # a column that only one of them has is null in the other; its numbers need all their bits
+    both = [pd.DataFrame(part).astype("Int64").reindex(columns=["key", "xa", "xb", "nx", "pos", "ya", "yb", "ny"]).astype("Int64") for part in (entries, found)]
+    return pd.concat(both)
+
+
+def _short_pairs(key: np.ndarray, place: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Pairs of places, the smaller first, each once, from lists of fewer than LONG entries.
+
+    Sets that link share this shingle first, in one of their lists: then neither has more to share than what stands
+    from its entry on.  Lists are in order of position, so once an entry stands too late for the set before it, the rest does.
+    """
+    by = np.lexsort((pos, key))
+    key, place, n, pos = key[by], place[by], n[by], pos[by]
+    out = [np.zeros((0, 2), np.int64)]
+    for step in range(1, min(LONG, len(key))):
+        i = np.flatnonzero(key[step:] == key[:-step])
+        if not len(i):
+            break
+        j = i + step
+        fit = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= needed(n[i], n[j])
+        i, j = i[fit], j[fit]
+        out.append(np.stack([np.minimum(place[i], place[j]), np.maximum(place[i], place[j])], 1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that their sketches don't rule out, without the sketches."""
+    for batch in batches:
+        nx, ny = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+        apart = np.array([differing(x.as_buffer().to_pybytes(), y.as_buffer().to_pybytes()) for x, y in zip(batch.column(6), batch.column(7), strict=True)], np.int64)
+        yield batch.filter(pa.array((nx + ny - apart) // 2 >= needed(nx, ny))).select(list(range(6)))
 
 
 def _bits(rows: DataFrame) -> np.ndarray:
-    """A filter of the classes' (a, id): bit positions gathered as at most BITS / 64 words."""
-    bit = F.pmod(F.xxhash64("a", "rep"), F.lit(BITS))
-    found = rows.groupBy(F.floor(bit / 64).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(pmod(xxhash64(a, rep), {BITS}), 64)))")).alias("x")).toPandas()
+    """A filter of the documents rep: bit positions gathered as at most BITS / 64 words."""
+    bit = F.pmod(F.xxhash64("rep"), F.lit(BITS))
+    found = rows.groupBy(F.floor(bit / 64).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(pmod(xxhash64(rep), {BITS}), 64)))")).alias("x")).toPandas()
     out = np.zeros(BITS // 64, np.int64)
     out[found["w"].to_numpy(np.int64)] = found["x"].to_numpy(np.int64)
     return out
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(a, set) of the classes in ``wanted`` (a, rep), each from the document rep, and of few others: a filter of bounded size picks the rows."""
+    """(a, b, set) of the classes in ``wanted`` (a, b, rep), each from the document rep: a filter of bounded size picks the rows before they are read."""
     bits = docs.sparkSession.sparkContext.broadcast(_bits(wanted))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, data, bounds in chunks(batch.column(1)):
+            bit = batch.column(1).to_numpy()
+            texts = batch.column(0).filter(pa.array(((bits.value[bit >> 6] >> (bit & np.int64(63))) & 1).astype(bool)))
+            for _, _, data, bounds in chunks(texts):
                 sets = shingle_sets(data, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([class_hash(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "a", "set"])
+                marks = [class_hash(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["a", "b", "set"])
 
-    # the filter's test runs on (a, doc_id), before anything is shuffled
-    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_, mask = bits.value, np.int64(63)
-        for batch in batches:
-            bit = batch.column(3).to_numpy()
-            keep = (words_[bit >> 6] >> (bit & mask)) & 1
-            yield batch.filter(pa.array(keep.astype(bool))).select([0, 1, 2])
-
-    made = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, a long, set binary")
-    made = made.withColumn("bit", F.pmod(F.xxhash64("a", "doc_id"), F.lit(BITS))).mapInArrow(passes, f"doc_id {id_type}, a long, set binary")
-    # the few others that pass find no pair to join; rows that repeat give the same overlap again
-    return made.select("a", "set")
+    made = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("bit")).mapInArrow(run, "a long, b long, set binary")
+    # rows that repeat give one set
+    return made.join(wanted.select("a", "b"), ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
 
 
-def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(x, y, overlap) of pairs with their sets."""
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds overlap, and where y is a pivot of x what only one of them holds, in place of the sets."""
     for batch in batches:
-        found = [len(np.intersect1d(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), assume_unique=True)) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["x", "y", "overlap"])
+        overlap, apart = [], []
+        for reach, x, y in zip(batch.column(6), batch.column(7), batch.column(8), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            overlap.append(len(np.intersect1d(x, y, assume_unique=True)))
+            apart.append(np.setxor1d(x, y, assume_unique=True).tobytes() if reach.is_valid else None)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(overlap, pa.int64()), pa.array(apart, pa.binary())], names=[*_PAIR, "nx", "ny", "reach", "overlap", "apart"])
 
 
 def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(x, y, overlap) for pairs (x, y) of classes; reps: (a, rep)."""
-    ends = pairs.select(F.col("x").alias("a")).unionByName(pairs.select(F.col("y").alias("a"))).distinct()
-    wanted = saved(reps.join(ends, "a", "left_semi").select("a", "rep"), "wanted")
+    """pairs (xa, xb, ya, yb, nx, ny, reach) of classes with overlap and, where reach isn't null, apart; reps: (a, b, rep)."""
+    ends = pairs.select(F.col("xa").alias("a"), F.col("xb").alias("b")).unionByName(pairs.select(F.col("ya").alias("a"), F.col("yb").alias("b"))).distinct()
+    wanted = saved(reps.join(ends, ["a", "b"], "left_semi").select("a", "b", "rep"), "wanted")
     sets = saved(_sets(docs, wanted), "sets")
-    left = pairs.join(sets.select(F.col("a").alias("x"), F.col("set").alias("sx")), "x")
-    both = left.join(sets.select(F.col("a").alias("y"), F.col("set").alias("sy")), "y")
-    found = both.select("x", "y", "sx", "sy").mapInArrow(_overlap, "x long, y long, overlap long")
-    return found.groupBy("x", "y").agg(F.max("overlap").alias("overlap"))
-
-
-def _plausible(pairs: DataFrame, listed: DataFrame) -> DataFrame:
-    """The pairs (x, y, nx, ny) whose prefixes share enough: what they share, all of it in the lists, and all past the end of one prefix must suffice.
-
-    listed: (a, keys), the prefix entries of each class that are in a list.
-    """
-    both = pairs.join(listed.select(F.col("a").alias("x"), F.col("keys").alias("kx")), "x").join(listed.select(F.col("a").alias("y"), F.col("keys").alias("ky")), "y")
-    past = lambda n: F.ceil(F.col(n) * (PERCENT / 100.0)) - 1
-    most = F.size(F.array_intersect("kx", "ky")) + F.greatest(past("nx"), past("ny"))
-    return both.filter(most >= needed(F.col("nx"), F.col("ny"))).drop("kx", "ky")
+    both = pairs.join(sets.toDF("xa", "xb", "sx"), ["xa", "xb"]).join(sets.toDF("ya", "yb", "sy"), ["ya", "yb"])
+    out = saved(both.select(*_PAIR, "nx", "ny", "reach", "sx", "sy").mapInArrow(_verify, "xa long, xb long, ya long, yb long, nx long, ny long, reach long, overlap long, apart binary"), "verified")
+    discard(wanted, sets)
+    return out
 
 
-def _fits(nx: Column, px: Column, ny: Column, py: Column) -> Column:
-    """Length and positional filters."""
-    most = F.least(px, py) + 1 + F.least(nx - px, ny - py) - 1
-    # of two sets that link, the smaller one shares a shingle of a still shorter prefix
-    short = lambda n, p: p < n - F.ceil(n * (2.0 * PERCENT / (100.0 + PERCENT)) - 1e-9) + 1
-    early = ((nx >= ny) & short(ny, py)) | ((ny >= nx) & short(nx, px))
-    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * PERCENT) & early & (most >= needed(nx, ny))
+def _tile(group: pd.DataFrame) -> pd.DataFrame:
+    """Links between classes of two blocks (side 0 and 1; or of one) of a pivot, as few as join all that are linked."""
+    n, o, p = (group[c].to_numpy(np.int64) for c in ("n", "overlap", "size"))
+    reach, side, linked = group["reach"].to_numpy(np.int64), group["side"].to_numpy(), group["linked"].to_numpy(bool)
+    apart = [np.frombuffer(b, np.uint64) for b in group["apart"]]
+    size = np.array([len(d) for d in apart], np.int64)
+    one = len(np.unique(side)) == 1
+    # all that link to the pivot are one component already
+    label = np.where(linked, 0, np.arange(1, len(n) + 1))
+    rows = np.flatnonzero(~linked)
+    # each of the rest against all; of two blocks, against the other one
+    least = needed(n[rows, None], n[None, :])
+    share = least - (o[rows, None] + o[None, :] - p[None, :])
+    open_ = (share <= np.minimum(size[rows, None], size[None, :])) & (np.minimum(reach[rows, None], reach[None, :]) >= least) & (rows[:, None] != np.arange(len(n)))
+    if not one:
+        open_ &= side[rows, None] != side[None, :]
+    used = open_.any(0)
+    used[rows[open_.any(1)]] = True
+    values = np.concatenate([np.zeros(0, np.uint64), *[d for d, u in zip(apart, used, strict=True) if u]])
+    owner = np.repeat(np.flatnonzero(used), size[used])
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    several = count[column] > 1
+    column, owner = (np.cumsum(count > 1) - 1)[column[several]], owner[several]
+    by = np.argsort(column, kind="stable")
+    column, owner = column[by], owner[by]
+    shared = np.zeros(open_.shape, np.float32)
+    for a in range(0, int(column.max(initial=-1)) + 1, 2048):
+        lo, hi = np.searchsorted(column, [a, a + 2048])
+        held = np.zeros((len(n), 2048), np.float32)
+        held[owner[lo:hi], column[lo:hi] - a] = 1
+        shared += held[rows] @ held.T
+    links = open_ & (shared >= share)
+    out = []
+    for i in np.flatnonzero(links.any(1)):
+        to = np.flatnonzero(links[i])
+        names, at = np.unique(label[to], return_index=True)
+        fresh = names != label[rows[i]]
+        out += [(rows[i], to[k]) for k in at[fresh]]
+        label[np.isin(label, names[fresh])] = label[rows[i]]
+    x, y = (np.array([e[k] for e in out], np.int64) for k in (0, 1))
+    return pd.DataFrame({"xa": group["a"].to_numpy()[x], "xb": group["b"].to_numpy()[x], "ya": group["a"].to_numpy()[y], "yb": group["b"].to_numpy()[y]})
+
+
+def _derived(stars: DataFrame) -> DataFrame:
+    """Links (xa, xb, ya, yb) that join what is linked among the classes of each pivot, but those that link to it."""
+    band = F.floor(F.log(F.col("nx").cast("double")) / F.log(F.lit(100.0 / PERCENT)) + F.lit(1e-9)).cast("int")
+    linked = slack(F.col("nx"), F.col("ny"), F.col("overlap")) >= 0
+    members = stars.select(F.col("ya").alias("pa"), F.col("yb").alias("pb"), F.col("ny").alias("size"), F.col("xa").alias("a"), F.col("xb").alias("b"), F.col("nx").alias("n"), "reach", "overlap", "apart", linked.alias("linked"), band.alias("band"))
+    bands = members.groupBy("pa", "pb", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("apart")) / BLOCK_BYTES)).alias("blocks"))
+    members = members.join(bands, ["pa", "pb", "band"]).withColumn("block", F.pmod(F.xxhash64("a", "b"), F.col("blocks")))
+    members = saved(members, "members")
+    blocks = members.groupBy("pa", "pb", "size", "band", "block").agg(
+        F.count_if(~F.col("linked")).alias("rest"), F.count("*").alias("m"), F.max("reach").alias("reach"), F.min("n").alias("n"), F.max(7 * F.col("overlap") - 3 * F.col("n")).alias("near"), F.max(F.octet_length("apart") / 8).alias("apart")
+    )
+    # of the blocks of a pivot, only those of one band of sizes or of two that adjoin can hold a pair that links
+    x = blocks.select("pa", "pb", "size", F.col("band").alias("at"), *[F.col(c).alias(f"x_{c}") for c in ("band", "block", "rest", "m", "reach", "n", "near", "apart")])
+    y = blocks.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") - 1))).select("pa", "pb", "at", *[F.col(c).alias(f"y_{c}") for c in ("band", "block", "rest", "m", "reach", "n", "near", "apart")])
+    both = x.join(y, ["pa", "pb", "at"]).filter((F.col("x_band") < F.col("y_band")) | (F.col("x_block") <= F.col("y_block")))
+    same = (F.col("x_band") == F.col("y_band")) & (F.col("x_block") == F.col("y_block"))
+    share = F.col("size") - (F.col("x_near") + F.col("y_near")) / 7.0
+    tiles = both.filter(
+        (F.col("x_rest") + F.col("y_rest") > 0) & (~same | (F.col("x_m") > 1))
+        & (7 * F.least("x_reach", "y_reach") >= 3 * (F.col("x_n") + F.col("y_n"))) & (share <= F.least("x_apart", "y_apart") + 1e-6)
+    )
+    names = ["pa", "pb", "x_band", "x_block", "y_band", "y_block"]
+    sides = F.when(same, F.array(F.struct(F.lit(0).alias("side"), F.col("x_band").alias("band"), F.col("x_block").alias("block")))).otherwise(
+        F.array(F.struct(F.lit(0).alias("side"), F.col("x_band").alias("band"), F.col("x_block").alias("block")), F.struct(F.lit(1).alias("side"), F.col("y_band").alias("band"), F.col("y_block").alias("block")))
+    )
+    asked = saved(tiles.select(*names, F.explode(sides).alias("s")).select(*names, "s.*"), "tiles")
+    return asked.join(members, ["pa", "pb", "band", "block"]).groupBy(*names).applyInPandas(_tile, "xa long, xb long, ya long, yb long")
 
 
 def class_links(docs: DataFrame, common_size: int = 1_000_000, per_bucket: int = 250_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profile, reps, links): profile (doc_id, n, a, b) of each row, reps (a, rep, n) of each class, links (x, y) of classes.
+    """(profile, reps, links): profile (doc_id, n, a, b) of each row, reps (a, b, rep, n) of each class, links (xa, xb, ya, yb) of classes.
 
     common_size: entries of the table of common shingles, which only shapes the order.
     per_bucket: prefix entries that a bucket holds on average.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
-    profile = saved(docs.select("doc_id", "text").mapInArrow(_profile, f"doc_id {id_type}, n long, a long, b long"), "profile")
+    profile = saved(docs.select("doc_id", "text").mapInArrow(_profile, f"doc_id {id_type}, n long, a long, b long, sketch binary"), "profile")
     total = profile.agg(F.sum("n")).first()[0] or 0
     buckets = int(max(24, total // (4 * per_bucket)))
     counted = docs.select("text").mapInArrow(_counted(buckets), "bucket int, shingles binary, counts binary")
@@ -329,66 +442,39 @@ def class_links(docs: DataFrame, common_size: int = 1_000_000, per_bucket: int =
     by = np.argsort(shingles)
     # the rarest of the common ones come first
     order = spark.sparkContext.broadcast(Order(shingles[by], (len(often) - 1 - by).astype(np.uint64)))
-    reps = saved(profile.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).select("a", "rep", "n"), "classes")
-
-    text = docs.select("text")
-    packed = text.mapInArrow(_prefixes(order, buckets), "bucket int, keys binary, places binary, classes binary, positions binary")
-    rare = packed.groupBy("bucket").applyInPandas(_lists, "key long, a long, n long, pos long")
-    common = text.mapInArrow(_common_entries(order), "key long, a long, n long, pos long")
-    lists = saved(rare.unionByName(common), "lists")
-
-    # every class against the pivots of its lists
-    pivots = lists.groupBy("key").agg(F.min(F.struct("a", "n", "pos")).alias("p"), F.max("a").alias("last"), F.count("*").alias("m")).filter("p.a <> last").select("key", "p", "m")
-    pivots = saved(pivots, "pivots")
-    listed = lists.join(pivots, "key").filter(F.col("a") != F.col("p.a"))
-    ok = _fits(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"))
-    shared = saved(lists.groupBy("a").agg(F.collect_set("key").alias("keys")), "shared")
-    # in a long list the overlap with the pivot is needed for every class: it decides most other pairs
-    long = F.col("m") >= LONG
-    star = listed.filter(ok | long).groupBy(F.col("a").alias("x"), F.col("p.a").alias("y"), F.col("n").alias("nx"), F.col("p.n").alias("ny")).agg(F.max("m").alias("m"))
-    star = saved(star, "listed")
-    star = saved(_plausible(star.filter(~long), shared).unionByName(star.filter(long)), "stars")
-    sizes = star.select("x", "y", "nx", "ny")
-    answers = saved(verified(docs, star.select("x", "y"), reps).join(sizes, ["x", "y"]).withColumn("linked", F.col("overlap") >= needed(F.col("nx"), F.col("ny"))), "answers")
-    links = answers.filter("linked").select("x", "y")
-
-    # what the answers don't decide: pairs of lists with a class that is not linked to the pivot
-    joined = saved(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "joined")
-    known = answers.select(F.col("x").alias("a"), F.col("y").alias("pa"), "overlap", "linked")
-    member = listed.select("key", "a", "n", "pos", F.col("p.a").alias("pa"), F.col("p.n").alias("pn")).join(known, ["a", "pa"], "left")
-    member = saved(member, "members")
-    open_keys = member.filter(~F.coalesce("linked", F.lit(False))).select("key").distinct()
-    member = member.join(open_keys, "key", "left_semi").join(joined.withColumnRenamed("node", "a"), "a", "left")
-    member = member.select("key", "a", "n", "pos", "pn", "overlap", F.coalesce("label", "a").alias("label"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)) + 1e-9).alias("block"))
-    member = saved(member, "open")
-    x = member.select(*[F.col(c).alias(f"x_{c}") for c in member.columns])
-    # a set's partners are in its block of sizes or in the next one down; all other blocks of the list are skipped
-    y = member.withColumn("at", F.explode(F.array(F.col("block"), F.col("block") + 1)))
-    y = y.select(*[F.col(c).alias(f"y_{c}") for c in y.columns])
-    most = F.least("x_overlap", "y_overlap") + F.least(F.col("x_n") - F.col("x_overlap"), F.col("y_n") - F.col("y_overlap"))
-    need = needed(F.col("x_n"), F.col("y_n"))
-    pair = (
-        (F.col("x_key") == F.col("y_key")) & (F.col("x_block") == F.col("y_at")) & (F.col("x_label") != F.col("y_label"))
-        & ((F.col("x_block") != F.col("y_block")) | (F.col("x_a") < F.col("y_a")))
-        & _fits(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos")) & (F.coalesce(most, F.lit(1 << 40)) >= need)
-    )
-    least = F.col("x_overlap") + F.col("y_overlap") - F.col("x_pn")
-    found = x.join(y, pair).select(F.col("x_a").alias("x"), F.col("y_a").alias("y"), F.col("x_n").alias("nx"), F.col("y_n").alias("ny"), F.coalesce(least >= need, F.lit(False)).alias("derived"))
-    found = saved(found.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max("derived").alias("derived"), F.max("nx").alias("nx"), F.max("ny").alias("ny")), "rest")
-    rest = saved(_plausible(found.filter("NOT derived"), shared), "rest")
-    more = found.filter("derived").select("x", "y")
-    if not rest.isEmpty():
-        checked = verified(docs, rest.select("x", "y"), reps).join(rest, ["x", "y"])
-        more = more.unionByName(checked.filter(F.col("overlap") >= needed(F.col("nx"), F.col("ny"))).select("x", "y"))
-    return profile, reps, links.unionByName(more)
+    reps = saved(profile.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+
+    packed = docs.select("text").mapInArrow(_prefixes(order, buckets), "bucket int, keys binary, places binary, classes binary, positions binary")
+    lists = saved(packed.groupBy("bucket").applyInPandas(_lists, _LISTED), "lists")
+
+    sketches = reps.select("a", "b", "sketch")
+    short = lists.filter("key IS NULL").select(*_PAIR, "nx", "ny").distinct()
+    short = short.join(sketches.toDF("xa", "xb", "sx"), ["xa", "xb"]).join(sketches.toDF("ya", "yb", "sy"), ["ya", "yb"])
+    short = short.select(*_PAIR, "nx", "ny", "sx", "sy").mapInArrow(_alike, "xa long, xb long, ya long, yb long, nx long, ny long")
+
+    entries = lists.filter("key IS NOT NULL")
+    pivots = entries.groupBy("key").agg(F.min(F.struct("xa", "xb", "nx")).alias("p"), F.max(F.struct("xa", "xb", "nx")).alias("last")).filter("p <> last").select("key", "p")
+    listed = entries.join(pivots, "key").filter((F.col("xa") != F.col("p.xa")) | (F.col("xb") != F.col("p.xb")))
+    stars = listed.groupBy("xa", "xb", F.col("p.xa").alias("ya"), F.col("p.xb").alias("yb"), "nx", F.col("p.nx").alias("ny")).agg(F.max(F.col("nx") - F.col("pos")).alias("reach"))
+    pairs = saved(stars.unionByName(short.withColumn("reach", F.lit(None).cast("long"))), "pairs")
+    discard(lists)
+
+    found = verified(docs, pairs, reps)
+    links = found.filter(slack(F.col("nx"), F.col("ny"), F.col("overlap")) >= 0).select(*_PAIR)
+    links = saved(links.unionByName(_derived(found.filter("reach IS NOT NULL"))), "links")
+    discard(pairs, found)
+    return profile.drop("sketch"), reps.drop("sketch"), links
 
 
 def near_duplicates(docs: DataFrame, common_size: int = 1_000_000, per_bucket: int = 250_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of (doc_id, text): component_id is the smallest doc_id reachable by links."""
+    """(doc_id, n_shingles, component_id) for each row of (doc_id, text): component_id is the smallest doc_id reachable by links.
+
+    doc_id may be of any type that has an order, structs too.
+    """
     profile, reps, links = class_links(docs, common_size, per_bucket)
-    rep = reps.select("a", "rep")
-    edges = links.join(rep.select(F.col("a").alias("x"), F.col("rep").alias("u")), "x").join(rep.select(F.col("a").alias("y"), F.col("rep").alias("v")), "y").select("u", "v")
+    rep = reps.select("a", "b", "rep")
+    edges = links.join(rep.toDF("xa", "xb", "u"), ["xa", "xb"]).join(rep.toDF("ya", "yb", "v"), ["ya", "yb"]).select("u", "v")
     labels = components(edges.filter("u IS NOT NULL AND v IS NOT NULL"))
-    named = saved(rep.join(labels, rep["rep"] == labels["node"], "left").select("a", F.coalesce("label", "rep").alias("component")), "named")
-    out = profile.join(named.withColumnRenamed("a", "c"), (F.col("a") == F.col("c")) & (F.col("n") > 0), "left")
+    named = saved(rep.join(labels, rep["rep"] == labels["node"], "left").select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("label", "rep").alias("component")), "named")
+    out = profile.join(named, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
