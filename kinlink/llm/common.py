@@ -77,6 +77,14 @@ def by_place(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with further underscores while a column has it; Spark doesn't tell capitals from small letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row(df: DataFrame) -> DataFrame:
     """``df`` by place, and row: struct(file, index), which no two rows share. Rows that come from no Parquet files are saved first."""
     where = lambda d: by_place(d).select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index")).alias("row"))

@@ -10,11 +10,13 @@ bound (not past the last) are applied, and then the window's words are compared
 with the document's words at that place.
 
 The probe table grows with the benchmark only.  It is broadcast if it has at
-most ``broadcast_windows`` windows; a larger benchmark is probed in several
-passes over slices of its windows, each slice within that bound.
+most ``broadcast_windows`` windows and ``BROADCAST_BYTES`` bytes; a larger benchmark
+is probed in several passes over slices of its windows, each slice within
+those bounds.
 
-Null texts have no words.  Rows that repeat both doc_id and text give one row.
-Null ids are kept.  Items that repeat a text are all counted.
+Null texts have no words.  Each input row gives one row, repeated rows and null
+ids too.  Items that repeat a text are all counted.  Without items nothing is hit;
+without documents there are no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import by_place, saved, with_row
 
 WINDOW = 10
+BROADCAST_BYTES = 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -57,33 +60,41 @@ def prefix_table(docs: DataFrame, items: DataFrame, size: int, broadcast_windows
     windows = saved(item_windows(items, size), "windows")
     placed = windows.select("win", F.posexplode("win").alias("before", "token"))
     vocabulary = saved(placed.select("token").distinct(), "vocabulary")
-    small = vocabulary.count() <= broadcast_windows * size
+    held = vocabulary.agg(F.count("*").alias("n"), F.sum(F.octet_length("token") + 32).alias("bytes")).first()
+    small = held.n <= broadcast_windows * size and (held.bytes or 0) <= BROADCAST_BYTES
     rare = _occurrences(docs, vocabulary, small)
     first = placed.join(F.broadcast(rare) if small else rare, "token").groupBy("win").agg(F.min_by(F.struct("token", "before"), F.struct("n", "token", "before")).alias("p"))
     return first.join(windows, "win").select("p.token", "win", "items", "p.before")
 
 
 def _hits(words: DataFrame, table: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, length, items) of each window that occurs; a row with null items has the number of words as start."""
+    """(row, doc_id, start, length, items) of each window that occurs; a row with null items has the number of words as start."""
     end = table.sparkSession.range(1).select(F.lit(END).alias("token"), F.lit(None).cast("array<string>").alias("win"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).alias("before"))
     probe = F.broadcast(table.select("token", "win", "items", "before").unionByName(end))
-    at = words.select("doc_id", "text_hash", "w", F.posexplode("w").alias("pos", "token")).join(probe, "token")
+    at = words.select("row", "doc_id", "w", F.posexplode("w").alias("pos", "token")).join(probe, "token")
     start, length = F.col("pos") - F.col("before"), F.size("win")
     is_end = F.col("token") == END
     fits = (start >= 0) & (start + length < F.size("w"))
     same = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.greatest(length, F.lit(0))) == F.col("win")
-    return at.filter(is_end | (fits & same)).select("doc_id", "text_hash", start.alias("start"), F.when(is_end, 0).otherwise(length).alias("length"), "items")
+    return at.filter(is_end | (fits & same)).select("row", "doc_id", start.alias("start"), F.when(is_end, 0).otherwise(length).alias("length"), "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, broadcast_windows: int = 500_000) -> DataFrame:
     """(doc_id, n_words, n_hit, spans, items) for each (doc_id, text); spans: (start, length) of each occurring window, by start."""
+    return _found(with_row(docs.select("doc_id", "text")).toDF("doc_id", "text", "row"), items, size, broadcast_windows).drop("row")
+
+
+def _found(docs: DataFrame, items: DataFrame, size: int, broadcast_windows: int) -> DataFrame:
+    """(row, doc_id, n_words, n_hit, spans, items) for each (doc_id, text, row)."""
     table = saved(prefix_table(docs, items, size, broadcast_windows), "prefixes")
-    slices = max(1, -(-table.count() // broadcast_windows))
-    words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.array_append(word_array(F.col("text")), END).alias("w"))
+    lengths = lambda words: F.aggregate(words, F.lit(0), lambda n, x: n + F.octet_length(x) + 24)
+    held = table.agg(F.count("*").alias("n"), F.sum(lengths("win") + lengths("items")).alias("bytes")).first()
+    slices = max(1, -(-held.n // broadcast_windows), -(-(held.bytes or 0) // BROADCAST_BYTES))
+    words = docs.select("row", "doc_id", F.array_append(word_array(F.col("text")), END).alias("w"))
     parts = [table] if slices == 1 else [table.filter(F.pmod(F.xxhash64("win"), F.lit(slices)) == k) for k in range(slices)]
     hits = reduce(DataFrame.unionByName, [_hits(words, p) for p in parts])
     is_end = F.col("items").isNull()
-    found = hits.groupBy("doc_id", "text_hash").agg(
+    found = hits.groupBy("row", "doc_id").agg(
         F.max(F.when(is_end, F.col("start"))).cast("long").alias("n_words"),
         F.sort_array(F.collect_set(F.when(~is_end, F.struct("start", "length")))).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
@@ -98,11 +109,12 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, broadca
         ),
         lambda a: a["n"].cast("long"),
     )
-    return found.select("doc_id", "n_words", step.alias("n_hit"), "spans", F.array_sort("items").alias("items"))
+    return found.select("row", "doc_id", "n_words", step.alias("n_hit"), "spans", F.array_sort("items").alias("items"))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents that hold a window of an item; all columns stay."""
-    found = contamination(docs, items, size)
-    bad = found.filter(F.col("n_hit") > 0).select(F.col("doc_id").alias("bad_id_")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id_"]), "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, broadcast_windows: int = 500_000) -> DataFrame:
+    """``docs`` without the rows that hold a window of an item; all columns stay."""
+    rows = with_row(docs)
+    own = rows.select(*[F.col(f"c{docs.columns.index(c)}").alias(c) for c in ("doc_id", "text")], "row")
+    bad = _found(own, items, size, broadcast_windows).filter(F.col("n_hit") > 0).select("row")
+    return rows.join(bad, "row", "left_anti").select(*by_place(docs).columns).toDF(*docs.columns)

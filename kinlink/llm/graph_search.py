@@ -16,7 +16,8 @@ read whole.
 
 Vectors that are null, zero, or hold null or non-finite components take no
 part.  Vectors of different lengths are never compared.  Rows that repeat both
-id and vector count once.  Ties go to the smaller id.
+id and vector count once.  Ties go to the smaller id.  No usable rows give no
+rows; other columns than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -191,20 +192,23 @@ def usable(vectors: DataFrame) -> DataFrame:
 def build_index(rows: DataFrame, k: int, shard_size: int = SHARD) -> DataFrame:
     """One row for each shard with its vectors, ids and graph, from :func:`usable` rows."""
     hashed = rows.withColumn("hash", F.xxhash64("vector"))
-    # of equal vectors, an answer can use the k smallest ids besides the query's own; each task keeps no more
+    # of equal vectors, an answer can use the k smallest ids besides the query's own; each task keeps no more; no row repeats
     rank = F.rank().over(Window.partitionBy("hash", "vector").orderBy("vec_id"))
     first = hashed.withColumn("rank", rank).filter(F.col("rank") <= k + 1)
     nodes = saved(first.groupBy("hash", "vector", "dim").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "nodes")
     shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_size).alias("shards"))
+    count = max(1, int(shards.agg(F.sum("shards")).first()[0] or 0))
     dealt = nodes.join(shards, "dim").select("dim", F.pmod("hash", "shards").alias("shard"), "vector", "ids", F.col("ids")[0].alias("least"))
+    # a number of partitions that is given is not merged: no task builds the graphs of many shards
+    dealt = dealt.repartition(count, "dim", "shard")
     return saved(dealt.groupBy("dim", "shard").applyInPandas(_index, "dim int, shard long, vectors binary, ids array<array<long>>, edges binary, entry int"), "graphs")
 
 
 def search(vectors: DataFrame, every: int = 100, k: int = 10, shard_size: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of the rows whose vec_id is divisible by ``every``."""
-    rows = saved(usable(vectors), "vectors")
+    rows = saved(usable(vectors).distinct(), "vectors")
     index = build_index(rows, k, shard_size)
-    queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vector", "dim").distinct()
+    queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vector", "dim")
     blocks = max(1, -(-queries.count() // block))
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     # the shards that each query visits
@@ -212,6 +216,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, shard_size: int =
     sent = queries.join(places, "dim").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     sent = sent.select("query_id", "vector", "dim", "block", F.explode("shards").alias("shard"))
     keys = ["dim", "shard", "block"]
+    tasks = max(1, index.count())
+    index, sent = index.repartition(tasks, *keys), sent.repartition(tasks, *keys)
     found = index.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(_answers(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

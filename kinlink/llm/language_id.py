@@ -5,14 +5,16 @@ each window from both ends and every byte gets a probability for each language.
 A document's probabilities are the means over all its bytes.  The network is
 trained in numpy by backpropagation through time.
 
-Training rows have a language and crc32(doc_id as text) mod 4 is not 2; of each
-of the ``max_languages`` commonest languages at most ``per_language`` texts
-(smallest id hash) give at most ``windows`` windows each.  Languages, sources and ids are never
+Training rows have a language and crc32(doc_id as text) mod 4 is not 2; at most
+``sample`` texts in all, ``per_language`` of a language (those of small id hash) and one of
+each at least, give at most ``windows`` windows each.  Every language that occurs there is learned;
+states and steps grow with their number.  Languages, sources and ids are never
 inputs of a prediction.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every text
 if there is nothing to learn from.  Each input row gives one row, repeated rows
-and null ids too.
+and null ids too; no rows give no rows.  Texts of any length are read whole, in
+windows.  Of equal probabilities the language first in order wins.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out
+from .common import chunks, held_out, saved
 
 WINDOW, HIDDEN = 64, 8
 #: Bounds of what is learned from.
-MAX_LANGUAGES, PER_LANGUAGE, WINDOWS = 64, 400, 12
+SAMPLE, PER_LANGUAGE, WINDOWS = 25_600, 400, 12
 STEPS, BATCH, RATE = 350, 192, 0.02
 #: Windows read at once: their gates stay in a core's cache.
 _AT_ONCE = 2048
@@ -49,10 +51,15 @@ class Network:
 
     @staticmethod
     def new(languages: list[str], rng: np.random.Generator) -> "Network":
-        h, c = HIDDEN, len(languages)
+        c = len(languages)
+        h = max(HIDDEN, 4 * max(0, c - 1).bit_length())
         normal = lambda *shape, by: (rng.standard_normal(shape) * by).astype(np.float32)
         return Network(languages, normal(2, 3 * h, 256, by=0.3), normal(2, 3 * h, h, by=0.3), np.zeros((2, h, 1), np.float32), normal(c, 2 * h, by=0.3), np.zeros((c, 1), np.float32))
 
+    @property
+    def hidden(self) -> int:
+        return self.recurrent.shape[2]
+
     def parts(self) -> list[np.ndarray]:
         return [self.by_byte, self.recurrent, self.bias, self.out, self.out_bias]
 
@@ -68,7 +75,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _read(net: Network, k: int, text: np.ndarray, keep: list | None = None) -> np.ndarray:
     """States (WINDOW, H, B) of direction k over text (WINDOW, B)."""
-    h = HIDDEN
+    h = net.hidden
     steps, n = text.shape
     out = np.empty((steps, h, n), np.float32)
     state = np.zeros((h, n), np.float32)
@@ -104,7 +111,7 @@ def position_labels(net: Network, text: np.ndarray) -> np.ndarray:
 
 def _gradients(net: Network, text: np.ndarray, label: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
     """Of the mean log loss over all bytes, by backpropagation through time; weight (WINDOW, B) is 0 past a text's end."""
-    h, kept = HIDDEN, [[], []]
+    h, kept = net.hidden, [[], []]
     states = [_read(net, k, text, kept[k]) for k in (0, 1)]
     both = np.concatenate(states, 1)
     p = np.matmul(net.out, both) + net.out_bias
@@ -207,15 +214,20 @@ def _windows_of(windows: int):
     return run
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, windows: int = WINDOWS, max_languages: int = MAX_LANGUAGES, steps: int = STEPS) -> Network:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, windows: int = WINDOWS, sample: int = SAMPLE, steps: int = STEPS) -> Network:
     rows = docs.select("doc_id", "lang").filter("lang IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(4))
-    top = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.filter(F.col("lang").isin(top)).withColumn("rank", rank).filter(F.col("rank") <= per_language)
-    # at most max_languages * per_language ids
-    ids = docs.sparkSession.createDataFrame(chosen.select(F.col("doc_id").alias("id")).distinct().toPandas(), chosen.select(F.col("doc_id").alias("id")).schema) if top else None
-    if ids is None:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id")).alias("least"))
+    known = counts.count()
+    if not known:
         return Network.new([], np.random.default_rng(0))
+    per = max(1, min(per_language, sample // known))
+    # of each language's ids, those that hash so low that about twice as many are left as are taken, and the lowest: no task meets all rows of a language
+    bound = F.when(F.col("n") <= 4 * per, F.lit(2.0**63)).otherwise(F.lit(2.0**64) * (2.0 * per) / F.col("n") - F.lit(2.0**63))
+    low = rows.withColumn("hash", F.xxhash64("doc_id")).join(counts, "lang").filter((F.col("hash") <= bound) | (F.col("hash") == F.col("least")))
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    chosen = low.select("lang", "hash", "doc_id").distinct().withColumn("rank", rank).filter(F.col("rank") <= per)
+    # at most ``sample`` ids, or one a language
+    ids = saved(chosen.select(F.col("doc_id").alias("id")).distinct(), "sample")
     texts = docs.select("doc_id", "lang", "text").filter("lang IS NOT NULL").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("lang", "text")
     found = texts.mapInArrow(_windows_of(windows), "lang string, window binary, length long").toPandas().sort_values(["lang", "window"])
     languages = sorted(found["lang"].unique())
@@ -223,7 +235,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, windows: int = WINDOW
         return Network.new([], np.random.default_rng(0))
     place = {x: i for i, x in enumerate(languages)}
     data = np.frombuffer(b"".join(found["window"]), np.uint8).reshape(-1, WINDOW)
-    return train(data, found["length"].to_numpy(np.int64), found["lang"].map(place).to_numpy(np.int64), languages, steps)
+    return train(data, found["length"].to_numpy(np.int64), found["lang"].map(place).to_numpy(np.int64), languages, steps * -(-len(languages) // 32))
 
 
 def predict(docs: DataFrame, network: Network) -> DataFrame:

@@ -2,19 +2,21 @@
 
 A document's words are cut into overlapping blocks of ``2 * stride`` words,
 ``stride`` apart, so that every passage of at most ``stride`` words lies whole
-in a block.  A block meets a template when it holds at least ``ceil(threshold *
+in a block; the stride is ``STRIDE`` or, where that is more, the words of the longest
+template.  A block meets a template when it holds at least ``ceil(threshold *
 size)`` of the template's different words.  Templates' words are ordered by
 their frequency in all documents, rarest first.  A block can only meet a
 template if it holds one of the template's first ``size - needed + 1`` words
-(prefix), if it has at least as many words as needed (length), and if the
-words from that prefix word on suffice (positional); what passes is counted
-exactly.
+(prefix), if it has at least as many words as needed (length), and if, in that
+order, both the template and the block have enough template words from the first
+shared one on (positional); what passes is counted exactly.
 
 Phrases are templates that need all their words; a block that meets one is
 then searched for the places where its words stand consecutively.
 
 The templates are a fixed small table that is sent to each task; documents are
-never shuffled.  Null texts are empty, each input row gives one row.
+never shuffled.  Null texts are empty, each input row gives one row, repeated
+rows and null ids too; no rows give no rows.  Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -67,6 +69,7 @@ class Index:
         self.rank = np.array([rank[int(h)] for h in self.keys], np.int64)  # by place in keys
         self.phrase_ranks = [np.array([rank[int(h)] for h in x]) for x in self.phrases]
         self.sets = [np.array(sorted({rank[int(h)] for h in x})) for x in hashed]  # rarest first
+        self.longest = max(map(len, hashed))
         self.needed = [len(s) if k < len(PHRASES) else ceil(threshold * len(s) - 1e-9) for k, s in enumerate(self.sets)]
         self.starts: dict[int, list[tuple[int, int]]] = {}  # rank of a prefix word: template, place in its order
         for k, s in enumerate(self.sets):
@@ -88,10 +91,13 @@ def _scan(index: Index, ranks: np.ndarray, places: np.ndarray, n_words: int, str
                 candidates[block, k] = min(place, candidates.get((block, k), place))
     for (block, k), place in sorted(candidates.items()):
         a, b = block * stride, min((block + 2) * stride, n_words)
-        if b - a < index.needed[k] or len(index.sets[k]) - place < index.needed[k]:
+        if b - a < index.needed[k]:
             continue
         lo, hi = np.searchsorted(places, [a, b])
         own, at = ranks[lo:hi], places[lo:hi]
+        in_order = np.unique(own)
+        if min(len(index.sets[k]) - place, len(in_order) - np.searchsorted(in_order, index.sets[k][place])) < index.needed[k]:
+            continue
         shared = len(np.intersect1d(own, index.sets[k]))
         if shared < index.needed[k]:
             continue
@@ -129,7 +135,9 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, stride: int = STRIDE) ->
 
     score: the greatest containment of a template that a block meets, 1 for a phrase's occurrence, else 0.
     """
-    index = docs.sparkSession.sparkContext.broadcast(Index(word_frequency(docs), threshold))
+    made = Index(word_frequency(docs), threshold)
+    stride = max(stride, made.longest)
+    index = docs.sparkSession.sparkContext.broadcast(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value

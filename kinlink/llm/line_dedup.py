@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, shared_dir
+from .common import by_place, saved, shared_dir, with_row
 
 WHITE = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
@@ -128,12 +128,12 @@ def _kept(text: str | None, frequent: np.ndarray) -> tuple[str, int, int]:
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, broadcast_keys: int = 2_000_000) -> DataFrame:
-    """``docs`` with the text's repeated lines dropped, plus n_lines_ and n_dropped_ (long); all other columns stay."""
+    """``docs`` with the text's repeated lines dropped, plus n_lines_ and n_dropped_ (long) as last columns; all other columns stay, also of such names."""
     spark = docs.sparkSession
     frequent = saved(frequent_lines(docs, min_docs, batches), "frequent-lines")
     at = docs.columns.index("text")
-    names = [f"c{i}" for i in range(len(docs.columns))]  # names may clash
-    plain = docs.toDF(*names)
+    plain = by_place(docs)
+    names = plain.columns
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
     if frequent.count() <= broadcast_keys:
         rows = frequent.toPandas()
@@ -142,12 +142,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, broadcast
         cut = plain.withColumn("keys", F.lit(None).cast("binary"))
     else:
         table = None
-        one = F.lit(0).alias("part")
-        by_id = docs.select("doc_id", one, "text").mapInArrow(_with_id, T.StructType([T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]))
-        found = by_id.distinct().join(frequent, KEY).groupBy("id").agg(F.sort_array(F.collect_set(F.struct(*KEY))).alias("keys"))
-        found = found.select("id", F.to_json("keys").cast("binary").alias("keys"))
-        id_at = f"c{docs.columns.index('doc_id')}"
-        cut = plain.join(found, plain[id_at].eqNullSafe(found["id"]), "left").drop("id")
+        numbered = with_row(docs)
+        held = numbered.select("row", f"c{at}").mapInArrow(_with_row, "row struct<file string, index long>, h1 long, h2 long")
+        found = held.join(frequent, KEY).groupBy("row").agg(F.sort_array(F.collect_set(F.struct(*KEY))).alias("keys"))
+        found = found.select("row", F.to_json("keys").cast("binary").alias("keys"))
+        cut = numbered.join(found, "row", "left").select(*names, "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
@@ -173,10 +172,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, broadcast
     return out.toDF(*docs.columns, "n_lines_", "n_dropped_")
 
 
-def _with_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, h1, h2) for each distinct non-empty key of each document."""
+def _with_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, h1, h2) for each distinct non-empty key of each document."""
     for batch in batches:
-        for i, text in enumerate(batch.column(2)):
+        for i, text in enumerate(batch.column(1)):
             own = np.unique(line_keys(text.as_py())[1], axis=0)
             own = own[own.any(axis=1)]
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).slice(i, 1).to_pylist() * len(own), batch.schema.field(0).type), pa.array(own[:, 0]), pa.array(own[:, 1])], names=["id", *KEY])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(own), i))), pa.array(own[:, 0]), pa.array(own[:, 1])], names=["row", *KEY])

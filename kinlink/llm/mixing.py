@@ -10,7 +10,8 @@ size, so the sample is stratified and the words taken come near the target.
 
 Null texts have size 0; null sources form one source, last in order.  Rows are
 ordered by (size, md5 of doc_id, doc_id): repeated rows each take their own
-place.  A source without words has target 0.
+place.  A source without words has target 0.  Without rows the mix is empty.
+Texts of any length count whole.
 
 The sums are made without a window over a source: rows are dealt by range over
 (source, size, hash), numbered within their partition, and the row counts of
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, saved, words
+from .common import by_place, chunks, free_name, saved, with_row, words
 
 #: Weights repeat over the sources in order.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -52,12 +53,12 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
 
 
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, source, size) without the text."""
+    """All columns but the last, the text, and size."""
     for batch in batches:
         size = np.zeros(batch.num_rows, np.int64)
-        for at, to, data, bounds in chunks(batch.column(2)):
+        for at, to, data, bounds in chunks(batch.columns[-1]):
             size[at:to] = np.bincount(words(data, bounds, False)[1], minlength=to - at)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size)], names=["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(size)], names=[*batch.schema.names[:-1], "size"])
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,12 +82,16 @@ def _offset(source: Column) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for each row of (doc_id, source, text)."""
+    return _mixed(docs.select("doc_id", "source", "text", F.lit(None).cast("int").alias("row")), weights, most).drop("row")
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+    """mix() with row, of (doc_id, source, text, row)."""
     spark = docs.sparkSession
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    base = f"doc_id {id_type}, source string, size long"
-    rows = saved(docs.select("doc_id", F.col("source").cast("string"), "text").mapInArrow(_sized, base), "sizes")
+    base = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, row {docs.schema['row'].dataType.simpleString()}, size long"
+    rows = saved(docs.select("doc_id", F.col("source").cast("string"), "row", "text").mapInArrow(_sized, base), "sizes")
     rows = rows.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("hash"), F.col("doc_id")]
+    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("hash"), F.col("doc_id"), F.col("row")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = dealt.mapInArrow(_numbered, f"{base}, hash string, part long, place long").drop("hash")
     placed = saved(placed, "places")
@@ -104,14 +109,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     rank = (F.col("before") + F.col("place")).cast("double")
     copies = F.floor(rank * each + _offset(F.col("source"))) - F.floor((rank - 1) * each + _offset(F.col("source")))
     # a step of at most ``most`` never crosses more whole boundaries than that, but for rounding
-    return out.select("doc_id", "source", "size", "source_size", "target", F.least(copies, F.lit(int(most))).cast("long").alias("copies"))
+    return out.select("row", "doc_id", "source", "size", "source_size", "target", F.least(copies, F.lit(int(most))).cast("long").alias("copies"))
 
 
 def emit(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it, and copy_ (from 1)."""
-    copies = mix(docs, weights, most).groupBy("doc_id").agg(F.sum("copies").alias("n_"), F.count("*").alias("rows_")).withColumnRenamed("doc_id", "id_")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["id_"]))
-    # rows of one id share that id's copies evenly, rounded up only where ids repeat
-    n = F.ceil(F.col("n_") / F.col("rows_"))
-    picked = [docs[c] for c in docs.columns]
-    return joined.filter(F.col("n_") > 0).select(*picked, F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("copy_"))
+    """``docs`` with each row repeated as often as the mix takes it, and copy_ (from 1); where docs has such a column, copy_ gets a further underscore."""
+    rows = with_row(docs)
+    own = rows.select(*[F.col(f"c{docs.columns.index(c)}").alias(c) for c in ("doc_id", "source", "text")], "row")
+    copies = _mixed(own, weights, most).filter(F.col("copies") > 0).select("row", F.col("copies").cast("int").alias("copies"))
+    out = rows.join(copies, "row").select(*by_place(docs).columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return out.toDF(*docs.columns, free_name("copy_", docs.columns))

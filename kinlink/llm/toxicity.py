@@ -18,7 +18,8 @@ Labels, languages, sources and ids are never inputs of a score.
 Null and empty texts get the score of no words.  Each input row gives one row,
 repeated rows and null ids too.  Rows of ``labels`` with a null label are
 skipped; several labels of one id count each.  Without labelled rows every
-score is 0.
+score is 0; without documents there are no rows.  Texts of any length are read
+whole, in chunks of whole rows.
 """
 
 from __future__ import annotations
@@ -356,7 +357,7 @@ def _logistic(row: np.ndarray, place: np.ndarray, label: np.ndarray, width: int,
 
 
 def predictions(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with score_ and predicted_; all its columns stay. labels: (doc_id, toxic)."""
+    """``docs`` with score_ and predicted_ as last columns; all its columns stay, also one of such a name. labels: (doc_id, toxic)."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
     text_at, names = docs.columns.index("text"), [f"c{i}" for i in range(len(docs.columns))]  # names may clash
 
@@ -370,8 +371,8 @@ def predictions(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(score, -500, 500))))], names=[*names, "score_"])
 
     fields = [T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)]
-    scored = docs.toDF(*names).mapInArrow(run, T.StructType([*fields, T.StructField("score_", T.DoubleType())])).toDF(*docs.columns, "score_")
-    return scored.withColumn("predicted_", F.when(F.col("score_") >= THRESHOLD, 1).otherwise(0).cast("int"))
+    scored = docs.toDF(*names).mapInArrow(run, T.StructType([*fields, T.StructField("score_", T.DoubleType())]))
+    return scored.select("*", F.when(F.col("score_") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted_")).toDF(*docs.columns, "score_", "predicted_")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
