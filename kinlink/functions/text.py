@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config
-from . import udfs
 
 _STRIP = r"(?U)^\s+|\s+$"
 
@@ -62,13 +62,56 @@ def normalize_header(c: Column) -> Column:
     return F.coalesce(mapped(text, config.HEADER_ALIASES), text)
 
 
+@cache
+def _folds() -> tuple[str, str, str, str]:
+    """By Unicode's own tables: the characters that lose an accent or a form and what they become, those that go, and those that become several with what they become."""
+    single, gone, several = {}, [], {}
+    for code in [*range(0x80, 0x2FA20), *range(0xE0100, 0xE01F0)]:
+        c = chr(code)
+        if not (unicodedata.decomposition(c) or unicodedata.combining(c) or c in config.SPECIAL_FOLDS):
+            continue
+        plain = "".join(config.SPECIAL_FOLDS.get(x, x) for x in unicodedata.normalize("NFKC", c))
+        plain = "".join(x for x in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(x))
+        if plain == "":
+            gone.append(c)
+        elif len(plain) == 1 and plain != c:
+            single[c] = plain
+        elif len(plain) > 1:
+            several[c] = plain
+    return "".join(single) + "".join(gone), "".join(single.values()), "".join(several), "".join(f"\0{c}{x}" for c, x in several.items()) + "\0"
+
+
+def _ascii(c: Column) -> Column:
+    return c.rlike(r"^[\x00-\x7F]*$")
+
+
+def _folded(c: Column) -> Column:
+    before, after, several, table = _folds()
+
+    def spelled(x: Column) -> Column:
+        at = F.concat(F.lit("\0"), x)
+        return F.when(F.contains(F.lit(table), at), F.split_part(F.split_part(F.lit(table), at, F.lit(2)), F.lit("\0"), F.lit(1))).otherwise(x)
+
+    return let(F.translate(c, before, after), lambda plain: F.when(F.translate(plain, several, "") != plain, F.array_join(F.transform(F.split(plain, ""), spelled), "")).otherwise(plain))
+
+
 def fold(c: Column) -> Column:
-    """Accents folded. Only text beyond ASCII meets the Arrow function."""
-    return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(udfs.fold_unicode(c))
+    """Without accents; compatibility forms and special letters become plain ones. Syllables of Korean script stay whole."""
+    return let(c, lambda x: F.when(_ascii(x), x).otherwise(_folded(x)))
 
 
 def casefold(c: Column) -> Column:
-    return F.when(c.rlike(r"^[\x00-\x7F]*$"), F.lower(strip(c))).otherwise(udfs.casefold_unicode(c))
+    """Without regard to case and to compatibility forms; an accent that stands as a character of its own stays one."""
+    forms, plain = _wide_forms()
+    wide = lambda x: F.replace(F.translate(F.lower(F.translate(x, forms, plain)), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+    return let(c, lambda x: strip(F.when(_ascii(x), F.lower(x)).otherwise(wide(x))))
+
+
+@cache
+def _wide_forms() -> tuple[str, str]:
+    """The characters that are another form of one character, and that character."""
+    single = {c: x for code in [*range(0x80, 0x2FA20)] if unicodedata.decomposition(c := chr(code)).startswith("<") and len(x := unicodedata.normalize("NFKC", c)) == 1}
+    return "".join(single), "".join(single.values())
 
 
 def normalize_username(c: Column) -> Column:
@@ -119,16 +162,88 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.when(longest > 0, 1 - F.levenshtein(a, b) / longest).otherwise(F.lit(1.0))
 
 
-def fuzzy(a: Column, b: Column, jaro_winkler: Column | None = None) -> Column:
+def jaro_winkler(a: Column, b: Column, weight: float = 0.1) -> Column:
+    """Jaro similarity, raised for a common start of up to four characters where it is over 0.7; 0 if one is empty, 1 if both are the same."""
+
+    def met(p: Column) -> Column:
+        """left: the characters of a that find their like in b near enough, each its own; rest: b, with marks in place of those."""
+
+        def one(state: Column, i: Column) -> Column:
+            c = F.substring(p["a"], i, F.lit(1))
+            at = F.position(c, state["rest"], F.greatest(F.lit(1), i - p["reach"]))
+            taken = F.struct(F.concat(state["left"], c).alias("left"), F.overlay(state["rest"], F.lit("\0"), at, F.lit(1)).alias("rest"))
+            return F.when((at > 0) & (at <= i + p["reach"]), taken).otherwise(state)
+
+        found = F.aggregate(F.sequence(F.lit(1), F.length(p["a"])), F.struct(F.lit("").alias("left"), p["b"].alias("rest")), one)
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), found["left"].alias("left"), found["rest"].alias("rest"))
+
+    def scored(p: Column) -> Column:
+        right = F.filter(F.sequence(F.lit(1), F.length(p["b"])), lambda j: F.substring(p["rest"], j, F.lit(1)) == "\0")
+        apart = F.aggregate(right, F.struct(F.lit(0).alias("i"), F.lit(0).alias("n")), lambda s, j: F.struct((s["i"] + 1).alias("i"), (s["n"] + F.when(F.substring(p["left"], s["i"] + 1, F.lit(1)) != F.substring(p["b"], j, F.lit(1)), 1).otherwise(0)).alias("n")))["n"]
+        m = F.length(p["left"])
+        jaro = (m / F.length(p["a"]) + m / F.length(p["b"]) + (m - apart / 2) / m) / 3
+        same = lambda k: F.substring(p["a"], 1, k) == F.substring(p["b"], 1, k)
+        shorter = F.least(F.length(p["a"]), F.length(p["b"]))
+        start = reduce(lambda longer, k: F.when((shorter >= k) & same(k), k).otherwise(longer), range(1, 5), F.lit(0))
+        return F.when(m == 0, F.lit(0.0)).when(jaro <= 0.7, jaro).otherwise(jaro + start * weight * (1 - jaro))
+
+    pair = F.struct(a.alias("a"), b.alias("b"), F.greatest(F.lit(0), F.floor(F.greatest(F.length(a), F.length(b)) / 2).cast("int") - 1).alias("reach"))
+    return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(let(let(pair, met), scored))
+
+
+def fuzzy(a: Column, b: Column) -> Column:
     """A blend of edit distance, Jaro-Winkler and shared bigrams; 0 if either is empty."""
-    close = udfs.jaro_winkler_similarity(a, b) if jaro_winkler is None else jaro_winkler
-    blend = 0.45 * levenshtein_similarity(a, b) + 0.40 * close + 0.15 * jaccard(ngrams(a, 2), ngrams(b, 2))
+    blend = 0.45 * levenshtein_similarity(a, b) + 0.40 * jaro_winkler(a, b) + 0.15 * jaccard(ngrams(a, 2), ngrams(b, 2))
     return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(blend)
 
 
+def without_affixes(name: Column, least: int = 3) -> Column:
+    """struct(core, removed): a normalised name without the decorations at its ends, one after the other, while ``least`` letters stay.
+
+    Of those that fit the longest goes first, and of one word its place at the end.
+    """
+    known = listed(sorted(config.AFFIXES, key=len, reverse=True))
+
+    def shorter(state: Column, _: Column) -> Column:
+        core = state["core"]
+        fit = F.filter(known, lambda x: (F.length(core) - F.length(x) >= least) & (F.endswith(core, x) | F.startswith(core, x)))
+        rest = F.length(core) - F.length(F.get(fit, F.lit(0)))
+
+        def cut(x: Column) -> Column:
+            ends = F.endswith(core, x)
+            return F.struct(F.when(ends, F.substring(core, F.lit(1), rest)).otherwise(F.substring(core, F.length(x) + 1, rest)).alias("core"), F.array_append(state["removed"], F.when(ends, F.concat(F.lit("-"), x)).otherwise(F.concat(x, F.lit("-")))).alias("removed"))
+
+        return F.when(F.size(fit) == 0, state).otherwise(cut(F.get(fit, F.lit(0))))
+
+    # each round takes two letters at least
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.floor(F.length(name) / 2), F.lit(1)).cast("int")), F.struct(name.alias("core"), F.array().cast("array<string>").alias("removed")), shorter)
+
+
 def name_similarity(a: Column, b: Column) -> Column:
     """struct(score, method) of two names: the best of several ways to be alike, under their caps."""
-    return udfs.name_similarity(a, b)
+    missing = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
+
+    def way(score: Column | float, method: str) -> Column:
+        return F.struct((score if isinstance(score, Column) else F.lit(score)).cast("double").alias("score"), F.lit(method).alias("method"))
+
+    def best(k: Column) -> Column:
+        cut = ((k["ca"] != k["na"]) | (k["cb"] != k["nb"])) & (F.least(F.length(k["ca"]), F.length(k["cb"])) >= 4)
+        ways = F.array(
+            way(fuzzy(k["na"], k["nb"]), "fuzzy"),
+            F.when(squash_repeats(k["na"]) == squash_repeats(k["nb"]), way(0.93, "equal_ignoring_repeated_letters")),
+            F.when(cut & (k["ca"] == k["cb"]), way(0.86, "equal_after_affix_removal")),
+            F.when(cut & (k["ca"] != k["cb"]), way(F.least(0.92 * fuzzy(k["ca"], k["cb"]), F.lit(0.85)), "fuzzy_after_affix_removal")),
+            F.when((k["da"] == k["db"]) & (F.length(k["da"]) >= 5) & ((k["da"] != k["na"]) | (k["db"] != k["nb"])), way(0.84, "equal_ignoring_trailing_digits")),
+        )
+        return let(F.array_max(F.array_compact(ways)), lambda w: F.struct(F.least(w["score"], F.lit(0.96)).alias("score"), w["method"].alias("method")))
+
+    def apart(n: Column) -> Column:
+        forms = {x: n[x] for x in ("na", "nb")} | {f"c{x}": without_affixes(n[f"n{x}"])["core"] for x in "ab"} | {f"d{x}": strip_trailing_digits(n[f"n{x}"]) for x in "ab"}
+        empty = (n["na"] == "") | (n["nb"] == "")
+        return F.when(empty, way(0.0, "empty_after_normalisation")).when(n["na"] == n["nb"], way(0.97, "equal_after_normalisation")).otherwise(let(F.struct(*[c.alias(x) for x, c in forms.items()]), best))
+
+    plain = F.struct(normalize_username(a).alias("na"), normalize_username(b).alias("nb"))
+    return F.when(missing, way(0.0, "missing")).when(casefold(a) == casefold(b), way(1.0, "exact")).otherwise(let(plain, apart))
 
 
 def name_points(score: Column, weight: float, distinct: Column) -> Column:
@@ -141,18 +256,27 @@ def name_strength(score: Column) -> Column:
 
 def name_variants(name: Column) -> Column:
     """Spellings under which an account of this name may exist, in order; empty for null."""
-    base = strip(F.regexp_replace(fold(casefold(F.coalesce(name, F.lit("")))), "^@+", ""))
-    normal = normalize_username(base)
-    core = udfs.strip_affixes(normal)["core"]
-    forms = F.array(
-        base, F.replace(base, F.lit(" "), F.lit("")), F.translate(base, " ", "_"), F.translate(base, "-", "_"), F.translate(base, "_", "-"), F.translate(base, ".", "_"),
-        F.translate(base, "-_. ", ""), F.regexp_replace(base, "^[_-]+|[_-]+$", ""),
-    )
-    cores = F.filter(F.array_distinct(F.array(normal, core, strip_trailing_digits(normal), strip_trailing_digits(core), squash_repeats(normal))), lambda c: F.length(c) >= 3)
     ends, starts = listed(["", *config.SUFFIXES]), listed(config.PREFIXES)
-    grown = F.flatten(F.transform(cores, lambda c: F.concat(F.transform(ends, lambda e: F.concat(c, e)), F.transform(starts, lambda p: F.concat(p, c)))))
-    every = F.when(normal == "", forms).otherwise(F.concat(forms, grown))
-    return F.array_sort(F.array_distinct(F.filter(every, lambda v: v != "")))
+
+    def forms(base: Column) -> Column:
+        return F.array(
+            base, F.replace(base, F.lit(" "), F.lit("")), F.translate(base, " ", "_"), F.translate(base, "-", "_"), F.translate(base, "_", "-"), F.translate(base, ".", "_"),
+            F.translate(base, "-_. ", ""), F.regexp_replace(base, "^[_-]+|[_-]+$", ""),
+        )
+
+    def cores(n: Column) -> Column:
+        every = F.array(n["normal"], n["core"], strip_trailing_digits(n["normal"]), strip_trailing_digits(n["core"]), squash_repeats(n["normal"]))
+        return F.filter(F.array_distinct(every), lambda c: F.length(c) >= 3)
+
+    def grown(normal: Column) -> Column:
+        found = let(F.struct(normal.alias("normal"), without_affixes(normal)["core"].alias("core")), cores)
+        return F.flatten(F.transform(found, lambda c: F.concat(F.transform(ends, lambda e: F.concat(c, e)), F.transform(starts, lambda p: F.concat(p, c)))))
+
+    def every(base: Column) -> Column:
+        more = let(normalize_username(base), lambda normal: F.when(normal == "", F.array().cast("array<string>")).otherwise(grown(normal)))
+        return F.array_sort(F.array_distinct(F.filter(F.concat(forms(base), more), lambda v: v != "")))
+
+    return let(strip(F.regexp_replace(fold(casefold(F.coalesce(name, F.lit("")))), "^@+", "")), every)
 
 
 def host_of(url: Column) -> Column:
@@ -237,10 +361,8 @@ def country_languages(country: Column) -> Column:
     return mapped(F.lower(strip(fold(F.coalesce(country, F.lit(""))))), config.COUNTRY_LANGUAGES)
 
 
-_URL = (
-    r"(?i)\b((?:https?://|www\.)[^\s<>\"'()\[\]{}]+|(?:[a-z0-9-]+\.)+"
-    r"(?:com|tv|gg|ee|ai|net|org|io|me|fr|de|es|it|co|be|link|bio|page|app|live|to)/[^\s<>\"'()\[\]{}]*)"
-)
+# Fixed value: what counts as an address in a text.
+_URL = r"(?i)\b((?:https?://|www\.)[^\s<>\"'()\[\]{}]+|(?:[a-z0-9-]+\.)+(?:com|tv|gg|ee|ai|net|org|io|me|fr|de|es|it|co|be|link|bio|page|app|live|to)/[^\s<>\"'()\[\]{}]*)"
 
 
 def extract_urls(c: Column) -> Column:
@@ -260,7 +382,8 @@ def bio_tokens(c: Column, stopwords: list[str] | None = None) -> Column:
     """The telling words of a bio, in order and with repeats."""
     words = F.regexp_extract_all(F.lower(fold(clean_text(c))), F.lit("([a-z0-9]+)"), F.lit(1))
     kept = F.filter(words, lambda w: F.length(w) > 1)
-    return F.filter(kept, lambda w: ~one_of(w, [*config.STOPWORDS, *config.BIO_BOILERPLATE] if stopwords is None else stopwords))
+    # a long list of values becomes a hash set
+    return F.filter(kept, lambda w: ~w.isin([*config.STOPWORDS, *config.BIO_BOILERPLATE] if stopwords is None else stopwords))
 
 
 def normalize_tag(c: Column) -> Column:

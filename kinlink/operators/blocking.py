@@ -113,7 +113,8 @@ def candidates(sources: DataFrame, handles: DataFrame, catalogue: DataFrame, rej
     pairs = handles.join(catalogue.select(F.col("username").alias("handle"), F.struct(*catalogue.columns).alias("c")), "handle")
     pairs = pairs.join(sources.select("source_key", F.struct(*sources.columns).alias("s")), "source_key")
     linked = F.array_contains("via", "explicit_link")
-    alike = F.greatest(*[F.when(a.isNotNull() & (a != "") & b.isNotNull() & (b != ""), name_similarity(a, b)["score"]).otherwise(F.lit(0.0)) for a in (F.col("s.username"), F.col("s.display_name")) for b in (F.col("handle"), F.col("c.display_name"))])
+    names = F.array(*[F.struct(a.alias("a"), b.alias("b")) for a in (F.col("s.username"), F.col("s.display_name")) for b in (F.col("handle"), F.col("c.display_name"))])
+    alike = F.array_max(F.transform(names, lambda n: name_similarity(n["a"], n["b"])["score"]))
     ranked = pairs.withColumn("alike", alike).withColumn("linked", linked)
     rank = F.row_number().over(Window.partitionBy("source_key").orderBy(F.desc("linked"), F.desc("alike"), "ord", "handle"))
     return ranked.withColumn("rank", rank).filter(F.col("linked") | (F.col("rank") <= most))

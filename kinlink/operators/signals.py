@@ -90,12 +90,13 @@ def username(s: Column, c: Column, w: Scoring) -> Column:
 def display_name(s: Column, c: Column, w: Scoring) -> Column:
     """The best of the name pairs besides login and login; worth less where display names restate the logins."""
 
-    def pair(a: Column, b: Column, place: int) -> Column:
-        distinct = F.least(X.distinctiveness(X.normalize_username(a)), X.distinctiveness(X.normalize_username(b)))
-        parts = F.struct(X.name_similarity(a, b).alias("found"), distinct.alias("distinct"), (_present(a) & _present(b)).alias("there"))
-        return X.let(parts, lambda p: F.when(p["there"] & (p["found"]["score"] > 0), F.struct(p["found"]["score"].alias("score"), F.lit(-place).alias("place"), p["found"]["method"].alias("method"), p["distinct"].alias("distinct"))))
+    def compared(n: Column) -> Column:
+        distinct = F.least(X.distinctiveness(X.normalize_username(n["a"])), X.distinctiveness(X.normalize_username(n["b"])))
+        found = lambda f: F.when(f["score"] > 0, F.struct(f["score"].alias("score"), n["place"].alias("place"), f["method"].alias("method"), distinct.alias("distinct")))
+        return X.let(X.name_similarity(n["a"], n["b"]), found)
 
-    best = F.array_max(F.array_compact(F.array(pair(s["display_name"], c["display_name"], 0), pair(s["display_name"], c["username"], 1), pair(s["username"], c["display_name"], 2))))
+    names = [(s["display_name"], c["display_name"]), (s["display_name"], c["username"]), (s["username"], c["display_name"])]
+    best = F.array_max(F.array_compact(F.transform(F.array(*[F.struct(a.alias("a"), b.alias("b"), F.lit(-i).alias("place")) for i, (a, b) in enumerate(names)]), compared)))
     restated = (X.normalize_username(s["display_name"]) == X.normalize_username(s["username"])) & (X.normalize_username(c["display_name"]) == X.normalize_username(c["username"]))
     parts = F.struct(best.alias("best"), restated.alias("restated"), (_present(s["display_name"]) | _present(c["display_name"])).alias("there"))
 
@@ -119,14 +120,16 @@ def bio_score(a: Column, b: Column, embedding: Column | None = None) -> Column:
     padded = lambda t: X.ngrams(F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" ")), 3)
     alike = X.cosine_of_counts(padded(set_a), padded(set_b))
     lexical = F.greatest(share, F.when(share > 0.1, 0.9 * alike).otherwise(0.6 * alike))
-    meaning = F.lit(0.0) if embedding is None else F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (embedding - 0.55) / 0.4)), F.lit(0.0))
+    meaning = F.lit(0.0) if embedding is None else F.when(embedding.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (embedding - 0.55) / 0.4))).otherwise(0.0)
     return F.struct(F.greatest(lexical, meaning).alias("score"), share.alias("jaccard"), alike.alias("cosine"))
 
 
-def bio(s: Column, c: Column, w: Scoring) -> Column:
+def bio(s: Column, c: Column, w: Scoring, embedding: Column | None = None) -> Column:
+    """How alike two bios are. embedding: cosine of their vectors, where there are any."""
     a, b = X.bio_tokens(all_text(s)), X.bio_tokens(all_text(c))
-    parts = F.struct(a.alias("a"), b.alias("b"), udfs.longest_common_run(a, b).alias("run"))
-    scored = X.let(parts, lambda p: F.struct(bio_score(p["a"], p["b"]).alias("found"), p["run"].alias("run"), ((F.size(p["a"]) >= 3) & (F.size(p["b"]) >= 3)).alias("there")))
+    meaning = F.lit(None).cast("double") if embedding is None else embedding
+    parts = F.struct(a.alias("a"), b.alias("b"), udfs.longest_common_run(a, b).alias("run"), meaning.alias("meaning"))
+    scored = X.let(parts, lambda p: F.struct(bio_score(p["a"], p["b"], p["meaning"]).alias("found"), p["run"].alias("run"), ((F.size(p["a"]) >= 3) & (F.size(p["b"]) >= 3)).alias("there")))
 
     def told(p: Column) -> Column:
         found, run = p["found"], p["run"]
@@ -146,7 +149,6 @@ def weighted_mean(parts: list[tuple[float, Column]]) -> Column:
 
 def content(s: Column, c: Column, w: Scoring) -> Column:
     """Category, tags, language and title, as far as both sides have them."""
-    # texts are folded here, so that no Arrow function runs within an array
     joined = lambda p: F.split(X.fold(F.lower(F.array_join(F.coalesce(p["tags"], F.array().cast("array<string>")), "\u0001"))), "\u0001")
     named = lambda p: F.struct(F.coalesce(F.lower(X.strip(p["category"])), F.lit("")).alias("category"), X.normalize_language(p["language"]).alias("language"), joined(p).alias("tags"), F.array_distinct(X.bio_tokens(p["stream_title"])).alias("title"))
     return X.let(F.struct(named(s).alias("s"), named(c).alias("c")), lambda p: X.let(_content(p["s"], p["c"]), lambda q: _content_signal(q, w)))

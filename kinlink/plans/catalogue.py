@@ -130,7 +130,7 @@ def name_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
 def name_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import udfs
 
-    return _name_pairs(spark, sf_dir).select("a", "b", F.round(udfs.jaro_winkler_similarity("a", "b"), 9).alias("similarity"))
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(X.jaro_winkler(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
 @query(f"""WITH {_NAMES}, n AS (SELECT a, b, replace(a, ' ', '') AS x, replace(b, ' ', '') AS y FROM pairs), g AS (SELECT *, {_GRAMS.format('x')} AS gx, {_GRAMS.format('y')} AS gy FROM n)

@@ -1,7 +1,10 @@
-"""Goldens of the scalar functions."""
+"""Goldens of the scalar functions. Names, addresses and their results in the tables are fixed values."""
+
+import unicodedata
 
 from pyspark.sql import functions as F
 
+from kinlink import config
 from kinlink.functions import links as L
 from kinlink.functions import text as X
 from kinlink.functions import udfs
@@ -16,8 +19,20 @@ def test_usernames(spark):
     names = {"MrBeast": "mrbeast", "mr_beast": "mrbeast", "Mr. Beast": "mrbeast", "JoséPeña": "josepena", "__x__": "x", "Müller_TV": "mullertv", "Straße": "strasse", "François": "francois", "": "", None: ""}
     assert values(spark, list(names), X.normalize_username) == list(names.values())
     assert values(spark, ["jimmyboyyy"], X.squash_repeats) == ["jimyboy"]
-    assert udfs.core_of("ayzohtv")[0] == "ayzoh" and udfs.core_of("davidsantosoficial")[0] == "davidsantos" and udfs.core_of("tvtv")[0] == "tvtv"
-    assert udfs.folded("é è ö ü ñ ç") == "e e o u n c"
+    cores = values(spark, ["ayzohtv", "davidsantosoficial", "tvtv", "therealmarcotvlive", "xytv", "", None], X.without_affixes)
+    assert [c and c.core for c in cores] == ["ayzoh", "davidsantos", "tvtv", "marco", "xytv", "", None]
+    assert sorted(cores[3].removed) == ["-live", "-tv", "real-", "the-"]
+
+
+def test_folds_equal_unicode(spark):
+    def folded(t):
+        plain = "".join(config.SPECIAL_FOLDS.get(c, c) for c in unicodedata.normalize("NFKC", t))
+        return "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
+
+    texts = ["é è ö ü ñ ç", "e\u0301a", "Straße Ærø Œuvre", "ﬁne ﬄ", "𝓕𝓪𝓷𝓬𝔂 Ｆｕｌｌ", "№ 5 ½ ⑩ ㎏ ™", "Ǆ ǆ ŉ", "ŁÓDŹ İıİ", "αβγ άέ", "日本 テスト ｶﾞ", "x😀y", "a\\]^-[b é"]
+    texts += [chr(c) + "z" for c in range(0x80, 0x2FF00, 37) if not (0xAC00 <= c <= 0xD7A3 or 0xD800 <= c <= 0xDFFF or 0x1100 <= c <= 0x11FF)]
+    assert values(spark, texts, X.fold) == [folded(t) for t in texts]
+    assert values(spark, [" ÉTÉ ", "Ｆｕｌｌ", "STRASSE", "straße", "ΣΑΣ", "σας"], X.casefold) == ["été", "full", "strasse", "strasse", "σασ", "σασ"]
     d = values(spark, ["bobinice7676", "noni", ""], X.distinctiveness)
     assert d[0] == 1.0 and d[0] > d[1] and d[2] == 0.0
     assert values(spark, ["fooBar_baz"], X.tokenize_name, "string") == [["foo", "bar", "baz"]]
@@ -68,6 +83,8 @@ def test_handles_and_headers(spark):
 
 def test_runs_and_cosine(spark):
     assert udfs.common_run("a b c d".split(), "x b c y".split()) == 2 and udfs.common_run([], ["a"]) == 0
-    assert abs(udfs.jaro_winkler("nikkilve", "nikklive") - 0.975) < 1e-9
+    df = spark.createDataFrame([("nikkilve", "nikklive"), ("martha", "marhta"), ("dixon", "dicksonx"), ("a", "b"), ("", "a"), ("x", "x"), ("abcd", "dcba")], "a string, b string")
+    found = [r.x for r in df.select(X.jaro_winkler(F.col("a"), F.col("b")).alias("x")).collect()]
+    assert [round(x, 6) for x in found] == [0.975, 0.961111, 0.813333, 0.0, 0.0, 1.0, 0.5]
     assert values(spark, ["a b"], lambda c: X.cosine_of_counts(F.array(c), F.array(c))) == [1.0]
     assert values(spark, ["x"], lambda c: X.cosine_of_counts(F.array(c), F.array().cast("array<string>"))) == [0.0]
