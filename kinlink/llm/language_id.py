@@ -171,7 +171,8 @@ def cut(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     lengths = np.minimum(WINDOW, bounds[1:][row] - start)
     padded = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[start] if len(row) else np.zeros((0, WINDOW), np.uint8)
-    return windows, lengths, row
+    # past a text's end there are zeros: what another text holds has no part in it
+    return windows * (np.arange(WINDOW) < lengths[:, None]), lengths, row
 
 
 def pooled(net: Network, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
