@@ -31,12 +31,27 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _in(values: list[str]) -> str:
-    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
-
-
-_BLANK = f"lower(trim(coalesce({{}}, ''))) IN {_in(config.PLACEHOLDERS)}"
-_LANGS = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in config.COUNTRY_LANGUAGES.items()) + "}"
+# What the SQL expects, apart from the tables that the operators use.
+_BLANK = "lower(trim(coalesce({}, ''))) IN ('', 'none', 'null', 'nan', 'n/a', 'na', '-', '--', 'unknown', 'not found')"
+_LANGS = "MAP {'germany': ['de'], 'france': ['fr'], 'canada': ['en', 'fr'], 'spain': ['es'], 'italy': ['it'], 'brazil': ['pt'], 'japan': ['ja']}"
+_OWN_REMARKS = "('no kick id', 'no twitch id found', 'no Id on both platforms', 'no kick channel found', 'no twitch channel found', 'nearest possible twitch channel', 'nearest possible kick channel', 'nearest possible channel')"
+_OLD_REMARKS = "('nearest possible twitch channel', 'nearest possible kick channel', 'nearest possible channel')"
+_FINAL = "('MATCH', 'NO_MATCH', 'REVIEW', 'SOURCE_NOT_FOUND', 'SKIPPED_EMPTY', 'PRESERVED')"
+_STATE_ROWS = """
+  ('kick', 'EXISTS', 'MATCH', NULL, 'KICK_A', true),
+  ('kick', 'EXISTS', 'REVIEW', NULL, 'KICK_B', false),
+  ('kick', 'EXISTS', 'NO_MATCH', NULL, 'KICK_B', false),
+  ('kick', 'NOT_FOUND', 'MATCH', 'VERIFIED', 'KICK_C', true),
+  ('kick', 'NOT_FOUND', 'REVIEW', 'EXISTS_UNVERIFIED', 'KICK_C2', false),
+  ('kick', 'NOT_FOUND', 'NO_MATCH', 'EXISTS_UNVERIFIED', 'KICK_C2', false),
+  ('kick', 'NOT_FOUND', 'NO_MATCH', 'NOT_FOUND', 'KICK_D', false),
+  ('twitch', 'EXISTS', 'MATCH', NULL, 'TWITCH_A', true),
+  ('twitch', 'EXISTS', 'REVIEW', NULL, 'TWITCH_B', false),
+  ('twitch', 'EXISTS', 'NO_MATCH', NULL, 'TWITCH_B', false),
+  ('twitch', 'NOT_FOUND', 'MATCH', 'VERIFIED', 'TWITCH_C1', true),
+  ('twitch', 'NOT_FOUND', 'REVIEW', 'EXISTS_UNVERIFIED', 'TWITCH_C2', false),
+  ('twitch', 'NOT_FOUND', 'NO_MATCH', 'EXISTS_UNVERIFIED', 'TWITCH_C2', false),
+  ('twitch', 'NOT_FOUND', 'NO_MATCH', 'NOT_FOUND', 'TWITCH_C', false)"""
 
 # --- sources, keys and lookups
 
@@ -359,9 +374,9 @@ def rejected_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rows
 
 
-_STATE = f"""{S.ROWS_SQL}, st AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join('NULL' if x is None else repr(x) for x in (*k, v[0], v[1])) + ')' for k, v in config.STATES.items())}) AS t(p, ss, d, ts, base, w)),
+_STATE = f"""{S.ROWS_SQL}, st AS (SELECT * FROM (VALUES {_STATE_ROWS}) AS t(p, ss, d, ts, base, w)),
 j AS (SELECT sheet.*, base, w, coalesce(matched_id, '') <> '' AS has_id FROM sheet JOIN st ON p = source_platform AND ss = source_status AND d = decision AND ts IS NOT DISTINCT FROM CASE WHEN source_status = 'NOT_FOUND' THEN target_status END),
-q AS (SELECT *, NOT ({_BLANK.format('existing_destination')}) AS kept, CASE WHEN w THEN matched_id END AS dest, {_BLANK.format('existing_remarks')} AS rblank, coalesce(trim(existing_remarks) IN {_in(config.OWN_REMARKS)}, false) AS own, coalesce(trim(existing_remarks) IN {_in(config.OLD_REMARKS)}, false) AS old,
+q AS (SELECT *, NOT ({_BLANK.format('existing_destination')}) AS kept, CASE WHEN w THEN matched_id END AS dest, {_BLANK.format('existing_remarks')} AS rblank, coalesce(trim(existing_remarks) IN {_OWN_REMARKS}, false) AS own, coalesce(trim(existing_remarks) IN {_OLD_REMARKS}, false) AS old,
   CASE WHEN source_status = 'EXISTS' AND has_id THEN NULL WHEN source_status = 'EXISTS' THEN CASE source_platform WHEN 'kick' THEN 'no twitch id found' ELSE 'no kick id' END WHEN has_id THEN 'no ' || source_platform || ' channel found' ELSE 'no Id on both platforms' END AS rem FROM j)
 SELECT original_row, CASE WHEN kept THEN 'PRESERVED' WHEN source_status = 'NOT_FOUND' THEN CASE WHEN w THEN 'MATCH' ELSE 'SOURCE_NOT_FOUND' END ELSE decision END AS status, CASE WHEN NOT kept THEN dest END AS destination, CASE WHEN NOT kept THEN rem END AS remarks,
   CASE WHEN kept THEN false ELSE dest IS NOT NULL OR existing_destination IS NOT NULL END AS write_destination,
@@ -389,7 +404,7 @@ def row_grid_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.grid(S.outcomes(spark, sf_dir), status="ERROR", offset=10, limit=20).select("original_row", "status", "decision", "total")
 
 
-@query(f"""WITH {S.OUTCOMES_SQL}, c AS (SELECT *, (original_row * 7) % 5 AS a FROM outcomes WHERE decision = 'REVIEW' AND status IN {_in(config.FINAL_STATUSES)} AND manual_verdict IS NULL)
+@query(f"""WITH {S.OUTCOMES_SQL}, c AS (SELECT *, (original_row * 7) % 5 AS a FROM outcomes WHERE decision = 'REVIEW' AND status IN {_FINAL} AND manual_verdict IS NULL)
 SELECT original_row, 'cand_' || (a + 1) AS candidate, len(list_filter(generate_series(0, 7), lambda i: i % 3 < 2))::BIGINT AS n_open, 5::BIGINT AS n_others FROM c""")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.outcomes(spark, sf_dir)
@@ -488,25 +503,38 @@ def _searched_names(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return parts.unionByName(texts).distinct()
 
 
-@query()
+_SEARCHED = r"""WITH t AS (SELECT p_name AS u, true AS a, true AS b FROM part UNION ALL SELECT regexp_extract(coalesce(text, ''), '^\s*(\S{1,20}\s+\S{1,20})', 1), true, false FROM benchmark UNION ALL SELECT regexp_extract(coalesce(text, ''), '^\s*(\S{1,20}\s+\S{1,20})', 1), false, true FROM documents),
+n AS (SELECT u, bool_or(a) AS a, bool_or(b) AS b, regexp_replace(lower(strip_accents(replace(replace(replace(u, 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'))), '[^0-9a-z]+', '', 'g') AS low FROM t WHERE u <> '' GROUP BY u),
+g AS (SELECT u, a, b, CASE WHEN length(low) < 2 THEN [low] ELSE list_distinct(list_transform(generate_series(1, length(low) - 1), lambda i: substr(low, i::INT, 2))) END AS g FROM n),
+p AS (SELECT x.u AS source_key, y.u AS handle, len(list_intersect(x.g, y.g)) AS shared, len(y.g) AS size FROM g x JOIN g y ON x.a AND y.b)
+SELECT source_key, handle, ord FROM (SELECT *, 1000 + row_number() OVER (PARTITION BY source_key ORDER BY shared DESC, handle) AS ord FROM p WHERE shared >= greatest(1, ceil(0.5 * size))) WHERE ord <= 1005"""
+
+
+@query(_SEARCHED)
 def search_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For names of parts and benchmark items, the names of parts and documents that share the most bigrams."""
     asked = _searched_names(spark, sf_dir, "benchmark").select(F.col("username").alias("source_key"), "username")
-    return blocking.search_by_grams(asked, _searched_names(spark, sf_dir, "documents"), k=5).select("source_key", "handle", "ord")
+    return blocking.search_by_grams(asked, _searched_names(spark, sf_dir, "documents"), k=5).select("source_key", "handle", F.col("ord").cast("long").alias("ord"))
 
 
 # --- the whole engine
 
 
-@query()
+@query("""WITH o AS (SELECT CAST(o_orderkey AS INT) AS original_row, o_custkey % 8 AS kind, translate(substr(md5('c' || o_custkey), 1, 10), '0123456789abcdef', 'abcdefghiklmnopr') AS base FROM orders)
+SELECT original_row, CASE WHEN kind = 3 THEN 'the-real-' || base WHEN kind <> 7 THEN base END AS source_key, CASE WHEN kind IN (5, 6) THEN 'NOT_FOUND' WHEN kind <> 7 THEN 'EXISTS' END AS source_status,
+  CASE kind WHEN 1 THEN 'REVIEW' WHEN 4 THEN 'REVIEW' WHEN 5 THEN 'SOURCE_NOT_FOUND' WHEN 7 THEN 'SKIPPED_EMPTY' ELSE 'MATCH' END AS status, CASE kind WHEN 1 THEN 'REVIEW' WHEN 4 THEN 'REVIEW' WHEN 5 THEN 'NO_MATCH' WHEN 7 THEN NULL ELSE 'MATCH' END AS decision,
+  CASE kind WHEN 0 THEN base WHEN 2 THEN substr(base, 1, 8) || substr(base, 10, 1) || substr(base, 9, 1) || '_' WHEN 3 THEN base || 'officialtv' WHEN 6 THEN base END AS destination,
+  CASE kind WHEN 1 THEN 'no twitch id found' WHEN 4 THEN 'no twitch id found' WHEN 5 THEN 'no Id on both platforms' WHEN 6 THEN 'no kick channel found' END AS remarks, CASE WHEN kind IN (1, 4) THEN base END AS review_candidate,
+  CASE WHEN kind < 5 THEN kind IN (0, 2, 3) END AS sure, kind IN (0, 2, 3, 6) AS write_destination, kind IN (1, 4, 5, 6) AS write_remarks,
+  CASE kind WHEN 1 THEN 'KICK_B' WHEN 4 THEN 'KICK_B' WHEN 5 THEN 'KICK_D' WHEN 6 THEN 'KICK_C' WHEN 7 THEN 'EMPTY_SOURCE' ELSE 'KICK_A' END AS state_case FROM o""")
 def resolve_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order as a row of a sheet, resolved by names, links, pictures, evidence, gates and rules."""
+    """Every order as a row of a sheet, resolved by names, links, pictures, evidence, gates and rules; sure: the confidence that a match needs is reached."""
     from .resolve import resolve
 
     sheet_rows, kick, twitch, images = S.people(spark, sf_dir)
     searched = blocking.search_by_grams(kick.select(F.col("username").alias("source_key"), "username"), twitch)
     out = resolve(sheet_rows, kick, twitch, "kick", images, searched=searched)
-    return out.select("original_row", "source_key", "source_status", "status", "decision", "destination", "remarks", "review_candidate", "confidence", "write_destination", "write_remarks", "state_case")
+    return out.select("original_row", "source_key", "source_status", "status", "decision", "destination", "remarks", "review_candidate", (F.col("confidence") >= 90).alias("sure"), "write_destination", "write_remarks", "state_case")
 
 
 # --- pictures, missing sources, resumed runs

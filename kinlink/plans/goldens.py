@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Scoring
 from ..functions import text as X
 from ..functions.links import IDENTITY, extract_identities, url_identity, website_is_personal
-from ..operators import blocking, decide, rows, signals
+from ..operators import blocking, decide, report, rows, signals
 from ..sources import cells as sheet
 from . import standins as S
 from .catalogue import ORACLES, QUERIES, query
@@ -420,3 +420,143 @@ def last_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_key"), F.col("o_orderkey").alias("ord"))
     return rows.numbered(o, "source_key", "ord").select("source_key", "ord", F.col("place").cast("long").alias("place"))
+
+
+# --- reports, snapshots, verdicts and jobs
+
+
+def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored outcomes with two candidates each."""
+    k = F.col("original_row")
+    evidence = lambda i: F.struct((k % 100 / 100.0).alias("username_similarity"), F.lit(None).cast("double").alias("display_name_similarity"), F.lit(0.5).alias("profile_image_similarity"), F.lit(0.25).alias("bio_similarity"), F.lit(1.0).alias("content_similarity"), (k % 2 == i).alias("explicit_cross_link"), F.when(k % 3 == 0, "instagram:a,x:b").otherwise("").alias("shared_social_accounts"), F.lit(True).alias("country_match"))
+    candidate = lambda i: F.struct(F.lit("twitch").alias("platform"), F.concat(F.lit("cand_"), (k + i) % 3).alias("username"), F.when(k % 2 == i, "MATCH").otherwise("REVIEW").alias("decision"), (k % 90 + i).cast("double").alias("confidence"), evidence(i).alias("evidence"), F.array(F.lit("exact_username"), F.lit("search")).alias("via"), F.lit("why").alias("reason"))
+    out = S.outcomes(spark, sf_dir).withColumn("source_value", F.upper("source_key")).withColumn("country", F.lit("France")).withColumn("confidence", (k % 90).cast("double"))
+    out = out.withColumn("review_candidate", F.when(F.col("decision") == "REVIEW", F.concat(F.lit("cand_"), (k + 1) % 3))).withColumn("destination", F.col("matched_id")).withColumn("remarks", F.lit(None).cast("string"))
+    out = out.withColumn("reason", F.when(k % 4 > 0, "because")).withColumn("error_message", F.when(k % 4 == 0, "late")).withColumn("write_destination", F.lit(True)).withColumn("write_remarks", F.lit(False)).withColumn("state_case", F.lit("x"))
+    return out.withColumn("candidates", F.array(candidate(0), candidate(1)))
+
+
+@query(f"""WITH {S.OUTCOMES_SQL} SELECT original_row, source_platform, upper(source_key) AS source_id, 'France' AS country, status, decision, (original_row % 90)::DOUBLE AS confidence, CASE source_platform WHEN 'kick' THEN 'twitch' ELSE 'kick' END AS candidate_platform,
+  coalesce(matched_id, CASE WHEN decision = 'REVIEW' THEN 'cand_' || ((original_row + 1) % 3) END) AS candidate_id, matched_id AS written_destination, NULL::VARCHAR AS written_remarks, manual_verdict, CASE WHEN original_row % 4 > 0 THEN 'because' ELSE 'late' END AS reason,
+  CASE WHEN decision = 'REVIEW' THEN original_row % 2 = 1 ELSE original_row % 2 = 0 END AS best_linked FROM outcomes""")
+def review_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's lines; the evidence of a row's best candidate is read back from its JSON."""
+    out = report.report_rows(_reported(spark, sf_dir))
+    return out.withColumn("best_linked", F.from_json("evidence", "explicit_cross_link boolean")["explicit_cross_link"]).drop("evidence")
+
+
+@query(f"""WITH {S.OUTCOMES_SQL} SELECT original_row, upper(source_key) AS source_id, 'twitch' AS candidate_platform, 'cand_' || ((original_row + i) % 3) AS candidate_id, CASE WHEN original_row % 2 = i THEN 'MATCH' ELSE 'REVIEW' END AS decision, (original_row % 90 + i)::DOUBLE AS confidence,
+  original_row % 100 / 100.0::DOUBLE AS username_sim, NULL::DOUBLE AS display_name_sim, 0.5::DOUBLE AS image_sim, original_row % 2 = i AS explicit_link, CASE WHEN original_row % 3 = 0 THEN 'instagram:a, x:b' ELSE '' END AS shared_socials, 0.25::DOUBLE AS bio_sim, 1.0::DOUBLE AS content_sim,
+  true AS country_match, 'exact_username, search' AS discovered_via, 'why' AS reason FROM outcomes, (VALUES (0), (1)) AS v(i)""")
+def review_report_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.report_candidates(_reported(spark, sf_dir))
+
+
+@query(f"""WITH {S.OUTCOMES_SQL}, c AS (SELECT source_platform, count(*) AS n, count(*) FILTER (status = 'MATCH') AS m, count(*) FILTER (status = 'TEMPORARY_ERROR') AS e,
+  count(*) FILTER (status IN ('REVIEW', 'NO_MATCH', 'SOURCE_NOT_FOUND') AND decision = 'REVIEW' AND manual_verdict IS NULL) AS r, count(*) FILTER (status IN ('REVIEW', 'NO_MATCH', 'SOURCE_NOT_FOUND') AND NOT (decision = 'REVIEW' AND manual_verdict IS NULL)) AS x FROM outcomes GROUP BY 1)
+SELECT source_platform || '.xlsx' AS filename, v.place, v.name, v.value FROM c, LATERAL (VALUES (1, 'File', source_platform || '.xlsx'), (2, 'Source platform', source_platform), (3, 'Rows', n::VARCHAR), (4, 'Matches', m::VARCHAR), (5, 'No match / not found', x::VARCHAR), (6, 'Review', r::VARCHAR), (7, 'Errors', e::VARCHAR), (8, 'Matching engine version', 'v1')) AS v(place, name, value)""")
+def review_report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = rows.counters(S.outcomes(spark, sf_dir), "source_platform").withColumn("filename", F.concat("source_platform", F.lit(".xlsx")))
+    return report.summary(counted, "v1")
+
+
+@query(f"""WITH {S.OUTCOMES_SQL} SELECT original_row, source_key, CASE WHEN original_row % 3 = 0 THEN 'MATCH' ELSE status END AS status, CASE WHEN original_row % 3 = 0 THEN 'again' ELSE matched_id END AS matched_id, CASE WHEN original_row % 3 > 0 AND original_row % 4 = 0 THEN 'late' END AS error_message, CASE WHEN original_row % 3 > 0 THEN manual_verdict END AS manual_verdict FROM outcomes""")
+def row_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the rows resolved again: all of what a resolution writes is replaced, nulls too."""
+    now = _reported(spark, sf_dir)
+    empty = lambda c: F.lit(None).cast(now.schema[c].dataType if c in now.columns else "string")
+    given = {"status": F.lit("MATCH"), "matched_id": F.lit("again")}
+    again = now.filter("original_row % 3 = 0").select("original_row", *[given.get(c, empty(c)).alias(c) for c in report.WRITTEN])
+    return report.upserted(now, again).select("original_row", "source_key", "status", "matched_id", "error_message", "manual_verdict")
+
+
+@query(f"""WITH {S.EVIDENCE_SQL}, c AS (SELECT 'user-' || o_custkey AS source_key, k, decision FROM final JOIN orders ON o_orderkey = k), p AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY k) AS place FROM c)
+SELECT 'job' AS job_id, source_key, k::VARCHAR AS target_key, 'a,b' AS discovered_via, decision, 'v1' AS engine_version FROM p WHERE place <= 2""")
+def candidate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = rows.numbered(decide.evaluated(S.evidence(spark, sf_dir), W), "source_key", "ord").withColumn("via", F.array(F.lit("a"), F.lit("b"))).withColumn("evidence", decide.evidence(F.col("signals")))
+    return report.kept_candidates(scored, "job", "v1", 2).select("job_id", "source_key", "target_key", "discovered_via", "decision", "engine_version")
+
+
+@query(f"""WITH {S.EVIDENCE_SQL}, c AS (SELECT 'user-' || o_custkey AS source_key, k, decision, points, round_even(confidence, 1) AS confidence FROM final JOIN orders ON o_orderkey = k),
+r AS (SELECT source_key, arg_max(k, (CASE decision WHEN 'MATCH' THEN 2 WHEN 'REVIEW' THEN 1 ELSE 0 END, confidence, points, -k)) AS best, max(CASE decision WHEN 'MATCH' THEN 2 WHEN 'REVIEW' THEN 1 ELSE 0 END) AS top, count(*) FILTER (decision = 'MATCH') AS n FROM c GROUP BY 1)
+SELECT source_key, CASE WHEN top > 0 THEN best::VARCHAR END AS target_key, CASE WHEN n > 1 THEN 'REVIEW' WHEN top = 2 THEN 'MATCH' WHEN top = 1 THEN 'REVIEW' ELSE 'NO_MATCH' END AS decision, top > 0 AS has_evidence FROM r""")
+def decision_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = decide.evaluated(S.evidence(spark, sf_dir), W).withColumn("evidence", decide.evidence(F.col("signals")))
+    chosen = decide.aggregated(scored).select("source_key", "decision", F.when(F.col("decision") != "NO_MATCH", F.col("best")).alias("target"), "confidence", F.lit("why").alias("reason"))
+    return report.kept_decisions(chosen, scored, "job", "v1").select("source_key", "target_key", "decision", F.col("evidence").isNotNull().alias("has_evidence"))
+
+
+@query(f"""WITH {S.OUTCOMES_SQL}, g AS (SELECT source_key, 'cand_' || (original_row % 3) AS target_key, CASE original_row % 3 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'REJECTED' END AS verdict, original_row AS updated_at FROM outcomes WHERE original_row % 3 < 2)
+SELECT source_key, target_key, arg_max(verdict, updated_at) AS verdict FROM g GROUP BY ALL""")
+def verdict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on candidates that the engine found; the last one of a pair counts, and SKIP leaves no trace."""
+    from .. import schemas
+
+    k = F.col("original_row")
+    known = _reported(spark, sf_dir)
+    given = known.select("source_key", F.concat(F.lit("CAND_"), k % 3).alias("target_key"), F.when(k % 3 == 0, "CONFIRM").when(k % 3 == 1, "REJECT").otherwise("SKIP").alias("verdict"), F.timestamp_seconds(k).alias("updated_at"))
+    log = spark.createDataFrame([], schemas.VERDICT)
+    return decide.latest_verdicts(report.submitted(log, given, known)).select("source_key", "target_key", "verdict")
+
+
+@query("""SELECT event_id, event_type = 'click' OR (event_type IN ('view', 'purchase') AND event_id % 2 = 0) AS output_available, 'f' || event_id || '_processed.xlsx' AS output_filename, 'f' || event_id || '_review.xlsx' AS review_filename, event_type = 'signup' AND event_id % 3 = 0 AS needs_platform_choice FROM events""")
+def job_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, kind = F.col("event_id"), F.col("event_type")
+    status = F.when(kind == "view", "COMPLETED").when(kind == "purchase", "PARTIAL").when(kind == "signup", "UPLOADED").otherwise("PROCESSING")
+    jobs = S.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("f"), k, F.lit(".xlsx")).alias("filename"), status.alias("status"), F.when(kind == "click", "there").alias("output_path"), (k % 2 == 0).alias("export_stale"), F.when(k % 3 > 0, "kick").alias("detected_platform"))
+    return report.job_view(jobs).select("event_id", "output_available", "output_filename", "review_filename", "needs_platform_choice")
+
+
+@query("SELECT CAST(s_suppkey + 1 AS INT) AS row, 3 AS col FROM supplier WHERE s_suppkey % 4 = 1 AND s_suppkey % 3 > 0 AND s_suppkey > 1")
+def highlighted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that still carry an earlier run's colour, below a header in row 2."""
+    k = F.col("s_suppkey")
+    cells = S.table(spark, sf_dir, "supplier").select(F.lit("S").alias("sheet"), (k + 1).cast("int").alias("row"), F.lit(3).alias("col"), F.when(k % 3 == 0, " n/a ").otherwise(F.col("s_name")).alias("value"), F.when(k % 4 != 2, "solid").alias("fill_type"), F.when(k % 4 == 3, "FFFFFFFF").when(k % 4 == 0, None).otherwise("ffffeb9c").alias("fill"))
+    return report.stale_highlights(cells, 3, 2).select("row", "col")
+
+
+@query("""WITH e AS (SELECT user_id, max(CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END) AS failed FROM events GROUP BY 1), d AS (SELECT user_id, failed, CASE user_id % 3 WHEN 0 THEN 'MATCH' WHEN 1 THEN 'REVIEW' ELSE 'NO_MATCH' END AS decision FROM e)
+SELECT user_id AS source_key, CASE WHEN failed = 1 AND decision <> 'MATCH' THEN NULL ELSE decision END AS decision, CASE WHEN failed = 1 AND decision <> 'MATCH' THEN 'TEMPORARY_ERROR' ELSE decision END AS status FROM d""")
+def transient_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture that could not be fetched must not decide against a source."""
+    pairs = S.table(spark, sf_dir, "events").select(F.col("user_id").alias("source_key"), (F.col("event_id") % 97 == 0).alias("image_failed"))
+    k = F.col("source_key") % 3
+    decision = F.when(k == 0, "MATCH").when(k == 1, "REVIEW").otherwise("NO_MATCH")
+    return report.without_transient(pairs.select("source_key").distinct().select("source_key", decision.alias("decision"), decision.alias("status")), pairs)
+
+
+@query("""SELECT c_custkey AS source_key, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN 'MATCH' WHEN c_custkey % 5 = 0 THEN 'REVIEW' ELSE 'NO_MATCH' END AS decision, CASE WHEN c_custkey % 4 < 2 OR c_custkey % 5 = 0 THEN 'old' ELSE 'new' END AS target FROM customer""")
+def final_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final rules replace stored decisions, but for missing ones and a human's match; every fifth source has no rule."""
+    c = S.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_key"))
+    k = F.col("source_key")
+    stored = c.select("source_key", F.when(k % 4 == 1, "MATCH").when(k % 4 > 1, "REVIEW").alias("decision"), F.lit("old").alias("target"), (k % 4 == 1).alias("manual"))
+    ruled = c.filter("source_key % 5 > 0").select("source_key", F.lit("NO_MATCH").alias("decision"), F.lit("new").alias("target"))
+    return report.finally_decided(stored, ruled).select("source_key", "decision", "target")
+
+
+@query("""WITH m AS (SELECT 'v1|kick|u' || user_id || '|fr' AS memo_key, arg_max(CASE WHEN event_type <> 'error' THEN event_type END, ts) AS payload, max(ts + CASE WHEN event_type <> 'error' THEN INTERVAL 3 DAY ELSE INTERVAL 6 HOUR END) AS until FROM events GROUP BY 1),
+e AS (SELECT 'v1|kick|u' || user_id || '|fr' AS memo_key, ts + CASE WHEN event_type <> 'error' THEN INTERVAL 3 DAY ELSE INTERVAL 6 HOUR END AS expires FROM events)
+SELECT memo_key, max(expires) > (SELECT max(ts) FROM events) AS known, strftime(max(expires), '%Y-%m-%dT%H:%M:%S') AS until FROM e GROUP BY 1""")
+def remembered_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each user's earlier resolutions is still valid at the time of the last event."""
+    e = S.table(spark, sf_dir, "events")
+    key = report.memo_key("v1", F.lit("kick"), F.concat(F.lit("u"), "user_id"), F.lit(" FR "))
+    at = e.select(key.alias("memo_key"), "ts", F.when(F.col("event_type") != "error", F.col("event_type")).alias("payload"))
+    memo = report.to_remember(at, F.col("ts"))
+    last = F.lit(e.agg(F.max("ts")).first()[0]).cast(e.schema["ts"].dataType)
+    known, open_ = report.remembered(at.select("memo_key").distinct(), memo, last)
+    told = known.select("memo_key", F.lit(True).alias("known")).unionByName(open_.select("memo_key", F.lit(False).alias("known")))
+    return told.join(memo.groupBy("memo_key").agg(F.date_format(F.max("expires_at"), "yyyy-MM-dd'T'HH:mm:ss").alias("until")), "memo_key")
+
+
+@query("""SELECT o_orderkey, least(100, floor(100.0 * (o_orderkey % 130) / 120 + 0.5))::INT AS done, CASE WHEN o_orderkey % 5 = 0 THEN '–' ELSE floor((o_orderkey % 1000) / 10.0 + 0.5)::INT || '%' END AS confidence, CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE floor((o_orderkey % 100) / 200.0 * 100 + 0.5)::INT || '%' END AS score,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'MATCH' WHEN o_orderkey % 3 = 1 THEN 'no' ELSE 'n/a' END AS flag, CASE o_orderkey % 3 WHEN 0 THEN '—' WHEN 1 THEN 'a, b' ELSE 'n/a' END AS list, CASE WHEN o_orderkey % 3 = 0 THEN 'Kick' WHEN o_orderkey % 3 = 1 THEN 'Twitch' ELSE '—' END AS platform,
+  strftime(make_timestamp(o_orderkey * 1000000), '%Y-%m-%dT%H:%M:%S.000000+00:00') AS at FROM orders""")
+def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    words = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(F.lit("a"), F.lit("b")))
+    return S.table(spark, sf_dir, "orders").select(
+        "o_orderkey", report.percent(k % 130, F.lit(120)).alias("done"), report.shown_confidence(F.when(k % 5 > 0, (k % 1000) / 10.0)).alias("confidence"), report.shown_score(F.when(k % 7 > 0, (k % 100) / 200.0)).alias("score"),
+        report.shown_flag(F.when(k % 3 < 2, k % 3 == 0)).alias("flag"), report.shown_list(words).alias("list"), report.shown_platform(F.when(k % 3 == 0, "kick").when(k % 3 == 1, "twitch")).alias("platform"), report.iso(report.utc(F.timestamp_seconds(k))).alias("at"),
+    )
