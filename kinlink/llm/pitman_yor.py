@@ -1,29 +1,37 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
-The model predicts each token from the class of the token before it.  Each of
-the ``CONTEXTS`` classes (words by hash, and the start of a text) is a
-restaurant whose dishes are tokens; all share one parent restaurant, whose
-customers are their tables, over a uniform base.  Seating is sampled by blocked
-Gibbs sweeps: all customers of a dish in a restaurant leave and sit down again
-one by one by the Chinese-restaurant rule, given the other dishes' tables.
-Predictive probabilities are averaged over ``SAMPLES`` seatings.
-
-Counts of (token, class) are gathered from all training texts, combined in each
-task, and kept in buckets of tokens; a sweep works on each bucket alone, given
-totals of a few numbers a class, which are summed over the buckets between
-rounds.  For scoring, the ``hot_words`` commonest tokens' seatings are broadcast
-(at most hot_words * CONTEXTS entries) and scored where the texts are read; the
-entries of all other tokens meet their bucket by a shuffle.  So no token's
-entries pile up in one task, and nothing that grows with the data is broadcast.
+The model predicts each token from the token before it.  Every token that stands
+before another, and the start of a text, is a context with a restaurant of its
+own, whose dishes are tokens; all share one parent restaurant, whose customers are
+their tables, over a uniform base.  Seating is sampled by blocked Gibbs sweeps: all
+customers of a dish in a restaurant leave and sit down again one by one by the
+Chinese-restaurant rule, given the tables of the other dishes; the same for the
+parent.  Predictive probabilities are averaged over ``SAMPLES`` seatings.
+
+Counts of (token, context) are gathered from all training texts, combined in each
+task, and kept in buckets of tokens; the pairs of a ``heavy`` token (a bounded
+number of them) are spread over buckets by context.  A sweep works on each bucket
+alone, given each context's customers and tables.  Between sweeps every bucket
+sends its share of those to buckets of contexts, which add them up and send back
+the sums that the bucket asked for.  So nothing that grows with the data meets in
+one task or is broadcast: only the heavy tokens' tables, and a few sums.
+
+For scoring, texts send their (token, context) pairs to the buckets of tokens.  The
+probability of a pair that no training text holds is the parent's times a factor
+of the context alone, which the buckets of contexts add; the two are averaged
+over the seatings each by itself.
 
 Null and empty texts hold the end token only.  Each input row gives one row,
-repeated rows and null ids too; null ids count as training rows.
+repeated rows and null ids too; null ids count as training rows.  No rows give no
+rows.  Texts of any length are read whole, in chunks of whole rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from math import lgamma
 
 import numpy as np
 import pandas as pd
@@ -32,71 +40,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LARGE, chunks, held_out, in_sorted, saved, words
+from .common import LARGE, chunks, discard, held_out, in_sorted, mixed, saved, words
 
-#: Restaurants: CONTEXTS - 1 classes of words, and the start of a text.
-CONTEXTS = 64
 #: Discount and strength of the context restaurants, and of their parent.
 D1, S1 = 0.85, 2.0
 D0, S0 = 0.6, 10.0
-#: Seatings averaged, and sweeps before the first and between them.
-SAMPLES, SWEEPS = 2, 2
+#: Seatings averaged.
+SAMPLES = 2
 #: Bytes of text for each bucket.
 PER_BUCKET = 12_000_000
-#: Customers seated one by one; then in blocks that double.
-ONE_BY_ONE = 32
+#: A token with this share of all tokens is heavy: there are no more than one over it.
+HEAVY = 2.0**-14
 END = np.uint64(0x5851F42D4C957F2D)
 _PAIRS = 1 << 20
 
 
-@dataclass(frozen=True)
-class Totals:
-    """What a sweep needs of the other buckets: customers and tables of each context, tables of the parent."""
-
-    customers: np.ndarray
-    tables: np.ndarray
-    parent_tables: float
-    distinct: int
-
-    @property
-    def base(self) -> float:
-        return 1.0 / (self.distinct + 1)
-
-    def parent(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """A token's probability in the parent restaurant."""
-        return (customers - D0 * tables + (S0 + D0 * self.parent_tables) * self.base) / (S0 + self.tables.sum())
-
-    def predictive(self, context: np.ndarray, c: np.ndarray, t: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        return (c - D1 * t + (S1 + D1 * self.tables[context]) * parent) / (S1 + self.customers[context])
+def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator, few: int = 64) -> np.ndarray:
+    """Tables after ``customers`` sit down one by one: each opens one by weight / (seated - discount * tables + weight).
 
-
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after ``customers`` sit down: a new table is opened by weight / (seated - discount * tables + weight)."""
+    Where only a few dishes have customers left, how many of them sit down at old tables before the next new one
+    is drawn at once, from its exact distribution.
+    """
     tables = np.minimum(customers, 1).astype(np.int64)
     left = np.flatnonzero(customers > 1)
     seated = 1
-    while len(left):
-        block = 1 if seated < ONE_BY_ONE else seated
-        n = np.minimum(customers[left] - seated, block)
+    while len(left) > few:
         w = weight[left]
-        p = np.clip(w / (seated + (n - 1) / 2 - discount * tables[left] + w), 0, 1)
-        tables[left] += (rng.random(len(left)) < p) if block == 1 else rng.binomial(n, p)
-        seated += block
+        tables[left] += rng.random(len(left)) * (seated - discount * tables[left] + w) < w
+        seated += 1
         left = left[customers[left] > seated]
+    for i in left:
+        tables[i] = _leap(int(customers[i]), float(weight[i]), discount, seated, int(tables[i]), rng)
     return tables
 
 
-def sweep(word: np.ndarray, n_words: int, context: np.ndarray, c: np.ndarray, t: np.ndarray, parent_t: np.ndarray, totals: Totals, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """New tables of each (word, context) pair and of each word in the parent."""
-    parent = totals.parent(np.bincount(word, t, n_words), parent_t)
-    weight = (S1 + D1 * totals.tables[context]) * parent[word]
-    t = seat(c, weight, D1, rng)
-    parent_t = seat(np.bincount(word, t, n_words).astype(np.int64), np.full(n_words, (S0 + D0 * totals.parent_tables) * totals.base), D0, rng)
-    return t, parent_t
+def _leap(n: int, w: float, discount: float, seated: int, tables: int, rng: np.random.Generator) -> int:
+    while seated < n:
+        a = seated - discount * tables
+        first = lgamma(a + w) - lgamma(a)
+        stay = lambda k: lgamma(a + k) - lgamma(a + k + w) + first  # noqa: E731  log probability that the next k all sit at old tables
+        u = np.log(rng.random() or 1e-300)
+        if stay(n - seated) >= u:
+            break
+        lo, hi = 0, n - seated  # stay(lo) >= u > stay(hi)
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (mid, hi) if stay(mid) >= u else (lo, mid)
+        seated += hi
+        tables += 1
+    return tables
 
 
 def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, context, row) of the rows of a chunk, with each row's end token."""
+    """(token, context, row) of the rows of a chunk, with each row's end token; the context of a row's first token is END."""
     value, row, _, _ = words(data, bounds, False)
     n = len(bounds) - 1
     counts = np.bincount(row, minlength=n)
@@ -106,12 +102,31 @@ def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     inside = np.ones(len(out), bool)
     inside[begin[1:] - 1] = False
     out[inside] = value
-    context = np.empty(len(out), np.uint8)
-    context[1:] = (out[:-1] % np.uint64(CONTEXTS - 1)).astype(np.uint8)
-    context[begin[:-1]] = CONTEXTS - 1
+    context = np.empty(len(out), np.uint64)
+    context[1:] = out[:-1]
+    context[begin[:-1]] = END
     return out, context, rows
 
 
+@dataclass(frozen=True)
+class Spread:
+    """Where pairs go: buckets of tokens, of contexts, and the heavy tokens in order."""
+
+    buckets: int
+    heavy: np.ndarray
+
+    def bucket(self, token: np.ndarray, context: np.ndarray) -> np.ndarray:
+        found, _ = in_sorted(self.heavy, token)
+        return (np.where(found, pair_hash(token, context), token) % np.uint64(self.buckets)).astype(np.int64)
+
+    def of_context(self, context: np.ndarray) -> np.ndarray:
+        return (mixed(context) % np.uint64(self.buckets)).astype(np.int64)
+
+
+def pair_hash(token: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mixed(token ^ mixed(context + np.uint64(1)))
+
+
 def _combined(token: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different (token, context) pairs, in order, with their sums of n."""
     by = np.lexsort((context, token))
@@ -120,20 +135,60 @@ def _combined(token: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np
     return token[start], context[start], np.add.reduceat(n, start) if len(token) else n
 
 
-def _counted(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(bucket, token, context, n) of training texts, packed, combined in the task."""
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, in as few bytes each as they need; the first byte tells how many."""
+    top = int(x.max(initial=0))
+    kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64
+    return bytes([kind().itemsize]) + x.astype(kind).tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"u{b[0]}", offset=1).astype(np.int64)
+
+
+def heavy_tokens(docs: DataFrame, share: float = HEAVY) -> np.ndarray:
+    """The tokens that hold ``share`` of all tokens, in order, by what is frequent in parts of the texts; it only shapes the work."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def told() -> pa.RecordBatch:
+            every = np.concatenate(held)
+            found, n = np.unique(every, return_counts=True)
+            keep = n >= share / 2 * len(every)
+            return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
+
+        for batch in batches:
+            for _, _, data, bounds in chunks(batch.column(0), LARGE):
+                held.append(tokens(data, bounds)[0])
+                if sum(map(len, held)) > _PAIRS:
+                    yield told()
+                    held = []
+        if held:
+            yield told()
+
+    top = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(int(1 / share)).toPandas()
+    return np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
+
+
+def _counted(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(bucket, tokens, sizes, contexts, n) of training texts, combined in the task: each token once, with its contexts."""
 
     def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         token, context, n = _combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        bucket = (token % np.uint64(buckets)).astype(np.int64)
+        bucket = spread.value.bucket(token, context)
         by = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        cut = np.searchsorted(bucket[by], np.arange(spread.value.buckets + 1))
         ks = np.flatnonzero(np.diff(cut))
-        parts = [by[cut[k] : cut[k + 1]] for k in ks]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ks.astype(np.int32)), *(pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (token, context, n.astype(np.int32)))],
-            names=["bucket", "token", "context", "n"],
-        )
+        out: dict[str, list] = {"bucket": ks.tolist(), "tokens": [], "sizes": [], "contexts": [], "n": []}
+        for k in ks:
+            part = by[cut[k] : cut[k + 1]]
+            own, sizes = np.unique(token[part], return_counts=True)
+            out["tokens"].append(own.tobytes())
+            out["sizes"].append(_packed(sizes))
+            out["contexts"].append(context[part].tobytes())
+            out["n"].append(_packed(n[part]))
+        return pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("tokens", "sizes", "contexts", "n"))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -154,232 +209,322 @@ def _counted(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-_STATE = "bucket int, tokens binary, word binary, context binary, c binary, t binary, parent_t binary, context_c array<double>, context_t array<double>, parent_tables array<double>, n_words long"
+_STATE = "bucket int, tokens binary, sizes binary, contexts binary, place binary, c binary, t array<binary>, parent_t array<binary>"
 
 
-def _state(bucket: int, token: np.ndarray, word: np.ndarray, context: np.ndarray, c: np.ndarray, t: list[np.ndarray], parent_t: list[np.ndarray]) -> dict:
-    """A bucket's seatings: tokens, (word, context, c) pairs, tables of each sample, and its share of the totals."""
-    per = [np.bincount(context, x, CONTEXTS) for x in t]
-    return {
-        "bucket": bucket, "tokens": token.tobytes(), "word": word.astype(np.int32).tobytes(), "context": context.astype(np.uint8).tobytes(), "c": c.astype(np.int64).tobytes(),
-        "t": np.stack(t).astype(np.int32).tobytes(), "parent_t": np.stack(parent_t).astype(np.int32).tobytes(),
-        "context_c": np.bincount(context, c, CONTEXTS).tolist(), "context_t": np.concatenate(per).tolist(), "parent_tables": [float(x.sum()) for x in parent_t], "n_words": len(token),
-    }
+class State:
+    """A bucket's pairs: tokens and contexts (these by their bucket), and of each pair, in order of token, its word, place among the contexts, customers, and tables in each seating."""
 
+    def __init__(self, row) -> None:
+        self.bucket = int(row["bucket"])
+        self.token = np.frombuffer(row["tokens"], np.uint64)
+        self.sizes = _unpacked(row["sizes"])
+        self.word = np.repeat(np.arange(len(self.token)), self.sizes)
+        self.contexts = np.frombuffer(row["contexts"], np.uint64)
+        self.place, self.c = _unpacked(row["place"]), _unpacked(row["c"])
+        self.t, self.parent_t = [_unpacked(b) for b in row["t"]], [_unpacked(b) for b in row["parent_t"]]
 
-def _read(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, word, context, c, t by sample, parent_t by sample) of a bucket."""
-    get = lambda name, kind: np.frombuffer(row[name], kind)
-    token, word = get("tokens", np.uint64), get("word", np.int32)
-    t, parent_t = get("t", np.int32), get("parent_t", np.int32)
-    k = max(1, len(t) // max(1, len(word)))
-    return token, word, get("context", np.uint8), get("c", np.int64), t.reshape(k, -1), parent_t.reshape(k, -1)
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs' hashes in order, and where each stands."""
+        found = pair_hash(self.token[self.word], self.contexts[self.place])
+        by = np.argsort(found)
+        return found[by], by
 
+    def seated(self, t: list[np.ndarray], parent_t: list[np.ndarray]) -> dict:
+        return {
+            "bucket": self.bucket, "tokens": self.token.tobytes(), "sizes": _packed(self.sizes), "contexts": self.contexts.tobytes(), "place": _packed(self.place), "c": _packed(self.c),
+            "t": [_packed(x) for x in t], "parent_t": [_packed(x) for x in parent_t],
+        }
 
-def _merged(seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A bucket's counts, and a first seating."""
+
+def _merged(spread, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A bucket's counts, and a first seating: one table a pair, one a token."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        token, context, c = _combined(*(np.concatenate([np.frombuffer(b, kind) for b in group[name]]) for name, kind in (("token", np.uint64), ("context", np.uint8), ("n", np.int32))))
-        own, word = np.unique(token, return_inverse=True)
-        rng = np.random.default_rng([seed, int(group["bucket"].iloc[0])])
-        # before any totals are known, a dish opens tables by the discount alone
-        t = seat(c.astype(np.int64), np.full(len(c), S1), D1, rng)
-        parent_t = seat(np.bincount(word, t, len(own)).astype(np.int64), np.full(len(own), D0), D0, rng)
-        return pd.DataFrame([_state(int(group["bucket"].iloc[0]), own, word, context, c, [t], [parent_t])])
+        parts = zip(group["tokens"], group["sizes"], strict=True)
+        token = np.concatenate([np.repeat(np.frombuffer(b, np.uint64), _unpacked(s)) for b, s in parts])
+        token, context, c = _combined(token, np.concatenate([np.frombuffer(b, np.uint64) for b in group["contexts"]]), np.concatenate([_unpacked(b) for b in group["n"]]))
+        own, sizes = np.unique(token, return_counts=True)
+        contexts, place = np.unique(context, return_inverse=True)
+        by = np.argsort(spread.value.of_context(contexts), kind="stable")
+        where = np.empty(len(by), np.int64)
+        where[by] = np.arange(len(by))
+        row = {"bucket": group["bucket"].iloc[0], "tokens": own.tobytes(), "sizes": _packed(sizes), "contexts": contexts[by].tobytes(), "place": _packed(where[place]), "c": _packed(c), "t": [_packed(np.minimum(c, 1))], "parent_t": [_packed(np.ones(len(own), np.int64))]}
+        return pd.DataFrame([row])
 
     return run
 
 
-def _swept(totals, samples: int, sweeps: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+_SHARE = "at int, bucket int, contexts binary, c binary, t array<binary>"
+
+
+def _shares(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a bucket adds to the totals of its contexts, for each bucket of contexts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                token, word, context, c, ts, parents = _read(row)
-                rng = np.random.default_rng([seed, row["bucket"]])
-                t, parent_t, kept, kept_parents = ts[-1].astype(np.int64), parents[-1].astype(np.int64), [], []
-                for k in range(samples * sweeps):
-                    t, parent_t = sweep(word, len(token), context, c, t, parent_t, totals.value[0], rng)
-                    if k % sweeps == sweeps - 1:
-                        kept.append(t)
-                        kept_parents.append(parent_t)
-                yield pa.RecordBatch.from_pylist([_state(row["bucket"], token, word, context, c, kept, kept_parents)], schema=batch.schema)
+                s = State(row)
+                at = spread.value.of_context(s.contexts)
+                cut = np.searchsorted(at, np.arange(spread.value.buckets + 1))
+                c, t = np.bincount(s.place, s.c, len(s.contexts)), [np.bincount(s.place, x, len(s.contexts)) for x in s.t]
+                out = [{"at": int(k), "bucket": s.bucket, "contexts": s.contexts[cut[k] : cut[k + 1]].tobytes(), "c": _packed(c[cut[k] : cut[k + 1]]), "t": [_packed(x[cut[k] : cut[k + 1]]) for x in t]} for k in np.flatnonzero(np.diff(cut))]
+                schema = pa.schema([("at", pa.int32()), ("bucket", pa.int32()), ("contexts", pa.binary()), ("c", pa.binary()), ("t", pa.list_(pa.binary()))])
+                for a in range(0, len(out), 256):
+                    yield pa.RecordBatch.from_pylist(out[a : a + 256], schema=schema)
 
     return run
 
 
-def _totals(state: DataFrame, samples: int) -> list[Totals]:
-    """The sums over buckets, for each sample: a few numbers a context."""
-    sums = [F.sum(F.col(name)[i]).alias(f"{name}{i}") for name, n in (("context_c", CONTEXTS), ("context_t", CONTEXTS * samples), ("parent_tables", samples)) for i in range(n)]
-    row = state.agg(F.sum("n_words").alias("n_words"), *sums).first()
-    get = lambda name, a, n: np.array([row[f"{name}{i}"] or 0.0 for i in range(a, a + n)])
-    return [Totals(get("context_c", 0, CONTEXTS), get("context_t", s * CONTEXTS, CONTEXTS), float(get("parent_tables", s, 1)[0]), int(row["n_words"] or 0)) for s in range(samples)]
-
-
-def trained(docs: DataFrame, buckets: int, seed: int = 7) -> tuple[DataFrame, list[Totals]]:
-    """The seatings by bucket and their totals, from all rows of (text)."""
-    counted = docs.select("text").mapInArrow(_counted(buckets), "bucket int, token binary, context binary, n binary")
-    state = saved(counted.groupBy("bucket").applyInPandas(_merged(seed), _STATE), "seating")
-    for k, (samples, sweeps) in enumerate(((1, 1), (1, SWEEPS), (SAMPLES, SWEEPS))):
-        totals = docs.sparkSession.sparkContext.broadcast(_totals(state, 1))
-        state = saved(state.mapInArrow(_swept(totals, samples, sweeps, seed + k + 1), _STATE), "seating")
-    return state, _totals(state, SAMPLES)
-
-
-class Table:
-    """Scores of (token, context) by the seatings of some tokens."""
-
-    def __init__(self, token: np.ndarray, word: np.ndarray, context: np.ndarray, c: np.ndarray, t: np.ndarray, parent_t: np.ndarray) -> None:
-        self.token, self.context, self.c, self.t, self.parent_t = token, context, c, t, parent_t
-        self.pair = word.astype(np.int64) * CONTEXTS + context  # in order: pairs are sorted by token and context
-        self.count = np.bincount(word, c, len(token))
-        self.tables = [np.bincount(word, x, len(token)) for x in t]
-
-    def scores(self, token: np.ndarray, context: np.ndarray, totals: list[Totals]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(count of the token, log10 of the base probability, log10 of the model's probability)."""
-        known, word = in_sorted(self.token, token)
-        count = np.where(known, self.count[word] if len(self.token) else 0, 0)
-        seen, at = in_sorted(self.pair, word * CONTEXTS + context)
-        seen &= known
-        total, distinct = totals[0].customers.sum(), totals[0].distinct
-        p = np.zeros(len(token))
-        for s, sums in enumerate(totals):
-            if len(self.token):
-                parent = sums.parent(np.where(known, self.tables[s][word], 0), np.where(known, self.parent_t[s][word], 0))
-                c, t = np.where(seen, self.c[at], 0), np.where(seen, self.t[s][at], 0)
-            else:
-                parent, c, t = sums.parent(np.zeros(len(token)), np.zeros(len(token))), 0, 0
-            p += sums.predictive(context, c, t, parent) / len(totals)
-        return count, np.log10((count + 1) / (total + distinct + 1)), np.log10(p)
-
-
-def _hot(state: DataFrame, hot_words: int) -> Table:
-    """The seatings of the commonest tokens: each bucket names its own, the commonest of them are kept."""
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                token, word, _, c, _, _ = _read(row)
-                n = np.bincount(word, c, len(token)).astype(np.int64)
-                top = np.argsort(-n, kind="stable")[:hot_words]
-                top = top[n[top] >= 64]
-                yield pa.RecordBatch.from_arrays([pa.array(token[top].view(np.int64)), pa.array(n[top])], names=["token", "n"])
+def _added(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(contexts, place of each share's context, customers, tables of each seating) of a bucket of contexts."""
+    contexts, place = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in group["contexts"]]), return_inverse=True)
+    add = lambda parts: np.bincount(place, np.concatenate([_unpacked(b) for b in parts]), len(contexts)).astype(np.int64)
+    return contexts, place, add(group["c"]), [add([t[k] for t in group["t"]]) for k in range(len(group["t"].iloc[0]))]
+
+
+def _answers(group: pd.DataFrame) -> pd.DataFrame:
+    """The totals of a bucket of contexts, in the order in which each bucket of tokens asked for them."""
+    contexts, place, c, t = _added(group)
+    ends = np.cumsum([len(b) // 8 for b in group["contexts"]])
+    out = []
+    for a, b, bucket, at in zip(np.concatenate([[0], ends[:-1]]), ends, group["bucket"], group["at"], strict=True):
+        out.append((bucket, at, _packed(c[place[a:b]]), [_packed(x[place[a:b]]) for x in t]))
+    return pd.DataFrame(out, columns=["bucket", "at", "c", "t"])
+
+
+@dataclass(frozen=True)
+class Parent:
+    """The parent restaurant: all its customers and tables, different tokens, training tokens; of heavy tokens the customers and tables."""
+
+    customers: float
+    tables: float
+    distinct: int
+    tokens: int
+    heavy: np.ndarray
+    heavy_count: np.ndarray
+    heavy_customers: np.ndarray
+    heavy_tables: np.ndarray
+
+    @property
+    def base(self) -> float:
+        return 1.0 / (self.distinct + 1)
+
+    def weight(self) -> float:
+        return (S0 + D0 * self.tables) * self.base
+
+    def probability(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return (customers - D0 * tables + self.weight()) / (S0 + self.customers)
+
+    def of(self, s: State, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of a bucket's tokens; heavy ones are known in whole."""
+        customers, tables = np.bincount(s.word, s.t[k], len(s.token)), s.parent_t[k].astype(float)
+        found, at = in_sorted(self.heavy, s.token)
+        customers[found], tables[found] = self.heavy_customers[at[found]], self.heavy_tables[at[found]]
+        return customers, tables
 
-    named = state.select("bucket", "tokens", "word", "context", "c", "t", "parent_t").mapInArrow(counts, "token long, n long")
-    hot = named.orderBy(F.desc("n"), "token").limit(hot_words).toPandas()["token"].to_numpy(np.int64).view(np.uint64)
-    hot = state.sparkSession.sparkContext.broadcast(np.sort(hot))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sums(state: DataFrame, spread, samples: int, rng: np.random.Generator) -> list[Parent]:
+    """The parent restaurant in each seating: sums over buckets, and the heavy tokens, which are seated here."""
+    heavy = spread.value.heavy
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                token, word, context, c, t, parent_t = _read(row)
-                mine, _ = in_sorted(hot.value, token)
-                keep = mine[word]
-                own = np.flatnonzero(mine)
-                yield pa.RecordBatch.from_pylist([_state(row["bucket"], token[own], np.searchsorted(own, word[keep]), context[keep], c[keep], list(t[:, keep]), list(parent_t[:, own]))], schema=batch.schema)
-
-    parts = [p for r in state.mapInArrow(pick, _STATE).toLocalIterator() if len((p := _read(r))[0])]
-    if not parts:
-        none = np.zeros(0, np.int64)
-        return Table(np.zeros(0, np.uint64), none, none, none, np.zeros((SAMPLES, 0)), np.zeros((SAMPLES, 0)))
-    token = np.concatenate([p[0] for p in parts])
-    first = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])[:-1]])
-    word = np.concatenate([p[1] + f for p, f in zip(parts, first, strict=True)])
-    context, c = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-    t, parent_t = np.concatenate([p[4] for p in parts], 1), np.concatenate([p[5] for p in parts], 1)
-    by = np.argsort(token)
-    place = np.empty(len(by), np.int64)
-    place[by] = np.arange(len(by))
-    word = place[word]
-    pairs = np.lexsort((context, word))
-    return Table(token[by], word[pairs], context[pairs], c[pairs], t[:, pairs], parent_t[:, by])
-
-
-def _entries(table, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each chunk of texts: a row for each bucket with the entries of its tokens; the first also holds the rows' ids and what the hot tokens score."""
+                s = State(row)
+                found, at = in_sorted(heavy, s.token)
+                out: list[dict] = []
+                for k in range(samples):
+                    n = np.bincount(s.word, s.t[k], len(s.token))
+                    own = np.bincount(s.word, s.c, len(s.token))
+                    out.append({"k": k, "token": -1, "customers": float(n.sum()), "tables": float(s.parent_t[k][~found].sum()), "words": int((~found).sum()), "n": float(s.c.sum())})
+                    out += [{"k": k, "token": int(at[i]), "customers": float(n[i]), "tables": 0.0, "words": 0, "n": float(own[i])} for i in np.flatnonzero(found)]
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("k", pa.int32()), ("token", pa.int32()), ("customers", pa.float64()), ("tables", pa.float64()), ("words", pa.int64()), ("n", pa.float64())]))
+
+    rows = state.mapInArrow(run, "k int, token int, customers double, tables double, words long, n double").groupBy("k", "token").agg(*[F.sum(c).alias(c) for c in ("customers", "tables", "words", "n")]).toPandas()
+    out = []
+    for k in range(samples):
+        mine = rows[rows["k"] == k]
+        whole, some = mine[mine["token"] < 0], mine[mine["token"] >= 0].sort_values("token")
+        at = some["token"].to_numpy(np.int64)
+        customers, count = some["customers"].to_numpy(float), some["n"].to_numpy(float)
+        total, tables, distinct, n = (float(whole[c].sum()) for c in ("customers", "tables", "words", "n"))
+        first = Parent(total, tables + len(at), int(distinct) + len(at), int(n), heavy[at], count, customers, np.ones(len(at)))
+        seated = seat(customers.astype(np.int64), np.full(len(at), first.weight()), D0, rng).astype(float)
+        out.append(Parent(total, tables + seated.sum(), first.distinct, first.tokens, heavy[at], count, customers, seated))
+    return out
+
+
+def _swept(parent, samples: list[int], seed: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """A sweep over a bucket, from its last seating; ``samples`` are the earlier seatings that stay."""
+
+    def run(state: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        s, p = State(state.iloc[0]), parent.value
+        rng = np.random.default_rng([seed, s.bucket])
+        tables = np.concatenate([_unpacked(t[-1]) for t in answers.sort_values("at")["t"]])
+        customers, parent_tables = p.of(s, -1)
+        weight = (S1 + D1 * tables[s.place]) * p.probability(customers, parent_tables)[s.word]
+        t = seat(s.c, weight, D1, rng)
+        parent_t = seat(np.bincount(s.word, t, len(s.token)).astype(np.int64), np.full(len(s.token), p.weight()), D0, rng)
+        return pd.DataFrame([s.seated([*(s.t[k] for k in samples), t], [*(s.parent_t[k] for k in samples), parent_t])])
+
+    return run
+
+
+def _asked(state: DataFrame, spread) -> DataFrame:
+    return state.mapInArrow(_shares(spread), _SHARE).groupBy("at").applyInPandas(_answers, "bucket int, at int, c binary, t array<binary>")
+
+
+def trained(docs: DataFrame, buckets: int, seed: int = 7, share: float = HEAVY) -> tuple[DataFrame, list[Parent], object]:
+    """The seatings by bucket, the parent restaurant in each, and where pairs go, from all rows of (text)."""
+    context = docs.sparkSession.sparkContext
+    spread = context.broadcast(Spread(buckets, heavy_tokens(docs, share)))
+    rng = np.random.default_rng(seed)
+    counted = docs.select("text").mapInArrow(_counted(spread), "bucket int, tokens binary, sizes binary, contexts binary, n binary")
+    state = saved(counted.groupBy("bucket").applyInPandas(_merged(spread, seed), _STATE), "seating")
+    # the first sweep's seating is not kept; of the next ones each is a sample
+    for k in range(SAMPLES + 1):
+        kept = list(range(k - 1))  # seatings so far that are samples
+        parent = context.broadcast(_sums(state, spread, max(1, len(kept)), rng)[-1])
+        swept = state.groupBy("bucket").cogroup(_asked(state, spread).groupBy("bucket")).applyInPandas(_swept(parent, kept, seed + k + 1), _STATE)
+        before, state = state, saved(swept, "seating")
+        discard(before)
+    return state, _sums(state, spread, SAMPLES, rng), spread
+
+
+def _entries(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each chunk of texts: a row for each bucket with the entries of its tokens; the first also holds the rows' ids and numbers of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        hot, totals = table.value
+        buckets = spread.value.buckets
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
+            schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("tokens", pa.binary()), ("sizes", pa.binary()), ("contexts", pa.binary()), ("rows", pa.binary()), ("ids", pa.list_(batch.schema.field(0).type)), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.binary())])
             for at, to, data, bounds in chunks(batch.column(2), LARGE):
-                n = to - at
                 token, context, row = tokens(data, bounds)
-                here, _ = in_sorted(hot.token, token)
-                count, base, score = hot.scores(token[here], context[here], totals)
-                sums = np.stack([np.bincount(row, minlength=n), np.bincount(row[here], count > 0, n), np.bincount(row[here], base, n), np.bincount(row[here], score, n)]).astype(np.float64)
-                token, context, row = token[~here], context[~here], row[~here]
-                bucket = (token % np.uint64(buckets)).astype(np.int64)
+                n_tokens = np.bincount(row, minlength=to - at)
+                bucket = spread.value.bucket(token, context)
                 by = np.lexsort((token, bucket))
                 token, context, row, bucket = token[by], context[by], row[by], bucket[by]
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                ks = np.flatnonzero(np.diff(cut))
-                home = int(ks[0]) if len(ks) else int(chunk % buckets)
-                out: dict[str, list] = {name: [] for name in ("bucket", "chunk", "tokens", "place", "context", "row", "ids", "held", "sums")}
-                for k in ks if len(ks) else [home]:
+                ks = np.flatnonzero(np.diff(cut))  # a chunk has a row, and so a token
+                out: dict[str, list] = {f.name: [] for f in schema}
+                for k in ks:
                     s = slice(cut[k], cut[k + 1])
-                    own, place = np.unique(token[s], return_inverse=True)
-                    out["bucket"].append(int(k))
-                    out["chunk"].append(chunk)
-                    out["tokens"].append(own.tobytes())
-                    out["place"].append(np.diff(place, prepend=0).astype(np.uint8).tobytes())  # sorted: steps of 0 or 1
-                    out["context"].append(context[s].tobytes())
-                    out["row"].append(row[s].astype(np.int32 if n > 65535 else np.uint16).tobytes())
-                    first = k == home
-                    out["ids"].append(batch.column(0).slice(at, n).to_pylist() if first else None)
-                    out["held"].append(batch.column(1).slice(at, n).to_pylist() if first else None)
-                    out["sums"].append(sums.tobytes() if first else None)
+                    own, sizes = np.unique(token[s], return_counts=True)
+                    first = k == ks[0]
+                    values = (int(k), chunk, own.tobytes(), _packed(sizes), context[s].tobytes(), _packed(row[s]), batch.column(0).slice(at, to - at).to_pylist() if first else None, batch.column(1).slice(at, to - at).to_pylist() if first else None, _packed(n_tokens) if first else None)
+                    for name, v in zip(out, values, strict=True):
+                        out[name].append(v)
                 chunk += 1
-                kind = batch.schema.field(0).type
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("tokens", pa.binary()), ("place", pa.binary()), ("context", pa.binary()), ("row", pa.binary()), ("ids", pa.list_(kind)), ("held", pa.list_(pa.bool_())), ("sums", pa.binary())]))
+                yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
 
 
-def _scored(totals) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """What a bucket's tokens add to the rows of each chunk."""
+def _pair_scores(s: State, parents: list[Parent], customers: np.ndarray, tables: list[np.ndarray], token: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(count of the token, log10 of the base probability, log10 of what is known here, whether the context's factor is missing) of pairs, by a bucket's state and its contexts' totals."""
+    known, word = in_sorted(s.token, token)
+    word = np.where(known, word, 0)
+    count = np.bincount(s.word, s.c, len(s.token))
+    found, at = in_sorted(parents[0].heavy, s.token)
+    count[found] = parents[0].heavy_count[at[found]]
+    n = np.where(known, count[word] if len(count) else 0, 0)
+    # heavy tokens of which no training pair is here
+    heavy, h = in_sorted(parents[0].heavy, token)
+    heavy &= ~known
+    n[heavy] = parents[0].heavy_count[h[heavy]]
+    seen, at = in_sorted(s.pairs[0], pair_hash(token, context))
+    seen, at = seen & known, s.pairs[1][at] if len(s.pairs[1]) else at
+    p = np.zeros(len(token))
+    for k, parent in enumerate(parents):
+        own = parent.probability(*parent.of(s, k)) if len(s.token) else np.zeros(0)
+        up = np.where(known, own[word] if len(own) else 0, parent.probability(np.zeros(1), np.zeros(1))[0])
+        up[heavy] = parent.probability(parent.heavy_customers[h[heavy]], parent.heavy_tables[h[heavy]])
+        place = s.place[at] if len(s.c) else at
+        here = (s.c[at] - D1 * s.t[k][at] + (S1 + D1 * tables[k][place]) * up) / (S1 + customers[place]) if len(s.c) else up
+        p += np.where(seen, here, up) / len(parents)
+    return n, np.log10((n + 1) / (parents[0].tokens + parents[0].distinct + 1)), np.log10(p), ~seen
+
+
+_PART = "chunk long, rows binary, part binary, ids {ids}, held array<boolean>, n_tokens binary, at int, contexts binary, unseen binary"
+
+
+def _scored(parents, spread) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """What a bucket's tokens add to the rows of each chunk, and which contexts' factors are still missing there."""
 
     def run(entries: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        none = np.zeros(0, np.int64)
-        table = Table(*_read(state.iloc[0])) if len(state) else Table(np.zeros(0, np.uint64), none, none, none, np.zeros((SAMPLES, 0)), np.zeros((SAMPLES, 0)))
+        seats, answers = state[state["tokens"].notna()], state[state["tokens"].isna()].sort_values("at")
+        if len(seats):
+            s = State(seats.iloc[0])
+            customers = np.concatenate([_unpacked(b) for b in answers["c"]])
+            tables = [np.concatenate([_unpacked(t[k]) for t in answers["t"]]) for k in range(len(parents.value))]
+        else:
+            none = np.zeros(0, np.int64)
+            s = State({"bucket": 0, "tokens": b"", "sizes": _packed(none), "contexts": b"", "place": _packed(none), "c": _packed(none), "t": [_packed(none)] * SAMPLES, "parent_t": [_packed(none)] * SAMPLES})
+            customers, tables = none, [none] * SAMPLES
         out = []
         for e in entries.itertuples():
-            context = np.frombuffer(e.context, np.uint8)
-            own = np.frombuffer(e.tokens, np.uint64)
-            token = own[np.cumsum(np.frombuffer(e.place, np.uint8))] if len(own) else own
-            row = np.frombuffer(e.row, np.uint16 if len(e.row) == 2 * len(context) else np.int32)
-            count, base, score = table.scores(token, context, totals.value)
+            token = np.repeat(np.frombuffer(e.tokens, np.uint64), _unpacked(e.sizes))
+            context, row = np.frombuffer(e.contexts, np.uint64), _unpacked(e.rows)
+            count, base, score, missing = _pair_scores(s, parents.value, customers, tables, token, context)
             rows, place = np.unique(row, return_inverse=True)
             sums = np.stack([np.bincount(place, count > 0, len(rows)), np.bincount(place, base, len(rows)), np.bincount(place, score, len(rows))]).astype(np.float64)
-            out.append((e.chunk, rows.astype(np.int32).tobytes(), sums.tobytes(), e.ids, e.held, e.sums))
-        return pd.DataFrame(out, columns=["chunk", "rows", "part", "ids", "held", "sums"])
+            out.append((e.chunk, _packed(rows), sums.tobytes(), e.ids, e.held, e.n_tokens, None, None, None))
+            at = spread.value.of_context(context[missing])
+            by = np.argsort(at, kind="stable")
+            cut = np.searchsorted(at[by], np.arange(spread.value.buckets + 1))
+            for k in np.flatnonzero(np.diff(cut)):
+                part = by[cut[k] : cut[k + 1]]
+                out.append((e.chunk, None, None, None, None, None, int(k), context[missing][part].tobytes(), _packed(row[missing][part])))
+        return pd.DataFrame(out, columns=["chunk", "rows", "part", "ids", "held", "n_tokens", "at", "contexts", "unseen"]).astype({"at": "Int32"})
 
     return run
 
 
+def _factors(asked: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
+    """log10 of the factors of contexts by which unseen pairs' probabilities are less than the parent's, added up by chunk and row."""
+    if len(shares):
+        contexts, _, c, t = _added(shares)
+        factor = np.log10(np.mean([(S1 + D1 * x) / (S1 + c) for x in t], axis=0))
+    else:
+        contexts, factor = np.zeros(0, np.uint64), np.zeros(0)
+    out = []
+    for e in asked.itertuples():
+        found, at = in_sorted(contexts, np.frombuffer(e.contexts, np.uint64))
+        rows, place = np.unique(_unpacked(e.unseen), return_inverse=True)
+        added = np.bincount(place, np.where(found, factor[at] if len(factor) else 0.0, 0.0), len(rows))
+        out.append((e.chunk, _packed(rows), np.stack([np.zeros(len(rows)), np.zeros(len(rows)), added]).tobytes()))
+    return pd.DataFrame(out, columns=["chunk", "rows", "part"])
+
+
 def _summed(group: pd.DataFrame) -> pd.DataFrame:
     """A chunk's rows, each with the sums of its tokens."""
-    head = group[group["sums"].notna()].iloc[0]
-    sums = np.frombuffer(head["sums"], np.float64).reshape(4, -1).copy()
+    head = group[group["n_tokens"].notna()].iloc[0]
+    n = _unpacked(head["n_tokens"])
+    sums = np.zeros((3, len(n)))
     for rows, part in zip(group["rows"], group["part"], strict=True):
-        sums[1:, np.frombuffer(rows, np.int32)] += np.frombuffer(part, np.float64).reshape(3, -1)
-    return pd.DataFrame({"doc_id": pd.array(list(head["ids"]), dtype="object"), "held_out": list(head["held"]), "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base_score": sums[2], "score": sums[3]})
+        sums[:, _unpacked(rows)] += np.frombuffer(part, np.float64).reshape(3, -1)
+    return pd.DataFrame({"doc_id": pd.array(list(head["ids"]), dtype="object"), "held_out": list(head["held"]), "n_tokens": n, "n_known": sums[0].astype(np.int64), "base_score": sums[1], "score": sums[2]})
 
 
-def score(docs: DataFrame, hot_words: int = 16_384, per_bucket: int = PER_BUCKET) -> DataFrame:
+def score(docs: DataFrame, per_bucket: int = PER_BUCKET, share: float = HEAVY) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each (doc_id, text); perplexity is 10 ** (-score / n_tokens)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", held_out(7).alias("held"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(max(24, size // per_bucket))
-    state, totals = trained(rows.filter(~F.col("held")), buckets)
-    table = spark.sparkContext.broadcast((_hot(state, hot_words), totals))
+    state, parents, spread = trained(rows.filter(~F.col("held")), int(max(24, size // per_bucket)), share=share)
+    known = spark.sparkContext.broadcast(parents)
     id_kind = docs.schema["doc_id"].dataType
-    kind = T.ArrayType(id_kind).simpleString()
-    entries = rows.mapInArrow(_entries(table, buckets), f"bucket int, chunk long, tokens binary, place binary, context binary, row binary, ids {kind}, held array<boolean>, sums binary")
-    seats = state.select("bucket", "tokens", "word", "context", "c", "t", "parent_t")
-    parts = entries.groupBy("bucket").cogroup(seats.groupBy("bucket")).applyInPandas(_scored(spark.sparkContext.broadcast(totals)), f"chunk long, rows binary, part binary, ids {kind}, held array<boolean>, sums binary")
-    done = parts.groupBy("chunk").applyInPandas(_summed, f"doc_id {id_kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(totals[0].customers.sum())).cast("long").alias("train_tokens"), "base_score", "score")
+    ids = T.ArrayType(id_kind).simpleString()
+    entries = rows.mapInArrow(_entries(spread), f"bucket int, chunk long, tokens binary, sizes binary, contexts binary, rows binary, ids {ids}, held array<boolean>, n_tokens binary")
+    seats = state.withColumn("at", F.lit(None).cast("int")).unionByName(_asked(state, spread), allowMissingColumns=True)
+    parts = saved(entries.groupBy("bucket").cogroup(seats.groupBy("bucket")).applyInPandas(_scored(known, spread), _PART.format(ids=ids)), "parts")
+    shares = state.mapInArrow(_shares(spread), _SHARE)
+    added = parts.filter("at IS NOT NULL").groupBy("at").cogroup(shares.groupBy("at")).applyInPandas(_factors, "chunk long, rows binary, part binary")
+    found = parts.filter("at IS NULL").select("chunk", "rows", "part", "ids", "held", "n_tokens").unionByName(added, allowMissingColumns=True)
+    done = found.groupBy("chunk").applyInPandas(_summed, f"doc_id {id_kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(parents[0].tokens).cast("long").alias("train_tokens"), "base_score", "score")

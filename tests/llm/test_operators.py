@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinlink.llm import components, decontaminate, graph_search, jaccard_join, language_id, license_scan, line_dedup, mixing, pitman_yor, token_counts, toxicity
+from kinlink.llm.common import hash_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h1 int, size int, score string"
 LONG = "alpha beta gamma delta epsilon " * 20_000
@@ -132,35 +133,75 @@ def test_decontaminate(spark, docs, empty, windows):
 
 def test_pitman_yor(spark, docs, empty):
     rows = [(100 + i, " ".join(f"w{(i * j) % 13}" for j in range(30))) for i in range(60)]
-    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string")).cache()
     texts = {**dict(enumerate([*TEXTS, TEXTS[9]])), **dict(rows)}
     train = Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*words(t), "\0end"])
     n, v = sum(train.values()), len(train)
-    for hot in (0, 5, 1000):
-        found = by_id(pitman_yor.score(more, hot_words=hot))
+    key = lambda w: int(pitman_yor.END) if w == "\0end" else int(hash_words([w], False)[0][0])
+    for share in (0.01, 0.5):  # with many heavy tokens, and with none
+        found = by_id(pitman_yor.score(more, share=share))
         assert len(found) == len(texts)
+        # the seatings that the same seed gives, read pair by pair
+        state, parents, spread = pitman_yor.trained(more.filter(F.crc32(F.col("doc_id").cast("string")) % 7 != 2), 24, share=share)
+        pairs, own = {}, {}
+        for row in state.collect():
+            s = pitman_yor.State(row)
+            for i in range(len(s.c)):
+                pair = int(s.token[s.word[i]]), int(s.contexts[s.place[i]])
+                assert pair not in pairs and all(1 <= t[i] <= s.c[i] for t in s.t)
+                pairs[pair] = int(s.c[i]), [int(t[i]) for t in s.t]
+            for i, w in enumerate(s.token):
+                own[int(w)] = [int(t[i]) for t in s.parent_t]
+        assert sum(c for c, _ in pairs.values()) == n and len({w for w, _ in pairs}) == v
+        if share == 0.5:
+            assert not len(spread.value.heavy)
+        by_context, by_token = {}, {}
+        for (w, u), (c, t) in pairs.items():
+            by_context.setdefault(u, []).append((c, t))
+            by_token.setdefault(w, []).append(t)
+
+        def probability(w, u, k):
+            p = parents[k]
+            customers = sum(t[k] for t in by_token.get(w, []))
+            at = list(p.heavy).index(w) if w in p.heavy else -1
+            tables = p.heavy_tables[at] if at >= 0 else own[w][k] if w in own else 0
+            up = (customers - pitman_yor.D0 * tables + (pitman_yor.S0 + pitman_yor.D0 * p.tables) / (v + 1)) / (pitman_yor.S0 + p.customers)
+            c, t = pairs.get((w, u), (0, [0] * len(parents)))
+            whole, opened = sum(x for x, _ in by_context.get(u, [])), sum(x[k] for _, x in by_context.get(u, []))
+            return (c - pitman_yor.D1 * t[k] + (pitman_yor.S1 + pitman_yor.D1 * opened) * up) / (pitman_yor.S1 + whole)
+
+        for u in (int(pitman_yor.END), key("w3"), key("nowhere")):
+            for k in range(len(parents)):
+                assert math.isclose(sum(probability(w, u, k) for w in by_token) + probability(1, u, k), 1.0, rel_tol=1e-9)
         for i, t in texts.items():
-            own = [*words(t), "\0end"]
+            told = [*words(t), "\0end"]
             r = found[i]
-            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(train[w] > 0 for w in own), n)
-            assert math.isclose(r.base_score, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in own), rel_tol=1e-9, abs_tol=1e-9)
-            assert r.score < 0
-    # what the seen tokens and one unseen token get adds up to one in each context
-    state, totals = pitman_yor.trained(more, 3)
-    parts = [pitman_yor.Table(*pitman_yor._read(x)) for x in state.collect()]
-    for context in (0, 5, 63):
-        unseen = np.array([12345], np.uint64)
-        seen = sum((10 ** p.scores(p.token, np.full(len(p.token), context), totals)[2]).sum() for p in parts)
-        assert math.isclose(seen + 10 ** parts[0].scores(unseen, np.array([context]), totals)[2][0], 1.0, rel_tol=1e-6)
-    one = pitman_yor.score(empty).collect()
-    assert one == []
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(told), sum(train[w] > 0 for w in told), n)
+            assert math.isclose(r.base_score, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in told), rel_tol=1e-9, abs_tol=1e-9)
+            if len(told) > 1000:
+                continue
+            keys = [int(pitman_yor.END), *map(key, told)]
+            slow = sum(math.log10(sum(p) / len(p)) for u, w in zip(keys, keys[1:]) for p in [[probability(w, u, k) for k in range(len(parents))]])
+            # a pair that training doesn't hold takes the means of the parent's probability and of the context's factor
+            assert math.isclose(r.score, slow, rel_tol=2e-3), (i, r.score, slow)
+    assert pitman_yor.score(empty).collect() == []
 
 
 def test_seating():
+    """The number of tables against its exact distribution, customer by customer, however it is drawn."""
     rng = np.random.default_rng(0)
-    c = np.array([0, 1, 2, 50, 1000])
-    t = pitman_yor.seat(c, np.full(5, 1.0), 0.8, rng)
-    assert t[0] == 0 and t[1] == 1 and (t <= c).all() and (t[1:] >= 1).all()
+    n, w, d = 40, 3.0, 0.8
+    exact = np.zeros(n + 1)
+    exact[1] = 1.0
+    for seated in range(1, n):
+        tables = np.arange(n + 1)
+        p = np.where(tables > 0, w / (seated - d * np.minimum(tables, seated) + w), 0.0)
+        exact = exact * (1 - p) + np.concatenate([[0], (exact * p)[:-1]])
+    for few in (0, 10**9):
+        found = np.bincount(pitman_yor.seat(np.full(20_000, n), np.full(20_000, w), d, rng, few), minlength=n + 1) / 20_000
+        assert np.abs(np.cumsum(found) - np.cumsum(exact)).max() < 0.02, few
+    t = pitman_yor.seat(np.array([0, 1, 2, 50, 10**7]), np.full(5, 1.0), 0.5, rng)
+    assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 2 and 1 < t[4] < 10**5
 
 
 def test_jaccard_join(spark, empty):
