@@ -14,7 +14,9 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schemas import CELL
@@ -123,11 +125,29 @@ def register(spark: SparkSession) -> None:
 
 
 def write_cells(original: str, output: str, expected: DataFrame) -> None:
-    """A copy of ``original`` with the expected cells (sheet, row, col, value) of one sheet's writes; a sheet has a bounded number of rows."""
+    """A copy of ``original`` with the expected cells (sheet, row, col, value)."""
+    write_workbooks(expected.select(F.lit(original).alias("original"), F.lit(output).alias("output"), "sheet", "row", "col", "value")).collect()
+
+
+def write_workbooks(expected: DataFrame) -> DataFrame:
+    """(output, n_cells) of the workbooks that are written when this is read: each in a task of its own, to a folder that all tasks share.
+
+    expected: (original, output, sheet, row, col, value).  A workbook has a bounded number of rows, so its cells fit in a task.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        changes: dict[str, dict[tuple[int, int], str | None]] = {}
+        for sheet, row, col, value in zip(group["sheet"], group["row"], group["col"], group["value"], strict=True):
+            changes.setdefault(sheet, {})[int(row), int(col)] = value
+        original, output = group["original"].iloc[0], group["output"].iloc[0]
+        _write(original, output, changes)
+        return pd.DataFrame({"output": [output], "n_cells": [len(group)]})
+
+    return expected.groupBy("original", "output").applyInPandas(run, "output string, n_cells long")
+
+
+def _write(original: str, output: str, changes: dict[str, dict[tuple[int, int], str | None]]) -> None:
     _check(original)
-    changes: dict[str, dict[tuple[int, int], str | None]] = {}
-    for r in expected.toLocalIterator():
-        changes.setdefault(r.sheet, {})[r.row, r.col] = r.value
     handle, path = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(output)), suffix=os.path.splitext(output)[1])
     os.close(handle)
     try:

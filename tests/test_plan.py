@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from kinlink import schemas
-from kinlink.operators import blocking, rows
+from kinlink.operators import blocking, report, rows
 from kinlink.plans import catalogue
 from kinlink.plans.resolve import resolve
 from kinlink.sources import cells, workbook
@@ -95,6 +95,31 @@ def test_workbook_round_trip(spark, tmp_path):
         cells.expected_cells(writes.unionByName(writes), {"destination": 3, "remarks": 4}, "One", 2).collect()
 
 
+def test_workbooks_written_in_tasks(spark, tmp_path):
+    for name in "ab":
+        _book(str(tmp_path / f"{name}.xlsx"))
+    given = [(str(tmp_path / f"{n}.xlsx"), str(tmp_path / f"{n}-out.xlsx"), "One", 3, 3, f"for {n}") for n in "ab"]
+    done = workbook.write_workbooks(spark.createDataFrame(given, "original string, output string, sheet string, row int, col int, value string")).collect()
+    assert {(r.output, r.n_cells) for r in done} == {(g[1], 1) for g in given}
+    assert [next(v for s, r, c, v in workbook.read_cells(g[1]) if (r, c) == (3, 3)) for g in given] == ["for a", "for b"]
+
+
+def test_gate_and_verdicts_raise(spark):
+    out = spark.createDataFrame([(1,)], "x int")
+    gate = lambda ok: spark.createDataFrame([(ok, 3)], "ok boolean, n_mismatches long")
+    assert report.released(out, gate(True)).count() == 1
+    with pytest.raises(Exception, match="verification failed"):
+        report.released(out, gate(False)).collect()
+    sheet_rows = spark.createDataFrame([("s", [("a",)])], "source_key string, candidates array<struct<username:string>>")
+    log = spark.createDataFrame([], schemas.VERDICT)
+    given = lambda target, word: spark.createDataFrame([("s", target, word, None)], schemas.VERDICT)
+    assert [r.verdict for r in report.submitted(log, given("A", "CONFIRM"), sheet_rows).collect()] == ["CONFIRMED"]
+    assert report.submitted(log, given("b", "SKIP"), sheet_rows).collect() == []
+    for target, word, match in (("b", "CONFIRM", "no candidate"), ("a", "MAYBE", "unknown verdict")):
+        with pytest.raises(Exception, match=match):
+            report.submitted(log, given(target, word), sheet_rows).collect()
+
+
 def test_many_rows_few_identities(spark):
     sheet = spark.range(300).select(F.col("id").cast("int").alias("original_row"), F.concat(F.lit("u"), F.col("id") % 37).alias("source_key"), F.lit("x").alias("source_value"), F.lit("y").alias("country"))
     assert rows.groups(sheet).count() == 37
