@@ -16,7 +16,8 @@ sends its share of those to buckets of contexts, which add them up and send back
 the sums that the bucket asked for.  So nothing that grows with the data meets in
 one task or is broadcast: only the heavy tokens' tables, and a few sums.
 
-For scoring, texts send their (token, context) pairs to the buckets of tokens.  The
+For scoring, the ``hot_pairs`` commonest pairs' probabilities are broadcast and added
+where texts are read; the other pairs go to the buckets of tokens.  The
 probability of a pair that no training text holds is the parent's times a factor
 of the context alone, which the buckets of contexts add; the two are averaged
 over the seatings each by itself.
@@ -48,10 +49,14 @@ D0, S0 = 0.6, 10.0
 #: Seatings averaged.
 SAMPLES = 2
 #: Bytes of text for each bucket.
-PER_BUCKET = 12_000_000
+PER_BUCKET = 8_000_000
+#: Pairs that are scored where the texts are read.
+HOT = 1 << 18
 #: A token with this share of all tokens is heavy: there are no more than one over it.
 HEAVY = 2.0**-14
-END = np.uint64(0x5851F42D4C957F2D)
+#: Tokens are known by so many bits of their hashes.
+BITS = np.uint64((1 << 48) - 1)
+END = np.uint64(0x5851F42D4C957F2D) & BITS
 _PAIRS = 1 << 20
 
 
@@ -101,7 +106,7 @@ def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     rows = np.repeat(np.arange(n), counts + 1)
     inside = np.ones(len(out), bool)
     inside[begin[1:] - 1] = False
-    out[inside] = value
+    out[inside] = value & BITS
     context = np.empty(len(out), np.uint64)
     context[1:] = out[:-1]
     context[begin[:-1]] = END
@@ -137,13 +142,19 @@ def _combined(token: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np
 
 def _packed(x: np.ndarray) -> bytes:
     """Numbers from 0 on, in as few bytes each as they need; the first byte tells how many."""
-    top = int(x.max(initial=0))
-    kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64
-    return bytes([kind().itemsize]) + x.astype(kind).tobytes()
+    k = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([k]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].tobytes()
 
 
-def _unpacked(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"u{b[0]}", offset=1).astype(np.int64)
+def _unpacked(b: bytes, kind: str = "<i8") -> np.ndarray:
+    k = b[0]
+    out = np.zeros(((len(b) - 1) // k, 8), np.uint8)
+    out[:, :k] = np.frombuffer(b, np.uint8, offset=1).reshape(-1, k)
+    return out.reshape(-1).view(kind)
+
+
+def _hashes(b: bytes) -> np.ndarray:
+    return _unpacked(b, "<u8")
 
 
 def heavy_tokens(docs: DataFrame, share: float = HEAVY) -> np.ndarray:
@@ -184,9 +195,9 @@ def _counted(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
         for k in ks:
             part = by[cut[k] : cut[k + 1]]
             own, sizes = np.unique(token[part], return_counts=True)
-            out["tokens"].append(own.tobytes())
+            out["tokens"].append(_packed(own))
             out["sizes"].append(_packed(sizes))
-            out["contexts"].append(context[part].tobytes())
+            out["contexts"].append(_packed(context[part]))
             out["n"].append(_packed(n[part]))
         return pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("tokens", "sizes", "contexts", "n"))]))
 
@@ -217,10 +228,10 @@ class State:
 
     def __init__(self, row) -> None:
         self.bucket = int(row["bucket"])
-        self.token = np.frombuffer(row["tokens"], np.uint64)
+        self.token = _hashes(row["tokens"])
         self.sizes = _unpacked(row["sizes"])
         self.word = np.repeat(np.arange(len(self.token)), self.sizes)
-        self.contexts = np.frombuffer(row["contexts"], np.uint64)
+        self.contexts = _hashes(row["contexts"])
         self.place, self.c = _unpacked(row["place"]), _unpacked(row["c"])
         self.t, self.parent_t = [_unpacked(b) for b in row["t"]], [_unpacked(b) for b in row["parent_t"]]
 
@@ -233,7 +244,7 @@ class State:
 
     def seated(self, t: list[np.ndarray], parent_t: list[np.ndarray]) -> dict:
         return {
-            "bucket": self.bucket, "tokens": self.token.tobytes(), "sizes": _packed(self.sizes), "contexts": self.contexts.tobytes(), "place": _packed(self.place), "c": _packed(self.c),
+            "bucket": self.bucket, "tokens": _packed(self.token), "sizes": _packed(self.sizes), "contexts": _packed(self.contexts), "place": _packed(self.place), "c": _packed(self.c),
             "t": [_packed(x) for x in t], "parent_t": [_packed(x) for x in parent_t],
         }
 
@@ -243,14 +254,14 @@ def _merged(spread, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         parts = zip(group["tokens"], group["sizes"], strict=True)
-        token = np.concatenate([np.repeat(np.frombuffer(b, np.uint64), _unpacked(s)) for b, s in parts])
-        token, context, c = _combined(token, np.concatenate([np.frombuffer(b, np.uint64) for b in group["contexts"]]), np.concatenate([_unpacked(b) for b in group["n"]]))
+        token = np.concatenate([np.repeat(_hashes(b), _unpacked(s)) for b, s in parts])
+        token, context, c = _combined(token, np.concatenate([_hashes(b) for b in group["contexts"]]), np.concatenate([_unpacked(b) for b in group["n"]]))
         own, sizes = np.unique(token, return_counts=True)
         contexts, place = np.unique(context, return_inverse=True)
         by = np.argsort(spread.value.of_context(contexts), kind="stable")
         where = np.empty(len(by), np.int64)
         where[by] = np.arange(len(by))
-        row = {"bucket": group["bucket"].iloc[0], "tokens": own.tobytes(), "sizes": _packed(sizes), "contexts": contexts[by].tobytes(), "place": _packed(where[place]), "c": _packed(c), "t": [_packed(np.minimum(c, 1))], "parent_t": [_packed(np.ones(len(own), np.int64))]}
+        row = {"bucket": group["bucket"].iloc[0], "tokens": _packed(own), "sizes": _packed(sizes), "contexts": _packed(contexts[by]), "place": _packed(where[place]), "c": _packed(c), "t": [_packed(np.minimum(c, 1))], "parent_t": [_packed(np.ones(len(own), np.int64))]}
         return pd.DataFrame([row])
 
     return run
@@ -269,7 +280,7 @@ def _shares(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
                 at = spread.value.of_context(s.contexts)
                 cut = np.searchsorted(at, np.arange(spread.value.buckets + 1))
                 c, t = np.bincount(s.place, s.c, len(s.contexts)), [np.bincount(s.place, x, len(s.contexts)) for x in s.t]
-                out = [{"at": int(k), "bucket": s.bucket, "contexts": s.contexts[cut[k] : cut[k + 1]].tobytes(), "c": _packed(c[cut[k] : cut[k + 1]]), "t": [_packed(x[cut[k] : cut[k + 1]]) for x in t]} for k in np.flatnonzero(np.diff(cut))]
+                out = [{"at": int(k), "bucket": s.bucket, "contexts": _packed(s.contexts[cut[k] : cut[k + 1]]), "c": _packed(c[cut[k] : cut[k + 1]]), "t": [_packed(x[cut[k] : cut[k + 1]]) for x in t]} for k in np.flatnonzero(np.diff(cut))]
                 schema = pa.schema([("at", pa.int32()), ("bucket", pa.int32()), ("contexts", pa.binary()), ("c", pa.binary()), ("t", pa.list_(pa.binary()))])
                 for a in range(0, len(out), 256):
                     yield pa.RecordBatch.from_pylist(out[a : a + 256], schema=schema)
@@ -279,7 +290,7 @@ def _shares(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 
 def _added(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """(contexts, place of each share's context, customers, tables of each seating) of a bucket of contexts."""
-    contexts, place = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in group["contexts"]]), return_inverse=True)
+    contexts, place = np.unique(np.concatenate([_hashes(b) for b in group["contexts"]]), return_inverse=True)
     add = lambda parts: np.bincount(place, np.concatenate([_unpacked(b) for b in parts]), len(contexts)).astype(np.int64)
     return contexts, place, add(group["c"]), [add([t[k] for t in group["t"]]) for k in range(len(group["t"].iloc[0]))]
 
@@ -287,7 +298,7 @@ def _added(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, lis
 def _answers(group: pd.DataFrame) -> pd.DataFrame:
     """The totals of a bucket of contexts, in the order in which each bucket of tokens asked for them."""
     contexts, place, c, t = _added(group)
-    ends = np.cumsum([len(b) // 8 for b in group["contexts"]])
+    ends = np.cumsum([(len(b) - 1) // b[0] for b in group["contexts"]])
     out = []
     for a, b, bucket, at in zip(np.concatenate([[0], ends[:-1]]), ends, group["bucket"], group["at"], strict=True):
         out.append((bucket, at, _packed(c[place[a:b]]), [_packed(x[place[a:b]]) for x in t]))
@@ -393,8 +404,89 @@ def trained(docs: DataFrame, buckets: int, seed: int = 7, share: float = HEAVY)
     return state, _sums(state, spread, SAMPLES, rng), spread
 
 
-def _entries(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each chunk of texts: a row for each bucket with the entries of its tokens; the first also holds the rows' ids and numbers of tokens."""
+class Scorer:
+    """Scores of pairs by a bucket's state, the parent restaurant and the totals of the bucket's contexts."""
+
+    def __init__(self, s: State, parents: list[Parent], customers: np.ndarray, tables: list[np.ndarray]) -> None:
+        self.s, self.parents = s, parents
+        self.count = np.bincount(s.word, s.c, len(s.token))
+        found, at = in_sorted(parents[0].heavy, s.token)
+        self.count[found] = parents[0].heavy_count[at[found]]
+        self.up = [p.probability(*p.of(s, k)) for k, p in enumerate(parents)]
+        self.probability = np.zeros(len(s.c))
+        for k, up in enumerate(self.up):
+            self.probability += (s.c - D1 * s.t[k] + (S1 + D1 * tables[k][s.place]) * up[s.word]) / (S1 + customers[s.place]) / len(parents)
+        self.pairs, self.order = s.pairs
+
+    def base(self, n: np.ndarray) -> np.ndarray:
+        return np.log10((n + 1) / (self.parents[0].tokens + self.parents[0].distinct + 1))
+
+    def __call__(self, token: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(count of the token, log10 of the base probability, log10 of what is known here, whether the context's factor is missing)."""
+        known, word = in_sorted(self.s.token, token)
+        heavy, h = in_sorted(self.parents[0].heavy, token)
+        heavy &= ~known  # heavy tokens of which no training pair is here
+        n = np.zeros(len(token))
+        n[known], n[heavy] = self.count[word[known]], self.parents[0].heavy_count[h[heavy]]
+        p = np.zeros(len(token))
+        for k, parent in enumerate(self.parents):
+            up = np.full(len(token), parent.probability(np.zeros(1), np.zeros(1))[0])
+            up[known], up[heavy] = self.up[k][word[known]], parent.probability(parent.heavy_customers[h[heavy]], parent.heavy_tables[h[heavy]])
+            p += up / len(self.parents)
+        seen, at = in_sorted(self.pairs, pair_hash(token, context))
+        seen &= known
+        p[seen] = self.probability[self.order[at[seen]]]
+        return n, self.base(n), np.log10(p), ~seen
+
+
+@dataclass(frozen=True)
+class Hot:
+    """The commonest pairs' hashes in order, with what their tokens score; all of them are known."""
+
+    pairs: np.ndarray
+    base: np.ndarray
+    score: np.ndarray
+
+
+def _hot(state: DataFrame, spread, parents, n: int) -> Hot:
+    """At most ``n`` of the commonest pairs. Each bucket names its own; the buckets of contexts tell the totals of theirs."""
+    context = state.sparkSession.sparkContext
+    each = max(1, 4 * n // spread.value.buckets)
+    samples = len(parents.value)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                s, p = State(row), parents.value
+                top = np.argsort(-s.c, kind="stable")[:each]
+                top = top[s.c[top] > 1]
+                count = np.bincount(s.word, s.c, len(s.token))
+                found, at = in_sorted(p[0].heavy, s.token)
+                count[found] = p[0].heavy_count[at[found]]
+                up = [x.probability(*x.of(s, k))[s.word[top]] for k, x in enumerate(p)]
+                columns = [pair_hash(s.token[s.word[top]], s.contexts[s.place[top]]).view(np.int64), s.contexts[s.place[top]].view(np.int64), s.c[top], count[s.word[top]].astype(np.int64), *(t[top] for t in s.t), *up]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["pair", "context", "c", "count", *(f"t{k}" for k in range(samples)), *(f"up{k}" for k in range(samples))])
+
+    kinds = ", ".join(["pair long", "context long", "c long", "count long", *(f"t{k} long" for k in range(samples)), *(f"up{k} double" for k in range(samples))])
+    top = state.mapInArrow(own, kinds).orderBy(F.desc("c"), "pair").limit(n).toPandas().sort_values("pair", key=lambda x: x.to_numpy(np.int64).view(np.uint64))
+    asked = context.broadcast(np.unique(top["context"].to_numpy(np.int64).view(np.uint64)))
+
+    def totals(group: pd.DataFrame) -> pd.DataFrame:
+        contexts, _, c, t = _added(group)
+        keep, _ = in_sorted(asked.value, contexts)
+        return pd.DataFrame({"context": contexts[keep].view(np.int64), "whole": c[keep], **{f"opened{k}": t[k][keep] for k in range(samples)}})
+
+    known = state.mapInArrow(_shares(spread), _SHARE).groupBy("at").applyInPandas(totals, ", ".join(["context long", "whole long", *(f"opened{k} long" for k in range(samples))])).toPandas()
+    top = top.merge(known, on="context", how="left")
+    p = np.zeros(len(top))
+    for k in range(samples):
+        p += (top["c"] - D1 * top[f"t{k}"] + (S1 + D1 * top[f"opened{k}"]) * top[f"up{k}"]).to_numpy(float) / (S1 + top["whole"].to_numpy(float)) / samples
+    first = parents.value[0]
+    return Hot(top["pair"].to_numpy(np.int64).view(np.uint64), np.log10((top["count"].to_numpy(float) + 1) / (first.tokens + first.distinct + 1)), np.log10(p))
+
+
+def _entries(spread, hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each chunk of texts: a row for each bucket with the entries of its tokens; the first also holds the rows' ids and what hot pairs score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -402,22 +494,26 @@ def _entries(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
         buckets = spread.value.buckets
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("tokens", pa.binary()), ("sizes", pa.binary()), ("contexts", pa.binary()), ("rows", pa.binary()), ("ids", pa.list_(batch.schema.field(0).type)), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.binary())])
+            schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("tokens", pa.binary()), ("sizes", pa.binary()), ("contexts", pa.binary()), ("rows", pa.binary()), ("ids", pa.list_(batch.schema.field(0).type)), ("held", pa.list_(pa.bool_())), ("sums", pa.binary())])
             for at, to, data, bounds in chunks(batch.column(2), LARGE):
                 token, context, row = tokens(data, bounds)
-                n_tokens = np.bincount(row, minlength=to - at)
+                n = to - at
+                here, place = in_sorted(hot.value.pairs, pair_hash(token, context))
+                place = place[here]
+                sums = np.stack([np.bincount(row, minlength=n), np.bincount(row[here], minlength=n), np.bincount(row[here], hot.value.base[place], n), np.bincount(row[here], hot.value.score[place], n)]).astype(np.float64)
+                token, context, row = token[~here], context[~here], row[~here]
                 bucket = spread.value.bucket(token, context)
                 by = np.lexsort((token, bucket))
                 token, context, row, bucket = token[by], context[by], row[by], bucket[by]
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                ks = np.flatnonzero(np.diff(cut))  # a chunk has a row, and so a token
+                ks = np.flatnonzero(np.diff(cut))
+                home = int(ks[0]) if len(ks) else chunk % buckets
                 out: dict[str, list] = {f.name: [] for f in schema}
-                for k in ks:
+                for k in ks if len(ks) else [home]:
                     s = slice(cut[k], cut[k + 1])
                     own, sizes = np.unique(token[s], return_counts=True)
-                    first = k == ks[0]
-                    values = (int(k), chunk, own.tobytes(), _packed(sizes), context[s].tobytes(), _packed(row[s]), batch.column(0).slice(at, to - at).to_pylist() if first else None, batch.column(1).slice(at, to - at).to_pylist() if first else None, _packed(n_tokens) if first else None)
-                    for name, v in zip(out, values, strict=True):
+                    told = (batch.column(0).slice(at, n).to_pylist(), batch.column(1).slice(at, n).to_pylist(), sums.tobytes()) if k == home else (None, None, None)
+                    for name, v in zip(out, (int(k), chunk, _packed(own), _packed(sizes), _packed(context[s]), _packed(row[s]), *told), strict=True):
                         out[name].append(v)
                 chunk += 1
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
@@ -425,32 +521,7 @@ def _entries(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return run
 
 
-def _pair_scores(s: State, parents: list[Parent], customers: np.ndarray, tables: list[np.ndarray], token: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(count of the token, log10 of the base probability, log10 of what is known here, whether the context's factor is missing) of pairs, by a bucket's state and its contexts' totals."""
-    known, word = in_sorted(s.token, token)
-    word = np.where(known, word, 0)
-    count = np.bincount(s.word, s.c, len(s.token))
-    found, at = in_sorted(parents[0].heavy, s.token)
-    count[found] = parents[0].heavy_count[at[found]]
-    n = np.where(known, count[word] if len(count) else 0, 0)
-    # heavy tokens of which no training pair is here
-    heavy, h = in_sorted(parents[0].heavy, token)
-    heavy &= ~known
-    n[heavy] = parents[0].heavy_count[h[heavy]]
-    seen, at = in_sorted(s.pairs[0], pair_hash(token, context))
-    seen, at = seen & known, s.pairs[1][at] if len(s.pairs[1]) else at
-    p = np.zeros(len(token))
-    for k, parent in enumerate(parents):
-        own = parent.probability(*parent.of(s, k)) if len(s.token) else np.zeros(0)
-        up = np.where(known, own[word] if len(own) else 0, parent.probability(np.zeros(1), np.zeros(1))[0])
-        up[heavy] = parent.probability(parent.heavy_customers[h[heavy]], parent.heavy_tables[h[heavy]])
-        place = s.place[at] if len(s.c) else at
-        here = (s.c[at] - D1 * s.t[k][at] + (S1 + D1 * tables[k][place]) * up) / (S1 + customers[place]) if len(s.c) else up
-        p += np.where(seen, here, up) / len(parents)
-    return n, np.log10((n + 1) / (parents[0].tokens + parents[0].distinct + 1)), np.log10(p), ~seen
-
-
-_PART = "chunk long, rows binary, part binary, ids {ids}, held array<boolean>, n_tokens binary, at int, contexts binary, unseen binary"
+_PART = "chunk long, rows binary, part binary, ids {ids}, held array<boolean>, sums binary, at int, contexts binary, unseen binary"
 
 
 def _scored(parents, spread) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
@@ -464,23 +535,23 @@ def _scored(parents, spread) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFr
             tables = [np.concatenate([_unpacked(t[k]) for t in answers["t"]]) for k in range(len(parents.value))]
         else:
             none = np.zeros(0, np.int64)
-            s = State({"bucket": 0, "tokens": b"", "sizes": _packed(none), "contexts": b"", "place": _packed(none), "c": _packed(none), "t": [_packed(none)] * SAMPLES, "parent_t": [_packed(none)] * SAMPLES})
+            s = State({"bucket": 0, "tokens": _packed(none), "sizes": _packed(none), "contexts": _packed(none), "place": _packed(none), "c": _packed(none), "t": [_packed(none)] * SAMPLES, "parent_t": [_packed(none)] * SAMPLES})
             customers, tables = none, [none] * SAMPLES
-        out = []
+        scorer, out = Scorer(s, parents.value, customers, tables), []
         for e in entries.itertuples():
-            token = np.repeat(np.frombuffer(e.tokens, np.uint64), _unpacked(e.sizes))
-            context, row = np.frombuffer(e.contexts, np.uint64), _unpacked(e.rows)
-            count, base, score, missing = _pair_scores(s, parents.value, customers, tables, token, context)
+            token = np.repeat(_hashes(e.tokens), _unpacked(e.sizes))
+            context, row = _hashes(e.contexts), _unpacked(e.rows)
+            count, base, score, missing = scorer(token, context)
             rows, place = np.unique(row, return_inverse=True)
             sums = np.stack([np.bincount(place, count > 0, len(rows)), np.bincount(place, base, len(rows)), np.bincount(place, score, len(rows))]).astype(np.float64)
-            out.append((e.chunk, _packed(rows), sums.tobytes(), e.ids, e.held, e.n_tokens, None, None, None))
+            out.append((e.chunk, _packed(rows), sums.tobytes(), e.ids, e.held, e.sums, None, None, None))
             at = spread.value.of_context(context[missing])
             by = np.argsort(at, kind="stable")
             cut = np.searchsorted(at[by], np.arange(spread.value.buckets + 1))
             for k in np.flatnonzero(np.diff(cut)):
                 part = by[cut[k] : cut[k + 1]]
-                out.append((e.chunk, None, None, None, None, None, int(k), context[missing][part].tobytes(), _packed(row[missing][part])))
-        return pd.DataFrame(out, columns=["chunk", "rows", "part", "ids", "held", "n_tokens", "at", "contexts", "unseen"]).astype({"at": "Int32"})
+                out.append((e.chunk, None, None, None, None, None, int(k), _packed(context[missing][part]), _packed(row[missing][part])))
+        return pd.DataFrame(out, columns=["chunk", "rows", "part", "ids", "held", "sums", "at", "contexts", "unseen"]).astype({"at": "Int32"})
 
     return run
 
@@ -494,7 +565,7 @@ def _factors(asked: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
         contexts, factor = np.zeros(0, np.uint64), np.zeros(0)
     out = []
     for e in asked.itertuples():
-        found, at = in_sorted(contexts, np.frombuffer(e.contexts, np.uint64))
+        found, at = in_sorted(contexts, _hashes(e.contexts))
         rows, place = np.unique(_unpacked(e.unseen), return_inverse=True)
         added = np.bincount(place, np.where(found, factor[at] if len(factor) else 0.0, 0.0), len(rows))
         out.append((e.chunk, _packed(rows), np.stack([np.zeros(len(rows)), np.zeros(len(rows)), added]).tobytes()))
@@ -503,15 +574,14 @@ def _factors(asked: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
 
 def _summed(group: pd.DataFrame) -> pd.DataFrame:
     """A chunk's rows, each with the sums of its tokens."""
-    head = group[group["n_tokens"].notna()].iloc[0]
-    n = _unpacked(head["n_tokens"])
-    sums = np.zeros((3, len(n)))
+    head = group[group["sums"].notna()].iloc[0]
+    sums = np.frombuffer(head["sums"], np.float64).reshape(4, -1).copy()
     for rows, part in zip(group["rows"], group["part"], strict=True):
-        sums[:, _unpacked(rows)] += np.frombuffer(part, np.float64).reshape(3, -1)
-    return pd.DataFrame({"doc_id": pd.array(list(head["ids"]), dtype="object"), "held_out": list(head["held"]), "n_tokens": n, "n_known": sums[0].astype(np.int64), "base_score": sums[1], "score": sums[2]})
+        sums[1:, _unpacked(rows)] += np.frombuffer(part, np.float64).reshape(3, -1)
+    return pd.DataFrame({"doc_id": pd.array(list(head["ids"]), dtype="object"), "held_out": list(head["held"]), "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base_score": sums[2], "score": sums[3]})
 
 
-def score(docs: DataFrame, per_bucket: int = PER_BUCKET, share: float = HEAVY) -> DataFrame:
+def score(docs: DataFrame, per_bucket: int = PER_BUCKET, share: float = HEAVY, hot_pairs: int = HOT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each (doc_id, text); perplexity is 10 ** (-score / n_tokens)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", held_out(7).alias("held"), "text")
@@ -520,11 +590,12 @@ def score(docs: DataFrame, per_bucket: int = PER_BUCKET, share: float = HEAVY) -
     known = spark.sparkContext.broadcast(parents)
     id_kind = docs.schema["doc_id"].dataType
     ids = T.ArrayType(id_kind).simpleString()
-    entries = rows.mapInArrow(_entries(spread), f"bucket int, chunk long, tokens binary, sizes binary, contexts binary, rows binary, ids {ids}, held array<boolean>, n_tokens binary")
+    hot = spark.sparkContext.broadcast(_hot(state, spread, known, hot_pairs))
+    entries = rows.mapInArrow(_entries(spread, hot), f"bucket int, chunk long, tokens binary, sizes binary, contexts binary, rows binary, ids {ids}, held array<boolean>, sums binary")
     seats = state.withColumn("at", F.lit(None).cast("int")).unionByName(_asked(state, spread), allowMissingColumns=True)
     parts = saved(entries.groupBy("bucket").cogroup(seats.groupBy("bucket")).applyInPandas(_scored(known, spread), _PART.format(ids=ids)), "parts")
     shares = state.mapInArrow(_shares(spread), _SHARE)
     added = parts.filter("at IS NOT NULL").groupBy("at").cogroup(shares.groupBy("at")).applyInPandas(_factors, "chunk long, rows binary, part binary")
-    found = parts.filter("at IS NULL").select("chunk", "rows", "part", "ids", "held", "n_tokens").unionByName(added, allowMissingColumns=True)
+    found = parts.filter("at IS NULL").select("chunk", "rows", "part", "ids", "held", "sums").unionByName(added, allowMissingColumns=True)
     done = found.groupBy("chunk").applyInPandas(_summed, f"doc_id {id_kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(parents[0].tokens).cast("long").alias("train_tokens"), "base_score", "score")

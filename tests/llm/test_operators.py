@@ -137,9 +137,9 @@ def test_pitman_yor(spark, docs, empty):
     texts = {**dict(enumerate([*TEXTS, TEXTS[9]])), **dict(rows)}
     train = Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*words(t), "\0end"])
     n, v = sum(train.values()), len(train)
-    key = lambda w: int(pitman_yor.END) if w == "\0end" else int(hash_words([w], False)[0][0])
-    for share in (0.01, 0.5):  # with many heavy tokens, and with none
-        found = by_id(pitman_yor.score(more, share=share))
+    key = lambda w: int(pitman_yor.END) if w == "\0end" else int(hash_words([w], False)[0][0] & pitman_yor.BITS)
+    for share, hot in ((0.01, 20), (0.5, 10**5)):  # with many heavy tokens, and with none; with few hot pairs, and with all
+        found = by_id(pitman_yor.score(more, share=share, hot_pairs=hot))
         assert len(found) == len(texts)
         # the seatings that the same seed gives, read pair by pair
         state, parents, spread = pitman_yor.trained(more.filter(F.crc32(F.col("doc_id").cast("string")) % 7 != 2), 24, share=share)
