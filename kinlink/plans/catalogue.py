@@ -162,7 +162,21 @@ def distinctiveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), X.distinctiveness(name).alias("distinctiveness"))
 
 
-@query()
+# The decorations of names, longest first, and what is put at their ends.
+_VARIANTS = r"""WITH RECURSIVE n AS (SELECT DISTINCT p_name, lower(p_name) AS base, regexp_replace(lower(p_name), '[^0-9a-z]+', '', 'g') AS normal FROM part),
+cut AS (SELECT p_name, normal AS core, 0 AS step FROM n UNION ALL SELECT p_name, CASE WHEN a IS NULL THEN core WHEN ends_with(core, a) THEN left(core, length(core) - length(a)) ELSE substr(core, length(a) + 1) END, step + 1
+  FROM (SELECT *, list_filter(['offiziell', 'ufficiale', 'officiale', 'official', 'officiel', 'streamer', 'oficial', 'streams', 'channel', 'gaming', 'twitch', 'stream', 'gamer', 'games', 'clips', 'live', 'real', 'kick', 'ttv', 'the', 'its', 'itz', 'iam', 'tv', 'yt', 'gg'],
+    lambda x: length(core) - length(x) >= 3 AND (ends_with(core, x) OR starts_with(core, x)))[1] AS a FROM cut) WHERE step < 20),
+m AS (SELECT n.*, core, array_to_string(list_transform(list_filter(generate_series(1, length(normal)), lambda i: i = 1 OR substr(normal, i::INT, 1) <> substr(normal, i::INT - 1, 1)), lambda i: substr(normal, i::INT, 1)), '') AS squashed FROM n JOIN cut USING (p_name) WHERE step = 20),
+c AS (SELECT *, list_filter(list_distinct([normal, core, CASE WHEN length(rtrim(normal, '0123456789')) >= 3 THEN rtrim(normal, '0123456789') ELSE normal END, CASE WHEN length(rtrim(core, '0123456789')) >= 3 THEN rtrim(core, '0123456789') ELSE core END, squashed]), lambda x: length(x) >= 3) AS cores FROM m),
+g AS (SELECT p_name, list_concat([base, replace(base, ' ', ''), replace(base, ' ', '_'), replace(base, '-', '_'), replace(base, '_', '-'), replace(base, '.', '_'), translate(base, '-_. ', ''), trim(base, '_-')],
+  flatten(list_transform(cores, lambda x: list_concat(list_transform(['', 'tv', 'ttv', 'live', 'yt', 'gaming', 'official', 'oficial', 'gg', '_tv', '_live', '_yt', '_gaming', '_official', '_oficial', '_ttv', '_', '__', '-tv', '-live', '-'], lambda e: x || e), list_transform(['the', 'its', 'real', 'iam', '_', 'the_', 'its_'], lambda p: p || x))))) AS v FROM c),
+u AS (SELECT DISTINCT p_name, unnest(v) AS variant FROM g),
+h AS (SELECT *, translate(lower(trim(variant)), '-. ', '__') AS t FROM u WHERE variant <> '')
+SELECT p_name, variant, CASE WHEN regexp_matches(t, '^[a-z0-9][a-z0-9_]{3,24}$') THEN t END AS handle FROM h"""
+
+
+@query(_VARIANTS)
 def name_variants_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = S.table(spark, sf_dir, "part").select("p_name").distinct()
     return names.select("p_name", F.explode(X.name_variants(F.col("p_name"))).alias("variant")).select("p_name", "variant", X.to_handle(F.col("variant"), "twitch").alias("handle"))
