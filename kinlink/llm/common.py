@@ -7,6 +7,7 @@ about ``CHUNK`` bytes, which bounds the memory of a task by the longest text.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -64,7 +65,10 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that :func:`saved` wrote, once all that reads them is saved itself."""
+    """Deletes tables that :func:`saved` wrote, once all that reads them is saved itself; the shuffles behind them may go too."""
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()  # Spark drops the files of shuffles that nothing refers to
     for df in tables:
         _, path = _PATHS.pop(id(df))
         jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()

@@ -29,6 +29,7 @@ rows.  Texts of any length are read whole, in chunks of whole rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -51,13 +52,13 @@ SAMPLES = 2
 #: Bytes of text for each bucket.
 PER_BUCKET = 8_000_000
 #: Pairs that are scored where the texts are read.
-HOT = 1 << 18
+HOT = 1 << 19
 #: A token with this share of all tokens is heavy: there are no more than one over it.
 HEAVY = 2.0**-14
 #: Tokens are known by so many bits of their hashes.
 BITS = np.uint64((1 << 48) - 1)
 END = np.uint64(0x5851F42D4C957F2D) & BITS
-_PAIRS = 1 << 20
+_PAIRS = 3 << 18
 
 
 def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator, few: int = 64) -> np.ndarray:
@@ -153,6 +154,15 @@ def _unpacked(b: bytes, kind: str = "<i8") -> np.ndarray:
     return out.reshape(-1).view(kind)
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers that are mostly small ones."""
+    return zlib.compress(_packed(x), 1)
+
+
+def _numbers(b: bytes) -> np.ndarray:
+    return _unpacked(zlib.decompress(b))
+
+
 def _hashes(b: bytes) -> np.ndarray:
     return _unpacked(b, "<u8")
 
@@ -198,7 +208,7 @@ def _counted(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             out["tokens"].append(_packed(own))
             out["sizes"].append(_packed(sizes))
             out["contexts"].append(_packed(context[part]))
-            out["n"].append(_packed(n[part]))
+            out["n"].append(_squeezed(n[part]))
         return pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("tokens", "sizes", "contexts", "n"))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +242,8 @@ class State:
         self.sizes = _unpacked(row["sizes"])
         self.word = np.repeat(np.arange(len(self.token)), self.sizes)
         self.contexts = _hashes(row["contexts"])
-        self.place, self.c = _unpacked(row["place"]), _unpacked(row["c"])
-        self.t, self.parent_t = [_unpacked(b) for b in row["t"]], [_unpacked(b) for b in row["parent_t"]]
+        self.place, self.c = _unpacked(row["place"]), _numbers(row["c"])
+        self.t, self.parent_t = [_numbers(b) for b in row["t"]], [_numbers(b) for b in row["parent_t"]]
 
     @cached_property
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
@@ -244,8 +254,8 @@ class State:
 
     def seated(self, t: list[np.ndarray], parent_t: list[np.ndarray]) -> dict:
         return {
-            "bucket": self.bucket, "tokens": _packed(self.token), "sizes": _packed(self.sizes), "contexts": _packed(self.contexts), "place": _packed(self.place), "c": _packed(self.c),
-            "t": [_packed(x) for x in t], "parent_t": [_packed(x) for x in parent_t],
+            "bucket": self.bucket, "tokens": _packed(self.token), "sizes": _packed(self.sizes), "contexts": _packed(self.contexts), "place": _packed(self.place), "c": _squeezed(self.c),
+            "t": [_squeezed(x) for x in t], "parent_t": [_squeezed(x) for x in parent_t],
         }
 
 
@@ -255,13 +265,13 @@ def _merged(spread, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         parts = zip(group["tokens"], group["sizes"], strict=True)
         token = np.concatenate([np.repeat(_hashes(b), _unpacked(s)) for b, s in parts])
-        token, context, c = _combined(token, np.concatenate([_hashes(b) for b in group["contexts"]]), np.concatenate([_unpacked(b) for b in group["n"]]))
+        token, context, c = _combined(token, np.concatenate([_hashes(b) for b in group["contexts"]]), np.concatenate([_numbers(b) for b in group["n"]]))
         own, sizes = np.unique(token, return_counts=True)
         contexts, place = np.unique(context, return_inverse=True)
         by = np.argsort(spread.value.of_context(contexts), kind="stable")
         where = np.empty(len(by), np.int64)
         where[by] = np.arange(len(by))
-        row = {"bucket": group["bucket"].iloc[0], "tokens": _packed(own), "sizes": _packed(sizes), "contexts": _packed(contexts[by]), "place": _packed(where[place]), "c": _packed(c), "t": [_packed(np.minimum(c, 1))], "parent_t": [_packed(np.ones(len(own), np.int64))]}
+        row = {"bucket": group["bucket"].iloc[0], "tokens": _packed(own), "sizes": _packed(sizes), "contexts": _packed(contexts[by]), "place": _packed(where[place]), "c": _squeezed(c), "t": [_squeezed(np.minimum(c, 1))], "parent_t": [_squeezed(np.ones(len(own), np.int64))]}
         return pd.DataFrame([row])
 
     return run
@@ -280,7 +290,7 @@ def _shares(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
                 at = spread.value.of_context(s.contexts)
                 cut = np.searchsorted(at, np.arange(spread.value.buckets + 1))
                 c, t = np.bincount(s.place, s.c, len(s.contexts)), [np.bincount(s.place, x, len(s.contexts)) for x in s.t]
-                out = [{"at": int(k), "bucket": s.bucket, "contexts": _packed(s.contexts[cut[k] : cut[k + 1]]), "c": _packed(c[cut[k] : cut[k + 1]]), "t": [_packed(x[cut[k] : cut[k + 1]]) for x in t]} for k in np.flatnonzero(np.diff(cut))]
+                out = [{"at": int(k), "bucket": s.bucket, "contexts": _packed(s.contexts[cut[k] : cut[k + 1]]), "c": _squeezed(c[cut[k] : cut[k + 1]]), "t": [_squeezed(x[cut[k] : cut[k + 1]]) for x in t]} for k in np.flatnonzero(np.diff(cut))]
                 schema = pa.schema([("at", pa.int32()), ("bucket", pa.int32()), ("contexts", pa.binary()), ("c", pa.binary()), ("t", pa.list_(pa.binary()))])
                 for a in range(0, len(out), 256):
                     yield pa.RecordBatch.from_pylist(out[a : a + 256], schema=schema)
@@ -291,7 +301,7 @@ def _shares(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 def _added(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """(contexts, place of each share's context, customers, tables of each seating) of a bucket of contexts."""
     contexts, place = np.unique(np.concatenate([_hashes(b) for b in group["contexts"]]), return_inverse=True)
-    add = lambda parts: np.bincount(place, np.concatenate([_unpacked(b) for b in parts]), len(contexts)).astype(np.int64)
+    add = lambda parts: np.bincount(place, np.concatenate([_numbers(b) for b in parts]), len(contexts)).astype(np.int64)
     return contexts, place, add(group["c"]), [add([t[k] for t in group["t"]]) for k in range(len(group["t"].iloc[0]))]
 
 
@@ -301,7 +311,7 @@ def _answers(group: pd.DataFrame) -> pd.DataFrame:
     ends = np.cumsum([(len(b) - 1) // b[0] for b in group["contexts"]])
     out = []
     for a, b, bucket, at in zip(np.concatenate([[0], ends[:-1]]), ends, group["bucket"], group["at"], strict=True):
-        out.append((bucket, at, _packed(c[place[a:b]]), [_packed(x[place[a:b]]) for x in t]))
+        out.append((bucket, at, _squeezed(c[place[a:b]]), [_squeezed(x[place[a:b]]) for x in t]))
     return pd.DataFrame(out, columns=["bucket", "at", "c", "t"])
 
 
@@ -373,7 +383,7 @@ def _swept(parent, samples: list[int], seed: int) -> Callable[[pd.DataFrame, pd.
     def run(state: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         s, p = State(state.iloc[0]), parent.value
         rng = np.random.default_rng([seed, s.bucket])
-        tables = np.concatenate([_unpacked(t[-1]) for t in answers.sort_values("at")["t"]])
+        tables = np.concatenate([_numbers(t[-1]) for t in answers.sort_values("at")["t"]])
         customers, parent_tables = p.of(s, -1)
         weight = (S1 + D1 * tables[s.place]) * p.probability(customers, parent_tables)[s.word]
         t = seat(s.c, weight, D1, rng)
@@ -468,21 +478,21 @@ def _hot(state: DataFrame, spread, parents, n: int) -> Hot:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["pair", "context", "c", "count", *(f"t{k}" for k in range(samples)), *(f"up{k}" for k in range(samples))])
 
     kinds = ", ".join(["pair long", "context long", "c long", "count long", *(f"t{k} long" for k in range(samples)), *(f"up{k} double" for k in range(samples))])
-    top = state.mapInArrow(own, kinds).orderBy(F.desc("c"), "pair").limit(n).toPandas().sort_values("pair", key=lambda x: x.to_numpy(np.int64).view(np.uint64))
-    asked = context.broadcast(np.unique(top["context"].to_numpy(np.int64).view(np.uint64)))
+    top = saved(state.mapInArrow(own, kinds).orderBy(F.desc("c"), "pair").limit(n), "hot")
+    asked = context.broadcast(np.sort(top.select("context").distinct().toPandas()["context"].to_numpy(np.int64).view(np.uint64)))
 
     def totals(group: pd.DataFrame) -> pd.DataFrame:
         contexts, _, c, t = _added(group)
         keep, _ = in_sorted(asked.value, contexts)
         return pd.DataFrame({"context": contexts[keep].view(np.int64), "whole": c[keep], **{f"opened{k}": t[k][keep] for k in range(samples)}})
 
-    known = state.mapInArrow(_shares(spread), _SHARE).groupBy("at").applyInPandas(totals, ", ".join(["context long", "whole long", *(f"opened{k} long" for k in range(samples))])).toPandas()
-    top = top.merge(known, on="context", how="left")
-    p = np.zeros(len(top))
-    for k in range(samples):
-        p += (top["c"] - D1 * top[f"t{k}"] + (S1 + D1 * top[f"opened{k}"]) * top[f"up{k}"]).to_numpy(float) / (S1 + top["whole"].to_numpy(float)) / samples
+    known = state.mapInArrow(_shares(spread), _SHARE).groupBy("at").applyInPandas(totals, ", ".join(["context long", "whole long", *(f"opened{k} long" for k in range(samples))]))
     first = parents.value[0]
-    return Hot(top["pair"].to_numpy(np.int64).view(np.uint64), np.log10((top["count"].to_numpy(float) + 1) / (first.tokens + first.distinct + 1)), np.log10(p))
+    p = sum((F.col("c") - D1 * F.col(f"t{k}") + (S1 + D1 * F.col(f"opened{k}")) * F.col(f"up{k}")) / (S1 + F.col("whole")) for k in range(samples)) / samples
+    told = top.join(known, "context").select("pair", F.log10((F.col("count") + 1) / F.lit(float(first.tokens + first.distinct + 1))).alias("base"), F.log10(p).alias("score")).toPandas()
+    pairs = told["pair"].to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(pairs)
+    return Hot(pairs[by], told["base"].to_numpy(float)[by], told["score"].to_numpy(float)[by])
 
 
 def _entries(spread, hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -531,11 +541,11 @@ def _scored(parents, spread) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFr
         seats, answers = state[state["tokens"].notna()], state[state["tokens"].isna()].sort_values("at")
         if len(seats):
             s = State(seats.iloc[0])
-            customers = np.concatenate([_unpacked(b) for b in answers["c"]])
-            tables = [np.concatenate([_unpacked(t[k]) for t in answers["t"]]) for k in range(len(parents.value))]
+            customers = np.concatenate([_numbers(b) for b in answers["c"]])
+            tables = [np.concatenate([_numbers(t[k]) for t in answers["t"]]) for k in range(len(parents.value))]
         else:
             none = np.zeros(0, np.int64)
-            s = State({"bucket": 0, "tokens": _packed(none), "sizes": _packed(none), "contexts": _packed(none), "place": _packed(none), "c": _packed(none), "t": [_packed(none)] * SAMPLES, "parent_t": [_packed(none)] * SAMPLES})
+            s = State({"bucket": 0, "tokens": _packed(none), "sizes": _packed(none), "contexts": _packed(none), "place": _packed(none), "c": _squeezed(none), "t": [_squeezed(none)] * SAMPLES, "parent_t": [_squeezed(none)] * SAMPLES})
             customers, tables = none, [none] * SAMPLES
         scorer, out = Scorer(s, parents.value, customers, tables), []
         for e in entries.itertuples():
