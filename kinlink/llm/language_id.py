@@ -222,9 +222,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, windows: int = WINDOW
     if not known:
         return Network.new([], np.random.default_rng(0))
     per = max(1, min(per_language, sample // known))
+    # one row a language, of which the sample's bound holds the number: rows meet it where they are read
+    few = F.broadcast(counts) if known <= sample else counts
     # of each language's ids, those that hash so low that about twice as many are left as are taken, and the lowest: no task meets all rows of a language
     bound = F.when(F.col("n") <= 4 * per, F.lit(2.0**63)).otherwise(F.lit(2.0**64) * (2.0 * per) / F.col("n") - F.lit(2.0**63))
-    low = rows.withColumn("hash", F.xxhash64("doc_id")).join(counts, "lang").filter((F.col("hash") <= bound) | (F.col("hash") == F.col("least")))
+    low = rows.withColumn("hash", F.xxhash64("doc_id")).join(few, "lang").filter((F.col("hash") <= bound) | (F.col("hash") == F.col("least")))
     rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
     chosen = low.select("lang", "hash", "doc_id").distinct().withColumn("rank", rank).filter(F.col("rank") <= per)
     # at most ``sample`` ids, or one a language
