@@ -52,7 +52,7 @@ SAMPLES = 2
 #: Bytes of text for each bucket.
 PER_BUCKET = 8_000_000
 #: Pairs that are scored where the texts are read.
-HOT = 1 << 19
+HOT = 1 << 18
 #: A token with this share of all tokens is heavy: there are no more than one over it.
 HEAVY = 2.0**-14
 #: Tokens are known by so many bits of their hashes.
@@ -548,6 +548,7 @@ def _scored(parents, spread) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFr
             s = State({"bucket": 0, "tokens": _packed(none), "sizes": _packed(none), "contexts": _packed(none), "place": _packed(none), "c": _squeezed(none), "t": [_squeezed(none)] * SAMPLES, "parent_t": [_squeezed(none)] * SAMPLES})
             customers, tables = none, [none] * SAMPLES
         scorer, out = Scorer(s, parents.value, customers, tables), []
+        asks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for e in entries.itertuples():
             token = np.repeat(_hashes(e.tokens), _unpacked(e.sizes))
             context, row = _hashes(e.contexts), _unpacked(e.rows)
@@ -555,12 +556,16 @@ def _scored(parents, spread) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFr
             rows, place = np.unique(row, return_inverse=True)
             sums = np.stack([np.bincount(place, count > 0, len(rows)), np.bincount(place, base, len(rows)), np.bincount(place, score, len(rows))]).astype(np.float64)
             out.append((e.chunk, _packed(rows), sums.tobytes(), e.ids, e.held, e.sums, None, None, None))
-            at = spread.value.of_context(context[missing])
-            by = np.argsort(at, kind="stable")
-            cut = np.searchsorted(at[by], np.arange(spread.value.buckets + 1))
-            for k in np.flatnonzero(np.diff(cut)):
-                part = by[cut[k] : cut[k + 1]]
-                out.append((e.chunk, None, None, None, None, None, int(k), _packed(context[missing][part]), _packed(row[missing][part])))
+            asks.append((np.full(int(missing.sum()), e.chunk), context[missing], row[missing]))
+        # one row for each bucket of contexts, with the chunks that ask
+        chunk, context, row = (np.concatenate(x) for x in zip(*asks, strict=True)) if asks else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        at = spread.value.of_context(context)
+        by = np.lexsort((row, chunk, at))
+        cut = np.searchsorted(at[by], np.arange(spread.value.buckets + 1))
+        for k in np.flatnonzero(np.diff(cut)):
+            part = by[cut[k] : cut[k + 1]]
+            chunks_, sizes = np.unique(chunk[part], return_counts=True)
+            out.append((-1, _packed(sizes), chunks_.astype(np.int64).tobytes(), None, None, None, int(k), _packed(context[part]), _packed(row[part])))
         return pd.DataFrame(out, columns=["chunk", "rows", "part", "ids", "held", "sums", "at", "contexts", "unseen"]).astype({"at": "Int32"})
 
     return run
@@ -573,12 +578,18 @@ def _factors(asked: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
         factor = np.log10(np.mean([(S1 + D1 * x) / (S1 + c) for x in t], axis=0))
     else:
         contexts, factor = np.zeros(0, np.uint64), np.zeros(0)
-    out = []
-    for e in asked.itertuples():
-        found, at = in_sorted(contexts, _hashes(e.contexts))
-        rows, place = np.unique(_unpacked(e.unseen), return_inverse=True)
-        added = np.bincount(place, np.where(found, factor[at] if len(factor) else 0.0, 0.0), len(rows))
-        out.append((e.chunk, _packed(rows), np.stack([np.zeros(len(rows)), np.zeros(len(rows)), added]).tobytes()))
+    if not len(asked):
+        return pd.DataFrame([], columns=["chunk", "rows", "part"])
+    chunk = np.concatenate([np.repeat(np.frombuffer(p, np.int64), _unpacked(s)) for p, s in zip(asked["part"], asked["rows"], strict=True)])
+    row = np.concatenate([_unpacked(b) for b in asked["unseen"]])
+    found, at = in_sorted(contexts, np.concatenate([_hashes(b) for b in asked["contexts"]]))
+    value = np.where(found, factor[at] if len(factor) else 0.0, 0.0)
+    by = np.lexsort((row, chunk))
+    chunk, row, value = chunk[by], row[by], value[by]
+    start = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (row[1:] != row[:-1])]))
+    chunk, row, value = chunk[start], row[start], np.add.reduceat(value, start)
+    cut = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]]))
+    out = [(int(chunk[a]), _packed(row[a:b]), np.stack([np.zeros(b - a), np.zeros(b - a), value[a:b]]).tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     return pd.DataFrame(out, columns=["chunk", "rows", "part"])
 
 
