@@ -144,17 +144,18 @@ def chunks(column: pa.Array | pa.ChunkedArray, size: int = CHUNK) -> Iterator[tu
         at = to
 
 
-def words(data: np.ndarray, bounds: np.ndarray, punctuation: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, bounds: np.ndarray, punctuation: bool, outside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, start byte, end byte) of each word of rows of bytes, with A-Z lower-cased.
 
-    punctuation: words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, else ``[^\\x20\\x09-\\x0D]+``.
+    punctuation: words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, else ``[^\\x20\\x09-\\x0D]+``; or
+    outside: which of the 256 bytes stand between words.
     """
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
     low = _LOWER[data]
-    inside = ~(_IS_PUNCT if punctuation else _IS_WHITE)[low]
+    inside = ~(outside if outside is not None else _IS_PUNCT if punctuation else _IS_WHITE)[low]
     row_start = np.zeros(n + 1, bool)
     row_start[bounds] = True
     starts = inside.copy()

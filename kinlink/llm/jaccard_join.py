@@ -18,11 +18,12 @@ is verified against the pivot once, however many lists they share, which costs
 one pair an entry at most.  What a class x links to is then derived from how it
 differs from the pivot p: with D(x) what only one of x and p holds,
 ``|x & y| = |x & p| + |y & p| - |p| + |D(x) & D(y)|``, so only the differences are
-compared.  Classes that link to the pivot are not compared with each other.  The
-rest of a pivot's lists is cut into blocks of like size and bounded bytes, and a
-pair of blocks is skipped whole if no two of their classes can link by how far from
-their sets' ends their list entries stand, or by how many differences they would
-have to share.
+compared.  Classes that link to the pivot are not compared with each other.  Where a
+pivot has more than a block of classes, only those meet that share one of their first
+differences (of which what the pivot lacks comes first).  Where many share one, they
+are cut into blocks of bounded bytes in order of how far from their sets' ends their
+list entries stand, and a pair of blocks is skipped whole if no two of their classes
+can link by that, by their sizes or by how far from the pivot they are.
 
 A pair from a short list is first tested by sketches: of each set, the parities of
 the hash classes of its shingles.  The sketches differ in no more places than the
@@ -80,19 +81,19 @@ class Order:
         return out
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
     """The sorted different shingles of each row of a chunk."""
     value, row, _, _ = words(data, bounds, False)
     counts = np.bincount(row, minlength=len(bounds) - 1)
     begin = np.concatenate([[0], np.cumsum(counts)])
-    run = np.zeros(max(0, len(value) - WIDTH + 1), np.uint64)
-    for k in range(WIDTH):
+    run = np.zeros(max(0, len(value) - width + 1), np.uint64)
+    for k in range(width):
         run = run * _Q + value[k : k + len(run)]
     run = mixed(run)
     out = []
     for a, b in zip(begin[:-1], begin[1:], strict=True):
-        if b - a >= WIDTH:
-            out.append(np.unique(run[a : b - WIDTH + 1]))
+        if b - a >= width:
+            out.append(np.unique(run[a : b - width + 1]))
         elif b > a:
             whole = np.array([b - a], np.uint64)
             for k in range(a, b):
@@ -114,14 +115,14 @@ def prefix_length(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def needed(a, b):
+def needed(a, b, percent: int = PERCENT):
     """The least overlap of sets of sizes a and b that link; for numbers and arrays."""
-    return -(-PERCENT * (a + b) // (100 + PERCENT))
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def slack(a: Column, b: Column, overlap: Column) -> Column:
+def slack(a: Column, b: Column, overlap: Column, percent: int = PERCENT) -> Column:
     """At least 0 if sets of sizes a and b with this overlap link."""
-    return (100 + PERCENT) * overlap - PERCENT * (a + b)
+    return (100 + percent) * overlap - percent * (a + b)
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -313,7 +314,7 @@ def _bits(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(a, b, set) of the classes in ``wanted`` (a, b, rep), each from the document rep: a filter of bounded size picks the rows before they are read."""
     bits = docs.sparkSession.sparkContext.broadcast(_bits(wanted))
 
@@ -322,7 +323,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             bit = batch.column(1).to_numpy()
             texts = batch.column(0).filter(pa.array(((bits.value[bit >> 6] >> (bit & np.int64(63))) & 1).astype(bool)))
             for _, _, data, bounds in chunks(texts):
-                sets = shingle_sets(data, bounds)
+                sets = shingle_sets(data, bounds, width)
                 marks = [class_hash(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["a", "b", "set"])
 
@@ -332,97 +333,188 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds overlap, and where y is a pivot of x what only one of them holds, in place of the sets."""
+    """Adds overlap, and where y is a pivot of x what only x and then what only y holds, in place of the sets."""
     for batch in batches:
         overlap, apart = [], []
         for reach, x, y in zip(batch.column(6), batch.column(7), batch.column(8), strict=True):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             overlap.append(len(np.intersect1d(x, y, assume_unique=True)))
-            apart.append(np.setxor1d(x, y, assume_unique=True).tobytes() if reach.is_valid else None)
+            apart.append(np.setdiff1d(x, y, True).tobytes() + np.setdiff1d(y, x, True).tobytes() if reach.is_valid else None)
         yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(overlap, pa.int64()), pa.array(apart, pa.binary())], names=[*_PAIR, "nx", "ny", "reach", "overlap", "apart"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int = WIDTH) -> DataFrame:
     """pairs (xa, xb, ya, yb, nx, ny, reach) of classes with overlap and, where reach isn't null, apart; reps: (a, b, rep)."""
     ends = pairs.select(F.col("xa").alias("a"), F.col("xb").alias("b")).unionByName(pairs.select(F.col("ya").alias("a"), F.col("yb").alias("b"))).distinct()
     wanted = saved(reps.join(ends, ["a", "b"], "left_semi").select("a", "b", "rep"), "wanted")
-    sets = saved(_sets(docs, wanted), "sets")
+    sets = saved(_sets(docs, wanted, width), "sets")
     both = pairs.join(sets.toDF("xa", "xb", "sx"), ["xa", "xb"]).join(sets.toDF("ya", "yb", "sy"), ["ya", "yb"])
     out = saved(both.select(*_PAIR, "nx", "ny", "reach", "sx", "sy").mapInArrow(_verify, "xa long, xb long, ya long, yb long, nx long, ny long, reach long, overlap long, apart binary"), "verified")
     discard(wanted, sets)
     return out
 
 
-def _tile(group: pd.DataFrame) -> pd.DataFrame:
+def _tile(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Links between classes of two blocks (side 0 and 1; or of one) of a pivot, as few as join all that are linked."""
-    n, o, p = (group[c].to_numpy(np.int64) for c in ("n", "overlap", "size"))
-    reach, side, linked = group["reach"].to_numpy(np.int64), group["side"].to_numpy(), group["linked"].to_numpy(bool)
-    apart = [np.frombuffer(b, np.uint64) for b in group["apart"]]
-    size = np.array([len(d) for d in apart], np.int64)
-    one = len(np.unique(side)) == 1
-    # all that link to the pivot are one component already
-    label = np.where(linked, 0, np.arange(1, len(n) + 1))
-    rows = np.flatnonzero(~linked)
-    # each of the rest against all; of two blocks, against the other one
-    least = needed(n[rows, None], n[None, :])
-    share = least - (o[rows, None] + o[None, :] - p[None, :])
-    open_ = (share <= np.minimum(size[rows, None], size[None, :])) & (np.minimum(reach[rows, None], reach[None, :]) >= least) & (rows[:, None] != np.arange(len(n)))
-    if not one:
-        open_ &= side[rows, None] != side[None, :]
-    used = open_.any(0)
-    used[rows[open_.any(1)]] = True
-    values = np.concatenate([np.zeros(0, np.uint64), *[d for d, u in zip(apart, used, strict=True) if u]])
-    owner = np.repeat(np.flatnonzero(used), size[used])
-    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
-    several = count[column] > 1
-    column, owner = (np.cumsum(count > 1) - 1)[column[several]], owner[several]
-    by = np.argsort(column, kind="stable")
-    column, owner = column[by], owner[by]
-    shared = np.zeros(open_.shape, np.float32)
-    for a in range(0, int(column.max(initial=-1)) + 1, 2048):
-        lo, hi = np.searchsorted(column, [a, a + 2048])
-        held = np.zeros((len(n), 2048), np.float32)
-        held[owner[lo:hi], column[lo:hi] - a] = 1
-        shared += held[rows] @ held.T
-    links = open_ & (shared >= share)
-    out = []
-    for i in np.flatnonzero(links.any(1)):
-        to = np.flatnonzero(links[i])
-        names, at = np.unique(label[to], return_index=True)
-        fresh = names != label[rows[i]]
-        out += [(rows[i], to[k]) for k in at[fresh]]
-        label[np.isin(label, names[fresh])] = label[rows[i]]
-    x, y = (np.array([e[k] for e in out], np.int64) for k in (0, 1))
-    return pd.DataFrame({"xa": group["a"].to_numpy()[x], "xb": group["b"].to_numpy()[x], "ya": group["a"].to_numpy()[y], "yb": group["b"].to_numpy()[y]})
-
-
-def _derived(stars: DataFrame) -> DataFrame:
-    """Links (xa, xb, ya, yb) that join what is linked among the classes of each pivot, but those that link to it."""
-    band = F.floor(F.log(F.col("nx").cast("double")) / F.log(F.lit(100.0 / PERCENT)) + F.lit(1e-9)).cast("int")
-    linked = slack(F.col("nx"), F.col("ny"), F.col("overlap")) >= 0
-    members = stars.select(F.col("ya").alias("pa"), F.col("yb").alias("pb"), F.col("ny").alias("size"), F.col("xa").alias("a"), F.col("xb").alias("b"), F.col("nx").alias("n"), "reach", "overlap", "apart", linked.alias("linked"), band.alias("band"))
-    bands = members.groupBy("pa", "pb", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("apart")) / BLOCK_BYTES)).alias("blocks"))
-    members = members.join(bands, ["pa", "pb", "band"]).withColumn("block", F.pmod(F.xxhash64("a", "b"), F.col("blocks")))
-    members = saved(members, "members")
-    blocks = members.groupBy("pa", "pb", "size", "band", "block").agg(
-        F.count_if(~F.col("linked")).alias("rest"), F.count("*").alias("m"), F.max("reach").alias("reach"), F.min("n").alias("n"), F.max(7 * F.col("overlap") - 3 * F.col("n")).alias("near"), F.max(F.octet_length("apart") / 8).alias("apart")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        n, o, p = (group[c].to_numpy(np.int64) for c in ("n", "overlap", "size"))
+        reach, side, linked = group["reach"].to_numpy(np.int64), group["side"].to_numpy(), group["linked"].to_numpy(bool)
+        apart = [np.frombuffer(b, np.uint64) for b in group["apart"]]
+        size = np.array([len(d) for d in apart], np.int64)
+        one = len(np.unique(side)) == 1
+        # all that link to the pivot are one component already
+        label = np.where(linked, 0, np.arange(1, len(n) + 1))
+        rows = np.flatnonzero(~linked)
+        # each of the rest against all; of two blocks, against the other one
+        least = needed(n[rows, None], n[None, :], percent)
+        share = least - (o[rows, None] + o[None, :] - p[None, :])
+        open_ = (share <= np.minimum(size[rows, None], size[None, :])) & (np.minimum(reach[rows, None], reach[None, :]) >= least) & (rows[:, None] != np.arange(len(n)))
+        if not one:
+            open_ &= side[rows, None] != side[None, :]
+        used = open_.any(0)
+        used[rows[open_.any(1)]] = True
+        values = np.concatenate([np.zeros(0, np.uint64), *[d for d, u in zip(apart, used, strict=True) if u]])
+        owner = np.repeat(np.flatnonzero(used), size[used])
+        _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+        several = count[column] > 1
+        column, owner = (np.cumsum(count > 1) - 1)[column[several]], owner[several]
+        by = np.argsort(column, kind="stable")
+        column, owner = column[by], owner[by]
+        shared = np.zeros(open_.shape, np.float32)
+        for a in range(0, int(column.max(initial=-1)) + 1, 2048):
+            lo, hi = np.searchsorted(column, [a, a + 2048])
+            held = np.zeros((len(n), 2048), np.float32)
+            held[owner[lo:hi], column[lo:hi] - a] = 1
+            shared += held[rows] @ held.T
+        links = open_ & (shared >= share)
+        out = []
+        for i in np.flatnonzero(links.any(1)):
+            to = np.flatnonzero(links[i])
+            names, at = np.unique(label[to], return_index=True)
+            fresh = names != label[rows[i]]
+            out += [(rows[i], to[k]) for k in at[fresh]]
+            label[np.isin(label, names[fresh])] = label[rows[i]]
+        x, y = (np.array([e[k] for e in out], np.int64) for k in (0, 1))
+        return pd.DataFrame({"xa": group["a"].to_numpy()[x], "xb": group["b"].to_numpy()[x], "ya": group["a"].to_numpy()[y], "yb": group["b"].to_numpy()[y]})
+
+    return run
+
+
+def _first_differences(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(pa, pb, element, a, b, linked) of the differences that a class must share one of with what it links to.
+
+    If x and y link, their differences from the pivot differ in at most (100 - percent) / percent of n places, so what they
+    share first, in one order of the pivot's differences, stands among so many and one.  What the pivot lacks comes first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            taken = [np.frombuffer(d.as_buffer(), np.int64)[: (100 - percent) * n // percent + 1] for d, n in zip(batch.column(5), batch.column(4).to_pylist(), strict=True)]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(d) for d in taken]))
+            element = pa.array(np.concatenate([np.zeros(0, np.int64), *taken]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in (0, 1)), element, *(batch.column(k).take(at) for k in (2, 3, 6))], names=["pa", "pb", "element", "a", "b", "linked"])
+
+    return run
+
+
+def _blocked(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds block to rows in order of (pivot, reach): a new one for each pivot, and after so many classes or bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, last, m, size = TaskContext.get().partitionId() << 32, None, 0, 0
+        for batch in batches:
+            blocks = []
+            lengths = [len(d.as_buffer()) for d in batch.column("apart")]
+            for pivot, own in zip(zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True), lengths, strict=True):
+                if pivot != last or m == most or size + own > BLOCK_BYTES:
+                    block, last, m, size = block + 1, pivot, 0, 0
+                m, size = m + 1, size + own
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64())], names=[*batch.schema.names, "block"])
+
+    return run
+
+
+def _close(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pairs of classes of a pivot that link, by the differences that they share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nx, ny, ox, oy, size = (batch.column(k).to_numpy() for k in range(4, 9))
+            shared = np.array([len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)) for x, y in zip(batch.column(9), batch.column(10), strict=True)], np.int64)
+            yield batch.filter(pa.array(ox + oy - size + shared >= needed(nx, ny, percent))).select(list(range(4)))
+
+    return run
+
+
+_LINKED = "xa long, xb long, ya long, yb long"
+_MEMBER = "pa long, pb long, size long, a long, b long, n long, reach long, overlap long, apart binary, linked boolean"
+
+
+def tiles(members: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(blocks, tiles): members of pivots cut into blocks along their reach, and the pairs of blocks that may hold a link.
+
+    tiles: (pa, pb, x_block, y_block), x_block at most y_block.
+    """
+    order = ["pa", "pb", "reach", "n", "a", "b"]
+    dealt = members.repartitionByRange(*order).sortWithinPartitions(*order)
+    cut = saved(dealt.mapInArrow(_blocked(block), f"{_MEMBER}, block long"), "blocks")
+    delta = F.octet_length("apart") / 8
+    told = cut.groupBy("pa", "pb", "block").agg(
+        F.count_if(~F.col("linked")).alias("rest"), F.count("*").alias("m"), F.max("reach").alias("reach"), F.min("n").alias("least"), F.max("n").alias("most"), F.min(delta).alias("near"), F.max(delta).alias("far")
     )
-    # of the blocks of a pivot, only those of one band of sizes or of two that adjoin can hold a pair that links
-    x = blocks.select("pa", "pb", "size", F.col("band").alias("at"), *[F.col(c).alias(f"x_{c}") for c in ("band", "block", "rest", "m", "reach", "n", "near", "apart")])
-    y = blocks.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") - 1))).select("pa", "pb", "at", *[F.col(c).alias(f"y_{c}") for c in ("band", "block", "rest", "m", "reach", "n", "near", "apart")])
-    both = x.join(y, ["pa", "pb", "at"]).filter((F.col("x_band") < F.col("y_band")) | (F.col("x_block") <= F.col("y_block")))
-    same = (F.col("x_band") == F.col("y_band")) & (F.col("x_block") == F.col("y_block"))
-    share = F.col("size") - (F.col("x_near") + F.col("y_near")) / 7.0
-    tiles = both.filter(
-        (F.col("x_rest") + F.col("y_rest") > 0) & (~same | (F.col("x_m") > 1))
-        & (7 * F.least("x_reach", "y_reach") >= 3 * (F.col("x_n") + F.col("y_n"))) & (share <= F.least("x_apart", "y_apart") + 1e-6)
+    names = ["block", "rest", "m", "reach", "least", "most", "near", "far"]
+    x, y = (told.select("pa", "pb", *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in "xy")
+    apart = (100 - percent) * (F.col("x_most") + F.col("y_most"))  # of what links, at most this over 100 + percent
+    both = x.join(y, ["pa", "pb"]).filter(
+        (F.col("x_block") <= F.col("y_block")) & (F.col("x_rest") + F.col("y_rest") > 0) & ((F.col("x_block") < F.col("y_block")) | (F.col("x_m") > 1))
+        & ((100 + percent) * F.least("x_reach", "y_reach") >= percent * (F.col("x_least") + F.col("y_least")))
+        & (100 * F.col("x_most") >= percent * F.col("y_least")) & (100 * F.col("y_most") >= percent * F.col("x_least"))
+        & ((100 + percent) * F.greatest(F.col("x_near") - F.col("y_far"), F.col("y_near") - F.col("x_far")) <= apart)
     )
-    names = ["pa", "pb", "x_band", "x_block", "y_band", "y_block"]
-    sides = F.when(same, F.array(F.struct(F.lit(0).alias("side"), F.col("x_band").alias("band"), F.col("x_block").alias("block")))).otherwise(
-        F.array(F.struct(F.lit(0).alias("side"), F.col("x_band").alias("band"), F.col("x_block").alias("block")), F.struct(F.lit(1).alias("side"), F.col("y_band").alias("band"), F.col("y_block").alias("block")))
+    return cut, saved(both.select("pa", "pb", "x_block", "y_block"), "tiles")
+
+
+def derived(stars: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Links (xa, xb, ya, yb) that join what is linked among the classes x of each pivot y, but those that link to it.
+
+    The classes of a small pivot make one tile.  Of a pivot with more than a block, only classes that share one of their first
+    differences meet: those that share one with few, pair by pair; the others in blocks along their reach.
+    """
+    linked = slack(F.col("nx"), F.col("ny"), F.col("overlap"), percent) >= 0
+    members = stars.select(F.col("ya").alias("pa"), F.col("yb").alias("pb"), F.col("ny").alias("size"), F.col("xa").alias("a"), F.col("xb").alias("b"), F.col("nx").alias("n"), "reach", "overlap", "apart", linked.alias("linked"))
+    # whoever reaches less than sets of its size need links to none
+    members = members.filter((100 + percent) * F.col("reach") >= percent * (F.col("n") + F.ceil(percent * F.col("n") / 100)))
+    pivots = members.groupBy("pa", "pb").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("rest"), F.sum(F.octet_length("apart")).alias("bytes"))
+    large = (F.col("m") > block) | (F.col("bytes") > BLOCK_BYTES)
+    members = saved(members.join(pivots.filter("rest > 0 AND m > 1").select("pa", "pb", large.alias("large")), ["pa", "pb"]), "members")
+    one = members.filter(~F.col("large")).withColumn("side", F.lit(0)).groupBy("pa", "pb").applyInPandas(_tile(percent), _LINKED)
+
+    many = members.filter("large").drop("large")
+    first = many.select("pa", "pb", "a", "b", "n", "apart", "linked").mapInArrow(_first_differences(percent), "pa long, pb long, element long, a long, b long, linked boolean")
+    first = saved(first, "differences")
+    lists = first.groupBy("pa", "pb", "element").agg(F.count("*").alias("m"), F.min("linked").alias("done")).filter("m > 1 AND NOT done").drop("done")
+    met = first.join(lists, ["pa", "pb", "element"])
+    few = met.filter(F.col("m") < LONG).drop("m")
+    x, y = (few.select("pa", "pb", "element", *[F.col(c).alias(f"{side}{c}") for c in ("a", "b", "linked")]) for side in "xy")
+    pairs = x.join(y, ["pa", "pb", "element"]).filter("struct(xa, xb) < struct(ya, yb) AND NOT (xlinked AND ylinked)").select("pa", "pb", *_PAIR).distinct()
+    own = many.select("pa", "pb", "a", "b", "n", "overlap", "size", "apart")
+    both = pairs.join(own.toDF("pa", "pb", "xa", "xb", "nx", "ox", "size", "dx"), ["pa", "pb", "xa", "xb"]).join(own.drop("size").toDF("pa", "pb", "ya", "yb", "ny", "oy", "dy"), ["pa", "pb", "ya", "yb"])
+    close = both.select(*_PAIR, "nx", "ny", "ox", "oy", "size", "dx", "dy").mapInArrow(_close(percent), _LINKED)
+
+    often = met.filter(F.col("m") >= LONG).select("pa", "pb", "a", "b").distinct()
+    blocks, asked = tiles(many.join(often, ["pa", "pb", "a", "b"], "left_semi").select(*[c.split()[0] for c in _MEMBER.split(", ")]), percent, block)
+    sides = F.when(F.col("x_block") == F.col("y_block"), F.array(F.struct(F.lit(0).alias("side"), F.col("x_block").alias("block")))).otherwise(
+        F.array(F.struct(F.lit(0).alias("side"), F.col("x_block").alias("block")), F.struct(F.lit(1).alias("side"), F.col("y_block").alias("block")))
     )
-    asked = saved(tiles.select(*names, F.explode(sides).alias("s")).select(*names, "s.*"), "tiles")
-    return asked.join(members, ["pa", "pb", "band", "block"]).groupBy(*names).applyInPandas(_tile, "xa long, xb long, ya long, yb long")
+    names = ["pa", "pb", "x_block", "y_block"]
+    tiled = asked.select(*names, F.explode(sides).alias("s")).select(*names, "s.*").join(blocks, ["pa", "pb", "block"]).groupBy(*names).applyInPandas(_tile(percent), _LINKED)
+    out = saved(one.unionByName(close).unionByName(tiled), "derived")
+    discard(members, first, blocks, asked)
+    return out
 
 
 def class_links(docs: DataFrame, common_size: int = 1_000_000, per_bucket: int = 250_000) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -461,7 +553,7 @@ def class_links(docs: DataFrame, common_size: int = 1_000_000, per_bucket: int =
 
     found = verified(docs, pairs, reps)
     links = found.filter(slack(F.col("nx"), F.col("ny"), F.col("overlap")) >= 0).select(*_PAIR)
-    links = saved(links.unionByName(_derived(found.filter("reach IS NOT NULL"))), "links")
+    links = saved(links.unionByName(derived(found.filter("reach IS NOT NULL"))), "links")
     discard(pairs, found)
     return profile.drop("sketch"), reps.drop("sketch"), links
 

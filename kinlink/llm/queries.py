@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, graph_search, jaccard_join, language_id, license_scan, line_dedup, mixing, pitman_yor, token_counts, toxicity
+from . import collocations, decontaminate, graph_search, jaccard_join, language_id, license_scan, line_dedup, minhash, mixing, pitman_yor, token_counts, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The model's file; a parameter of the query.
@@ -66,6 +66,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
@@ -77,6 +90,9 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_minhash_dedup": op11_minhash_dedup,
+    "op12_collocations": op12_collocations,
+    "op13_whitening": op13_whitening,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -107,17 +123,35 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
-def _near() -> str:
-    return r"""
+def _near(width: int, percent: int, more: str = "") -> str:
+    return rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 4) AS sh FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + {width - 1}) AS sh FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - {width - 1}, 1))) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 75 * (nx.n + ny.n - i)),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= {percent} * (nx.n + ny.n - i)),
 e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT doc_id AS id, doc_id AS root FROM d UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.id),
 c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d JOIN c ON c.id = d.doc_id LEFT JOIN n USING (doc_id)"""
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id{more} FROM d JOIN c ON c.id = d.doc_id LEFT JOIN n USING (doc_id)"""
+
+
+def _phrases() -> str:
+    return r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(p) AS piece FROM d)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, list_slice(w, i, i + k - 1) AS g, count(*) AS f
+      FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, (VALUES (1), (2), (3)) AS v(k) WHERE len(w) >= k) GROUP BY ALL),
+c AS (SELECT * FROM g WHERE k > 1 AND f >= 10),
+b AS (SELECT lang, g, max(f) AS longer FROM (SELECT lang, list_slice(g, 1, 2) AS g, f FROM c WHERE k = 3 UNION ALL SELECT lang, list_slice(g, 2, 3), f FROM c WHERE k = 3) GROUP BY ALL),
+x AS (SELECT c.* FROM c LEFT JOIN b ON c.lang = b.lang AND c.g = b.g WHERE longer IS NULL OR 100 * longer < 50 * c.f),
+u AS (SELECT x.lang, x.g, x.f AS a, cut, l.f AS l, r.f AS r, ((1000000::HUGEINT * x.f * x.f) // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM (SELECT x.*, unnest(generate_series(1, k - 1)) AS cut FROM x) x
+      JOIN g l ON l.lang = x.lang AND l.k = cut AND l.g = list_slice(x.g, 1, cut) JOIN g r ON r.lang = x.lang AND r.k = x.k - cut AND r.g = list_slice(x.g, cut + 1, x.k)),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS place FROM u),
+o AS (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank FROM t WHERE place = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000"""
 
 
 def _mix() -> str:
@@ -165,6 +199,8 @@ ORACLES: dict[str, str] = {
     "op1_license_scan": _licenses(),
     "op5_line_dedup": _lines(),
     "op6_decontaminate": _windows(),
-    "op8_jaccard_join": _near(),
+    "op8_jaccard_join": _near(5, 75),
     "op9_mixing": _mix(),
+    "op11_minhash_dedup": _near(2, 80, ", d.doc_id = component_id AS kept"),
+    "op12_collocations": _phrases(),
 }
