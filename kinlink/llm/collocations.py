@@ -39,7 +39,7 @@ from .common import LARGE, chunks, discard, mixed, saved, words
 
 LEAST, LONGEST, TOP, NESTED = 10, 3, 2000, 50
 #: n-gram occurrences of a hash partition on average; n-grams combined at a time in a task; rows of exact counts held in a task; n-grams written out at a time.
-PER_BUCKET, FLUSH, HELD, STEP = 2_000_000, 1 << 22, 1 << 20, 1 << 18
+PER_BUCKET, FLUSH, HELD, STEP = 2_000_000, 1 << 21, 1 << 19, 1 << 16
 #: Bits of the filter of survivors, and how many of them an n-gram sets.
 FILTER_BITS, PROBES = 1 << 28, 3
 
