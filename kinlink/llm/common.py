@@ -89,13 +89,25 @@ def free_name(name: str, columns: list[str]) -> str:
     return name
 
 
+def _bare_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is rows of files, at most projected and filtered: then no row of a file occurs twice, and all reads see the same rows."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.children().isEmpty() and len(set(df.inputFiles())) > 0
+
+
 def with_row(df: DataFrame) -> DataFrame:
-    """``df`` by place, and row: struct(file, index), which no two rows share. Rows that come from no Parquet files are saved first."""
+    """``df`` by place, and row: struct(file, index), which no two rows share. Rows that aren't read straight from Parquet files are saved first."""
     where = lambda d: by_place(d).select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index")).alias("row"))
-    try:
-        return where(df)
-    except AnalysisException:
-        return where(saved(by_place(df), "rows"))
+    if _bare_scan(df):
+        try:
+            return where(df)
+        except AnalysisException:  # files that aren't Parquet
+            pass
+    return where(saved(by_place(df), "rows"))
 
 
 def held_out(modulus: int, column: str = "doc_id") -> Column:
