@@ -95,26 +95,43 @@ def read_cells(path: str) -> Iterator[tuple[str, int, int, str]]:
                     cell.clear()
 
 
+def read_styled_cells(path: str) -> Iterator[tuple[str, int, int, str | None, str | None, str | None, str | None]]:
+    """(sheet, row, col, value, fill_type, fill, link) of the visible sheets' cells that hold or look like something."""
+    from .output import Book
+
+    _check(path)
+    with Book(path) as book:
+        every = sheets(book.zip)
+        for title, _, visible in every:
+            if not visible and len(every) > 1:
+                continue
+            sheet = book.sheet(title)
+            links = sheet.links()
+            for (row, col), cell in sheet.cells(book.shared).items():
+                yield (title, row, col, cell.value, *book.styles.fill(cell.style), links.get((row, col)))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths = [p for p in options.get("path", "").split(",") if p]
+        self.styled = options.get("styles", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from read_cells(partition.value)
+        yield from read_styled_cells(partition.value) if self.styled else read_cells(partition.value)
 
 
 class WorkbookSource(DataSource):
-    """Options: path (several with commas between)."""
+    """Options: path (several with commas between); styles: true adds fill_type, fill and link to each cell."""
 
     @classmethod
     def name(cls) -> str:
         return "workbook"
 
     def schema(self) -> str:
-        return CELL
+        return CELL + (", fill_type string, fill string, link string" if self.options.get("styles", "false").lower() == "true" else "")
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
