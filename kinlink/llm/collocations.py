@@ -11,7 +11,7 @@ every n-gram with ``least`` occurrences survives; a shared key only lets more su
 
 *Second pass.*  A filter of bounded size, filled with the survivors, is broadcast.
 Texts are read again; n-grams in it (with all shorter ones inside them) are counted
-by their words, in the task and then by a shuffle.  These counts are exact.  The
+by their words, in the task and then in their hash partitions.  These counts are exact.  The
 filter's false positives, more of them the more survivors there are, add to what is
 shuffled and never to what is found.
 
@@ -213,54 +213,75 @@ def _filter(survivors: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+_COUNTED = ["bucket", "lang", "size", "phrase"]
+_PACKED = "bucket int, lang array<string>, size array<int>, phrase array<string>, f array<long>"
+
+
+def _told(tables: list[pa.Table], keys: list[str]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(keys).aggregate([("f", "sum")]).rename_columns([*keys, "f"])
+
+
 def _exact(found, buckets: int, bits: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(lang, size, phrase, f) of the n-grams in the filter, counted in the task; of size 0 and without a phrase, all words."""
+    """A row for each hash partition: lang, size, phrase and f of the n-grams in the filter, counted in the task; of size 0 and without a phrase, all words."""
 
-    def kept(key: np.ndarray) -> np.ndarray:
+    def kept(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
         out = np.arange(len(key))
-        for place in _places(*bucket_and_key(key, buckets), bits):
+        for place in _places(bucket, key, bits):
             place = place[out]
             out = out[(found.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1]
         return out
 
-    def told(tables: list[pa.Table]) -> pa.Table:
-        return pa.concat_tables(tables).group_by(["lang", "size", "phrase"]).aggregate([("f", "sum")]).rename_columns(["lang", "size", "phrase", "f"])
+    def packed(table: pa.Table) -> pa.RecordBatch:
+        table = table.sort_by("bucket").combine_chunks()
+        own, start = np.unique(table.column("bucket").to_numpy(), return_index=True)
+        ends = pa.array(np.append(start, len(table)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pc.cast(c, pa.string()) if pa.types.is_large_string(c.type) else c) for c in (table.column(k).combine_chunks() for k in ("lang", "size", "phrase", "f"))]
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *lists], names=["bucket", "lang", "size", "phrase", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.large_string()), ("f", pa.int64())])
+        schema = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.large_string()), ("f", pa.int64())])
+        whole_numbers = lambda x: pa.array(np.asarray(x, np.int32))
         for batch in batches:
             salt, langs = _salts(batch.column(1)), batch.column(1)
             for at, to, data, bounds in chunks(batch.column(0), LARGE):
                 grams, lang = Grams(data, bounds, salt[at:to], longest), langs.slice(at, to - at)
-                parts = []
                 rows, n = np.unique(grams.row, return_counts=True)
-                parts.append(pa.Table.from_arrays([lang.take(pa.array(rows)), pa.array(np.zeros(len(rows), np.int32)), pa.nulls(len(rows), pa.large_string()), pa.array(n.astype(np.int64))], schema=schema))
+                home, _ = bucket_and_key(salt[at:to][rows], buckets)
+                parts = [pa.Table.from_arrays([whole_numbers(home), lang.take(pa.array(rows)), whole_numbers(np.zeros(len(rows))), pa.nulls(len(rows), pa.large_string()), pa.array(n.astype(np.int64))], schema=schema)]
                 whole = np.ones(len(grams.row), bool)
                 for size, (first, key) in enumerate(zip(grams.first, grams.key, strict=True), 1):
                     # an n-gram stands only where both of its shorter ones do
                     open_ = whole[first] & whole[first + 1] if size > 1 else whole
-                    first = first[open_]
-                    first = first[kept(key[open_])]
+                    first, (bucket, short) = first[open_], bucket_and_key(key[open_], buckets)
+                    there = kept(bucket, short)
+                    first, bucket = first[there], bucket[there]
                     whole = np.zeros(len(grams.row), bool)
                     whole[first] = True
                     for a in range(0, len(first), STEP):
                         own = first[a : a + STEP]
-                        parts.append(told([pa.Table.from_arrays([lang.take(pa.array(grams.row[own])), pa.array(np.full(len(own), size, np.int32)), grams.texts(size, own), pa.array(np.ones(len(own), np.int64))], schema=schema)]))
-                held.append(told(parts))
+                        parts.append(_told([pa.Table.from_arrays([whole_numbers(bucket[a : a + STEP]), lang.take(pa.array(grams.row[own])), whole_numbers(np.full(len(own), size)), grams.texts(size, own), pa.array(np.ones(len(own), np.int64))], schema=schema)], _COUNTED))
+                held.append(_told(parts, _COUNTED))
                 if sum(map(len, held)) > HELD:
-                    held = [told(held)]
+                    held = [_told(held, _COUNTED)]
                     if len(held[0]) > HELD // 2:
-                        yield from _batches(held[0])
+                        yield packed(held[0])
                         held = []
         if held:
-            yield from _batches(told(held))
+            yield packed(_told(held, _COUNTED))
 
     return run
 
 
-def _batches(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    return iter(table.set_column(2, "phrase", pc.cast(table.column("phrase"), pa.string())).to_batches(max_chunksize=100_000))
+def _often(least: int) -> Callable[[pa.Table], pa.Table]:
+    """A hash partition's n-grams with ``least`` occurrences, and all words of the languages that are counted there."""
+
+    def run(group: pa.Table) -> pa.Table:
+        flat = pa.Table.from_arrays([group.column(k).combine_chunks().flatten() for k in ("lang", "size", "phrase", "f")], names=["lang", "size", "phrase", "f"])
+        out = _told([flat], ["lang", "size", "phrase"])
+        return out.filter(pc.or_(pc.greater_equal(out.column("f"), least), pc.equal(out.column("size"), 0)))
+
+    return run
 
 
 def grams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, per_bucket: int = PER_BUCKET, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -274,8 +295,8 @@ def grams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, per_bucke
     total = survivors.agg(F.sum("n")).first()[0] or 0
     bits = min(filter_bits, 1 << max(23, int(16 * total).bit_length()))
     found = spark.sparkContext.broadcast(_filter(survivors, bits))
-    exact = rows.mapInArrow(_exact(found, buckets, bits, longest), "lang string, size int, phrase string, f long")
-    out = saved(exact.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("size") == 0)), "grams")
+    exact = rows.mapInArrow(_exact(found, buckets, bits, longest), _PACKED).groupBy("bucket").applyInArrow(_often(least), "lang string, size int, phrase string, f long")
+    out = saved(exact, "grams")
     discard(survivors)
     return out
 
