@@ -214,13 +214,20 @@ def _filter(survivors: DataFrame, bits: int) -> np.ndarray:
 
 
 _COUNTED = ["bucket", "lang", "size", "phrase"]
-_PACKED = "bucket int, lang array<string>, size array<int>, phrase array<string>, f array<long>"
+_PACKED = "bucket int, part binary"
 
 
 def _told(tables: list[pa.Table], keys: list[str]) -> pa.Table:
     return pa.concat_tables(tables).group_by(keys).aggregate([("f", "sum")]).rename_columns([*keys, "f"])
 
 
+def _squeezed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 def _exact(found, buckets: int, bits: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A row for each hash partition: lang, size, phrase and f of the n-grams in the filter, counted in the task; of size 0 and without a phrase, all words."""
 
@@ -234,9 +241,9 @@ def _exact(found, buckets: int, bits: int, longest: int) -> Callable[[Iterator[p
     def packed(table: pa.Table) -> pa.RecordBatch:
         table = table.sort_by("bucket").combine_chunks()
         own, start = np.unique(table.column("bucket").to_numpy(), return_index=True)
-        ends = pa.array(np.append(start, len(table)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pc.cast(c, pa.string()) if pa.types.is_large_string(c.type) else c) for c in (table.column(k).combine_chunks() for k in ("lang", "size", "phrase", "f"))]
-        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *lists], names=["bucket", "lang", "size", "phrase", "f"])
+        table, ends = table.drop_columns("bucket"), np.append(start, len(table))
+        parts = [_squeezed(table.slice(a, b - a)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(parts, pa.binary())], names=["bucket", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -277,9 +284,10 @@ def _often(least: int) -> Callable[[pa.Table], pa.Table]:
     """A hash partition's n-grams with ``least`` occurrences, and all words of the languages that are counted there."""
 
     def run(group: pa.Table) -> pa.Table:
-        flat = pa.Table.from_arrays([group.column(k).combine_chunks().flatten() for k in ("lang", "size", "phrase", "f")], names=["lang", "size", "phrase", "f"])
-        out = _told([flat], ["lang", "size", "phrase"])
-        return out.filter(pc.or_(pc.greater_equal(out.column("f"), least), pc.equal(out.column("size"), 0)))
+        parts = [pa.ipc.open_stream(part.as_buffer()).read_all() for part in group.column("part")]
+        out = _told(parts, ["lang", "size", "phrase"])
+        out = out.filter(pc.or_(pc.greater_equal(out.column("f"), least), pc.equal(out.column("size"), 0)))
+        return out.set_column(2, "phrase", pc.cast(out.column("phrase"), pa.string()))
 
     return run
 
