@@ -3,24 +3,37 @@
 The model predicts each token from the token before it.  Every token that stands
 before another, and the start of a text, is a context with a restaurant of its
 own, whose dishes are tokens; all share one parent restaurant, whose customers are
-their tables, over a uniform base.  Seating is sampled by blocked Gibbs sweeps: all
-customers of a dish in a restaurant leave and sit down again one by one by the
-Chinese-restaurant rule, given the tables of the other dishes; the same for the
-parent.  Predictive probabilities are averaged over ``SAMPLES`` seatings.
+their tables, over a uniform base.  Predictive probabilities are averaged over
+``SAMPLES`` seatings.
+
+Seatings are sampled by a blocked Gibbs sampler with two kinds of auxiliary
+variables, given which all dishes are independent, so that no table is counted
+twice or held fixed while others open.  For each restaurant of T tables a gamma
+variable g of shape S/D + T takes the place of the total of tables: a dish of c
+customers then has t tables with probability proportional to x ** t times the
+generalised Stirling number of (c, t), with x = D * g * the parent's probability of
+the dish.  The parent's probabilities are drawn whole: of each token a gamma variable
+of shape customers - D0 * tables, and its part of the rest, which is a tempered
+stable variable; all divided by their sum.  A sweep draws, in this order, the parent's
+tables of heavy tokens, the parent's gamma, the parent's probabilities, each context's gamma,
+all tables, and the parent's tables of the other tokens, each given the last of the others.
 
 Counts of (token, context) are gathered from all training texts, combined in each
 task, and kept in buckets of tokens; the pairs of a ``heavy`` token (a bounded
 number of them) are spread over buckets by context.  A sweep works on each bucket
-alone, given each context's customers and tables.  Between sweeps every bucket
+alone, given each context's gamma.  Between sweeps every bucket
 sends its share of those to buckets of contexts, which add them up and send back
 the sums that the bucket asked for.  So nothing that grows with the data meets in
 one task or is broadcast: only the heavy tokens' tables, and a few sums.
 
 For scoring, the ``hot_pairs`` commonest pairs' probabilities are broadcast and added
 where texts are read; the other pairs go to the buckets of tokens.  The
-probability of a pair that no training text holds is the parent's times a factor
-of the context alone, which the buckets of contexts add; the two are averaged
-over the seatings each by itself.
+probability of a pair that no training text holds is the mean over the seatings of
+the parent's times a factor of the context alone: buckets of tokens send the seatings'
+shares of the parent's, and buckets of contexts weigh their factors by them.
+
+Tokens are known by 64 bits of hash.  As contexts they are known by ``BITS`` of them:
+counts don't depend on those, and two contexts of one hash would share a restaurant.
 
 Null and empty texts hold the end token only.  Each input row gives one row,
 repeated rows and null ids too; null ids count as training rows.  No rows give no
@@ -31,9 +44,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from functools import cached_property
-from math import lgamma
+from dataclasses import dataclass, replace
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -55,46 +67,129 @@ PER_BUCKET = 8_000_000
 HOT = 1 << 18
 #: A token with this share of all tokens is heavy: there are no more than one over it.
 HEAVY = 2.0**-14
-#: Tokens are known by so many bits of their hashes.
+#: Seatings before the first one that is kept.
+BURN = 2
+#: Up to so many customers of a dish its tables are drawn from all probabilities; beyond, from weighted paths, so many.
+EXACT, PATHS = 2048, 16
+#: The bits of a token's hash by which it is known as a context.
 BITS = np.uint64((1 << 48) - 1)
-END = np.uint64(0x5851F42D4C957F2D) & BITS
+END = np.uint64(0x5851F42D4C957F2D)
 _PAIRS = 3 << 18
 
 
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator, few: int = 64) -> np.ndarray:
-    """Tables after ``customers`` sit down one by one: each opens one by weight / (seated - discount * tables + weight).
+@lru_cache(maxsize=4)
+def log_stirling(discount: float, most: int) -> np.ndarray:
+    """Row c, column t: log of the generalised Stirling number of c customers at t tables."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(most + 1)
+    for c in range(1, most):
+        out[c + 1, 1 : c + 2] = np.logaddexp(out[c, :c + 1], out[c, 1 : c + 2] + np.log(np.maximum(c - discount * t[1 : c + 2], 1e-300)))
+    return out
+
+
+def _log_gamma(z: np.ndarray) -> np.ndarray:
+    """Of numbers from about 30 on."""
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + (1 - (1 / 30 - 1 / (105 * z * z)) / (z * z)) / (12 * z)
+
+
+def _chosen(weights: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A column of each row, by weights whose logs are given."""
+    total = np.cumsum(np.exp(weights - weights.max(axis=1, keepdims=True)), axis=1)
+    return (total < rng.random(len(weights))[:, None] * total[:, -1:]).sum(axis=1)
 
-    Where only a few dishes have customers left, how many of them sit down at old tables before the next new one
-    is drawn at once, from its exact distribution.
+
+def seat(customers: np.ndarray, x: np.ndarray, discount: float, rng: np.random.Generator, exact: int = EXACT) -> np.ndarray:
+    """Tables of dishes: t of c customers with probability proportional to x ** t * Stirling(c, t).
+
+    Beyond ``exact`` customers, ``PATHS`` paths go on from a seating of the first ``exact`` ones, and one is chosen by their weights.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
-    left = np.flatnonzero(customers > 1)
-    seated = 1
-    while len(left) > few:
-        w = weight[left]
-        tables[left] += rng.random(len(left)) * (seated - discount * tables[left] + w) < w
-        seated += 1
-        left = left[customers[left] > seated]
-    for i in left:
-        tables[i] = _leap(int(customers[i]), float(weight[i]), discount, seated, int(tables[i]), rng)
+    table, log_x = log_stirling(discount, exact), np.log(np.maximum(x, 1e-300))
+    small = np.flatnonzero((customers > 1) & (customers <= exact))
+    small = small[np.argsort(customers[small], kind="stable")]
+    at = 0
+    while at < len(small):
+        c = int(customers[small[at]])
+        part = small[at : min(np.searchsorted(customers[small], c, "right"), at + max(1, (1 << 20) // c))]
+        tables[part] = 1 + _chosen(table[c, 1 : c + 1] + np.arange(1, c + 1) * log_x[part, None], rng)
+        at += len(part)
+    large = np.flatnonzero(customers > exact)
+    for a in range(0, len(large), 256):
+        part = large[a : a + 256]
+        tables[part] = _paths(customers[part], x[part], discount, rng, exact)
     return tables
 
 
-def _leap(n: int, w: float, discount: float, seated: int, tables: int, rng: np.random.Generator) -> int:
-    while seated < n:
-        a = seated - discount * tables
-        first = lgamma(a + w) - lgamma(a)
-        stay = lambda k: lgamma(a + k) - lgamma(a + k + w) + first  # noqa: E731  log probability that the next k all sit at old tables
-        u = np.log(rng.random() or 1e-300)
-        if stay(n - seated) >= u:
-            break
-        lo, hi = 0, n - seated  # stay(lo) >= u > stay(hi)
-        while hi - lo > 1:
+def _paths(customers: np.ndarray, x: np.ndarray, discount: float, rng: np.random.Generator, exact: int) -> np.ndarray:
+    """Tables of dishes of more than ``exact`` customers.
+
+    A customer opens a table with a weight that is smaller the earlier one comes, as the ones after make up for it;
+    it is kept while the number of seated ones doubles. What it should be and what it was make the path's weight.
+    """
+    c, x = np.repeat(customers, PATHS), np.repeat(np.maximum(x, 1e-300), PATHS)
+    first = x * (exact / c) ** discount
+    t = 1 + np.concatenate([_chosen(log_stirling(discount, exact)[exact, 1:] + np.arange(1, exact + 1) * np.log(first[a : a + 256])[:, None], rng) for a in range(0, len(c), 256)])
+    weight = t * np.log(x / first)
+    i, end = np.full(len(c), exact), np.minimum(c, 2 * exact)
+    opens = x * (1.5 * exact / c).clip(max=1) ** discount
+    go = np.arange(len(c))
+    while len(go):
+        a, w, most = i[go] - discount * t[go], opens[go], end[go] - i[go]
+        start = _log_gamma(a + w) - _log_gamma(a)
+        u = np.log(rng.random(len(go)) + 1e-300)
+        lo, hi = np.zeros(len(go), np.int64), most + 1  # the next ``lo`` sit at old tables, the next ``hi`` don't all
+        while (hi - lo > 1).any():
             mid = (lo + hi) // 2
-            lo, hi = (mid, hi) if stay(mid) >= u else (lo, mid)
-        seated += hi
-        tables += 1
-    return tables
+            stay = (_log_gamma(a + mid) - _log_gamma(a + mid + w) + start >= u) | (mid == lo)
+            lo, hi = np.where(stay, mid, lo), np.where(stay, hi, mid)
+        opened = lo < most
+        i[go] += lo + opened
+        t[go] += opened
+        weight[go] += _log_gamma(a + w + lo + opened) - _log_gamma(a + w) + np.where(opened, np.log(x[go] / w), 0.0)
+        turn = go[i[go] == end[go]]
+        end[turn] = np.minimum(c[turn], 2 * i[turn])
+        opens[turn] = x[turn] * (1.5 * i[turn] / c[turn]).clip(max=1) ** discount
+        go = go[i[go] < c[go]]
+    one = _chosen(weight.reshape(-1, PATHS), rng)
+    return t.reshape(-1, PATHS)[np.arange(len(one)), one]
+
+
+def _uniform(key: np.ndarray, seed: int, k: int) -> np.ndarray:
+    """The ``k``-th number between 0 and 1 of a key: the same wherever it is asked for."""
+    return ((mixed(key ^ mixed(np.full(1, (seed << 32) + k, np.uint64) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def gammas(shape: np.ndarray, key: np.ndarray, seed: int) -> np.ndarray:
+    """A gamma variable of each shape, by key."""
+    low = shape < 1
+    d = np.where(low, shape + 1, shape) - 1 / 3
+    out, todo, k = np.zeros(len(key)), np.arange(len(key)), 1
+    while len(todo):
+        own, e = key[todo], d[todo]
+        normal = np.sqrt(-2 * np.log(_uniform(own, seed, k))) * np.cos(2 * np.pi * _uniform(own, seed, k + 1))
+        v = np.maximum(1 + normal / np.sqrt(9 * e), 1e-100) ** 3
+        done = (v > 1e-290) & (np.log(_uniform(own, seed, k + 2)) < normal**2 / 2 + e - e * v + e * np.log(v))
+        out[todo[done]] = (e * v)[done]
+        todo, k = todo[~done], k + 3
+    return np.where(low, out * _uniform(key, seed, 0) ** (1 / np.where(low, shape, 1.0)), out)
+
+
+def tempered(mass: float, discount: float, key: np.ndarray, seed: int) -> np.ndarray:
+    """A tempered stable variable of ``mass`` for each key: the log of its Laplace transform is -mass * ((1 + s) ** discount - 1)."""
+    parts = max(1, int(np.ceil(mass)))
+    out, k = np.zeros(len(key)), 0
+    for _ in range(parts):
+        todo = np.arange(len(key))
+        while len(todo):
+            own = key[todo]
+            angle = np.pi * _uniform(own, seed, k)
+            shape = (np.sin(discount * angle) ** discount * np.sin((1 - discount) * angle) ** (1 - discount) / np.sin(angle)) ** (1 / (1 - discount))
+            y = (mass / parts) ** (1 / discount) * (shape / -np.log(_uniform(own, seed, k + 1))) ** ((1 - discount) / discount)
+            done = _uniform(own, seed, k + 2) < np.exp(-y)
+            out[todo[done]] += y[done]
+            todo, k = todo[~done], k + 3
+    return out
 
 
 def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,10 +202,10 @@ def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     rows = np.repeat(np.arange(n), counts + 1)
     inside = np.ones(len(out), bool)
     inside[begin[1:] - 1] = False
-    out[inside] = value & BITS
+    out[inside] = value
     context = np.empty(len(out), np.uint64)
-    context[1:] = out[:-1]
-    context[begin[:-1]] = END
+    context[1:] = out[:-1] & BITS
+    context[begin[:-1]] = END & BITS
     return out, context, rows
 
 
@@ -328,6 +423,12 @@ class Parent:
     heavy_customers: np.ndarray
     heavy_tables: np.ndarray
 
+    #: Of the seating: the gamma, and once they are drawn the tokens' masses: their seed, their sum, those of heavy tokens.
+    gamma: float
+    seed: int = 0
+    mass: float = 0.0
+    heavy_mass: np.ndarray | None = None
+
     @property
     def base(self) -> float:
         return 1.0 / (self.distinct + 1)
@@ -345,10 +446,15 @@ class Parent:
         customers[found], tables[found] = self.heavy_customers[at[found]], self.heavy_tables[at[found]]
         return customers, tables
 
+    def masses(self, token: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Tokens' probabilities times the sum of all."""
+        rest = tempered(self.gamma * self.base, D0, token, 2 * self.seed)
+        return rest + np.where(customers > 0, gammas(np.where(customers > 0, customers - D0 * tables, 1.0), token, 2 * self.seed + 1), 0.0)
+
 
-def _sums(state: DataFrame, spread, samples: int, rng: np.random.Generator) -> list[Parent]:
-    """The parent restaurant in each seating: sums over buckets, and the heavy tokens, which are seated here."""
-    heavy = spread.value.heavy
+def _sums(state: DataFrame, spread, gamma: list[float | None], rng: np.random.Generator) -> list[Parent]:
+    """The parent restaurant in each seating, given its gamma then: sums over buckets, and the heavy tokens, which are seated here."""
+    heavy, samples = spread.value.heavy, len(gamma)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,12 +477,32 @@ def _sums(state: DataFrame, spread, samples: int, rng: np.random.Generator) -> l
         at = some["token"].to_numpy(np.int64)
         customers, count = some["customers"].to_numpy(float), some["n"].to_numpy(float)
         total, tables, distinct, n = (float(whole[c].sum()) for c in ("customers", "tables", "words", "n"))
-        first = Parent(total, tables + len(at), int(distinct) + len(at), int(n), heavy[at], count, customers, np.ones(len(at)))
-        seated = seat(customers.astype(np.int64), np.full(len(at), first.weight()), D0, rng).astype(float)
-        out.append(Parent(total, tables + seated.sum(), first.distinct, first.tokens, heavy[at], count, customers, seated))
+        words_ = int(distinct) + len(at)
+        x = D0 * (gamma[k] or S0 / D0 + words_) / (words_ + 1)
+        seated = seat(customers.astype(np.int64), np.full(len(at), x), D0, rng).astype(float)
+        out.append(Parent(total, tables + seated.sum(), words_, int(n), heavy[at], count, customers, seated, rng.gamma(S0 / D0 + tables + seated.sum())))
     return out
 
 
+def _drawn(state: DataFrame, parent: Parent, seed: int) -> Parent:
+    """``parent`` with the tokens' probabilities, which each bucket draws again from the seed; here the sum of what they draw."""
+    parent = replace(parent, seed=seed)
+    parent = replace(parent, heavy_mass=parent.masses(parent.heavy, parent.heavy_customers, parent.heavy_tables))
+    known = state.sparkSession.sparkContext.broadcast(parent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                s = State(row)
+                light = ~in_sorted(known.value.heavy, s.token)[0]
+                found = known.value.masses(s.token[light], np.bincount(s.word, s.t[-1], len(s.token))[light], s.parent_t[-1][light].astype(float))
+                yield pa.RecordBatch.from_arrays([pa.array([float(found.sum())])], names=["mass"])
+
+    light = state.mapInArrow(run, "mass double").agg(F.sum("mass")).first()[0] or 0.0
+    none = parent.masses(np.ones(1, np.uint64), np.zeros(1), np.zeros(1))  # of all that training doesn't hold
+    return replace(parent, mass=light + float(parent.heavy_mass.sum()) + float(none[0]))
+
+
 def _swept(parent, samples: list[int], seed: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """A sweep over a bucket, from its last seating; ``samples`` are the earlier seatings that stay."""
 
@@ -384,10 +510,12 @@ def _swept(parent, samples: list[int], seed: int) -> Callable[[pd.DataFrame, pd.
         s, p = State(state.iloc[0]), parent.value
         rng = np.random.default_rng([seed, s.bucket])
         tables = np.concatenate([_numbers(t[-1]) for t in answers.sort_values("at")["t"]])
-        customers, parent_tables = p.of(s, -1)
-        weight = (S1 + D1 * tables[s.place]) * p.probability(customers, parent_tables)[s.word]
-        t = seat(s.c, weight, D1, rng)
-        parent_t = seat(np.bincount(s.word, t, len(s.token)).astype(np.int64), np.full(len(s.token), p.weight()), D0, rng)
+        mass = p.masses(s.token, *p.of(s, -1))
+        found, at = in_sorted(p.heavy, s.token)
+        mass[found] = p.heavy_mass[at[found]]
+        gamma = gammas(S1 / D1 + tables, s.contexts, 2 * p.seed)
+        t = seat(s.c, D1 * gamma[s.place] * (mass / p.mass)[s.word], D1, rng)
+        parent_t = seat(np.bincount(s.word, t, len(s.token)).astype(np.int64), np.full(len(s.token), D0 * p.gamma * p.base), D0, rng)
         return pd.DataFrame([s.seated([*(s.t[k] for k in samples), t], [*(s.parent_t[k] for k in samples), parent_t])])
 
     return run
@@ -404,14 +532,16 @@ def trained(docs: DataFrame, buckets: int, seed: int = 7, share: float = HEAVY)
     rng = np.random.default_rng(seed)
     counted = docs.select("text").mapInArrow(_counted(spread), "bucket int, tokens binary, sizes binary, contexts binary, n binary")
     state = saved(counted.groupBy("bucket").applyInPandas(_merged(spread, seed), _STATE), "seating")
-    # the first sweep's seating is not kept; of the next ones each is a sample
-    for k in range(SAMPLES + 1):
-        kept = list(range(k - 1))  # seatings so far that are samples
-        parent = context.broadcast(_sums(state, spread, max(1, len(kept)), rng)[-1])
+    gamma: list[float | None] = [None]
+    for k in range(BURN + SAMPLES):
+        kept = list(range(max(0, k - BURN)))  # seatings so far that are samples
+        last = _sums(state, spread, gamma, rng)[-1]
+        gamma = [*(gamma if kept else []), last.gamma]
+        parent = context.broadcast(_drawn(state, last, seed + k + 1))
         swept = state.groupBy("bucket").cogroup(_asked(state, spread).groupBy("bucket")).applyInPandas(_swept(parent, kept, seed + k + 1), _STATE)
         before, state = state, saved(swept, "seating")
         discard(before)
-    return state, _sums(state, spread, SAMPLES, rng), spread
+    return state, _sums(state, spread, gamma, rng), spread
 
 
 class Scorer:
@@ -431,22 +561,24 @@ class Scorer:
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + 1) / (self.parents[0].tokens + self.parents[0].distinct + 1))
 
-    def __call__(self, token: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(count of the token, log10 of the base probability, log10 of what is known here, whether the context's factor is missing)."""
+    def __call__(self, token: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(count of the token, log10 of the base probability, log10 of what is known here, whether the context's factor is missing, and then each seating's share of the parent's probability)."""
         known, word = in_sorted(self.s.token, token)
         heavy, h = in_sorted(self.parents[0].heavy, token)
         heavy &= ~known  # heavy tokens of which no training pair is here
         n = np.zeros(len(token))
         n[known], n[heavy] = self.count[word[known]], self.parents[0].heavy_count[h[heavy]]
-        p = np.zeros(len(token))
+        ups = []
         for k, parent in enumerate(self.parents):
             up = np.full(len(token), parent.probability(np.zeros(1), np.zeros(1))[0])
             up[known], up[heavy] = self.up[k][word[known]], parent.probability(parent.heavy_customers[h[heavy]], parent.heavy_tables[h[heavy]])
-            p += up / len(self.parents)
+            ups.append(up)
+        p = np.mean(ups, axis=0)
+        shares = (np.stack(ups) / (p * len(ups))).astype(np.float32)
         seen, at = in_sorted(self.pairs, pair_hash(token, context))
         seen &= known
         p[seen] = self.probability[self.order[at[seen]]]
-        return n, self.base(n), np.log10(p), ~seen
+        return n, self.base(n), np.log10(p), ~seen, shares[:, ~seen]
 
 
 @dataclass(frozen=True)
@@ -531,7 +663,7 @@ def _entries(spread, hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-_PART = "chunk long, rows binary, part binary, ids {ids}, held array<boolean>, sums binary, at int, contexts binary, unseen binary"
+_PART = "chunk long, rows binary, part binary, ids {ids}, held array<boolean>, sums binary, at int, contexts binary, unseen binary, shares array<binary>"
 
 
 def _scored(parents, spread) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
@@ -548,25 +680,25 @@ def _scored(parents, spread) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFr
             s = State({"bucket": 0, "tokens": _packed(none), "sizes": _packed(none), "contexts": _packed(none), "place": _packed(none), "c": _squeezed(none), "t": [_squeezed(none)] * SAMPLES, "parent_t": [_squeezed(none)] * SAMPLES})
             customers, tables = none, [none] * SAMPLES
         scorer, out = Scorer(s, parents.value, customers, tables), []
-        asks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        asks: list[tuple[np.ndarray, ...]] = []
         for e in entries.itertuples():
             token = np.repeat(_hashes(e.tokens), _unpacked(e.sizes))
             context, row = _hashes(e.contexts), _unpacked(e.rows)
-            count, base, score, missing = scorer(token, context)
+            count, base, score, missing, shares = scorer(token, context)
             rows, place = np.unique(row, return_inverse=True)
             sums = np.stack([np.bincount(place, count > 0, len(rows)), np.bincount(place, base, len(rows)), np.bincount(place, score, len(rows))]).astype(np.float64)
-            out.append((e.chunk, _packed(rows), sums.tobytes(), e.ids, e.held, e.sums, None, None, None))
-            asks.append((np.full(int(missing.sum()), e.chunk), context[missing], row[missing]))
+            out.append((e.chunk, _packed(rows), sums.tobytes(), e.ids, e.held, e.sums, None, None, None, None))
+            asks.append((np.full(int(missing.sum()), e.chunk), context[missing], row[missing], *shares))
         # one row for each bucket of contexts, with the chunks that ask
-        chunk, context, row = (np.concatenate(x) for x in zip(*asks, strict=True)) if asks else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        chunk, context, row, *shares = (np.concatenate(x) for x in zip(*asks, strict=True)) if asks else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         at = spread.value.of_context(context)
         by = np.lexsort((row, chunk, at))
         cut = np.searchsorted(at[by], np.arange(spread.value.buckets + 1))
         for k in np.flatnonzero(np.diff(cut)):
             part = by[cut[k] : cut[k + 1]]
             chunks_, sizes = np.unique(chunk[part], return_counts=True)
-            out.append((-1, _packed(sizes), chunks_.astype(np.int64).tobytes(), None, None, None, int(k), _packed(context[part]), _packed(row[part])))
-        return pd.DataFrame(out, columns=["chunk", "rows", "part", "ids", "held", "sums", "at", "contexts", "unseen"]).astype({"at": "Int32"})
+            out.append((-1, _packed(sizes), chunks_.astype(np.int64).tobytes(), None, None, None, int(k), _packed(context[part]), _packed(row[part]), [zlib.compress(x[part].tobytes(), 1) for x in shares[1:]]))
+        return pd.DataFrame(out, columns=["chunk", "rows", "part", "ids", "held", "sums", "at", "contexts", "unseen", "shares"]).astype({"at": "Int32"})
 
     return run
 
@@ -575,15 +707,19 @@ def _factors(asked: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
     """log10 of the factors of contexts by which unseen pairs' probabilities are less than the parent's, added up by chunk and row."""
     if len(shares):
         contexts, _, c, t = _added(shares)
-        factor = np.log10(np.mean([(S1 + D1 * x) / (S1 + c) for x in t], axis=0))
+        factor = np.stack([(S1 + D1 * x) / (S1 + c) for x in t])
     else:
-        contexts, factor = np.zeros(0, np.uint64), np.zeros(0)
+        contexts, factor = np.zeros(0, np.uint64), np.ones((SAMPLES, 0))
     if not len(asked):
         return pd.DataFrame([], columns=["chunk", "rows", "part"])
     chunk = np.concatenate([np.repeat(np.frombuffer(p, np.int64), _unpacked(s)) for p, s in zip(asked["part"], asked["rows"], strict=True)])
     row = np.concatenate([_unpacked(b) for b in asked["unseen"]])
     found, at = in_sorted(contexts, np.concatenate([_hashes(b) for b in asked["contexts"]]))
-    value = np.where(found, factor[at] if len(factor) else 0.0, 0.0)
+    parts = [np.concatenate([np.frombuffer(zlib.decompress(x[k]), np.float32) for x in asked["shares"]]).astype(float) for k in range(len(factor) - 1)]
+    value = np.zeros(len(at))
+    for own, part in zip(factor, [1 - sum(parts), *parts], strict=True):
+        value += part * (np.where(found, own[at], 1.0) if len(own) else 1.0)
+    value = np.log10(value)
     by = np.lexsort((row, chunk))
     chunk, row, value = chunk[by], row[by], value[by]
     start = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (row[1:] != row[:-1])]))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,7 +138,8 @@ def test_pitman_yor(spark, docs, empty):
     texts = {**dict(enumerate([*TEXTS, TEXTS[9]])), **dict(rows)}
     train = Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*words(t), "\0end"])
     n, v = sum(train.values()), len(train)
-    key = lambda w: int(pitman_yor.END) if w == "\0end" else int(hash_words([w], False)[0][0] & pitman_yor.BITS)
+    key = lambda w: int(pitman_yor.END) if w == "\0end" else int(hash_words([w], False)[0][0])
+    as_context = lambda w: int(np.uint64(key(w)) & pitman_yor.BITS)
     for share, hot in ((0.01, 20), (0.5, 10**5)):  # with many heavy tokens, and with none; with few hot pairs, and with all
         found = by_id(pitman_yor.score(more, share=share, hot_pairs=hot))
         assert len(found) == len(texts)
@@ -170,7 +172,7 @@ def test_pitman_yor(spark, docs, empty):
             whole, opened = sum(x for x, _ in by_context.get(u, [])), sum(x[k] for _, x in by_context.get(u, []))
             return (c - pitman_yor.D1 * t[k] + (pitman_yor.S1 + pitman_yor.D1 * opened) * up) / (pitman_yor.S1 + whole)
 
-        for u in (int(pitman_yor.END), key("w3"), key("nowhere")):
+        for u in (as_context("\0end"), as_context("w3"), as_context("nowhere")):
             for k in range(len(parents)):
                 assert math.isclose(sum(probability(w, u, k) for w in by_token) + probability(1, u, k), 1.0, rel_tol=1e-9)
         for i, t in texts.items():
@@ -180,28 +182,68 @@ def test_pitman_yor(spark, docs, empty):
             assert math.isclose(r.base_score, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in told), rel_tol=1e-9, abs_tol=1e-9)
             if len(told) > 1000:
                 continue
-            keys = [int(pitman_yor.END), *map(key, told)]
-            slow = sum(math.log10(sum(p) / len(p)) for u, w in zip(keys, keys[1:]) for p in [[probability(w, u, k) for k in range(len(parents))]])
-            # a pair that training doesn't hold takes the means of the parent's probability and of the context's factor
-            assert math.isclose(r.score, slow, rel_tol=2e-3), (i, r.score, slow)
+            before = map(as_context, ["\0end", *told])
+            slow = sum(math.log10(sum(p) / len(p)) for u, w in zip(before, map(key, told)) for p in [[probability(w, u, k) for k in range(len(parents))]])
+            assert math.isclose(r.score, slow, rel_tol=1e-6), (i, r.score, slow)
     assert pitman_yor.score(empty).collect() == []
 
 
 def test_seating():
-    """The number of tables against its exact distribution, customer by customer, however it is drawn."""
+    """Tables of one dish against all probabilities, from all of them and by weighted paths."""
     rng = np.random.default_rng(0)
-    n, w, d = 40, 3.0, 0.8
-    exact = np.zeros(n + 1)
-    exact[1] = 1.0
-    for seated in range(1, n):
-        tables = np.arange(n + 1)
-        p = np.where(tables > 0, w / (seated - d * np.minimum(tables, seated) + w), 0.0)
-        exact = exact * (1 - p) + np.concatenate([[0], (exact * p)[:-1]])
-    for few in (0, 10**9):
-        found = np.bincount(pitman_yor.seat(np.full(20_000, n), np.full(20_000, w), d, rng, few), minlength=n + 1) / 20_000
-        assert np.abs(np.cumsum(found) - np.cumsum(exact)).max() < 0.02, few
-    t = pitman_yor.seat(np.array([0, 1, 2, 50, 10**7]), np.full(5, 1.0), 0.5, rng)
-    assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 2 and 1 < t[4] < 10**5
+    for c, x in ((10, 0.2), (10, 3.0), (300, 0.05), (300, 4.0), (300, 60.0), (1000, 30.0)):
+        weights = pitman_yor.log_stirling(0.85, 1000)[c, 1 : c + 1] + np.arange(1, c + 1) * np.log(x)
+        exact = np.cumsum(np.exp(weights - weights.max()))
+        for limit in (1000, 64):
+            found = np.cumsum(np.bincount(pitman_yor.seat(np.full(4000, c), np.full(4000, x), 0.85, rng, limit), minlength=c + 1)[1:]) / 4000
+            assert np.abs(found - exact / exact[-1]).max() < 0.04, (c, x, limit)
+    t = pitman_yor.seat(np.array([0, 1, 2, 50, 10**7]), np.full(5, 100.0), 0.85, rng)
+    assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 2 and 90 < t[4] < 150
+
+
+def test_variables_by_key():
+    keys = np.arange(100_000).astype(np.uint64)
+    for shape in (0.4, 1.0, 7.0):
+        g = pitman_yor.gammas(np.full(len(keys), shape), keys, 5)
+        assert abs(g.mean() - shape) < 0.05 and abs(g.var() - shape) < 0.1 * shape + 0.03
+        assert np.array_equal(g[7:9], pitman_yor.gammas(np.full(2, shape), keys[7:9], 5))
+    for mass in (0.3, 2.6):
+        y = pitman_yor.tempered(mass, 0.6, keys, 3)
+        for s in (0.5, 1.0, 4.0):
+            assert abs(np.exp(-s * y).mean() - math.exp(-mass * ((1 + s) ** 0.6 - 1))) < 0.01
+
+
+def test_sweeps_against_exact_posterior():
+    """The chain of whole sweeps over two contexts and their parent against the posterior, with all seatings counted."""
+    from itertools import product
+    from types import SimpleNamespace
+
+    D0, S0, D1, S1 = pitman_yor.D0, pitman_yor.S0, pitman_yor.D1, pitman_yor.S1
+    c, place, word = np.array([6, 3, 4]), np.array([0, 1, 0]), np.array([0, 0, 1])  # (token 0, contexts 0 and 1), (token 1, context 0)
+    up, low, lg = pitman_yor.log_stirling(D0, 20), pitman_yor.log_stirling(D1, 20), math.lgamma
+    weight, exact = 0.0, np.zeros(5)
+    for t in product(*(range(1, n + 1) for n in c)):
+        customers = np.bincount(word, t)
+        opened = np.bincount(place, t)
+        own = sum(low[n, k] for n, k in zip(c, t)) + sum(k * math.log(D1) + lg(S1 / D1 + k) for k in opened) - lg(S0 + customers.sum())
+        for t0 in product(*(range(1, int(n) + 1) for n in customers)):
+            k = sum(t0)
+            p = math.exp(own + k * math.log(D0 / 3) + lg(S0 / D0 + k) + sum(up[int(n), i] for n, i in zip(customers, t0)))
+            weight += p
+            exact += p * np.array([*t, *t0])
+    exact /= weight
+    row = {"bucket": 0, "tokens": pitman_yor._packed(np.array([11, 22], np.uint64)), "sizes": pitman_yor._packed(np.array([2, 1])), "contexts": pitman_yor._packed(np.array([33, 44], np.uint64)), "place": pitman_yor._packed(place), "c": pitman_yor._squeezed(c), "t": [pitman_yor._squeezed(np.ones(3, np.int64))], "parent_t": [pitman_yor._squeezed(np.ones(2, np.int64))]}
+    rng, none, sums, n = np.random.default_rng(1), np.zeros(0), np.zeros(5), 3000
+    for k in range(n):
+        s = pitman_yor.State(row)
+        customers, tables = np.bincount(s.word, s.t[0]), s.parent_t[0]
+        parent = pitman_yor.Parent(float(customers.sum()), float(tables.sum()), 2, 13, none.astype(np.uint64), none, none, none, rng.gamma(S0 / D0 + tables.sum()), k + 1, heavy_mass=none)
+        mass = parent.masses(s.token, customers, tables).sum() + parent.masses(np.ones(1, np.uint64), np.zeros(1), np.zeros(1))[0]
+        known = SimpleNamespace(value=pitman_yor.replace(parent, mass=float(mass)))
+        answers = pd.DataFrame([{"at": 0, "t": [pitman_yor._squeezed(np.bincount(s.place, s.t[0]).astype(np.int64))]}])
+        row = pitman_yor._swept(known, [], k + 1)(pd.DataFrame([row]), answers).iloc[0].to_dict()
+        sums += [*pitman_yor._numbers(row["t"][0]), *pitman_yor._numbers(row["parent_t"][0])]
+    assert np.abs(sums / n - exact).max() < 0.12, (sums / n, exact)
 
 
 def test_jaccard_join(spark, empty):
