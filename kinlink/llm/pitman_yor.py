@@ -27,7 +27,7 @@ the sums that the bucket asked for.  So nothing that grows with the data meets i
 one task or is broadcast: only the heavy tokens' tables, and a few sums.
 
 For scoring, the ``hot_pairs`` commonest pairs' probabilities are broadcast and added
-where texts are read; the other pairs go to the buckets of tokens.  The
+where texts are read, in ``SLICES`` parts of the texts by hash of id and text; the other pairs go to the buckets of tokens.  The
 probability of a pair that no training text holds is the mean over the seatings of
 the parent's times a factor of the context alone: buckets of tokens send the seatings'
 shares of the parent's, and buckets of contexts weigh their factors by them.
@@ -45,7 +45,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
-from functools import cached_property, lru_cache
+from functools import cached_property, lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -63,6 +63,8 @@ D0, S0 = 0.6, 10.0
 SAMPLES = 2
 #: Bytes of text for each bucket.
 PER_BUCKET = 8_000_000
+#: Parts in which texts are scored, one after the other, so that only one part's pairs are on disk.
+SLICES = 3
 #: Pairs that are scored where the texts are read.
 HOT = 1 << 18
 #: A token with this share of all tokens is heavy: there are no more than one over it.
@@ -70,7 +72,7 @@ HEAVY = 2.0**-14
 #: Seatings before the first one that is kept.
 BURN = 2
 #: Up to so many customers of a dish its tables are drawn from all probabilities; beyond, from weighted paths, so many.
-EXACT, PATHS = 2048, 16
+EXACT, PATHS = 1024, 16
 #: The bits of a token's hash by which it is known as a context.
 BITS = np.uint64((1 << 48) - 1)
 END = np.uint64(0x5851F42D4C957F2D)
@@ -510,11 +512,17 @@ def _swept(parent, samples: list[int], seed: int) -> Callable[[pd.DataFrame, pd.
         s, p = State(state.iloc[0]), parent.value
         rng = np.random.default_rng([seed, s.bucket])
         tables = np.concatenate([_numbers(t[-1]) for t in answers.sort_values("at")["t"]])
-        mass = p.masses(s.token, *p.of(s, -1))
-        found, at = in_sorted(p.heavy, s.token)
+        # a lone customer has one table: only where there are more are the variables drawn
+        some = np.flatnonzero(s.c > 1)
+        words_, word = np.unique(s.word[some], return_inverse=True)
+        places, place = np.unique(s.place[some], return_inverse=True)
+        customers, opened = p.of(s, -1)
+        mass = p.masses(s.token[words_], customers[words_], opened[words_])
+        found, at = in_sorted(p.heavy, s.token[words_])
         mass[found] = p.heavy_mass[at[found]]
-        gamma = gammas(S1 / D1 + tables, s.contexts, 2 * p.seed)
-        t = seat(s.c, D1 * gamma[s.place] * (mass / p.mass)[s.word], D1, rng)
+        gamma = gammas(S1 / D1 + tables[places], s.contexts[places], 2 * p.seed)
+        t = np.ones(len(s.c), np.int64)
+        t[some] = seat(s.c[some], D1 * gamma[place] * (mass / p.mass)[word], D1, rng)
         parent_t = seat(np.bincount(s.word, t, len(s.token)).astype(np.int64), np.full(len(s.token), D0 * p.gamma * p.base), D0, rng)
         return pd.DataFrame([s.seated([*(s.t[k] for k in samples), t], [*(s.parent_t[k] for k in samples), parent_t])])
 
@@ -748,11 +756,19 @@ def score(docs: DataFrame, per_bucket: int = PER_BUCKET, share: float = HEAVY, h
     id_kind = docs.schema["doc_id"].dataType
     ids = T.ArrayType(id_kind).simpleString()
     hot = spark.sparkContext.broadcast(_hot(state, spread, known, hot_pairs))
-    entries = rows.mapInArrow(_entries(spread, hot), f"bucket int, chunk long, tokens binary, sizes binary, contexts binary, rows binary, ids {ids}, held array<boolean>, sums binary")
-    seats = state.withColumn("at", F.lit(None).cast("int")).unionByName(_asked(state, spread), allowMissingColumns=True)
-    parts = saved(entries.groupBy("bucket").cogroup(seats.groupBy("bucket")).applyInPandas(_scored(known, spread), _PART.format(ids=ids)), "parts")
-    shares = state.mapInArrow(_shares(spread), _SHARE)
-    added = parts.filter("at IS NOT NULL").groupBy("at").cogroup(shares.groupBy("at")).applyInPandas(_factors, "chunk long, rows binary, part binary")
-    found = parts.filter("at IS NULL").select("chunk", "rows", "part", "ids", "held", "sums").unionByName(added, allowMissingColumns=True)
-    done = found.groupBy("chunk").applyInPandas(_summed, f"doc_id {id_kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(parents[0].tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    seats = saved(state.withColumn("at", F.lit(None).cast("int")).unionByName(_asked(state, spread), allowMissingColumns=True), "seats")
+    shares = saved(state.mapInArrow(_shares(spread), _SHARE), "shares")
+    discard(state)
+    done = []
+    for k in range(SLICES):
+        part = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES)) == k)
+        entries = part.mapInArrow(_entries(spread, hot), f"bucket int, chunk long, tokens binary, sizes binary, contexts binary, rows binary, ids {ids}, held array<boolean>, sums binary")
+        parts = saved(entries.groupBy("bucket").cogroup(seats.groupBy("bucket")).applyInPandas(_scored(known, spread), _PART.format(ids=ids)), "parts")
+        added = parts.filter("at IS NOT NULL").groupBy("at").cogroup(shares.groupBy("at")).applyInPandas(_factors, "chunk long, rows binary, part binary")
+        found = parts.filter("at IS NULL").select("chunk", "rows", "part", "ids", "held", "sums").unionByName(added, allowMissingColumns=True)
+        done.append(saved(found.groupBy("chunk").applyInPandas(_summed, f"doc_id {id_kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores"))
+        del entries, added, found
+        discard(parts)
+    discard(seats, shares)
+    out = reduce(DataFrame.unionByName, done)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(parents[0].tokens).cast("long").alias("train_tokens"), "base_score", "score")
