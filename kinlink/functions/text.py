@@ -289,28 +289,40 @@ def path_parts(url: Column) -> Column:
     return F.array_remove(F.split(F.regexp_extract(full, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1), "/"), "")
 
 
-def normalize_handle(raw: Column, platform: str) -> Column:
+def handle_rules(platform: str | Column) -> dict[str, Column]:
+    """A platform's rules as columns: of its name in ``config``, or of a row of a table of rules (``sources.accounts.RULES``)."""
+    if isinstance(platform, Column):
+        return {name: platform[name] for name in ("platform", *config.HANDLE_RULES["twitch"], "reserved")}
+    held = {"platform": platform, **config.HANDLE_RULES[platform], "reserved": config.SEARCH_RESERVED_PATHS[platform]}
+    return {name: listed(v) if isinstance(v, list) else F.lit(v) for name, v in held.items()}
+
+
+def _translated(c: Column, pair: Column) -> Column:
+    return F.call_function("translate", c, pair[0], pair[1])
+
+
+def normalize_handle(raw: Column, platform: str | Column) -> Column:
     """The handle in a cell, address or @mention; null if it can't be one on this platform."""
-    rules = config.HANDLE_RULES[platform]
+    rules = handle_rules(platform)
     text = strip(raw.cast("string"))
-    address = text.contains("/") | reduce(Column.__or__, [F.lower(text).contains(h) for h in rules["hosts"]])
+    address = text.contains("/") | F.exists(rules["hosts"], lambda h: F.contains(F.lower(text), h))
     bare = F.regexp_replace(text, "^/+", "")
     host = F.regexp_replace(F.regexp_replace(host_of(bare), r"^www\.", ""), r"^m\.", "")
-    part = F.when(host.isin(rules["hosts"]), F.coalesce(F.try_element_at(path_parts(bare), F.lit(1)), F.lit("")))
+    part = F.when(F.array_contains(rules["hosts"], host), F.coalesce(F.try_element_at(path_parts(bare), F.lit(1)), F.lit("")))
     handle = F.lower(strip(F.regexp_replace(F.when(address, part).otherwise(text), "^@+", "")))
-    return F.when(handle.rlike(rules["valid"]), handle)
+    return F.when(F.rlike(handle, rules["valid"]), handle)
 
 
-def to_handle(variant: Column, platform: str) -> Column:
+def to_handle(variant: Column, platform: str | Column) -> Column:
     """A name as this platform writes it; null if it can't be a handle."""
-    low = F.lower(strip(variant))
-    v = F.translate(low, "-. ", "__") if platform == "twitch" else F.translate(low, "_. ", "--")
-    return F.when(v.rlike(config.HANDLE_RULES[platform]["variant"]), v)
+    rules = handle_rules(platform)
+    v = _translated(F.lower(strip(variant)), rules["written"])
+    return F.when(F.rlike(v, rules["variant"]), v)
 
 
-def existence_variants(handle: Column, platform: str) -> Column:
+def existence_variants(handle: Column, platform: str | Column) -> Column:
     """Handles that mean the same account."""
-    return F.array_distinct(F.array(handle, F.translate(handle, "_", "-"))) if platform == "kick" else F.array(handle)
+    return F.array_distinct(F.array(handle, _translated(handle, handle_rules(platform)["alike"])))
 
 
 def canonical_handle(kind: Column, handle: Column) -> Column:
@@ -318,12 +330,12 @@ def canonical_handle(kind: Column, handle: Column) -> Column:
     return F.when(kind == "kick", F.translate(bare, "_", "-")).otherwise(bare)
 
 
-def handle_from_url(url: Column, platform: str) -> Column:
+def handle_from_url(url: Column, platform: str | Column) -> Column:
     """The account that a web search result points at; null for other hosts and for pages of the platform itself."""
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", ""), r"^m\.", "")
     handle = F.lower(F.try_element_at(path_parts(url), F.lit(1)))
-    rules = config.HANDLE_RULES[platform]
-    return F.when(host.isin(rules["hosts"]) & ~one_of(handle, config.SEARCH_RESERVED_PATHS[platform]) & handle.rlike(rules["valid"]), handle)
+    rules = handle_rules(platform)
+    return F.when(F.array_contains(rules["hosts"], host) & ~F.array_contains(rules["reserved"], handle) & F.rlike(handle, rules["valid"]), handle)
 
 
 def display_id(platform: Column, username: Column, display_name: Column) -> Column:
