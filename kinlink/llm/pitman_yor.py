@@ -73,6 +73,8 @@ HEAVY = 2.0**-14
 BURN = 2
 #: Up to so many customers of a dish its tables are drawn from all probabilities; beyond, from weighted paths, so many.
 EXACT, PATHS = 1024, 16
+#: Up to so many customers the weights of tables are summed as a polynomial, without logarithms.
+FEW = 16
 #: The bits of a token's hash by which it is known as a context.
 BITS = np.uint64((1 << 48) - 1)
 END = np.uint64(0x5851F42D4C957F2D)
@@ -101,21 +103,40 @@ def _chosen(weights: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return (total < rng.random(len(weights))[:, None] * total[:, -1:]).sum(axis=1)
 
 
+def _counted_up(row: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """As :func:`_chosen`, of the weights ``row[t] * x ** t``."""
+    total, power = np.empty((len(row), len(x))), np.ones(len(x))
+    total[0] = row[0]
+    for t in range(1, len(row)):
+        power *= x
+        np.multiply(power, row[t], out=total[t])
+        total[t] += total[t - 1]
+    return (total[:-1] < rng.random(len(x)) * total[-1]).sum(axis=0)
+
+
 def seat(customers: np.ndarray, x: np.ndarray, discount: float, rng: np.random.Generator, exact: int = EXACT) -> np.ndarray:
     """Tables of dishes: t of c customers with probability proportional to x ** t * Stirling(c, t).
 
     Beyond ``exact`` customers, ``PATHS`` paths go on from a seating of the first ``exact`` ones, and one is chosen by their weights.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
-    table, log_x = log_stirling(discount, exact), np.log(np.maximum(x, 1e-300))
+    table = log_stirling(discount, exact)
     small = np.flatnonzero((customers > 1) & (customers <= exact))
-    small = small[np.argsort(customers[small], kind="stable")]
+    kind = np.uint16 if exact < 1 << 16 else np.int64
+    small = small[np.argsort(customers[small].astype(kind), kind="stable")]
+    c, x_ = customers[small], np.maximum(x[small], 1e-300)
     at = 0
     while at < len(small):
-        c = int(customers[small[at]])
-        part = small[at : min(np.searchsorted(customers[small], c, "right"), at + max(1, (1 << 20) // c))]
-        tables[part] = 1 + _chosen(table[c, 1 : c + 1] + np.arange(1, c + 1) * log_x[part, None], rng)
-        at += len(part)
+        least = int(c[at])
+        most = least if least <= FEW else min(least + least // 4, exact)  # rows of fewer customers are filled up with nothing
+        to = min(int(np.searchsorted(c, most, "right")), at + max(1, (1 << 17) // most))
+        if most <= FEW:
+            found = _counted_up(np.exp(table[most, 1 : most + 1]), x_[at:to], rng)
+        else:
+            most = int(c[to - 1])
+            found = _chosen(table[c[at:to], 1 : most + 1] + np.arange(1, most + 1) * np.log(x_[at:to])[:, None], rng)
+        tables[small[at:to]] = 1 + found
+        at = to
     large = np.flatnonzero(customers > exact)
     for a in range(0, len(large), 256):
         part = large[a : a + 256]
@@ -138,17 +159,15 @@ def _paths(customers: np.ndarray, x: np.ndarray, discount: float, rng: np.random
     go = np.arange(len(c))
     while len(go):
         a, w, most = i[go] - discount * t[go], opens[go], end[go] - i[go]
-        start = _log_gamma(a + w) - _log_gamma(a)
-        u = np.log(rng.random(len(go)) + 1e-300)
-        lo, hi = np.zeros(len(go), np.int64), most + 1  # the next ``lo`` sit at old tables, the next ``hi`` don't all
-        while (hi - lo > 1).any():
-            mid = (lo + hi) // 2
-            stay = (_log_gamma(a + mid) - _log_gamma(a + mid + w) + start >= u) | (mid == lo)
-            lo, hi = np.where(stay, mid, lo), np.where(stay, hi, mid)
+        # none of the next m opens a table with probability (b / (b + m)) ** v: for the first one as by its weight w beside a, and nearly so for the others
+        b = a + (w - 1) / 2
+        v = np.log1p(w / a) / np.log1p(1 / b)
+        lo = np.minimum(b * np.expm1(np.minimum(-np.log(rng.random(len(go)) + 1e-300) / v, 50.0)), most).astype(np.int64)
         opened = lo < most
         i[go] += lo + opened
         t[go] += opened
-        weight[go] += _log_gamma(a + w + lo + opened) - _log_gamma(a + w) + np.where(opened, np.log(x[go] / w), 0.0)
+        stayed = _log_gamma(np.concatenate([a, a + lo]))
+        weight[go] += stayed[len(go) :] - stayed[: len(go)] + v * np.log1p(lo / b) + np.where(opened, np.log(x[go] / -np.expm1(-v * np.log1p(1 / (b + lo)))), 0.0)
         turn = go[i[go] == end[go]]
         end[turn] = np.minimum(c[turn], 2 * i[turn])
         opens[turn] = x[turn] * (1.5 * i[turn] / c[turn]).clip(max=1) ** discount
@@ -211,6 +230,29 @@ def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, context, rows
 
 
+class Lookup:
+    """Different hashes in order, with the place where each value of their first bits begins."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = max(1, len(keys).bit_length())
+        self.keys, self.shift = np.append(keys, np.uint64(2**64 - 1)), np.uint64(max(0, int(keys.max(initial=0)).bit_length() - bits))
+        self.start = np.concatenate([[0], np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits))[:-1]]).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(found, place) as of :func:`in_sorted`."""
+        if len(self.keys) == 1:
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        place = self.start[np.minimum(keys >> self.shift, np.uint64(len(self.start) - 1)).astype(np.int64)]
+        there = self.keys[place]
+        before = np.flatnonzero(there < keys)
+        while len(before):
+            place[before] += 1
+            there[before] = self.keys[place[before]]
+            before = before[there[before] < keys[before]]
+        last = len(self.keys) - 2
+        return (there == keys) & (place <= last), np.minimum(place, last)
+
+
 @dataclass(frozen=True)
 class Spread:
     """Where pairs go: buckets of tokens, of contexts, and the heavy tokens in order."""
@@ -218,46 +260,80 @@ class Spread:
     buckets: int
     heavy: np.ndarray
 
+    @cached_property
+    def lookup(self) -> Lookup:
+        return Lookup(self.heavy)
+
     def bucket(self, token: np.ndarray, context: np.ndarray) -> np.ndarray:
-        found, _ = in_sorted(self.heavy, token)
-        return (np.where(found, pair_hash(token, context), token) % np.uint64(self.buckets)).astype(np.int64)
+        out = token.copy()
+        heavy = np.flatnonzero(self.lookup(token)[0])
+        out[heavy] = pair_hash(token[heavy], context[heavy])
+        return (out % np.uint64(self.buckets)).astype(self.kind)
+
+    @property
+    def kind(self) -> type:
+        """Of the buckets' numbers: those of 16 bits are put in order quickest."""
+        return np.uint16 if self.buckets < 1 << 16 else np.int64
 
     def of_context(self, context: np.ndarray) -> np.ndarray:
-        return (mixed(context) % np.uint64(self.buckets)).astype(np.int64)
+        return (mixed(context) % np.uint64(self.buckets)).astype(self.kind)
 
 
 def pair_hash(token: np.ndarray, context: np.ndarray) -> np.ndarray:
     return mixed(token ^ mixed(context + np.uint64(1)))
 
 
-def _combined(token: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different (token, context) pairs, in order, with their sums of n."""
-    by = np.lexsort((context, token))
-    token, context, n = token[by], context[by], n[by]
-    start = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (context[1:] != context[:-1])])) if len(token) else np.zeros(0, np.int64)
-    return token[start], context[start], np.add.reduceat(n, start) if len(token) else n
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of one value begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _sized(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of runs, and their lengths."""
+    start = _runs(x)
+    return x[start], np.diff(start, append=len(x))
+
+
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different hashes in order, and the place of each one."""
+    own = np.sort(x)
+    own = own[_runs(own)]
+    return own, Lookup(own)(x)[1]
+
+
+def _first_bytes(k: int) -> np.dtype:
+    """Of numbers of 8 bytes, the first k."""
+    return np.dtype({"names": ["x"], "formats": [f"V{k}"], "itemsize": 8})
 
 
 def _packed(x: np.ndarray) -> bytes:
     """Numbers from 0 on, in as few bytes each as they need; the first byte tells how many."""
     k = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([k]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].tobytes()
+    return bytes([k]) + np.ascontiguousarray(x.astype("<u8", copy=False)).view(_first_bytes(k))["x"].tobytes()
 
 
 def _unpacked(b: bytes, kind: str = "<i8") -> np.ndarray:
     k = b[0]
-    out = np.zeros(((len(b) - 1) // k, 8), np.uint8)
-    out[:, :k] = np.frombuffer(b, np.uint8, offset=1).reshape(-1, k)
-    return out.reshape(-1).view(kind)
+    out = np.zeros((len(b) - 1) // k, "<u8")
+    out.view(_first_bytes(k))["x"] = np.frombuffer(b, f"V{k}", offset=1)
+    return out.view(kind)
 
 
 def _squeezed(x: np.ndarray) -> bytes:
-    """Numbers that are mostly small ones."""
-    return zlib.compress(_packed(x), 1)
+    """Numbers from 0 on that are mostly small ones: a byte each, and the large ones before them."""
+    x = x.astype("<i8", copy=False)
+    large = x[x >= 255]
+    return zlib.compress(np.int64(len(large)).tobytes() + large.tobytes() + np.minimum(x, 255).astype(np.uint8).tobytes(), 1)
 
 
 def _numbers(b: bytes) -> np.ndarray:
-    return _unpacked(zlib.decompress(b))
+    b = zlib.decompress(b)
+    n = int(np.frombuffer(b, "<i8", 1)[0])
+    small = np.frombuffer(b, np.uint8, offset=8 + 8 * n)
+    out = small.astype(np.int64)
+    if n:
+        out[small == 255] = np.frombuffer(b, "<i8", n, offset=8)
+    return out
 
 
 def _hashes(b: bytes) -> np.ndarray:
@@ -277,7 +353,7 @@ def heavy_tokens(docs: DataFrame, share: float = HEAVY) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
 
         for batch in batches:
-            for _, _, data, bounds in chunks(batch.column(0), LARGE):
+            for _, _, data, bounds in chunks(batch.column(0)):
                 held.append(tokens(data, bounds)[0])
                 if sum(map(len, held)) > _PAIRS:
                     yield told()
@@ -292,17 +368,29 @@ def heavy_tokens(docs: DataFrame, share: float = HEAVY) -> np.ndarray:
 def _counted(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(bucket, tokens, sizes, contexts, n) of training texts, combined in the task: each token once, with its contexts."""
 
-    def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        token, context, n = _combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        bucket = spread.value.bucket(token, context)
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        own, place = _numbered(np.concatenate(held))
+        held.clear()
+        # each row ends with END, so the token before is the context of a row's first token too
+        bits = np.uint64(len(own).bit_length())
+        key = place.astype(np.uint64) << bits
+        key[1:] |= place[:-1].astype(np.uint64)
+        key[:1] |= np.uint64(np.searchsorted(own, END))
+        key.sort()
+        start = _runs(key)
+        del place
+        n, key = np.diff(start, append=len(key)), key[start]
+        word, context = (key >> bits).astype(np.int64), (own & BITS)[(key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)]
+        bucket = spread.value.bucket(own[word], context)
         by = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[by], np.arange(spread.value.buckets + 1))
         ks = np.flatnonzero(np.diff(cut))
+        word, context, n = word[by], context[by], n[by]
         out: dict[str, list] = {"bucket": ks.tolist(), "tokens": [], "sizes": [], "contexts": [], "n": []}
         for k in ks:
-            part = by[cut[k] : cut[k + 1]]
-            own, sizes = np.unique(token[part], return_counts=True)
-            out["tokens"].append(_packed(own))
+            part = slice(cut[k], cut[k + 1])
+            words_, sizes = _sized(word[part])
+            out["tokens"].append(_packed(own[words_]))
             out["sizes"].append(_packed(sizes))
             out["contexts"].append(_packed(context[part]))
             out["n"].append(_squeezed(n[part]))
@@ -311,64 +399,98 @@ def _counted(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for _, _, data, bounds in chunks(batch.column(0), LARGE):
-                token, context, _ = tokens(data, bounds)
-                held.append(_combined(token, context, np.ones(len(token), np.int64)))
-                size += len(held[-1][0])
-                if size > 2 * _PAIRS:
-                    held = [_combined(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                    size = len(held[0][0])
-                    if size > _PAIRS:
-                        yield packed(held)
-                        held, size = [], 0
+            for _, _, data, bounds in chunks(batch.column(0)):
+                held.append(tokens(data, bounds)[0])
+                size += len(held[-1])
+                if size > 3 * _PAIRS:
+                    yield packed(held)
+                    held, size = [], 0
         if held:
             yield packed(held)
 
     return run
 
 
-_STATE = "bucket int, tokens binary, sizes binary, contexts binary, place binary, c binary, t array<binary>, parent_t array<binary>"
+_STATE = "bucket int, tokens binary, sizes binary, contexts binary, place binary, c binary, t array<binary>, parent_t array<binary>, customers array<binary>"
 
 
 class State:
     """A bucket's pairs: tokens and contexts (these by their bucket), and of each pair, in order of token, its word, place among the contexts, customers, and tables in each seating."""
 
     def __init__(self, row) -> None:
-        self.bucket = int(row["bucket"])
-        self.token = _hashes(row["tokens"])
-        self.sizes = _unpacked(row["sizes"])
-        self.word = np.repeat(np.arange(len(self.token)), self.sizes)
-        self.contexts = _hashes(row["contexts"])
-        self.place, self.c = _unpacked(row["place"]), _numbers(row["c"])
-        self.t, self.parent_t = [_numbers(b) for b in row["t"]], [_numbers(b) for b in row["parent_t"]]
+        """``row`` may lack what isn't asked for."""
+        self.bucket, self.row = int(row["bucket"]), row
+
+    @cached_property
+    def token(self) -> np.ndarray:
+        return _hashes(self.row["tokens"])
+
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        return _unpacked(self.row["sizes"])
+
+    @cached_property
+    def word(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    @cached_property
+    def contexts(self) -> np.ndarray:
+        return _hashes(self.row["contexts"])
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        return _unpacked(self.row["place"])
+
+    @cached_property
+    def c(self) -> np.ndarray:
+        return _numbers(self.row["c"])
+
+    @cached_property
+    def t(self) -> list[np.ndarray]:
+        return [_numbers(b) for b in self.row["t"]]
+
+    @cached_property
+    def parent_t(self) -> list[np.ndarray]:
+        return [_numbers(b) for b in self.row["parent_t"]]
+
+    @cached_property
+    def customers(self) -> list[np.ndarray]:
+        """The parent's customers of each token here, by seating."""
+        kept = self.row.get("customers")
+        return [self.of_words(x) for x in self.t] if kept is None else [_numbers(b) for b in kept]
+
+    def of_words(self, x: np.ndarray) -> np.ndarray:
+        """The sums of pairs' numbers by token."""
+        return np.add.reduceat(x, np.cumsum(self.sizes) - self.sizes) if len(x) else np.zeros(0, np.int64)
 
     @cached_property
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """The pairs' hashes in order, and where each stands."""
-        found = pair_hash(self.token[self.word], self.contexts[self.place])
+        found = pair_hash(np.repeat(self.token, self.sizes), self.contexts[self.place])
         by = np.argsort(found)
         return found[by], by
 
-    def seated(self, t: list[np.ndarray], parent_t: list[np.ndarray]) -> dict:
-        return {
-            "bucket": self.bucket, "tokens": _packed(self.token), "sizes": _packed(self.sizes), "contexts": _packed(self.contexts), "place": _packed(self.place), "c": _squeezed(self.c),
-            "t": [_squeezed(x) for x in t], "parent_t": [_squeezed(x) for x in parent_t],
-        }
+    def seated(self, t: list[bytes], parent_t: list[bytes], customers: list[bytes]) -> dict:
+        return {**{k: self.row[k] for k in ("bucket", "tokens", "sizes", "contexts", "place", "c")}, "t": t, "parent_t": parent_t, "customers": customers}
 
 
 def _merged(spread, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A bucket's counts, and a first seating: one table a pair, one a token."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        parts = zip(group["tokens"], group["sizes"], strict=True)
-        token = np.concatenate([np.repeat(_hashes(b), _unpacked(s)) for b, s in parts])
-        token, context, c = _combined(token, np.concatenate([_hashes(b) for b in group["contexts"]]), np.concatenate([_numbers(b) for b in group["n"]]))
-        own, sizes = np.unique(token, return_counts=True)
-        contexts, place = np.unique(context, return_inverse=True)
+        own, at = _numbered(np.concatenate([_hashes(b) for b in group["tokens"]]))
+        contexts, place = _numbered(np.concatenate([_hashes(b) for b in group["contexts"]]))
         by = np.argsort(spread.value.of_context(contexts), kind="stable")
-        where = np.empty(len(by), np.int64)
-        where[by] = np.arange(len(by))
-        row = {"bucket": group["bucket"].iloc[0], "tokens": _packed(own), "sizes": _packed(sizes), "contexts": _packed(contexts[by]), "place": _packed(where[place]), "c": _squeezed(c), "t": [_squeezed(np.minimum(c, 1))], "parent_t": [_squeezed(np.ones(len(own), np.int64))]}
+        where = np.empty(len(by), np.uint64)
+        where[by] = np.arange(len(by), dtype=np.uint64)
+        bits = np.uint64(len(contexts).bit_length())
+        key = np.repeat(at, np.concatenate([_unpacked(b) for b in group["sizes"]])).astype(np.uint64) << bits | where[place]
+        order = np.argsort(key)
+        key = key[order]
+        start = _runs(key)
+        c = np.add.reduceat(np.concatenate([_numbers(b) for b in group["n"]])[order], start)
+        place, sizes = (key[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), _sized((key[start] >> bits))[1]
+        row = {"bucket": group["bucket"].iloc[0], "tokens": _packed(own), "sizes": _packed(sizes), "contexts": _packed(contexts[by]), "place": _packed(place), "c": _squeezed(c), "t": [_squeezed(np.minimum(c, 1))], "parent_t": [_squeezed(np.ones(len(own), np.int64))], "customers": [_squeezed(sizes)]}
         return pd.DataFrame([row])
 
     return run
@@ -378,28 +500,31 @@ _SHARE = "at int, bucket int, contexts binary, c binary, t array<binary>"
 
 
 def _shares(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """What a bucket adds to the totals of its contexts, for each bucket of contexts."""
+    """What a bucket adds to the totals of its contexts, for each bucket of contexts; customers only if they are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("at", pa.int32()), ("bucket", pa.int32()), ("contexts", pa.binary()), ("c", pa.binary()), ("t", pa.list_(pa.binary()))])
         for batch in batches:
             for row in batch.to_pylist():
                 s = State(row)
                 at = spread.value.of_context(s.contexts)
                 cut = np.searchsorted(at, np.arange(spread.value.buckets + 1))
-                c, t = np.bincount(s.place, s.c, len(s.contexts)), [np.bincount(s.place, x, len(s.contexts)) for x in s.t]
-                out = [{"at": int(k), "bucket": s.bucket, "contexts": _packed(s.contexts[cut[k] : cut[k + 1]]), "c": _squeezed(c[cut[k] : cut[k + 1]]), "t": [_squeezed(x[cut[k] : cut[k + 1]]) for x in t]} for k in np.flatnonzero(np.diff(cut))]
-                schema = pa.schema([("at", pa.int32()), ("bucket", pa.int32()), ("contexts", pa.binary()), ("c", pa.binary()), ("t", pa.list_(pa.binary()))])
+                c, *t = (np.bincount(s.place, x, len(s.contexts)).astype(np.int64) if x is not None else None for x in (s.c if "c" in row else None, *s.t))
+                out = [
+                    {"at": int(k), "bucket": s.bucket, "contexts": _packed(s.contexts[a:b]), "c": None if c is None else _squeezed(c[a:b]), "t": [_squeezed(x[a:b]) for x in t]}
+                    for k, a, b in zip(range(spread.value.buckets), cut[:-1], cut[1:], strict=True) if a < b
+                ]
                 for a in range(0, len(out), 256):
                     yield pa.RecordBatch.from_pylist(out[a : a + 256], schema=schema)
 
     return run
 
 
-def _added(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(contexts, place of each share's context, customers, tables of each seating) of a bucket of contexts."""
-    contexts, place = np.unique(np.concatenate([_hashes(b) for b in group["contexts"]]), return_inverse=True)
+def _added(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, list[np.ndarray]]:
+    """(contexts, place of each share's context, customers if they are given, tables of each seating) of a bucket of contexts."""
+    contexts, place = _numbered(np.concatenate([_hashes(b) for b in group["contexts"]]))
     add = lambda parts: np.bincount(place, np.concatenate([_numbers(b) for b in parts]), len(contexts)).astype(np.int64)
-    return contexts, place, add(group["c"]), [add([t[k] for t in group["t"]]) for k in range(len(group["t"].iloc[0]))]
+    return contexts, place, None if group["c"].iloc[0] is None else add(group["c"]), [add([t[k] for t in group["t"]]) for k in range(len(group["t"].iloc[0]))]
 
 
 def _answers(group: pd.DataFrame) -> pd.DataFrame:
@@ -408,7 +533,7 @@ def _answers(group: pd.DataFrame) -> pd.DataFrame:
     ends = np.cumsum([(len(b) - 1) // b[0] for b in group["contexts"]])
     out = []
     for a, b, bucket, at in zip(np.concatenate([[0], ends[:-1]]), ends, group["bucket"], group["at"], strict=True):
-        out.append((bucket, at, _squeezed(c[place[a:b]]), [_squeezed(x[place[a:b]]) for x in t]))
+        out.append((bucket, at, None if c is None else _squeezed(c[place[a:b]]), [_squeezed(x[place[a:b]]) for x in t]))
     return pd.DataFrame(out, columns=["bucket", "at", "c", "t"])
 
 
@@ -443,7 +568,7 @@ class Parent:
 
     def of(self, s: State, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Customers and tables of a bucket's tokens; heavy ones are known in whole."""
-        customers, tables = np.bincount(s.word, s.t[k], len(s.token)), s.parent_t[k].astype(float)
+        customers, tables = s.customers[k].astype(float), s.parent_t[k].astype(float)
         found, at = in_sorted(self.heavy, s.token)
         customers[found], tables[found] = self.heavy_customers[at[found]], self.heavy_tables[at[found]]
         return customers, tables
@@ -454,8 +579,8 @@ class Parent:
         return rest + np.where(customers > 0, gammas(np.where(customers > 0, customers - D0 * tables, 1.0), token, 2 * self.seed + 1), 0.0)
 
 
-def _sums(state: DataFrame, spread, gamma: list[float | None], rng: np.random.Generator) -> list[Parent]:
-    """The parent restaurant in each seating, given its gamma then: sums over buckets, and the heavy tokens, which are seated here."""
+def _sums(state: DataFrame, spread, gamma: list[float | None], rng: np.random.Generator, counts: bool = True) -> list[Parent]:
+    """The parent restaurant in each seating, given its gamma then (training tokens only with ``counts``): sums over buckets, and the heavy tokens, which are seated here."""
     heavy, samples = spread.value.heavy, len(gamma)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,14 +589,14 @@ def _sums(state: DataFrame, spread, gamma: list[float | None], rng: np.random.Ge
                 s = State(row)
                 found, at = in_sorted(heavy, s.token)
                 out: list[dict] = []
+                own = s.of_words(s.c) if counts else np.zeros(len(s.token), np.int64)
                 for k in range(samples):
-                    n = np.bincount(s.word, s.t[k], len(s.token))
-                    own = np.bincount(s.word, s.c, len(s.token))
-                    out.append({"k": k, "token": -1, "customers": float(n.sum()), "tables": float(s.parent_t[k][~found].sum()), "words": int((~found).sum()), "n": float(s.c.sum())})
+                    n = s.customers[k]
+                    out.append({"k": k, "token": -1, "customers": float(n.sum()), "tables": float(s.parent_t[k][~found].sum()), "words": int((~found).sum()), "n": float(own.sum())})
                     out += [{"k": k, "token": int(at[i]), "customers": float(n[i]), "tables": 0.0, "words": 0, "n": float(own[i])} for i in np.flatnonzero(found)]
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("k", pa.int32()), ("token", pa.int32()), ("customers", pa.float64()), ("tables", pa.float64()), ("words", pa.int64()), ("n", pa.float64())]))
 
-    rows = state.mapInArrow(run, "k int, token int, customers double, tables double, words long, n double").groupBy("k", "token").agg(*[F.sum(c).alias(c) for c in ("customers", "tables", "words", "n")]).toPandas()
+    rows = state.select("bucket", "tokens", "parent_t", "customers", *(("sizes", "c") if counts else ())).mapInArrow(run, "k int, token int, customers double, tables double, words long, n double").groupBy("k", "token").agg(*[F.sum(c).alias(c) for c in ("customers", "tables", "words", "n")]).toPandas()
     out = []
     for k in range(samples):
         mine = rows[rows["k"] == k]
@@ -486,6 +611,11 @@ def _sums(state: DataFrame, spread, gamma: list[float | None], rng: np.random.Ge
     return out
 
 
+def _last(*columns: str) -> list:
+    """Of each column of seatings the last one."""
+    return [F.array(F.element_at(c, -1)).alias(c) for c in columns]
+
+
 def _drawn(state: DataFrame, parent: Parent, seed: int) -> Parent:
     """``parent`` with the tokens' probabilities, which each bucket draws again from the seed; here the sum of what they draw."""
     parent = replace(parent, seed=seed)
@@ -497,10 +627,10 @@ def _drawn(state: DataFrame, parent: Parent, seed: int) -> Parent:
             for row in batch.to_pylist():
                 s = State(row)
                 light = ~in_sorted(known.value.heavy, s.token)[0]
-                found = known.value.masses(s.token[light], np.bincount(s.word, s.t[-1], len(s.token))[light], s.parent_t[-1][light].astype(float))
+                found = known.value.masses(s.token[light], s.customers[-1][light], s.parent_t[-1][light].astype(float))
                 yield pa.RecordBatch.from_arrays([pa.array([float(found.sum())])], names=["mass"])
 
-    light = state.mapInArrow(run, "mass double").agg(F.sum("mass")).first()[0] or 0.0
+    light = state.select("bucket", "tokens", *_last("parent_t", "customers")).mapInArrow(run, "mass double").agg(F.sum("mass")).first()[0] or 0.0
     none = parent.masses(np.ones(1, np.uint64), np.zeros(1), np.zeros(1))  # of all that training doesn't hold
     return replace(parent, mass=light + float(parent.heavy_mass.sum()) + float(none[0]))
 
@@ -514,23 +644,28 @@ def _swept(parent, samples: list[int], seed: int) -> Callable[[pd.DataFrame, pd.
         tables = np.concatenate([_numbers(t[-1]) for t in answers.sort_values("at")["t"]])
         # a lone customer has one table: only where there are more are the variables drawn
         some = np.flatnonzero(s.c > 1)
-        words_, word = np.unique(s.word[some], return_inverse=True)
-        places, place = np.unique(s.place[some], return_inverse=True)
+        words_, sizes = _sized(s.word[some])
+        used = np.zeros(len(s.contexts), bool)
+        used[s.place[some]] = True
+        places, place = np.flatnonzero(used), (np.cumsum(used) - 1)[s.place[some]]
         customers, opened = p.of(s, -1)
         mass = p.masses(s.token[words_], customers[words_], opened[words_])
         found, at = in_sorted(p.heavy, s.token[words_])
         mass[found] = p.heavy_mass[at[found]]
         gamma = gammas(S1 / D1 + tables[places], s.contexts[places], 2 * p.seed)
         t = np.ones(len(s.c), np.int64)
-        t[some] = seat(s.c[some], D1 * gamma[place] * (mass / p.mass)[word], D1, rng)
-        parent_t = seat(np.bincount(s.word, t, len(s.token)).astype(np.int64), np.full(len(s.token), D0 * p.gamma * p.base), D0, rng)
-        return pd.DataFrame([s.seated([*(s.t[k] for k in samples), t], [*(s.parent_t[k] for k in samples), parent_t])])
+        t[some] = seat(s.c[some], D1 * gamma[place] * np.repeat(mass / p.mass, sizes), D1, rng)
+        customers = s.of_words(t)
+        parent_t = seat(customers, np.full(len(s.token), D0 * p.gamma * p.base), D0, rng)
+        return pd.DataFrame([s.seated(*([*(s.row[name][k] for k in samples), _squeezed(x)] for name, x in (("t", t), ("parent_t", parent_t), ("customers", customers))))])
 
     return run
 
 
-def _asked(state: DataFrame, spread) -> DataFrame:
-    return state.mapInArrow(_shares(spread), _SHARE).groupBy("at").applyInPandas(_answers, "bucket int, at int, c binary, t array<binary>")
+def _asked(state: DataFrame, spread, whole: bool = True) -> DataFrame:
+    """The totals of each bucket's contexts; if not ``whole``, only the tables of the last seating."""
+    given = state.select("bucket", "contexts", "place", *(("c", "t") if whole else _last("t")))
+    return given.mapInArrow(_shares(spread), _SHARE).groupBy("at").applyInPandas(_answers, "bucket int, at int, c binary, t array<binary>")
 
 
 def trained(docs: DataFrame, buckets: int, seed: int = 7, share: float = HEAVY) -> tuple[DataFrame, list[Parent], object]:
@@ -543,10 +678,10 @@ def trained(docs: DataFrame, buckets: int, seed: int = 7, share: float = HEAVY)
     gamma: list[float | None] = [None]
     for k in range(BURN + SAMPLES):
         kept = list(range(max(0, k - BURN)))  # seatings so far that are samples
-        last = _sums(state, spread, gamma, rng)[-1]
+        last = _sums(state.select("bucket", "tokens", *_last("parent_t", "customers")), spread, gamma[-1:], rng, counts=False)[-1]
         gamma = [*(gamma if kept else []), last.gamma]
         parent = context.broadcast(_drawn(state, last, seed + k + 1))
-        swept = state.groupBy("bucket").cogroup(_asked(state, spread).groupBy("bucket")).applyInPandas(_swept(parent, kept, seed + k + 1), _STATE)
+        swept = state.groupBy("bucket").cogroup(_asked(state, spread, whole=False).groupBy("bucket")).applyInPandas(_swept(parent, kept, seed + k + 1), _STATE)
         before, state = state, saved(swept, "seating")
         discard(before)
     return state, _sums(state, spread, gamma, rng), spread
@@ -557,20 +692,22 @@ class Scorer:
 
     def __init__(self, s: State, parents: list[Parent], customers: np.ndarray, tables: list[np.ndarray]) -> None:
         self.s, self.parents = s, parents
-        self.count = np.bincount(s.word, s.c, len(s.token))
+        self.count = s.of_words(s.c).astype(float)
         found, at = in_sorted(parents[0].heavy, s.token)
         self.count[found] = parents[0].heavy_count[at[found]]
         self.up = [p.probability(*p.of(s, k)) for k, p in enumerate(parents)]
-        self.probability = np.zeros(len(s.c))
+        share = 1 / (S1 + customers) / len(parents)
+        self.probability = (len(parents) * s.c - D1 * sum(s.t)) * share[s.place]
         for k, up in enumerate(self.up):
-            self.probability += (s.c - D1 * s.t[k] + (S1 + D1 * tables[k][s.place]) * up[s.word]) / (S1 + customers[s.place]) / len(parents)
-        self.pairs, self.order = s.pairs
+            self.probability += ((S1 + D1 * tables[k]) * share)[s.place] * np.repeat(up, s.sizes)
+        pairs, self.order = s.pairs
+        self.pairs = Lookup(pairs)
 
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + 1) / (self.parents[0].tokens + self.parents[0].distinct + 1))
 
-    def __call__(self, token: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(count of the token, log10 of the base probability, log10 of what is known here, whether the context's factor is missing, and then each seating's share of the parent's probability)."""
+    def __call__(self, token: np.ndarray, sizes: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of tokens, each with so many contexts: (count of the token, log10 of the base probability, log10 of what is known here, whether the context's factor is missing, and then each seating's share of the parent's probability)."""
         known, word = in_sorted(self.s.token, token)
         heavy, h = in_sorted(self.parents[0].heavy, token)
         heavy &= ~known  # heavy tokens of which no training pair is here
@@ -583,10 +720,12 @@ class Scorer:
             ups.append(up)
         p = np.mean(ups, axis=0)
         shares = (np.stack(ups) / (p * len(ups))).astype(np.float32)
-        seen, at = in_sorted(self.pairs, pair_hash(token, context))
-        seen &= known
-        p[seen] = self.probability[self.order[at[seen]]]
-        return n, self.base(n), np.log10(p), ~seen, shares[:, ~seen]
+        of = np.repeat(np.arange(len(token)), sizes)
+        seen, at = self.pairs(pair_hash(token[of], context))
+        seen &= known[of]
+        out = np.log10(p)[of]
+        out[seen] = np.log10(self.probability[self.order[at[seen]]])
+        return n[of], self.base(n)[of], out, ~seen, shares[:, of[~seen]]
 
 
 @dataclass(frozen=True)
@@ -597,8 +736,12 @@ class Hot:
     base: np.ndarray
     score: np.ndarray
 
+    @cached_property
+    def lookup(self) -> Lookup:
+        return Lookup(self.pairs)
 
-def _hot(state: DataFrame, spread, parents, n: int) -> Hot:
+
+def _hot(state: DataFrame, shares: DataFrame, spread, parents, n: int) -> Hot:
     """At most ``n`` of the commonest pairs. Each bucket names its own; the buckets of contexts tell the totals of theirs."""
     context = state.sparkSession.sparkContext
     each = max(1, 4 * n // spread.value.buckets)
@@ -608,9 +751,9 @@ def _hot(state: DataFrame, spread, parents, n: int) -> Hot:
         for batch in batches:
             for row in batch.to_pylist():
                 s, p = State(row), parents.value
-                top = np.argsort(-s.c, kind="stable")[:each]
-                top = top[s.c[top] > 1]
-                count = np.bincount(s.word, s.c, len(s.token))
+                top = np.flatnonzero(s.c > 1)
+                top = top[np.argsort(-s.c[top], kind="stable")[:each]]
+                count = s.of_words(s.c).astype(float)
                 found, at = in_sorted(p[0].heavy, s.token)
                 count[found] = p[0].heavy_count[at[found]]
                 up = [x.probability(*x.of(s, k))[s.word[top]] for k, x in enumerate(p)]
@@ -626,10 +769,11 @@ def _hot(state: DataFrame, spread, parents, n: int) -> Hot:
         keep, _ = in_sorted(asked.value, contexts)
         return pd.DataFrame({"context": contexts[keep].view(np.int64), "whole": c[keep], **{f"opened{k}": t[k][keep] for k in range(samples)}})
 
-    known = state.mapInArrow(_shares(spread), _SHARE).groupBy("at").applyInPandas(totals, ", ".join(["context long", "whole long", *(f"opened{k} long" for k in range(samples))]))
+    known = shares.groupBy("at").applyInPandas(totals, ", ".join(["context long", "whole long", *(f"opened{k} long" for k in range(samples))]))
     first = parents.value[0]
     p = sum((F.col("c") - D1 * F.col(f"t{k}") + (S1 + D1 * F.col(f"opened{k}")) * F.col(f"up{k}")) / (S1 + F.col("whole")) for k in range(samples)) / samples
     told = top.join(known, "context").select("pair", F.log10((F.col("count") + 1) / F.lit(float(first.tokens + first.distinct + 1))).alias("base"), F.log10(p).alias("score")).toPandas()
+    discard(top)
     pairs = told["pair"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(pairs)
     return Hot(pairs[by], told["base"].to_numpy(float)[by], told["score"].to_numpy(float)[by])
@@ -648,20 +792,21 @@ def _entries(spread, hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             for at, to, data, bounds in chunks(batch.column(2), LARGE):
                 token, context, row = tokens(data, bounds)
                 n = to - at
-                here, place = in_sorted(hot.value.pairs, pair_hash(token, context))
+                here, place = hot.value.lookup(pair_hash(token, context))
                 place = place[here]
                 sums = np.stack([np.bincount(row, minlength=n), np.bincount(row[here], minlength=n), np.bincount(row[here], hot.value.base[place], n), np.bincount(row[here], hot.value.score[place], n)]).astype(np.float64)
                 token, context, row = token[~here], context[~here], row[~here]
                 bucket = spread.value.bucket(token, context)
-                by = np.lexsort((token, bucket))
-                token, context, row, bucket = token[by], context[by], row[by], bucket[by]
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
+                by = np.argsort(token)
+                by = by[np.argsort(bucket[by], kind="stable")]
+                token, context, row = token[by], context[by], row[by]
+                cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
                 ks = np.flatnonzero(np.diff(cut))
                 home = int(ks[0]) if len(ks) else chunk % buckets
                 out: dict[str, list] = {f.name: [] for f in schema}
                 for k in ks if len(ks) else [home]:
                     s = slice(cut[k], cut[k + 1])
-                    own, sizes = np.unique(token[s], return_counts=True)
+                    own, sizes = _sized(token[s])
                     told = (batch.column(0).slice(at, n).to_pylist(), batch.column(1).slice(at, n).to_pylist(), sums.tobytes()) if k == home else (None, None, None)
                     for name, v in zip(out, (int(k), chunk, _packed(own), _packed(sizes), _packed(context[s]), _packed(row[s]), *told), strict=True):
                         out[name].append(v)
@@ -689,22 +834,37 @@ def _scored(parents, spread) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFr
             customers, tables = none, [none] * SAMPLES
         scorer, out = Scorer(s, parents.value, customers, tables), []
         asks: list[tuple[np.ndarray, ...]] = []
+
+        def told(some: list) -> None:
+            contexts, rows = [_hashes(e.contexts) for e in some], [_unpacked(e.rows) for e in some]
+            context, row, size = np.concatenate(contexts), np.concatenate(rows), [len(x) for x in rows]
+            count, base, score, missing, shares = scorer(np.concatenate([_hashes(e.tokens) for e in some]), np.concatenate([_unpacked(e.sizes) for e in some]), context)
+            room = np.cumsum([0, *(int(x.max(initial=-1)) + 1 for x in rows)])  # each chunk's rows have places of their own
+            place = row + np.repeat(room[:-1], size)
+            there = np.bincount(place, minlength=room[-1])
+            sums = np.stack([np.bincount(place, x, room[-1]) for x in (count > 0, base, score)])
+            for e, a, b in zip(some, room[:-1], room[1:], strict=True):
+                own = np.flatnonzero(there[a:b])
+                out.append((e.chunk, _packed(own), sums[:, a + own].tobytes(), e.ids, e.held, e.sums, None, None, None, None))
+            asks.append((np.repeat([e.chunk for e in some], size)[missing], context[missing], row[missing], *shares))
+
+        some, size = [], 0
         for e in entries.itertuples():
-            token = np.repeat(_hashes(e.tokens), _unpacked(e.sizes))
-            context, row = _hashes(e.contexts), _unpacked(e.rows)
-            count, base, score, missing, shares = scorer(token, context)
-            rows, place = np.unique(row, return_inverse=True)
-            sums = np.stack([np.bincount(place, count > 0, len(rows)), np.bincount(place, base, len(rows)), np.bincount(place, score, len(rows))]).astype(np.float64)
-            out.append((e.chunk, _packed(rows), sums.tobytes(), e.ids, e.held, e.sums, None, None, None, None))
-            asks.append((np.full(int(missing.sum()), e.chunk), context[missing], row[missing], *shares))
+            some.append(e)
+            size += len(e.contexts)
+            if size > LARGE:
+                told(some)
+                some, size = [], 0
+        if some:
+            told(some)
         # one row for each bucket of contexts, with the chunks that ask
         chunk, context, row, *shares = (np.concatenate(x) for x in zip(*asks, strict=True)) if asks else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         at = spread.value.of_context(context)
-        by = np.lexsort((row, chunk, at))
-        cut = np.searchsorted(at[by], np.arange(spread.value.buckets + 1))
+        by = np.argsort(at, kind="stable")
+        cut = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=spread.value.buckets))])
         for k in np.flatnonzero(np.diff(cut)):
             part = by[cut[k] : cut[k + 1]]
-            chunks_, sizes = np.unique(chunk[part], return_counts=True)
+            chunks_, sizes = _sized(chunk[part])
             out.append((-1, _packed(sizes), chunks_.astype(np.int64).tobytes(), None, None, None, int(k), _packed(context[part]), _packed(row[part]), [zlib.compress(x[part].tobytes(), 1) for x in shares[1:]]))
         return pd.DataFrame(out, columns=["chunk", "rows", "part", "ids", "held", "sums", "at", "contexts", "unseen", "shares"]).astype({"at": "Int32"})
 
@@ -728,11 +888,15 @@ def _factors(asked: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
     for own, part in zip(factor, [1 - sum(parts), *parts], strict=True):
         value += part * (np.where(found, own[at], 1.0) if len(own) else 1.0)
     value = np.log10(value)
-    by = np.lexsort((row, chunk))
-    chunk, row, value = chunk[by], row[by], value[by]
-    start = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (row[1:] != row[:-1])]))
-    chunk, row, value = chunk[start], row[start], np.add.reduceat(value, start)
-    cut = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]]))
+    every, place = np.unique(chunk, return_inverse=True)
+    bits = np.uint64(int(row.max(initial=0)).bit_length())
+    key = place.astype(np.uint64) << bits | row.astype(np.uint64)
+    by = np.argsort(key)
+    key = key[by]
+    start = _runs(key)
+    value, key = np.add.reduceat(value[by], start), key[start]
+    chunk, row = every[(key >> bits).astype(np.int64)], key & ((np.uint64(1) << bits) - np.uint64(1))
+    cut = np.append(_runs(chunk), len(chunk))
     out = [(int(chunk[a]), _packed(row[a:b]), np.stack([np.zeros(b - a), np.zeros(b - a), value[a:b]]).tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     return pd.DataFrame(out, columns=["chunk", "rows", "part"])
 
@@ -755,10 +919,10 @@ def score(docs: DataFrame, per_bucket: int = PER_BUCKET, share: float = HEAVY, h
     known = spark.sparkContext.broadcast(parents)
     id_kind = docs.schema["doc_id"].dataType
     ids = T.ArrayType(id_kind).simpleString()
-    hot = spark.sparkContext.broadcast(_hot(state, spread, known, hot_pairs))
-    seats = saved(state.withColumn("at", F.lit(None).cast("int")).unionByName(_asked(state, spread), allowMissingColumns=True), "seats")
-    shares = saved(state.mapInArrow(_shares(spread), _SHARE), "shares")
-    discard(state)
+    shares = saved(state.select("bucket", "contexts", "place", "c", "t").mapInArrow(_shares(spread), _SHARE), "shares")
+    totals = saved(shares.groupBy("at").applyInPandas(_answers, "bucket int, at int, c binary, t array<binary>"), "totals")
+    hot = spark.sparkContext.broadcast(_hot(state, shares, spread, known, hot_pairs))
+    seats = state.withColumn("at", F.lit(None).cast("int")).unionByName(totals, allowMissingColumns=True)
     done = []
     for k in range(SLICES):
         part = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES)) == k)
@@ -769,6 +933,6 @@ def score(docs: DataFrame, per_bucket: int = PER_BUCKET, share: float = HEAVY, h
         done.append(saved(found.groupBy("chunk").applyInPandas(_summed, f"doc_id {id_kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores"))
         del entries, added, found
         discard(parts)
-    discard(seats, shares)
+    discard(state, totals, shares)
     out = reduce(DataFrame.unionByName, done)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(parents[0].tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -201,6 +201,32 @@ def test_seating():
     assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 2 and 90 < t[4] < 150
 
 
+def test_seating_work(monkeypatch):
+    """Many sizes of dishes are seated in few steps, and a path evaluates few gamma functions for each table."""
+    calls, evaluated = [], []
+    chosen, log_gamma = pitman_yor._chosen, pitman_yor._log_gamma
+    monkeypatch.setattr(pitman_yor, "_chosen", lambda w, rng: calls.append(w.shape) or chosen(w, rng))
+    monkeypatch.setattr(pitman_yor, "_log_gamma", lambda z: evaluated.append(len(z)) or log_gamma(z))
+    rng = np.random.default_rng(0)
+    c = np.arange(2, 1001)
+    t = pitman_yor.seat(c, np.full(len(c), 3.0), 0.85, rng)
+    assert (1 <= t).all() and (t <= c).all() and len(calls) < 60
+    t = pitman_yor.seat(np.full(40, 5000), np.full(40, 30.0), 0.85, rng)
+    assert sum(evaluated) < 6 * pitman_yor.PATHS * t.sum()
+
+
+def test_numbers_and_lookups():
+    rng = np.random.default_rng(0)
+    for x in (np.zeros(0, np.int64), np.array([0, 1, 254, 255, 256, 2**40]), rng.geometric(0.01, 5000)):
+        assert np.array_equal(pitman_yor._numbers(pitman_yor._squeezed(x)), x) and np.array_equal(pitman_yor._unpacked(pitman_yor._packed(x)), x)
+    top = np.uint64(2**64 - 1)
+    for keys in ([], [0], [top], [0, 5, top], rng.integers(0, 2**63, 3000), rng.integers(0, 2**48, 3000), np.arange(300)):
+        keys = np.unique(np.array(keys, np.uint64))
+        asked = np.concatenate([keys, keys + np.uint64(1), np.array([0, 1, 2**47, top], np.uint64)])
+        found, place = pitman_yor.Lookup(keys)(asked)
+        assert np.array_equal(found, np.isin(asked, keys)) and np.array_equal(keys[place[found]], asked[found])
+
+
 def test_variables_by_key():
     keys = np.arange(100_000).astype(np.uint64)
     for shape in (0.4, 1.0, 7.0):
