@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.text import existence_variants, name_similarity, name_variants, normalize_handle, normalize_username, to_handle
+from ..functions.text import existence_variants, let, name_similarity, name_variants, normalize_handle, normalize_username, to_handle
 from ..sources.tables import saved
 
 
@@ -45,11 +45,63 @@ def merged(*found: DataFrame) -> DataFrame:
     return every.groupBy("source_key", "handle").agg(F.array_sort(F.collect_set("via")).alias("via"), F.min("ord").alias("ord"))
 
 
+def _subsets(grams: Column, r: Column) -> Column:
+    """Each choice of r of a list's grams (numbers from 1 to under ``_BASE``, in order) as one number."""
+
+    def chosen(prefix: Column) -> Column:
+        level = F.transform(prefix, lambda g, i: F.struct(g.cast("long").alias("code"), i.alias("at")))
+        out = F.when(r == 1, F.transform(level, lambda s: s["code"]))
+        for size in range(2, _MOST_AT_ONCE + 1):
+            more = lambda s: F.transform(F.slice(prefix, s["at"] + 2, F.size(prefix)), lambda g, i: F.struct((s["code"] * _BASE + g).alias("code"), (s["at"] + 1 + i).alias("at")))
+            level = F.flatten(F.transform(level, more))
+            out = out.when(r == size, F.transform(level, lambda s: s["code"]))
+        return out
+
+    return let(grams, chosen)
+
+
+def _choices(n: Column, r: Column) -> Column:
+    """In how many ways r of n can be chosen."""
+    return F.aggregate(F.sequence(F.lit(1), r), F.lit(1.0), lambda c, i: c * (n - r + i) / i)
+
+
+# the different bigrams of letters and digits, the single ones and the empty one fit below; five of them fit 64 bits
+_BASE = 2048
+_MOST_AT_ONCE = 5
+# of one name
+_MOST_CHOICES = 4096
+
+
+def _meeting(left: DataFrame, right: DataFrame, common: DataFrame, share: float) -> DataFrame:
+    """(asked, grams, need, r, code): the pairs of sets that may share enough, once for each r rarest grams that both hold. common: (gram, accounts, number)."""
+    need = F.greatest(F.lit(1), F.ceil(F.lit(float(share)) * F.col("n"))).cast("int")
+    asking = left.groupBy(F.size("grams").alias("m")).agg(F.count("*").alias("asking"))
+    lengths = right.groupBy(F.size("grams").alias("n")).agg(F.count("*").alias("accounts")).withColumn("need", need)
+    # how many bigrams that are equally common would meet as often
+    spread = common.agg((F.pow(F.sum(F.col("accounts").cast("double")), 2) / F.sum(F.pow(F.col("accounts").cast("double"), 2))).alias("spread"))
+    # a row for each pair of lengths and each r: no more than names are long
+    steps = asking.join(F.broadcast(lengths), F.col("need") <= F.col("m")).join(F.broadcast(spread)).withColumn("r", F.explode(F.sequence(F.lit(1), F.least(F.col("need"), F.lit(_MOST_AT_ONCE)))))
+    steps = steps.withColumn("left", _choices(F.col("m") - F.col("need") + F.col("r"), F.col("r"))).withColumn("right", _choices(F.col("n") - F.col("need") + F.col("r"), F.col("r")))
+    met = F.col("asking") * F.col("left") * F.col("accounts") * F.col("right") / F.greatest(F.lit(1.0), _choices(F.greatest(F.col("spread"), F.col("r")), F.col("r")))
+    cost = F.when((F.col("r") == 1) | (F.greatest("left", "right") <= _MOST_CHOICES), F.col("asking") * F.col("left") + F.col("accounts") * F.col("right") + met)
+    steps = saved(steps.groupBy("m", "n", "need").agg(F.min_by("r", cost).alias("r")), "steps")
+
+    def chosen(size: str) -> Column:
+        return F.explode(_subsets(F.slice("grams", F.lit(1), F.col(size) - F.col("need") + F.col("r")), F.col("r"))).alias("code")
+
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.repartition(tasks).withColumn("m", F.size("grams")).join(F.broadcast(steps), "m").select(F.col("grams").alias("asked"), "n", "need", "r", chosen("m"))
+    right = right.repartition(tasks).withColumn("n", F.size("grams")).join(F.broadcast(steps.select("n", "need", "r").distinct()), "n").select("grams", "n", chosen("n"))
+    return left.join(right, ["n", "code"])
+
+
 def search_by_grams(sources: DataFrame, catalogue: DataFrame, k: int = 10, share: float = 0.5) -> DataFrame:
     """(source_key, handle, via, ord): the k accounts whose names share the most bigrams, ``share`` of the account's at least.
 
-    Two names that share enough have a bigram in common among the rarest of each, so only those are joined, for
-    each number of bigrams apart; the pair is then counted in full.  Names are compared once for each set of
+    Two names that share ``need`` bigrams have the r rarest of those in common, and these are among the
+    n - need + r rarest of each.  So only names that hold the same r bigrams there are joined, for each number of
+    bigrams apart; the pair is then counted in full.  The more at once, the fewer pairs and the more rows for each
+    name: r is what costs least for the numbers of names there are.  Names are compared once for each set of
     bigrams: of accounts with the same set only the k first handles can be among a source's k.  Several names of one
     source_key are searched as one; repeated rows count once.
     """
@@ -58,38 +110,29 @@ def search_by_grams(sources: DataFrame, catalogue: DataFrame, k: int = 10, share
     def grams(c: Column) -> Column:
         return F.array_distinct(ngrams(normalize_username(c), 2))
 
-    def named(df: DataFrame, key: str) -> DataFrame:
-        """(key, name, grams): name is the same for equal sets."""
-        own = df.select(key, F.explode("grams").alias("gram")).groupBy(key).agg(F.array_sort(F.collect_set("gram")).alias("grams"))
-        return own.select(key, F.array_join("grams", " ").alias("name"), "grams")
-
-    asked = saved(named(sources.select("source_key", grams(F.col("username")).alias("grams")), "source_key"), "asked")
-    there = named(catalogue.select(F.col("username").alias("handle"), grams(F.col("username")).alias("grams")), "handle")
-    first = F.row_number().over(Window.partitionBy("name").orderBy("handle"))
-    there = saved(there.withColumn("first", first).filter(F.col("first") <= k), "there")
-    # at most the pairs of 36 letters and digits, the single ones and the empty name
-    common = F.broadcast(there.filter("first = 1").select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("accounts")))
-
-    def ordered(names: DataFrame) -> DataFrame:
-        """(name, grams): those that an account has, the rarest first."""
-        found = names.select("name", F.explode("grams").alias("gram")).join(common, "gram")
-        return found.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("accounts", "gram"))), lambda x: x["gram"]).alias("grams"))
-
-    def rarest(names: DataFrame) -> DataFrame:
-        """A row for each bigram of which one at least is shared by names that share ``need``."""
-        return names.withColumn("gram", F.explode(F.slice("grams", F.lit(1), F.size("grams") - F.col("need") + 1)))
+    def exploded(df: DataFrame, key: str) -> DataFrame:
+        return df.select(key, F.explode(grams(F.col("username"))).alias("gram"))
 
-    need = F.greatest(F.lit(1), F.ceil(F.lit(float(share)) * F.col("n"))).cast("int")
-    right = ordered(there.filter("first = 1")).withColumn("n", F.size("grams")).withColumn("need", need)
-    sizes = right.select("n", "need").distinct()  # no more than a name is long
-    left = ordered(asked.select("name", "grams").distinct()).join(F.broadcast(sizes), F.col("need") <= F.size("grams"))
-    left = rarest(left).select(F.col("name").alias("asked"), F.col("grams").alias("asked_grams"), "n", "gram")
-    both = left.join(rarest(right), ["gram", "n"]).withColumn("both", F.array_intersect("asked_grams", "grams"))
-    # a pair that meets at several bigrams counts at the rarest
-    pairs = both.filter(F.col("both")[0] == F.col("gram")).withColumn("shared", F.size("both")).filter("shared >= need").select("asked", "name", "shared")
+    there = saved(exploded(catalogue.select(F.col("username").alias("handle"), "username"), "handle"), "there")
+    # at most the pairs of 36 letters and digits, the single ones and the empty name: numbered, the rarest first
+    counted = there.groupBy("gram").agg(F.count("*").alias("accounts"))
+    common = saved(counted.withColumn("number", F.row_number().over(Window.orderBy("accounts", "gram")).cast("short")), "grams")
+
+    def named(df: DataFrame, key: str) -> DataFrame:
+        """(key, grams): the numbers of those bigrams that an account has, the rarest first."""
+        return df.join(F.broadcast(common), "gram").groupBy(key).agg(F.array_sort(F.collect_set("number")).alias("grams"))
+
+    asked = saved(named(exploded(sources, "source_key"), "source_key"), "asked")
+    first = F.row_number().over(Window.partitionBy("grams").orderBy("handle"))
+    known = saved(named(there, "handle").withColumn("first", first).filter(F.col("first") <= k), "known")
+    both = _meeting(asked.select("grams").distinct(), known.filter("first = 1").select("grams"), common, share)
+    both = both.withColumn("both", F.array_intersect("asked", "grams")).withColumn("shared", F.size("both")).filter("shared >= need")
+    # a pair that meets several times counts where the rarest of its bigrams do
+    rarest = F.aggregate(F.slice("both", F.lit(1), F.col("r")), F.lit(0).cast("long"), lambda code, g: code * _BASE + g)
+    pairs = both.filter(rarest == F.col("code")).select("asked", "grams", "shared")
     rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("shared"), "handle"))
-    top = pairs.join(there.select("name", "handle"), "name").withColumn("ord", rank + 1000).filter(F.col("ord") <= k + 1000).select("asked", "handle", "ord")
-    return asked.select("source_key", F.col("name").alias("asked")).join(top, "asked").select("source_key", "handle", F.lit("platform_search").alias("via"), "ord")
+    top = pairs.join(known.select("grams", "handle"), "grams").withColumn("ord", rank + 1000).filter(F.col("ord") <= k + 1000).select("asked", "handle", "ord")
+    return asked.select("source_key", F.col("grams").alias("asked")).join(top, "asked").select("source_key", "handle", F.lit("platform_search").alias("via"), "ord")
 
 
 def search_fallback(urls: DataFrame, platform: str, plausible: DataFrame, k: int = 10) -> DataFrame:

@@ -56,3 +56,26 @@ def test_resolve_sheet_on_planted_accounts(spark):
     found = {r.original_row: (r.status, r.destination is not None) for r in catalogue.QUERIES["resolve_sheet"](spark, d).collect()}
     expected = {r.row: (standins.KINDS[r.kind], standins.KINDS[r.kind] == "MATCH") for r in asked}
     assert found == expected
+
+
+def test_search_meets_few_pairs_that_share_too_little(spark):
+    rng = np.random.default_rng(5)
+    names = sorted({"".join(rng.choice(list("abcdefghiklmnopr"), 10)) for _ in range(4000)})
+    there = spark.createDataFrame([(a,) for a in [*names, "thereal" + names[0]]], "username string")
+    key = there.sample(0.5, 1).select(F.col("username").alias("source_key"), "username")
+    met = []
+    meeting = blocking._meeting
+    try:
+        blocking._meeting = lambda *given: met.append(meeting(*given)) or met[-1]
+        found = {(r.source_key, r.handle, r.ord) for r in blocking.search_by_grams(key, there).collect()}
+    finally:
+        blocking._meeting = meeting
+    asked = [r.source_key for r in key.collect()]
+    assert found == searched(set(asked[:150]), [*names, "thereal" + names[0]], 10) | {x for x in found if x[0] not in asked[:150]}
+    # joined by one rare bigram, a tenth of all pairs met
+    assert met[0].count() < 0.04 * len(asked) * len(names)
+    # several bigrams at once are each choice of them, once
+    df = spark.createDataFrame([([3, 5, 8, 9], 1), ([3, 5, 8, 9], 2), ([3, 5, 8, 9, 11, 12], 5), ([3], 1)], "g array<short>, r int")
+    codes = [r.c for r in df.select(blocking._subsets(F.col("g"), F.col("r")).alias("c")).collect()]
+    assert codes[0] == [3, 5, 8, 9] and codes[3] == [3] and len(set(codes[2])) == 6
+    assert sorted(codes[1]) == sorted(a * 2048 + b for a, b in ((3, 5), (3, 8), (3, 9), (5, 8), (5, 9), (8, 9)))
