@@ -92,7 +92,12 @@ def _folded(c: Column) -> Column:
         at = F.concat(F.lit("\0"), x)
         return F.when(F.contains(F.lit(table), at), F.split_part(F.split_part(F.lit(table), at, F.lit(2)), F.lit("\0"), F.lit(1))).otherwise(x)
 
-    return let(F.translate(c, before, after), lambda plain: F.when(F.translate(plain, several, "") != plain, F.array_join(F.transform(F.split(plain, ""), spelled), "")).otherwise(plain))
+    def longer(plain: Column) -> Column:
+        # the table is searched once for each different character that becomes several, not for each place
+        odd = F.array_distinct(F.split(F.regexp_replace(plain, r"[\x00-\x7F]+", ""), ""))
+        return F.aggregate(F.filter(odd, lambda x: (x != "") & F.contains(F.lit(several), x)), plain, lambda text, x: F.replace(text, x, spelled(x)))
+
+    return let(F.translate(c, before, after), longer)
 
 
 def fold(c: Column) -> Column:
@@ -392,20 +397,27 @@ def extract_urls(c: Column) -> Column:
     return F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?)»”’'\"]+$", ""))
 
 
+def without_addresses(c: Column) -> Column:
+    """Without addresses, mentions, tags and mails; empty for null. Each is looked for only where a sign that it needs is."""
+
+    def cut(pattern: str, needed: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda t: F.when(needed(t), F.regexp_replace(t, pattern, " ")).otherwise(t)
+
+    text = let(F.coalesce(c, F.lit("")), cut(_URL, lambda t: t.contains("/") | t.rlike(r"[wW]{3}\.")))
+    text = let(text, cut(r"(?U)[@#]\w+", lambda t: t.contains("@") | t.contains("#")))
+    return let(text, cut(r"(?U)\S+@\S+\.\S+", lambda t: t.contains("@")))
+
+
 def clean_text(c: Column) -> Column:
     """Without addresses, mentions, tags and mails; white space squeezed."""
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), _URL, " ")
-    text = F.regexp_replace(text, r"(?U)[@#]\w+", " ")
-    text = F.regexp_replace(text, r"(?U)\S+@\S+\.\S+", " ")
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(without_addresses(c), r"(?U)\s+", " "))
 
 
 def bio_tokens(c: Column, stopwords: list[str] | None = None) -> Column:
     """The telling words of a bio, in order and with repeats."""
-    words = F.regexp_extract_all(F.lower(fold(clean_text(c))), F.lit("([a-z0-9]+)"), F.lit(1))
-    kept = F.filter(words, lambda w: F.length(w) > 1)
+    words = F.regexp_extract_all(F.lower(fold(without_addresses(c))), F.lit("([a-z0-9]{2,})"), F.lit(1))
     # a long list of values becomes a hash set
-    return F.filter(kept, lambda w: ~w.isin([*config.STOPWORDS, *config.BIO_BOILERPLATE] if stopwords is None else stopwords))
+    return F.filter(words, lambda w: ~w.isin([*config.STOPWORDS, *config.BIO_BOILERPLATE] if stopwords is None else stopwords))
 
 
 def normalize_tag(c: Column) -> Column:

@@ -88,3 +88,17 @@ def test_runs_and_cosine(spark):
     assert [round(x, 6) for x in found] == [0.975, 0.961111, 0.813333, 0.0, 0.0, 1.0, 0.5]
     assert values(spark, ["a b"], lambda c: X.cosine_of_counts(F.array(c), F.array(c))) == [1.0]
     assert values(spark, ["x"], lambda c: X.cosine_of_counts(F.array(c), F.array().cast("array<string>"))) == [0.0]
+
+
+def test_long_texts_fold_in_time(spark):
+    import time
+
+    text = "Été № 5 ½ … word @me x@y.zz a/b www.site.example " + "voilà bon jour " * 60000
+    df = spark.createDataFrame([(text,), ("",), (None,), ("WwW.a.example plain #tag　a1",)], "t string")
+    begun = time.time()
+    found = [r.n for r in df.select(X.bio_tokens(F.col("t"), []).alias("n")).collect()]
+    # the table of folds was searched once for each character of the text: several minutes
+    assert time.time() - begun < 40
+    assert found[0][:6] == ["ete", "no", "word", "zz", "voila", "bon"]
+    assert found[0].count("jour") == 60000
+    assert found[1:] == [[], [], ["plain", "a1"]]
