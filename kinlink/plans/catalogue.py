@@ -11,7 +11,7 @@ from .. import config
 from ..config import Scoring
 from ..functions import text as X
 from ..functions.links import url_identity
-from ..operators import blocking, decide, identities, rows, signals
+from ..operators import blocking, decide, identities, overlap, rows, signals
 from ..sources import cells as sheet
 from . import standins as S
 
@@ -219,18 +219,13 @@ def cross_link_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- texts and vectors
 
 
-def _bio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one language and length, with their words."""
-    d = S.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.array_sort(F.array_distinct(F.array_remove(F.split(F.lower("text"), "[^a-z0-9]+"), ""))).alias("w"))
-    x, y = (d.select(F.col("doc_id").alias(f"{s}_id"), "lang", "n_chars", F.col("w").alias(f"{s}_w")) for s in "ab")
-    return x.join(y, ["lang", "n_chars"]).filter("a_id < b_id")
-
-
 @query("""WITH d AS (SELECT doc_id, lang, n_chars, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM documents)
 SELECT a.doc_id AS a_id, b.doc_id AS b_id, CASE WHEN len(list_distinct(list_concat(a.w, b.w))) > 0 THEN len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) ELSE 0.0 END AS jaccard
 FROM d a JOIN d b ON a.lang = b.lang AND a.n_chars = b.n_chars AND a.doc_id < b.doc_id""")
 def bio_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bio_pairs(spark, sf_dir).select("a_id", "b_id", X.jaccard(F.col("a_w"), F.col("b_w")).alias("jaccard"))
+    """Documents of one language and length, by the words they share."""
+    d = S.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    return overlap.jaccard_pairs(d, ["lang", "n_chars"], "n_chars")
 
 
 @query("""WITH p AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, unnest(list_transform(generate_series(1, length(p_name)), lambda i: substr(' ' || p_name || ' ', i::INT, 3))) AS g FROM p),
