@@ -93,12 +93,12 @@ def test_runs_and_cosine(spark):
 def test_long_texts_fold_in_time(spark):
     import time
 
-    text = "Été № 5 ½ … word @me x@y.zz a/b www.site.example " + "voilà bon jour " * 60000
+    text = "Été № 5 ½ … word @me x@y.zz a/b www.site.example " + "voilà bon jour " * 300000
     df = spark.createDataFrame([(text,), ("",), (None,), ("WwW.a.example plain #tag　a1",)], "t string")
     begun = time.time()
     found = [r.n for r in df.select(X.bio_tokens(F.col("t"), []).alias("n")).collect()]
     # the table of folds was searched once for each character of the text: several minutes
     assert time.time() - begun < 40
     assert found[0][:6] == ["ete", "no", "word", "zz", "voila", "bon"]
-    assert found[0].count("jour") == 60000
+    assert found[0].count("jour") == 300000
     assert found[1:] == [[], [], ["plain", "a1"]]
